@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.llm import quality_rules, simhash_dedup, substring_dedup
+from lectern.llm import packing, quality_rules, simhash_dedup, substring_dedup
 
-MODULES = (substring_dedup, simhash_dedup, quality_rules)
+MODULES = (substring_dedup, simhash_dedup, quality_rules, packing)
 
 
 def queries() -> dict:
