@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.llm import packing, quality_rules, simhash_dedup, substring_dedup
+from lectern.llm import packing, quality_rules, simhash_dedup, substring_dedup, token_output
 
-MODULES = (substring_dedup, simhash_dedup, quality_rules, packing)
+MODULES = (substring_dedup, simhash_dedup, token_output, quality_rules, packing)
 
 
 def queries() -> dict:
