@@ -102,30 +102,54 @@ def anchors(words: np.ndarray, size: int, rounds: int) -> tuple[np.ndarray, np.n
 
     It is the one with the least name (the first of equals) among those of the highest level that
     has any, so equal windows get the same symbol at the same place within them. A word is decided
-    by itself, so every window gets one. Returned: names, and where the symbols start. Windows
-    with a border in them get what they get and must be left out.
+    by itself, so every window gets one. Returned: for each window its key, the hash of the words
+    that decided its symbol, and where the symbol starts. Windows with a border in them get what
+    they get and must be left out.
     """
     n = max(0, len(words) - size + 1)
     most = np.iinfo(np.uint64).max
-    best, place = np.full(n, most, np.uint64), np.full(n, -1, np.int32)
+    best, place, key = np.full(n, most, np.uint64), np.full(n, -1, np.int32), np.zeros(n, np.uint64)
+    upto = _prefix_hashes(words)
     for level, s in reversed([(i, s) for i, s in enumerate(levels(words, rounds)) if i in (0, rounds // 2, rounds)]):
         use = (s.high - s.low <= size) & (s.name != BORDER)
+        gap = place < 0
+        if not gap.any():
+            break
         if level < rounds:
-            gap = place < 0
-            if not gap.any():
-                break
             # only symbols near a window that still has none
-            upto = np.concatenate([[0], np.cumsum(gap, dtype=np.int32)])
-            use &= upto[np.minimum(s.at + 1, n)] > upto[np.clip(s.at + 1 - size, 0, n)]
-        else:
-            gap = None
+            some = np.concatenate([[0], np.cumsum(gap, dtype=np.int32)])
+            use &= some[np.minimum(s.at + 1, n)] > some[np.clip(s.at + 1 - size, 0, n)]
         name, at, low, high = s.name[use], s.at[use], s.low[use], s.high[use]
+        decided = _range_hashes(upto, low, high)
+        chosen = np.full(n, -1, np.int32)
         for back in range(size):
             p = at - np.int32(back)
-            ok = (p <= low) & (p + size >= high) & (p >= 0) & (p < n)
-            if gap is not None:
-                ok[ok] = gap[p[ok]]
-            q = p[ok]
-            better = name[ok] < best[q]
-            best[q[better]], place[q[better]] = name[ok][better], at[ok][better]
-    return best, place
+            ok = np.flatnonzero((p <= low) & (p + size >= high) & (p >= 0) & (p < n))
+            if level < rounds:
+                ok = ok[gap[p[ok]]]
+            ok = ok[name[ok] < best[p[ok]]]
+            best[p[ok]], chosen[p[ok]] = name[ok], ok
+        new = chosen >= 0
+        place[new], key[new] = at[chosen[new]], decided[chosen[new]]
+    return key, place
+
+
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _prefix_hashes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the words before each place times powers of a base, and powers of the base's inverse."""
+    powers = np.ones(len(words) + 1, np.uint64)
+    powers[1:] = np.uint64(_BASE)
+    np.multiply.accumulate(powers, out=powers)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * powers[:-1], out=sums[1:])
+    inverse = np.ones(len(words) + 1, np.uint64)
+    inverse[1:] = np.uint64(pow(_BASE, -1, 1 << 64))
+    np.multiply.accumulate(inverse, out=inverse)
+    return sums, inverse
+
+
+def _range_hashes(upto: tuple[np.ndarray, np.ndarray], low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    sums, inverse = upto
+    return mix((sums[high] - sums[low]) * inverse[low] + (high - low).astype(np.uint64))

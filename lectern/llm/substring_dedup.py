@@ -7,12 +7,12 @@ is removed.
 1. Documents are dealt out in chunks by a hash of doc_id. Exact copies of an earlier document
    need no search: all their windows start earlier.
 2. Each chunk's word sequence is recompressed (see recompression). Every window has an anchor,
-   a symbol that is decided by the window's words alone, so equal windows share it wherever they
-   are. Neighbouring windows mostly have the same anchor: about one anchor for seven words goes
-   over the network, once a chunk.
+   a symbol that is decided by the window's words alone, so equal windows share it, and the words
+   that decided it, wherever they are. Neighbouring windows mostly have the same anchor: about one
+   anchor for six words goes over the network, each distinct one once a chunk.
 3. An anchor found at one place only proves that its windows are unique. The names of shared
    anchors go back to the chunks that have them.
-4. Windows with shared anchors are verified by 128 bits of hash over their words. Each chunk
+4. Windows with shared anchors are verified by 96 bits of hash over their words. Each chunk
    keeps the first place of each, so that a passage found in every document makes one row a
    chunk; over all chunks the first place of each window stands, the others are repeats.
 5. The repeats go back to their chunks, which drop the covered words.
@@ -89,8 +89,7 @@ class _Chunk:
 def _anchor_rows(key, table: pa.Table, hints: pa.Table) -> pa.Table:
     c = _Chunk(table, hints)
     c.sequence()
-    name, place = R.anchors(c.seqs[0], WINDOW, ROUNDS)
-    name, place = name[c.whole], place[c.whole]
+    name, place = (x[c.whole] for x in R.anchors(c.seqs[0], WINDOW, ROUNDS))
     new = np.ones(len(name), bool)
     new[1:] = (name[1:] != name[:-1]) | (place[1:] != place[:-1])
     found, count = np.unique(name[new], return_counts=True)
@@ -127,10 +126,10 @@ def _window_rows(key, table: pa.Table, hints: pa.Table) -> pa.Table:
     windows = pa.table(
         {
             "h1": h1[firsts].view(np.int64),
-            "h2": h2[firsts].view(np.int64),
+            "h2": h2[firsts].astype(np.uint32).view(np.int32),
             "doc_id": pa.array(c.doc_id[row], pa.int64(), mask=~c.known[row]),
-            "row": row.astype(np.int32),
-            "pos": (at[firsts] - c.starts[doc]).astype(np.int32),
+            "at": row << 32 | at[firsts] - c.starts[doc],
+            "known": np.zeros(len(firsts), np.int32),
         }
     )
     # what a chunk knows to be a repeat leaves it as ranges of windows
@@ -139,22 +138,23 @@ def _window_rows(key, table: pa.Table, hints: pa.Table) -> pa.Table:
     end = np.append(begin[1:], True) if len(repeats) else begin
     low, high = repeats[begin], repeats[end] + 1
     doc = np.searchsorted(c.starts, low, side="right") - 1
-    ranges = pa.table({"h1": low.astype(np.int64), "h2": np.full(len(low), key[0].as_py(), np.int64), "row": c.row[doc].astype(np.int32), "pos": (low - c.starts[doc]).astype(np.int32), "stop": (high - c.starts[doc]).astype(np.int32)})
+    ranges = pa.table({"h1": low.astype(np.int64), "h2": np.full(len(low), key[0].as_py(), np.int32), "at": c.row[doc] << 32 | low - c.starts[doc], "known": (high - low).astype(np.int32)})
     out = pa.concat_tables([windows, ranges], promote_options="default")
     return out.append_column("chunk", pa.array(np.full(out.num_rows, key[0].as_py(), np.int32)))
 
 
-_WINDOW_ROWS = "h1 long, h2 long, doc_id long, row int, pos int, stop int, chunk int"
+#: at: the document's row in its chunk, times 2^32, plus the window's first word; known: a range of so many windows that surely are repeats.
+_WINDOW_ROWS = "h1 long, h2 int, doc_id long, at long, known int, chunk int"
 
 
 def _kept_rows(key, table: pa.Table, hints: pa.Table) -> pa.Table:
     c = _Chunk(table, hints)
     total = int(c.offsets[-1])
     change = np.zeros(total + 1, np.int32)
-    row, pos, stop = c.hints[2]
-    low = c.offsets[row] + pos
+    at, _, windows = c.hints[2]
+    low = c.offsets[at >> 32] + (at & 0xFFFFFFFF)
     np.add.at(change, low, 1)
-    np.add.at(change, c.offsets[row] + stop - 1 + WINDOW, -1)
+    np.add.at(change, low + windows - 1 + WINDOW, -1)
     gone = np.cumsum(change[:-1]) > 0
     gone |= np.repeat(c.copy & (c.n_words >= WINDOW), c.n_words)
     left = np.concatenate([[0], np.cumsum(~gone, dtype=np.int64)])[c.offsets]
@@ -192,11 +192,11 @@ def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
     shared = shared.select(F.col("chunk").alias("to_chunk"), F.lit(0).alias("kind"), F.col("anchor").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("int").alias("stop"))
 
     windows = by_chunk.cogroup(shared.unionByName(copies).groupBy("to_chunk")).applyInArrow(_window_rows, _WINDOW_ROWS)
-    known = F.col("stop").isNotNull()
-    place = F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "row", "pos")
+    known = F.col("known") > 0
+    place = F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "at")
     earliest = F.min(place).over(Window.partitionBy("h1", "h2", known.cast("int")))
     repeats = windows.withColumn("first", earliest).filter(known | (place > F.col("first")))
-    repeats = repeats.select(F.col("chunk").alias("to_chunk"), F.lit(2).alias("kind"), F.col("row").cast("long").alias("a"), F.col("pos").cast("long").alias("b"), F.coalesce("stop", F.col("pos") + 1).alias("stop"))
+    repeats = repeats.select(F.col("chunk").alias("to_chunk"), F.lit(2).alias("kind"), F.col("at").alias("a"), F.lit(None).cast("long").alias("b"), F.greatest("known", F.lit(1)).alias("stop"))
 
     return by_chunk.cogroup(repeats.unionByName(copies).groupBy("to_chunk")).applyInArrow(_kept_rows, "doc_id long, n_words long, n_removed long, kept string")
 
