@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.common import documents, ranked, written
-from lectern.llm.tokenizing import Encoder, parts, vocabulary_path
+from lectern.llm.tokenizing import encoder, parts, vocabulary_path
 
 WINDOW = 2048
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
@@ -151,10 +151,10 @@ def token_pieces(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
     """doc_id, start, length, doc_tokens and ids (little-endian unsigned 32-bit) of each document's full windows and rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path or vocabulary_path(VOCABULARY), end_id)
+        encode = encoder(path or vocabulary_path(VOCABULARY), end_id).encode
         for batch in batches:
             for rows, texts in parts(batch, 1):
-                ids, offsets = encoder.encode(texts)
+                ids, offsets = encode(texts)
                 n = np.diff(offsets)
                 each = -(-n // window)
                 of = np.repeat(np.arange(len(n)), each)
@@ -168,13 +168,13 @@ def token_pieces(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
     return named.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary")
 
 
-def packed(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Adds sequence_id and offset to pieces (with length and ids, each up to a window); pieces of the tail may come out cut in two.
+def layout(kept: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame, list[int]]:
+    """Where the pieces of kept (_at, length) go.
 
-    A piece that is cut has its start, length and ids cut with it. Other columns are carried along.
+    Returned: (_at, sequence_id, offset) of those that stay whole; (_at, _skip, _take,
+    sequence_id, offset) of the parts of the tail's pieces; and the lengths found in the tail.
     """
-    spark = pieces.sparkSession
-    kept = written(pieces.withColumn("_at", F.monotonically_increasing_id()), "pieces")
+    spark = kept.sparkSession
     histogram = np.zeros(window + 1, np.int64)
     for length, n in kept.groupBy("length").count().collect():
         histogram[length] = n
@@ -198,8 +198,7 @@ def packed(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     part = F.shiftright("_at", 33)
     ranks = ranked(kept.select("_at", "length"), ["length"], part, [F.col("_at")], "_rank")
     placed_at = written(ranks.mapInArrow(place, "_at long, length long, sequence_id long, offset long"), "placed")
-    columns = [c for c in pieces.columns if c not in ("start", "length", "ids")]
-    whole = kept.join(placed_at.filter("sequence_id is not null").drop("length"), "_at").select(*columns, "start", "length", "ids", "sequence_id", "offset")
+    whole = placed_at.filter("sequence_id is not null").drop("length")
 
     tail = ranked(placed_at.filter("sequence_id is null").select("_at", "length"), [], part, [F.col("_at")], "_from", F.col("length"))
     first, last = F.expr(f"_from div {window}"), F.expr(f"(_from + length - 1) div {window}")
@@ -207,9 +206,24 @@ def packed(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     low = F.greatest(F.col("_from"), F.col("_window") * window)
     high = F.least(F.col("_from") + F.col("length"), (F.col("_window") + 1) * window)
     cuts = cuts.select("_at", (low - F.col("_from")).alias("_skip"), (high - low).alias("_take"), (F.col("_window") + slots.windows).alias("sequence_id"), (low - F.col("_window") * window).alias("offset"))
+    return whole, cuts, np.flatnonzero(placed < histogram).tolist()
+
+
+def packed(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Adds sequence_id and offset to pieces (with start, length and ids, each up to a window).
+
+    Pieces of the tail may come out cut in two, with start, length and ids of their own. Other
+    columns are carried along.
+    """
+    kept = written(pieces.withColumn("_at", F.monotonically_increasing_id()), "pieces")
+    whole, cuts, tail = layout(kept, window)
+    return kept.join(whole, "_at").drop("_at").unionByName(_cut(kept, cuts, tail).drop("_at"))
+
+
+def _cut(kept: DataFrame, cuts: DataFrame, tail: list[int]) -> DataFrame:
     ids = F.expr("substring(ids, cast(_skip * 4 + 1 as int), cast(_take * 4 as int))")
-    cut = kept.join(cuts, "_at").select(*columns, (F.col("start") + F.col("_skip")).alias("start"), F.col("_take").alias("length"), ids.alias("ids"), "sequence_id", "offset")
-    return whole.unionByName(cut)
+    joined = kept.filter(F.col("length").isin(tail)).join(cuts, "_at")
+    return joined.withColumns({"start": F.col("start") + F.col("_skip"), "length": F.col("_take"), "ids": ids}).drop("_skip", "_take")
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
@@ -222,8 +236,12 @@ _RESULT = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id"
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    found = packed(token_pieces(docs))
-    return found.withColumn("ids_crc32", F.crc32("ids")).select(*_RESULT)
+    """What packed() gives for all documents, with the checksum of each piece's ids for the ids."""
+    pieces = token_pieces(docs).withColumns({"ids_crc32": F.crc32("ids"), "_at": F.monotonically_increasing_id()})
+    kept = written(pieces, "pieces")
+    whole, cuts, tail = layout(kept)
+    cut = _cut(kept, cuts, tail).withColumn("ids_crc32", F.crc32("ids"))
+    return kept.drop("ids").join(whole, "_at").select(*_RESULT).unionByName(cut.select(*_RESULT))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

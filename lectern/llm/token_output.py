@@ -34,13 +34,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import chunk_count, documents, new_path
-from lectern.llm.tokenizing import Encoder, parts, vocabulary_path
+from lectern.llm.tokenizing import encoder, parts, vocabulary_path
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
 #: Symbols from here on are nonterminals.
 FIRST_RULE = 1 << 17
 SHARD_BYTES = 24 << 20
-WORD_ROUNDS, BLOCK_ROUNDS = 10, 3
+WORD_ROUNDS, BLOCK_ROUNDS = 8, 2
 MIN_COUNT = 16
 #: Rules made in one round at most; later rounds make more.
 RULES_A_ROUND = 4096
@@ -48,47 +48,46 @@ RULES_A_ROUND = 4096
 _BLOCKS = "shard int, block int, doc_ids array<long>, n_tokens array<int>, at array<int>, rules binary, lengths binary, symbols binary"
 
 
-def _frequent(pairs: np.ndarray, weights: np.ndarray | None) -> np.ndarray:
-    """The pairs that occur often enough, most frequent first."""
-    if weights is None:
-        found, count = np.unique(pairs, return_counts=True)
-    else:
-        found, inverse = np.unique(pairs, return_inverse=True)
-        count = np.bincount(inverse, weights=weights, minlength=len(found))
-    order = np.lexsort((found, -count))[:RULES_A_ROUND]
-    return found[order][count[order] >= MIN_COUNT]
-
-
 def replace_round(symbols: np.ndarray, inner: np.ndarray, weights: np.ndarray | None, next_rule: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols after the round, positions kept, new rules): one round of replacements.
 
-    inner[i] tells whether symbols i and i + 1 may be joined. Where chosen pairs overlap, the
-    more frequent one is replaced, and the first of equals.
+    inner[i] tells whether symbols i and i + 1 may be joined. The RULES_A_ROUND most frequent
+    pairs are replaced, if they occur MIN_COUNT times. Where chosen pairs overlap, the more
+    frequent one is replaced, and the first of equals.
     """
-    none = np.zeros((0, 2), np.int64)
-    everything = np.arange(len(symbols))
-    if len(symbols) < 2:
-        return symbols, everything, none
-    pairs = symbols[:-1] << 32 | symbols[1:]
-    chosen = _frequent(pairs[inner], None if weights is None else weights[:-1][inner])
+    none = symbols, np.arange(len(symbols)), np.zeros((0, 2), np.int64)
+    where = np.flatnonzero(inner)
+    if not len(where):
+        return none
+    pairs = symbols[where] << 32 | symbols[where + 1]
+    if weights is None:
+        found, count = np.unique(pairs, return_counts=True)
+    else:
+        found, inverse = np.unique(pairs, return_inverse=True)
+        count = np.bincount(inverse, weights=weights[where], minlength=len(found))
+    frequent = np.flatnonzero(count >= MIN_COUNT)
+    chosen = frequent[np.lexsort((found[frequent], -count[frequent]))[:RULES_A_ROUND]]
     if not len(chosen):
-        return symbols, everything, none
-    by_value = np.argsort(chosen)
-    spot = np.minimum(np.searchsorted(chosen, pairs, sorter=by_value), len(chosen) - 1)
-    rank = by_value[spot]
+        return none
     big = len(chosen)
-    rank = np.where((chosen[rank] == pairs) & inner, rank, big)
-    before = np.concatenate([[big], rank[:-1]])
-    after = np.concatenate([rank[1:], [big]])
-    wins = (rank < big) & (rank < before) & (rank <= after)
-    at = np.flatnonzero(wins)
-    used, new = np.unique(rank[at], return_inverse=True)
+    if weights is None:
+        by_value = np.argsort(found[chosen])
+        spot = np.minimum(np.searchsorted(found[chosen][by_value], pairs), big - 1)
+        own = np.where(found[chosen][by_value][spot] == pairs, by_value[spot], big)
+    else:
+        rank_of = np.full(len(found), big)
+        rank_of[chosen] = np.arange(big)
+        own = rank_of[inverse]
+    rank = np.full(len(symbols) + 1, big)
+    rank[where + 1] = own
+    at = np.flatnonzero((rank[1:] < big) & (rank[1:] < rank[:-1]) & (rank[1:] <= np.append(rank[2:], big)))
+    used, new = np.unique(rank[at + 1], return_inverse=True)
     out = symbols.copy()
     out[at] = next_rule + new
     kept = np.ones(len(symbols), bool)
     kept[at + 1] = False
-    rules = np.stack([chosen[used] >> 32, chosen[used] & 0xFFFFFFFF], axis=1)
-    return out[kept], np.flatnonzero(kept), rules
+    pair = found[chosen[used]]
+    return out[kept], np.flatnonzero(kept), np.stack([pair >> 32, pair & 0xFFFFFFFF], axis=1)
 
 
 def compress(codes: np.ndarray, by_text: np.ndarray, flat: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,25 +134,24 @@ def expansion_lengths(rules: np.ndarray) -> np.ndarray:
     return np.array(found, np.uint32)
 
 
+class _Expansions(dict):
+    def __missing__(self, symbol: int) -> bytes:
+        found = self[symbol] = symbol.to_bytes(4, "little")
+        return found
+
+
 class Block:
     """A block read back: documents, or parts of them, by themselves."""
 
     def __init__(self, rules: bytes, lengths: bytes, symbols: bytes, at: np.ndarray) -> None:
-        self.rules = np.frombuffer(rules, "<u4").reshape(-1, 2)
         self.lengths, self.symbols, self.at = np.frombuffer(lengths, "<u4"), np.frombuffer(symbols, "<u4"), at
-        self.of: dict[int, bytes] = {}
-        for i, (a, b) in enumerate(self.rules.tolist(), FIRST_RULE):
-            self.of[i] = self._bytes(a) + self._bytes(b)
-
-    def _bytes(self, symbol: int) -> bytes:
-        found = self.of.get(symbol)
-        if found is None:
-            found = self.of[symbol] = symbol.to_bytes(4, "little")
-        return found
+        self.of = _Expansions()
+        for i, (a, b) in enumerate(np.frombuffer(rules, "<u4").reshape(-1, 2).tolist(), FIRST_RULE):
+            self.of[i] = self.of[a] + self.of[b]
 
     def document(self, i: int) -> bytes:
         """The ids of document i."""
-        return b"".join(map(self._bytes, self.symbols[self.at[i] : self.at[i + 1]].tolist()))
+        return b"".join(map(self.of.__getitem__, self.symbols[self.at[i] : self.at[i + 1]].tolist()))
 
     def part(self, i: int, start: int, stop: int) -> bytes:
         """The ids of document i from start up to stop, by expanding only the symbols that hold them."""
@@ -164,7 +162,7 @@ class Block:
         ends = np.cumsum(each)
         a, b = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, stop, side="left") + 1
         skip = start - (int(ends[a - 1]) if a else 0)
-        return b"".join(map(self._bytes, symbols[a:b].tolist()))[4 * skip : 4 * (skip + stop - start)]
+        return b"".join(map(self.of.__getitem__, symbols[a:b].tolist()))[4 * skip : 4 * (skip + stop - start)]
 
 
 def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, text: str = "text", doc_id: str = "doc_id") -> None:
@@ -172,13 +170,13 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
     shards = chunk_count(docs.sparkSession, docs, text, SHARD_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary or vocabulary_path(VOCABULARY), end_id)
+        e = encoder(vocabulary or vocabulary_path(VOCABULARY), end_id)
         block = 0
         for batch in batches:
             for rows, texts in parts(batch, 2):
-                codes, by_text = encoder.cut_codes(texts)
-                tokens = np.concatenate([[0], np.cumsum(encoder.at[codes + 1] - encoder.at[codes])])[by_text]
-                symbols, at, rules = compress(codes, by_text, encoder.flat, encoder.at, end_id)
+                codes, by_text = e.cut_codes(texts)
+                tokens = np.concatenate([[0], np.cumsum(e.at[codes + 1] - e.at[codes])])[by_text]
+                symbols, at, rules = compress(codes, by_text, e.flat, e.at, end_id)
                 values = {
                     "shard": rows.column(0).to_pylist()[:1],
                     "block": [block],

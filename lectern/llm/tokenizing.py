@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +19,9 @@ import pyarrow as pa
 from lectern.llm import words as W
 
 #: Texts are worked through in parts of about so many bytes, to bound memory.
-PART_BYTES = 4 << 20
+PART_BYTES = 8 << 20
 #: Distinct cuts kept from part to part.
-CACHE = 400_000
+CACHE = 600_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -30,9 +32,10 @@ def vocabulary_path(name: str) -> str:
 
 
 def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where cuts start: at each text, and before white space after a character that surely is none.
+    """Where cuts start: at each text, before white space after a character that surely is none, before a stop after a letter.
 
-    That is an ASCII character over space, or one of two bytes from U+00C0 on.
+    Surely no white space: an ASCII character over space, or one of two bytes from U+00C0 on.
+    Stops are . and , and letters here those of ASCII and U+00C0 to U+00FF.
     """
     if not len(data):
         return np.zeros(0, np.int64)
@@ -42,6 +45,9 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         solid[1:] |= (data[1:] >= 0x80) & (data[1:] < 0xC0) & (data[:-1] >= 0xC3) & (data[:-1] <= 0xDF)
     start = np.zeros(len(data), bool)
     start[1:] = space[1:] & solid[:-1]
+    letter = ((data | 32) >= 97) & ((data | 32) <= 122)
+    letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] < 0xC0) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    start[1:] |= ((data[1:] == 46) | (data[1:] == 44)) & letter[:-1]
     start[offsets[:-1][offsets[:-1] < len(data)]] = True
     return np.flatnonzero(start)
 
@@ -57,9 +63,7 @@ class Encoder:
 
     def clear(self) -> None:
         self.of: dict[bytes, int] = {}
-        self.lengths: list[int] = []
-        self.ids: list[np.ndarray] = []
-        self.flat, self.at = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def codes(self, distinct: list[bytes]) -> np.ndarray:
         """The number in the cache of each distinct cut."""
@@ -67,14 +71,11 @@ class Encoder:
             self.clear()
         new = [x for x in distinct if x not in self.of]
         if new:
-            found = self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)
-            for x, e in zip(new, found, strict=True):
-                self.of[x] = len(self.lengths)
-                self.lengths.append(len(e.ids))
-                self.ids.append(np.array(e.ids, np.uint32))
-            self.flat = np.concatenate([self.flat, *self.ids])
-            self.ids.clear()
-            self.at = np.concatenate([[0], np.cumsum(self.lengths)])
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)]
+            self.of.update(zip(new, range(len(self.of), len(self.of) + len(new)), strict=True))
+            ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+            self.at = np.concatenate([self.at, self.at[-1] + ends])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(ends[-1]))])
         return np.fromiter(map(self.of.__getitem__, distinct), np.int64, len(distinct))
 
     def cut_codes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -114,3 +115,9 @@ def parts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch,
         stop = max(at + 1, int(np.searchsorted(ends, ends[at] + PART_BYTES, side="right")) - 1)
         yield batch.slice(at, stop - at), texts.slice(at, stop - at)
         at = stop
+
+
+@cache
+def encoder(path: str, end_id: int) -> Encoder:
+    """One encoder for all tasks of a worker, so that its cache serves them all."""
+    return Encoder(path, end_id)
