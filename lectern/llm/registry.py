@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.llm import packing, quality_rules, simhash_dedup, substring_dedup, token_output, topk_search, toxicity
+from lectern.llm import packing, pii, quality_rules, simhash_dedup, substring_dedup, token_output, topk_search, toxicity
 
-MODULES = (substring_dedup, simhash_dedup, toxicity, token_output, quality_rules, topk_search, packing)
+MODULES = (substring_dedup, simhash_dedup, toxicity, token_output, pii, quality_rules, topk_search, packing)
 
 
 def queries() -> dict:
