@@ -90,13 +90,14 @@ def replace_round(symbols: np.ndarray, inner: np.ndarray, weights: np.ndarray |
     return out[kept], np.flatnonzero(kept), np.stack([pair >> 32, pair & 0xFFFFFFFF], axis=1)
 
 
-def compress(codes: np.ndarray, by_text: np.ndarray, flat: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(used: np.ndarray, index: np.ndarray, by_text: np.ndarray, flat: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, first symbol by document with the number of symbols at last, rules).
 
-    codes: the cuts of all documents, by_text: offsets of documents in them; cut c stands for
-    the ids flat[at[c]:at[c + 1]]. Each document gets the end id.
+    used: the distinct cuts, index: which of them each cut of the documents is, by_text: offsets
+    of documents in them; cut c stands for the ids flat[at[c]:at[c + 1]]. Each document gets the
+    end id.
     """
-    used, index, count = np.unique(codes, return_inverse=True, return_counts=True)
+    count = np.bincount(index, minlength=len(used))
     lengths = at[used + 1] - at[used]
     of = np.repeat(np.arange(len(used)), lengths)
     first = np.cumsum(lengths) - lengths
@@ -174,9 +175,9 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
         block = 0
         for batch in batches:
             for rows, texts in parts(batch, 2):
-                codes, by_text = e.cut_codes(texts)
-                tokens = np.concatenate([[0], np.cumsum(e.at[codes + 1] - e.at[codes])])[by_text]
-                symbols, at, rules = compress(codes, by_text, e.flat, e.at, end_id)
+                used, index, by_text = e.cut_codes(texts)
+                tokens = np.concatenate([[0], np.cumsum((e.at[used + 1] - e.at[used])[index])])[by_text]
+                symbols, at, rules = compress(used, index, by_text, e.flat, e.at, end_id)
                 values = {
                     "shard": rows.column(0).to_pylist()[:1],
                     "block": [block],

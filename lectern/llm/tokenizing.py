@@ -8,6 +8,7 @@ Cuts repeat (most are a space and a word); each distinct one goes through the li
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Iterator
 from functools import cache
@@ -15,6 +16,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from lectern.llm import words as W
 
@@ -62,24 +64,33 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.of: dict[bytes, int] = {}
+        self.known = pa.array([], pa.large_binary())
         self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def codes(self, distinct: list[bytes]) -> np.ndarray:
+    def codes(self, distinct: pa.Array) -> np.ndarray:
         """The number in the cache of each distinct cut."""
-        if len(self.of) > CACHE:
+        if len(self.known) > CACHE:
             self.clear()
-        new = [x for x in distinct if x not in self.of]
-        if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)]
-            self.of.update(zip(new, range(len(self.of), len(self.of) + len(new)), strict=True))
-            ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        place = pc.index_in(distinct, value_set=self.known)
+        missing = pc.is_null(place)
+        codes = pc.fill_null(place, 0).to_numpy().astype(np.int64)
+        new = distinct.filter(missing)
+        if len(new):
+            gc.disable()  # many small lists, none in a cycle
+            try:
+                found = [e.ids for e in self.tokenizer.encode_batch_fast(new.cast(pa.large_string()).to_pylist(), add_special_tokens=False)]
+                ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+                self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(ends[-1]))])
+                del found
+            finally:
+                gc.enable()
+            codes[missing.to_numpy(zero_copy_only=False)] = np.arange(len(self.known), len(self.known) + len(new))
             self.at = np.concatenate([self.at, self.at[-1] + ends])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(ends[-1]))])
-        return np.fromiter(map(self.of.__getitem__, distinct), np.int64, len(distinct))
+            self.known = pa.concat_arrays([self.known, new])
+        return codes
 
-    def cut_codes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(codes of all cuts in order, offsets by text)."""
+    def cut_codes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(codes of the distinct cuts, which of them each cut is, offsets by text)."""
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         buffer = texts.buffers()[2]
         data = np.frombuffer(buffer, np.uint8)[offsets[0] : offsets[-1]] if buffer is not None else np.zeros(0, np.uint8)
@@ -88,7 +99,7 @@ class Encoder:
         bounds = np.append(starts, len(data)).astype(np.int64)
         pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
         index, distinct = W.encode(pieces)
-        return self.codes(distinct.to_pylist())[index], np.searchsorted(starts, offsets)
+        return self.codes(distinct), index, np.searchsorted(starts, offsets)
 
     def spread(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids of the cuts in order, offsets by cut)."""
@@ -99,8 +110,8 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id, offsets by text)."""
-        codes, by_text = self.cut_codes(texts)
-        ids, by_cut = self.spread(codes)
+        codes, index, by_text = self.cut_codes(texts)
+        ids, by_cut = self.spread(codes[index])
         offsets = by_cut[by_text]
         full = np.insert(ids, offsets[1:], self.end_id)
         return full, offsets + np.arange(len(offsets))
