@@ -13,7 +13,7 @@ documents, none of which moves a text over the network:
 
 The model predicts the VOCABULARY most frequent tokens and one symbol for all others through a
 class-factored softmax, P(class) P(token | class), with classes of about equal sums of root
-frequencies. What stands behind the symbol is spread by counts, (c + 1) over the sum of these for
+frequencies, mixed with PLAIN of their plain frequencies. What stands behind the symbol is spread by counts, (c + 1) over the sum of these for
 all tokens outside the vocabulary and one for the unseen, so probabilities add up over any text.
 
 Counts of tokens with a share of COMMON_SHARE or more are sent to the tasks (1 / COMMON_SHARE of
@@ -48,12 +48,14 @@ HELD_OUT_MOD, HELD_OUT = 7, 2
 END = ""
 VOCABULARY = 2048
 COMMON_SHARE = 1e-6
-STATE, EMBEDDING, CLASSES = 24, 24, 45
+STATE, CLASSES = 24, 45
 #: Steps that errors are carried back.
 STEPS = 16
 LANES, WARM_LANES = 256, 48
-WARM_DOCUMENTS, WARM_TOKENS, WARM_ROUNDS = 1500, 1_200_000, 2
-RATE = 0.08
+WARM_DOCUMENTS, WARM_TOKENS, WARM_ROUNDS = 1500, 1_200_000, 1
+RATE = 0.1
+#: Share of plain frequencies in the probability of a symbol, against overconfidence after little data.
+PLAIN = 0.02
 FAN = 64
 #: Tokens whose output is worked out together when scoring.
 OUTPUT_BLOCK = 1 << 15
@@ -148,9 +150,24 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.divide(1, x, out=x)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _exponentials(x: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(exp(x), their sums by row, x at each row's target). What lies within the bounds can neither overflow nor add up to zero."""
+    np.clip(x, -80, 80, out=x)
+    picked = x[np.arange(len(targets)), targets]
+    np.exp(x, out=x)
+    return x, x @ np.ones(x.shape[1], np.float32), picked
+
+
+def _log_probability(x: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    _, sums, picked = _exponentials(x, targets)
+    return picked.astype(np.float64) - np.log(sums)
+
+
+def _error(x: np.ndarray, targets: np.ndarray, n: np.float32) -> np.ndarray:
+    """The gradient of the loss, over n, by the logits x."""
+    x, sums, _ = _exponentials(x, targets)
+    x *= (1 / (sums * n))[:, None]
+    x[np.arange(len(targets)), targets] -= 1 / n
     return x
 
 
@@ -159,18 +176,19 @@ class Model:
 
     def __init__(self, lexicon: Lexicon, flat: np.ndarray | None = None) -> None:
         self.lexicon = lexicon
-        k, c, h, d = len(lexicon.weight), len(lexicon.bounds) - 1, STATE, EMBEDDING
-        self.shapes = {"embedding": (k, d), "input": (d, 3 * h), "state": (h, 3 * h), "gate": (3 * h,), "classes": (h, c), "class_bias": (c,), "words": (k, h), "word_bias": (k,)}
+        k, c, h = len(lexicon.weight), len(lexicon.bounds) - 1, STATE
+        # "input" holds what each symbol adds to the gates; the output's last weights go with a state of ones
+        self.shapes = {"input": (k, 3 * h), "state": (h, 3 * h), "gate": (3 * h,), "classes": (h + 1, c), "words": (k, h + 1)}
         size = sum(int(np.prod(s)) for s in self.shapes.values())
         self.flat = np.zeros(size, np.float32) if flat is None else flat
         self.of = self.views(self.flat)
         if flat is None:
             random = np.random.default_rng(7)
-            for name, scale in (("embedding", 0.1), ("input", 0.3), ("state", 0.2), ("classes", 0.05), ("words", 0.05)):
+            for name, scale in (("input", 0.15), ("state", 0.2), ("classes", 0.05), ("words", 0.05)):
                 self.of[name][:] = random.standard_normal(self.shapes[name]) * scale
             by_class = np.add.reduceat(lexicon.weight, lexicon.bounds[:-1])
-            self.of["class_bias"][:] = np.log(by_class / by_class.sum())
-            self.of["word_bias"][:] = np.log(lexicon.weight / by_class[lexicon.class_of])
+            self.of["classes"][-1] = np.log(by_class / by_class.sum())
+            self.of["words"][:, -1] = np.log(lexicon.weight / by_class[lexicon.class_of])
 
     def views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
         out, at = {}, 0
@@ -183,10 +201,10 @@ class Model:
     def log_likelihood(self, x: Lanes, n_documents: int) -> np.ndarray:
         """Natural log-likelihood of each document."""
         p, h = self.of, np.zeros((int(x.cut[1]) if len(x.cut) > 1 else 0, STATE), np.float32)
-        table = p["embedding"] @ p["input"] + p["gate"]
+        table = p["input"] + p["gate"]
         total = np.zeros(n_documents)
         low = 0
-        hidden = np.empty((OUTPUT_BLOCK + LANES, STATE), np.float32)
+        hidden = np.ones((OUTPUT_BLOCK + LANES, STATE + 1), np.float32)
         for t in range(len(x.cut) - 1):
             a, b = int(x.cut[t]), int(x.cut[t + 1])
             h = h[: b - a] * x.keep[a:b, None]
@@ -195,7 +213,7 @@ class Model:
             zr = _sigmoid(g[:, : 2 * STATE])
             new = np.tanh(g[:, 2 * STATE :] + zr[:, STATE:] * u[:, 2 * STATE :])
             h = new + zr[:, :STATE] * (h - new)
-            hidden[a - low : b - low] = h
+            hidden[a - low : b - low, :STATE] = h
             if b - low >= OUTPUT_BLOCK or t == len(x.cut) - 2:
                 total += np.bincount(x.document[low:b], weights=self.output(hidden[: b - low], x.targets[low:b]), minlength=n_documents)
                 low = b
@@ -204,14 +222,17 @@ class Model:
     def output(self, hidden: np.ndarray, targets: np.ndarray) -> np.ndarray:
         p, lexicon = self.of, self.lexicon
         of = lexicon.class_of[targets]
-        found = _log_softmax(hidden @ p["classes"] + p["class_bias"])[np.arange(len(targets)), of].astype(np.float64)
         order = np.argsort(of, kind="stable")
-        cut = np.searchsorted(of[order], np.arange(len(lexicon.bounds)))
-        for k in range(len(lexicon.bounds) - 1):
-            rows, low, high = order[cut[k] : cut[k + 1]], lexicon.bounds[k], lexicon.bounds[k + 1]
-            if len(rows) and high - low > 1:
-                inside = _log_softmax(hidden[rows] @ p["words"][low:high].T + p["word_bias"][low:high])
-                found[rows] += inside[np.arange(len(rows)), targets[rows] - low]
+        hidden, of, targets = hidden[order], of[order], targets[order]
+        by_class = _log_probability(hidden @ p["classes"], of)
+        cut = np.searchsorted(of, np.arange(len(lexicon.bounds))).tolist()
+        for k, (low, high) in enumerate(zip(lexicon.bounds[:-1].tolist(), lexicon.bounds[1:].tolist(), strict=True)):
+            a, b = cut[k], cut[k + 1]
+            if b > a and high - low > 1:
+                by_class[a:b] += _log_probability(hidden[a:b] @ p["words"][low:high].T, targets[a:b] - low)
+        plain = PLAIN * lexicon.weight / lexicon.weight.sum()
+        found = np.empty(len(order))
+        found[order] = np.log((1 - PLAIN) * np.exp(by_class) + plain[targets])
         return found
 
 
@@ -225,12 +246,20 @@ class Trainer:
 
     def move(self, name: str, gradient: np.ndarray, rows=slice(None)) -> None:
         past, value = self.past[name], self.model.of[name]
-        seen = past[rows] + gradient * gradient
-        past[rows] = seen
-        value[rows] -= RATE * gradient / np.sqrt(seen)
+        step = gradient * gradient
+        past[rows] += step
+        np.sqrt(past[rows], out=step)
+        np.divide(gradient, step, out=step)
+        step *= RATE
+        value[rows] -= step
 
     def train(self, x: Lanes) -> None:
-        """One pass over the lanes, window by window; the state is carried from window to window."""
+        """One pass over the lanes, window by window; the state is carried from window to window.
+
+        Losses are divided by a full window's tokens, so that the last windows, which hold the ends of
+        the longest documents alone, weigh no more than their tokens.
+        """
+        self.full = np.float32(max(1, int(x.cut[1]) if len(x.cut) > 1 else 0) * STEPS)
         h = np.zeros((int(x.cut[1]) if len(x.cut) > 1 else 0, STATE), np.float32)
         for t in range(0, len(x.cut) - 1, STEPS):
             h = self.window(x, t, min(t + STEPS, len(x.cut) - 1), h)
@@ -239,9 +268,10 @@ class Trainer:
         p, base, size = self.model.of, int(x.cut[begin]), int(x.cut[stop] - x.cut[begin])
         cut = (x.cut[begin : stop + 1] - base).tolist()
         inputs, targets, keep = (v[base : base + size] for v in (x.inputs, x.targets, x.keep))
-        embedded = p["embedding"][inputs]
-        gates = embedded @ p["input"] + p["gate"]
-        before, z, r, new, inner, hidden = (np.empty((size, STATE), np.float32) for _ in range(6))
+        gates = p["input"][inputs]
+        gates += p["gate"]
+        before, z, r, new, inner = (np.empty((size, STATE), np.float32) for _ in range(5))
+        hidden = np.ones((size, STATE + 1), np.float32)
         for a, b in zip(cut, cut[1:], strict=False):
             h = h[: b - a] * keep[a:b, None]
             before[a:b] = h
@@ -250,8 +280,8 @@ class Trainer:
             z[a:b], r[a:b], inner[a:b] = zr[:, :STATE], zr[:, STATE:], u[:, 2 * STATE :]
             new[a:b] = np.tanh(gates[a:b, 2 * STATE :] + r[a:b] * inner[a:b])
             h = new[a:b] + z[a:b] * (h - new[a:b])
-            hidden[a:b] = h
-        pull = self.output(hidden, targets)
+            hidden[a:b, :STATE] = h
+        pull = self.output(hidden, targets)[:, :STATE]
         # the gates' slopes, for all steps at once
         slope_z, slope_new, slope_r = (before - new) * z * (1 - z), (1 - z) * (1 - new * new), inner * r * (1 - r)
         for_input, for_state = np.empty((size, 3 * STATE), np.float32), np.empty((size, 3 * STATE), np.float32)
@@ -265,38 +295,32 @@ class Trainer:
             for_input[a:b, 2 * STATE :] = dn
             carried = (d * z[a:b] + out @ back) * keep[a:b, None]
         for_input[:, : 2 * STATE] = for_state[:, : 2 * STATE]
-        to_embedding = for_input @ p["input"].T
-        self.move("input", embedded.T @ for_input)
         self.move("state", before.T @ for_state)
         self.move("gate", for_input.sum(axis=0))
         order = np.argsort(inputs, kind="stable")
         used, first = np.unique(inputs[order], return_index=True)
-        self.move("embedding", np.add.reduceat(to_embedding[order], first, axis=0), used)
+        self.move("input", np.add.reduceat(for_input[order], first, axis=0), used)
         return h
 
     def output(self, hidden: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Trains the output layer; returns the mean loss's gradient by the states."""
-        p, lexicon, n = self.model.of, self.model.lexicon, np.float32(len(targets))
+        p, lexicon, n = self.model.of, self.model.lexicon, self.full
         of = lexicon.class_of[targets]
-        error = np.exp(_log_softmax(hidden @ p["classes"] + p["class_bias"]))
-        error[np.arange(len(targets)), of] -= 1
-        error /= n
+        order = np.argsort(of, kind="stable")
+        hidden, of, targets = hidden[order], of[order], targets[order]
+        error = _error(hidden @ p["classes"], of, n)
         pull = error @ p["classes"].T
         self.move("classes", hidden.T @ error)
-        self.move("class_bias", error.sum(axis=0))
-        order = np.argsort(of, kind="stable")
-        cut = np.searchsorted(of[order], np.arange(len(lexicon.bounds))).tolist()
+        cut = np.searchsorted(of, np.arange(len(lexicon.bounds))).tolist()
         for k, (low, high) in enumerate(zip(lexicon.bounds[:-1].tolist(), lexicon.bounds[1:].tolist(), strict=True)):
-            rows = order[cut[k] : cut[k + 1]]
-            if len(rows) and high - low > 1:
-                own = hidden[rows]
-                error = np.exp(_log_softmax(own @ p["words"][low:high].T + p["word_bias"][low:high]))
-                error[np.arange(len(rows)), targets[rows] - low] -= 1
-                error /= n
-                pull[rows] += error @ p["words"][low:high]
-                self.move("words", error.T @ own, slice(low, high))
-                self.move("word_bias", error.sum(axis=0), slice(low, high))
-        return pull
+            a, b = cut[k], cut[k + 1]
+            if b > a and high - low > 1:
+                error = _error(hidden[a:b] @ p["words"][low:high].T, targets[a:b] - low, n)
+                pull[a:b] += error @ p["words"][low:high]
+                self.move("words", error.T @ hidden[a:b], slice(low, high))
+        out = np.empty_like(pull)
+        out[order] = pull
+        return out
 
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
