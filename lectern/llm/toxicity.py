@@ -17,9 +17,11 @@ rows that repeat a doc_id are scored one by one; a null doc_id is scored, never
 
 from __future__ import annotations
 
+import pickle
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,35 +86,58 @@ def sentences(text: str) -> Iterator[tuple[int, int, set[str]]]:
             yield m.start(), m.end(), words
 
 
-def telling(clean: Counter, toxic: Counter, n_clean: int, n_toxic: int) -> list[str]:
-    """The features whose share of documents differs between the labels beyond chance."""
-    names = sorted(x for x in clean.keys() | toxic.keys() if clean[x] + toxic[x] >= MIN_DOCUMENTS)
-    a, b = (np.array([c[x] for x in names], float) for c in (clean, toxic))
-    ratio = np.zeros(len(names))
-    for k, n in ((a, n_clean), (n_clean - a, n_clean), (b, n_toxic), (n_toxic - b, n_toxic)):
-        both = a + b if k is a or k is b else n_clean + n_toxic - a - b
-        expected = n * both / (n_clean + n_toxic)
-        ratio += 2 * np.where(k > 0, k * np.log(np.maximum(k, 1e-12) / np.maximum(expected, 1e-12)), 0)
-    return [x for x, r in zip(names, ratio, strict=True) if r >= TELLING]
+def telling(seen: np.ndarray, n_documents: np.ndarray) -> np.ndarray:
+    """Which features have a share of documents that differs between the labels beyond chance. seen: documents by label and feature."""
+    every, together = n_documents.sum(), seen.sum(axis=0)
+    ratio = np.zeros(seen.shape[1])
+    for own, n in zip(seen, n_documents, strict=True):
+        for k, both in ((own, together), (n - own, every - together)):
+            expected = n * both / every
+            ratio += 2 * np.where(k > 0, k * np.log(np.maximum(k, 1e-12) / np.maximum(expected, 1e-12)), 0)
+    return (together >= MIN_DOCUMENTS) & (ratio >= TELLING)
 
 
-def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
-    """Adam on the weighted log loss of the noisy-or."""
+def _gather(at: np.ndarray, values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values[at[r]:at[r + 1]] of each row r one after the other, how many each has)."""
+    sizes = at[rows + 1] - at[rows]
+    first = np.cumsum(sizes) - sizes
+    return values[np.arange(sizes.sum()) + np.repeat(at[rows] - first, sizes)], sizes
+
+
+def fit(texts: Iterable[str], labels: np.ndarray, weights: np.ndarray) -> Model:
+    """Adam on the weighted log loss of the noisy-or. Words and features are held as numbers."""
     if not len(labels) or labels.min() == labels.max():
         return Model({}, 0.0, float(labels[0]) if len(labels) else 0.0)
-    bags = [[words for _, _, words in sentences(t)] for t in texts]
-    found = {w: features(w) for bag in bags for s in bag for w in s}
-    seen: tuple[Counter, Counter] = Counter(), Counter()
-    for bag, y in zip(bags, labels.tolist(), strict=True):
-        seen[y].update({x for w in set().union(*bag) for x in found[w]})
-    index = {x: i for i, x in enumerate(telling(*seen, *np.bincount(labels, minlength=2).tolist()))}
-    of_word = {w: [index[x] for x in xs if x in index] for w, xs in found.items()}
-    flat = np.fromiter((i for bag in bags for s in bag for w in sorted(s) for i in of_word[w]), np.int64)
-    sizes = np.fromiter((sum(len(of_word[w]) for w in s) for bag in bags for s in bag), np.int64)
-    of_doc = np.repeat(np.arange(len(bags)), [len(bag) for bag in bags])
-    of_sentence = np.repeat(np.arange(len(sizes)), sizes)
-    w, bias = np.zeros(len(index)), -5.0
-    m, v = np.zeros(len(index) + 1), np.zeros(len(index) + 1)
+    ids: dict[str, int] = {}
+    words, in_sentence, in_doc = array("i"), array("i"), array("i")
+    for text in texts:
+        n = 0
+        for _, _, found in sentences(text):
+            words.extend([ids.setdefault(w, len(ids)) for w in sorted(found)])
+            in_sentence.append(len(found))
+            n += 1
+        in_doc.append(n)
+    names: dict[str, int] = {}
+    of_word, ends = array("i"), array("q", [0])
+    for w in ids:
+        of_word.extend([names.setdefault(x, len(names)) for x in features(w)])
+        ends.append(len(of_word))
+    flat_words, sizes, bags = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (words, in_sentence, in_doc))
+    own, at = np.frombuffer(of_word, np.int32) if len(of_word) else np.zeros(0, np.int32), np.frombuffer(ends, np.int64)
+    word_ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(bags)])]
+    seen = np.zeros((2, len(names)))
+    for i, y in enumerate(labels.tolist()):
+        seen[y, np.unique(_gather(at, own, np.unique(flat_words[word_ends[i] : word_ends[i + 1]]))[0])] += 1
+    chosen = np.flatnonzero(telling(seen, np.bincount(labels, minlength=2)))
+    column = np.full(len(names), -1, np.int64)
+    column[chosen] = np.arange(len(chosen))
+    used = column[own] >= 0
+    own, at = column[own[used]], np.concatenate([[0], np.cumsum(used)])[at]
+    flat, counts = _gather(at, own, flat_words)
+    of_doc = np.repeat(np.arange(len(bags)), bags)
+    of_sentence = np.repeat(np.repeat(np.arange(len(sizes)), sizes), counts)
+    w, bias = np.zeros(len(chosen)), -5.0
+    m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     scale = weights / weights.sum()
     for step in range(1, STEPS + 1):
         z = np.bincount(of_sentence, weights=w[flat], minlength=len(sizes)) + bias
@@ -121,13 +146,14 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
         clean = np.exp(log_clean)
         pull = np.where(labels == 1, -clean / np.maximum(1 - clean, 1e-9), 1.0) * scale
         dz = pull[of_doc] * p
-        gradient = np.append(np.bincount(flat, weights=dz[of_sentence], minlength=len(index)) + L2 * w, dz.sum())
+        gradient = np.append(np.bincount(flat, weights=dz[of_sentence], minlength=len(chosen)) + L2 * w, dz.sum())
         m = 0.9 * m + 0.1 * gradient
         v = 0.99 * v + 0.01 * gradient**2
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
         w -= move[:-1]
         bias -= move[-1]
-    return Model({x: float(w[i]) for x, i in index.items() if abs(w[i]) >= SMALL}, float(bias))
+    listed = list(names)
+    return Model({listed[k]: float(w[i]) for i, k in enumerate(chosen.tolist()) if abs(w[i]) >= SMALL}, float(bias))
 
 
 def score_text(text: str, model: Model) -> tuple[float, list[tuple[int, int, float]]]:
@@ -158,11 +184,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return Model({}, 0.0, 0.0)
     # 2 * SAMPLE rows at most
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(chosen), texts["id"] == chosen["labelled"]).groupBy("id", "toxic").agg(F.min("text").alias("text")).collect()
-    rows.sort(key=lambda r: r["id"])
-    y = np.array([int(r["toxic"] > 0) for r in rows])
-    share = Counter(r["toxic"] for r in rows)
-    return fit([r["text"] for r in rows], y, np.array([totals[r["toxic"]] / share[r["toxic"]] for r in rows]))
+    rows = texts.join(F.broadcast(chosen), texts["id"] == chosen["labelled"]).groupBy("id", "toxic").agg(F.min("text").alias("text"))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = pa.Table.from_batches(list(batches), pa.schema([("id", pa.int64()), ("toxic", pa.int32()), ("text", pa.string())])).sort_by("id")
+        toxic = own["toxic"].to_pylist()
+        share = Counter(toxic)
+        y = np.array([int(t > 0) for t in toxic], np.int64)
+        model = fit((x.as_py() for x in own["text"]), y, np.array([totals[t] / share[t] for t in toxic]))
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)])})
+
+    # the sample is bounded, so it is learnt from in one task
+    return pickle.loads(rows.select("id", "toxic", "text").repartition(1).mapInArrow(learn, "model binary").first()["model"])
 
 
 def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
