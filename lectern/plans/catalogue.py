@@ -1,17 +1,563 @@
-"""The catalogue of queries over the reader's tables, by name, with their SQL."""
+"""The catalogue of queries over the reader's tables, by name, with their SQL.
+
+A book is a source of `documents`, its chapters are that source's documents by doc_id; pages are
+the HTML documents, events are a reader's openings, conversations the questions. None of the
+tables holds Chinese text, so what is about Chinese text runs over literal rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lectern.functions import chinese as C
+from lectern.functions import text as X
+from lectern.operators import ask as A
+from lectern.operators import chapters as H
+from lectern.operators import library as B
+from lectern.operators import search as S
+from lectern.operators.ordinals import numbered
+from lectern.sources import books
+from lectern.streaming import incremental
+
+QUERY, QUERY_TOKENS = "of the", ("of", "the")
+LIMIT = 20
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def put(function):
+        _QUERIES[function.__name__] = function
+        if sql:
+            _SQL[function.__name__] = sql
+        return function
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """book_id, chapter_index, doc_id and text. The numbers are worked out without the texts."""
+    docs = table(spark, sf_dir, "documents")
+    places = numbered(docs.select(F.col("source").alias("book_id"), "doc_id"), "book_id", "doc_id", "chapter_index")
+    return places.join(docs.select("doc_id", "text"), "doc_id").select("book_id", "chapter_index", "doc_id", "text")
+
+
+_CHAPTERS = """
+    WITH chapters AS (
+        SELECT source AS book_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS chapter_index, doc_id, text FROM documents
+    ), tokens AS (
+        SELECT *, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda t: lower(t)) AS tokens FROM chapters
+    ), candidates AS (
+        SELECT * FROM tokens WHERE list_has_all(tokens, ['of', 'the'])
+    ), judged AS (
+        SELECT *, CAST((length(lower(text)) - length(replace(lower(text), 'of the', ''))) / 6 AS BIGINT) AS hit_count, instr(lower(text), 'of the') - 1 AS first_at FROM candidates
+    ), hits AS (
+        SELECT * FROM judged WHERE hit_count > 0
+    )
+"""
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return search_verified(spark, sf_dir)
+
+
+# Tokens and the index
+
+
+@_query("SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda t: lower(t)) AS t FROM documents)")
+def tokenize_documents(spark, sf_dir):
+    found = table(spark, sf_dir, "documents").select("doc_id", X.tokens(F.col("text")).alias("t"))
+    return found.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
+
+
+_LINES = ["林动手中的石符，忽然JavaFX 3D 我。云岚宗", "石头。符号", "第3章 a", "萧炎", "…… ！", "云岚山中有个岚宗派"]
+_RUNS = r"'[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}]+|[A-Za-z0-9]+'"
+
+
+def _values(rows: list[str]) -> str:
+    return ", ".join(f"({i}, '{x}')" for i, x in enumerate(rows))
+
+
+@_query(f"""
+    SELECT id, array_to_string(flatten(list_transform(regexp_extract_all(line, {_RUNS}), lambda r:
+        CASE WHEN regexp_matches(r, '^[A-Za-z0-9]') OR length(r) = 1 THEN [lower(r)]
+             ELSE list_transform(range(1, length(r)), lambda i: substr(r, CAST(i AS INTEGER), 2)) END)), ' ') AS tokens
+    FROM (VALUES {_values(_LINES)}) AS v(id, line)""")
+def tokenize_chinese(spark, sf_dir):
+    lines = spark.createDataFrame(list(enumerate(_LINES)), "id int, line string")
+    return lines.select("id", F.array_join(X.tokens(F.col("line")), " ").alias("tokens"))
+
+
+@_query(_CHAPTERS + "SELECT DISTINCT unnest(tokens) AS token, book_id, chapter_index FROM tokens")
+def build_postings(spark, sf_dir):
+    return S.postings(chapters(spark, sf_dir))
+
+
+@_query(_CHAPTERS + "SELECT token, count(*) AS chapters, count(DISTINCT book_id) AS books FROM (SELECT DISTINCT unnest(tokens) AS token, book_id, chapter_index FROM tokens) GROUP BY token")
+def token_statistics(spark, sf_dir):
+    return S.postings(chapters(spark, sf_dir)).groupBy("token").agg(F.count("*").alias("chapters"), F.count_distinct("book_id").alias("books"))
+
+
+# Search
+
+
+@_query(_CHAPTERS + "SELECT book_id, chapter_index FROM candidates")
+def search_candidates(spark, sf_dir):
+    return S.candidates_of_index(S.postings(chapters(spark, sf_dir)), QUERY)
+
+
+_SNIPPET = r"""
+    trim(regexp_replace(regexp_replace((CASE WHEN first_at > 32 THEN '…' ELSE '' END)
+        || substr(text, CAST(greatest(0, first_at - 32) + 1 AS INTEGER), CAST(least(length(text), first_at + 38) - greatest(0, first_at - 32) AS INTEGER)) || '…', '[\n\r]', ' ', 'g'), '[ \t\x{3000}]{2,}', ' ', 'g'), E' \t\n\r\f\v　')
+"""
+
+
+@_query(_CHAPTERS + f"SELECT book_id, chapter_index, hit_count, CAST(first_at AS INTEGER) AS first_at, {_SNIPPET} AS snippet FROM hits")
+def search_verified(spark, sf_dir):
+    return S.verified(chapters(spark, sf_dir), QUERY)
+
+
+@_query(_CHAPTERS + "SELECT book_id, chapter_index FROM judged WHERE hit_count = 0")
+def search_false_positives(spark, sf_dir):
+    return S.with_hits(S.candidates(chapters(spark, sf_dir), QUERY), QUERY).filter("hit_count = 0").select("book_id", "chapter_index")
+
+
+@_query(_CHAPTERS + "SELECT chapter_index, hit_count FROM hits WHERE book_id = 'src1'")
+def search_one_book(spark, sf_dir):
+    return S.verified(chapters(spark, sf_dir).filter("book_id = 'src1'"), QUERY).select("chapter_index", "hit_count")
+
+
+@_query(_CHAPTERS + "SELECT book_id, count(*) AS chapters, CAST(sum(hit_count) AS BIGINT) AS hits FROM hits GROUP BY book_id")
+def search_hits_by_book(spark, sf_dir):
+    return S.verified(chapters(spark, sf_dir), QUERY).groupBy("book_id").agg(F.count("*").alias("chapters"), F.sum("hit_count").alias("hits"))
+
+
+_MARKED = (
+    _CHAPTERS.rstrip()
+    + f""", running AS (
+        SELECT *, coalesce(sum(CAST(hit_count > 0 AS INTEGER)) OVER (ORDER BY book_id, chapter_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+               row_number() OVER (ORDER BY book_id, chapter_index) AS rn FROM judged
+    ), marked AS (
+        SELECT *, before < {LIMIT} AND rn <= 2000 AS seen FROM running
+    )
+"""
+)
+
+
+@_query(_MARKED + "SELECT book_id, chapter_index, hit_count, seen FROM marked")
+def search_capped(spark, sf_dir):
+    judged = S.with_hits(S.candidates(chapters(spark, sf_dir), QUERY), QUERY).select("book_id", "chapter_index", "hit_count")
+    return S.capped(judged, LIMIT)
+
+
+@_query(
+    _MARKED
+    + """
+    SELECT candidates, hits, not_verified > 0 AS truncated, CASE WHEN not_verified > 0 THEN candidates - hits ELSE 0 END AS unchecked,
+           CASE WHEN not_verified > 0 THEN 0 ELSE candidates - hits END AS false_positives, not_verified, searched_books, library_books
+    FROM (SELECT count(*) AS candidates, count(*) FILTER (seen AND hit_count > 0) AS hits, count(*) FILTER (NOT seen) AS not_verified,
+                 count(DISTINCT book_id) FILTER (seen) AS searched_books, (SELECT count(DISTINCT source) FROM documents) AS library_books FROM marked)"""
+)
+def search_summary(spark, sf_dir):
+    library = table(spark, sf_dir, "documents").agg(F.count_distinct("source")).first()[0]
+    return S.summary(search_capped(spark, sf_dir), library)
+
+
+@_query(
+    _CHAPTERS
+    + """
+    SELECT greatest(l, i) AS library_books, i AS indexed_books, s AS searched_books, greatest(l, i) - i AS unindexed_books, greatest(0, i - s) AS skipped_books,
+           CASE WHEN i = 0 THEN 'NONE' WHEN greatest(l, i) > i THEN 'PARTIAL' ELSE 'FULL' END AS coverage
+    FROM (SELECT (SELECT count(DISTINCT source) FROM documents) AS l, (SELECT count(DISTINCT source) FROM documents JOIN labels USING (doc_id) WHERE toxic = 1) AS i,
+                 (SELECT count(DISTINCT book_id) FROM hits) AS s)"""
+)
+def search_coverage(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), "doc_id")
+    indexed = docs.join(table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id"), "doc_id")
+    return S.coverage(docs, indexed, S.verified(chapters(spark, sf_dir), QUERY))
+
+
+@_query(
+    _CHAPTERS
+    + """
+    SELECT book_id, 0 AS row, 'header' AS kind, CAST(NULL AS BIGINT) AS chapter_index, count(*) AS hits FROM hits GROUP BY book_id
+    UNION ALL SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY chapter_index), 'hit', chapter_index, hit_count FROM hits"""
+)
+def search_rows(spark, sf_dir):
+    return S.with_headers(S.verified(chapters(spark, sf_dir), QUERY))
+
+
+# The library
+
+
+def _shelf(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer")
+    read = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max(F.unix_micros(F.col("o_orderdate").cast("timestamp"))).alias("last_read_at"))
+    group = F.when(F.col("c_custkey") % 7 == 0, F.lit("  ")).otherwise(F.col("c_mktsegment"))
+    return customers.join(read, "c_custkey", "left").select(F.col("c_custkey").cast("string").alias("book_id"), F.col("c_name").alias("title"), group.alias("group_name"), "last_read_at")
+
+
+_SHELF = """
+    WITH shelf AS (
+        SELECT CAST(c_custkey AS VARCHAR) AS book_id, c_name AS title, CASE WHEN c_custkey % 7 = 0 THEN '  ' ELSE c_mktsegment END AS group_name, last_read_at
+        FROM customer LEFT JOIN (SELECT o_custkey, max(epoch_us(o_orderdate)) AS last_read_at FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey)
+"""
+
+
+@_query(_SHELF + "SELECT book_id, title, last_read_at FROM shelf ORDER BY last_read_at DESC NULLS LAST, book_id LIMIT 12")
+def shelf_recent(spark, sf_dir):
+    return B.recent(_shelf(spark, sf_dir), 0).select("book_id", "title", "last_read_at")
+
+
+@_query(_SHELF + "SELECT DISTINCT trim(group_name) AS group_name FROM shelf WHERE trim(group_name) <> ''")
+def shelf_groups(spark, sf_dir):
+    return B.groups(_shelf(spark, sf_dir))
+
+
+@_query(_SHELF + "SELECT book_id, title FROM shelf WHERE trim(group_name) = 'BUILDING'")
+def shelf_group(spark, sf_dir):
+    return B.of_group(_shelf(spark, sf_dir), "BUILDING").select("book_id", "title")
+
+
+@_query(_SHELF + "SELECT book_id, title FROM shelf WHERE group_name IS NULL OR trim(group_name) = ''")
+def shelf_ungrouped(spark, sf_dir):
+    return B.ungrouped(_shelf(spark, sf_dir)).select("book_id", "title")
+
+
+@_query(_SHELF + "SELECT coalesce(nullif(trim(group_name), ''), '-') AS group_name, count(*) AS books, count(last_read_at) AS read FROM shelf GROUP BY 1")
+def shelf_counts(spark, sf_dir):
+    name = F.coalesce(X.normalised_name(F.col("group_name")), F.lit("-")).alias("group_name")
+    return _shelf(spark, sf_dir).groupBy(name).agg(F.count("*").alias("books"), F.count("last_read_at").alias("read"))
+
+
+def _bookmarks(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.select((F.col("l_suppkey") % 50).alias("book_id"), F.col("l_linenumber").alias("chapter_index"), F.col("l_discount").alias("ratio"), F.col("l_orderkey").alias("created_at"))
+
+
+_BOOKMARKS = "WITH bookmarks AS (SELECT l_suppkey % 50 AS book_id, l_linenumber AS chapter_index, l_discount AS ratio, l_orderkey AS created_at FROM lineitem)"
+
+
+@_query(_BOOKMARKS + "SELECT ratio, created_at FROM bookmarks WHERE book_id = 3 AND chapter_index = 2 AND abs(ratio - 0.045) <= 0.02 ORDER BY ratio, created_at LIMIT 1")
+def bookmark_near(spark, sf_dir):
+    return B.near(_bookmarks(spark, sf_dir), 3, 2, 0.045).select("ratio", "created_at")
+
+
+@_query(
+    _BOOKMARKS
+    + """
+    , places AS (SELECT o_orderkey AS place_id, o_custkey % 50 AS book_id, CAST(o_orderkey % 7 + 1 AS INTEGER) AS chapter_index, (o_orderkey % 97) / 900.0 AS place FROM orders)
+    SELECT place_id, b.ratio AS ratio, b.created_at AS created_at FROM
+        (SELECT place_id, min(struct_pack(ratio := ratio, created_at := created_at)) AS b FROM places JOIN bookmarks USING (book_id, chapter_index) WHERE abs(ratio - CAST(place AS DOUBLE)) <= 0.02 GROUP BY place_id)"""
+)
+def bookmarks_near_all(spark, sf_dir):
+    places = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("place_id"), (F.col("o_custkey") % 50).alias("book_id"), (F.col("o_orderkey") % 7 + 1).cast("int").alias("chapter_index"), ((F.col("o_orderkey") % 97) / 900.0).alias("ratio"))
+    return B.near_all(_bookmarks(spark, sf_dir), places)
+
+
+@_query("SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def progress_latest(spark, sf_dir):
+    return B.latest(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_type", "value")
+
+
+@_query("""
+    WITH old AS (SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 3 <> 0), new AS (SELECT c_custkey, upper(c_name) AS c_name, -c_acctbal AS c_acctbal FROM customer WHERE c_custkey % 2 = 0)
+    SELECT * FROM old WHERE c_custkey NOT IN (SELECT c_custkey FROM new)
+    UNION ALL SELECT n.c_custkey, n.c_name, CASE WHEN o.c_custkey IS NULL THEN n.c_acctbal ELSE o.c_acctbal END FROM new n LEFT JOIN old o USING (c_custkey)""")
+def shelf_upsert(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    new = customers.filter("c_custkey % 2 = 0").select("c_custkey", F.upper("c_name").alias("c_name"), (-F.col("c_acctbal")).alias("c_acctbal"))
+    return B.upsert(customers.filter("c_custkey % 3 <> 0"), new, "c_custkey", ("c_acctbal",))
+
+
+@_query("SELECT user_id, max(CASE WHEN event_type = 'view' THEN value END) AS view, max(CASE WHEN event_type = 'click' THEN value END) AS click, max(CASE WHEN event_type = 'purchase' THEN value END) AS purchase FROM events GROUP BY user_id")
+def settings_pivot(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", ["view", "click", "purchase"]).agg(F.max("value"))
+
+
+_SEGMENTS = """
+    WITH gaps AS (SELECT user_id, epoch_us(ts) AS started_at, CAST(floor((lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) - epoch_us(ts)) / 1000000) AS BIGINT) AS seconds FROM events),
+    segments AS (SELECT user_id, started_at, least(seconds, 86400) AS seconds FROM gaps WHERE seconds >= 30)
+"""
+
+
+@_query(_SEGMENTS + "SELECT * FROM segments")
+def reading_segments(spark, sf_dir):
+    return B.reading_segments(table(spark, sf_dir, "events"))
+
+
+@_query(_SEGMENTS + "SELECT user_id, count(*) AS segments, CAST(sum(seconds) AS BIGINT) AS seconds FROM segments GROUP BY user_id")
+def reading_totals(spark, sf_dir):
+    return B.reading_segments(table(spark, sf_dir, "events")).groupBy("user_id").agg(F.count("*").alias("segments"), F.sum("seconds").alias("seconds"))
+
+
+_META = """
+    WITH books AS (SELECT doc_id AS book_id, CAST(n_chars AS VARCHAR) AS fingerprint FROM documents),
+    meta AS (SELECT doc_id * 2 AS book_id, CAST(n_chars AS VARCHAR) AS fingerprint, CAST(quality AS INTEGER) AS tokenizer_version FROM documents JOIN labels USING (doc_id))
+"""
+
+
+def _books_and_meta(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("string").alias("fingerprint"))
+    meta = docs.join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("tokenizer_version")), "doc_id")
+    return docs.withColumnRenamed("doc_id", "book_id"), meta.withColumn("doc_id", F.col("doc_id") * 2).withColumnRenamed("doc_id", "book_id")
+
+
+@_query(_META + "SELECT book_id FROM books WHERE book_id IN (SELECT book_id FROM meta)")
+def index_searchable(spark, sf_dir):
+    return B.searchable(*_books_and_meta(spark, sf_dir)).select("book_id")
+
+
+@_query(_META + "SELECT book_id FROM meta WHERE book_id NOT IN (SELECT book_id FROM books)")
+def index_orphans(spark, sf_dir):
+    return B.orphans(*_books_and_meta(spark, sf_dir)).select("book_id")
+
+
+@_query(_META + "SELECT book_id FROM books b WHERE NOT EXISTS (SELECT 1 FROM meta m WHERE m.book_id = b.book_id AND m.fingerprint = b.fingerprint AND tokenizer_version = 1)")
+def index_pending(spark, sf_dir):
+    return B.pending(*_books_and_meta(spark, sf_dir)).select("book_id")
+
+
+@_query("SELECT source AS book_id, count(*) AS scanned, count(quality) AS skipped, count(*) FILTER (quality IS NULL AND n_chars >= 200) AS imported, count(*) FILTER (quality IS NULL AND n_chars < 200) AS failed FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
+def import_report(spark, sf_dir):
+    joined = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    new = F.col("quality").isNull()
+    return joined.groupBy(F.col("source").alias("book_id")).agg(F.count("*").alias("scanned"), F.count("quality").alias("skipped"), F.count_if(new & (F.col("n_chars") >= 200)).alias("imported"), F.count_if(new & (F.col("n_chars") < 200)).alias("failed"))
+
+
+@_query("SELECT page_id, substr(sha256(url), 1, 16) AS book_id FROM pages")
+def book_ids(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.book_id(F.col("url")).alias("book_id"))
+
+
+@_query("SELECT o_orderkey, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || ':' || CAST(epoch_ms(o_orderdate) AS VARCHAR) AS fingerprint FROM orders")
+def fingerprints(spark, sf_dir):
+    size = F.floor("o_totalprice").cast("long")
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.fingerprint(size, F.col("o_orderdate").cast("timestamp")).alias("fingerprint"))
+
+
+# Chapters and texts
+
+_LENGTHS = "WITH c AS (SELECT source AS book_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS chapter_index, n_chars AS length FROM documents)"
+
+
+@_query(
+    _LENGTHS
+    + """
+    SELECT book_id, chapter_index, start_at, start_at + length AS end_at, CASE WHEN total > 0 THEN round(least(1.0, (start_at + length // 2) / total), 6) ELSE 0.0 END AS ratio
+    FROM (SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY book_id ORDER BY chapter_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_at, CAST(sum(length) OVER (PARTITION BY book_id) AS BIGINT) AS total FROM c)"""
+)
+def whole_book_ratio(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), "doc_id", F.col("n_chars").alias("length"))
+    return B.whole_book_ratio(numbered(docs, "book_id", "doc_id", "chapter_index"))
+
+
+@_query("SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '^﻿', ''), '\\r\\n?', chr(10), 'g'), '(?m)[ \\t\\x{3000}]+$', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')) AS sha FROM documents")
+def clean_texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.clean(F.col("text")), 256).alias("sha"))
+
+
+@_query("""
+    SELECT doc_id, paragraph_index, length(line) AS chars FROM (
+        SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS paragraph_index FROM (
+            SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS n FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[\\s\\x{3000}]+|[\\s\\x{3000}]+$', '', 'g')) AS l FROM documents)) WHERE line <> '')""")
+def paragraphs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book_id"), F.lit(0).alias("chapter_index"), "text")
+    return A.paragraphs(docs).select(F.col("book_id").alias("doc_id"), F.col("paragraph_index").cast("long").alias("paragraph_index"), F.length("text").cast("long").alias("chars"))
+
+
+@_query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
+def dedupe_keep_first(spark, sf_dir):
+    # two hashes stand for the text, so that no text is shuffled
+    hashed = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    return hashed.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("h")
+
+
+_NUMERALS = ["一", "十", "十三", "二十", "一百二", "一百零五", "三千", "一万", "十二万三千四百五十六", "1024", "０７", "贰拾", "两", "一二三", "第", "", "零十", "二亿", "九十九亿"]
+
+
+@_query()
+def chinese_numbers(spark, sf_dir):
+    return spark.createDataFrame([(x,) for x in _NUMERALS], "numeral string").select("numeral", C.number(F.col("numeral")).alias("number"))
+
+
+_HEADINGS = ["第一章 石符", "【第二章 觉醒】", "第三卷 远行", "楔子", "番外3 雪", "第四章，他离开了这座城", "第十二章 的确", "他说第五章很好看。", "第九章 走！快走", "", "第１０章：风起", "正文"]
+
+
+@_query()
+def headings(spark, sf_dir):
+    rows = spark.createDataFrame(list(enumerate(_HEADINGS)), "id int, line string")
+    return rows.select("id", C.heading(F.col("line")).alias("h")).select("id", "h.reason", "h.number", "h.kind", "h.title")
+
+
+_BOOK = ["某某小说", "目录"] + [f"第{n}章 标题" for n in "一二三四五"] + ["", "这里是开篇之前的一段文字，写得比三十个字要长一些，好让它自己成为一章。", ""]
+for _n, _t in (("一", "起"), ("二", "承"), ("九", "乱"), ("三", "转"), ("四", "合")):
+    _BOOK += [f"第{_n}章 {_t}", "正文一行。", "正文又一行。", ""]
+_BOOK += ["第二卷 远方", "卷首的话。", "第一章 再起", "正文。", "第二章 再承", "正文。"]
+
+
+def _book_lines(spark):
+    rows, at = [], 0
+    for n, line in enumerate(_BOOK):
+        size = len(f"{line}\n".encode())
+        rows.append(("b1", n, at, at + size, line))
+        at += size
+    return spark.createDataFrame(rows, "book_id string, line_no long, start long, stop long, line string")
+
+
+@_query()
+def split_chapters(spark, sf_dir):
+    return H.split(_book_lines(spark))
+
+
+@_query()
+def split_report(spark, sf_dir):
+    return H.report(_book_lines(spark))
+
+
+@_query("""
+    WITH candidates AS (SELECT source AS book_id, doc_id AS line_no, n_chars < 1500 AS dense0, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS from_last FROM documents),
+    d AS (SELECT book_id, line_no, dense0 AND from_last > 1 AS dense FROM candidates),
+    r AS (SELECT *, coalesce(sum(CAST(NOT dense AS INTEGER)) OVER (PARTITION BY book_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM d),
+    l AS (SELECT *, sum(CAST(dense AS INTEGER)) OVER (PARTITION BY book_id, run) AS length FROM r)
+    SELECT book_id, line_no FROM l WHERE NOT dense OR length < 4""")
+def contents_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").alias("line_no"), "n_chars")
+    before = F.sum(F.when(F.col("n_chars") < 1500, 1).otherwise(3)).over(Window.partitionBy("book_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
+    return H.without_contents(docs.select("book_id", "line_no", F.coalesce(before, F.lit(0)).alias("filled"))).select("book_id", "line_no")
+
+
+@_query("""
+    SELECT book_id, line_no, volume FROM (
+        SELECT source AS book_id, doc_id AS line_no, doc_id % 10 = 0 AS is_volume, last_value(CASE WHEN doc_id % 10 = 0 THEN 'v' || doc_id END IGNORE NULLS) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS volume FROM documents)
+    WHERE NOT is_volume""")
+def volumes(spark, sf_dir):
+    kind = F.when(F.col("doc_id") % 10 == 0, "VOLUME").otherwise("CHAPTER")
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").alias("line_no"), kind.alias("kind"), F.concat(F.lit("v"), "doc_id").alias("title"))
+    return H.with_volumes(rows).select("book_id", "line_no", "volume")
+
+
+# Pages
+
+
+@_query(r"""
+    SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[\s\x{3000}\x{00A0}]+', ' ', 'g'))) AS sha FROM pages""")
+def stripped_pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(X.strip_tags(F.col("html")), 256).alias("sha"))
+
+
+@_query()
+def page_blocks(spark, sf_dir):
+    return books.blocks(table(spark, sf_dir, "pages"))
+
+
+# Questions and answers
+
+_QUESTIONS = ["叶修是谁", "谁知道这件事", "药老是什么来历", "云岚宗在哪里？", "", "石符 有什么用", "怎么样"]
+
+
+@_query()
+def question_terms(spark, sf_dir):
+    rows = spark.createDataFrame(list(enumerate(_QUESTIONS)), "question_id int, question string")
+    return rows.select("question_id", C.question_keyword(F.col("question")).alias("keyword"), F.array_join(C.term_ladder(F.col("question")), "|").alias("ladder"), F.array_join(C.query_terms(F.col("question")), "|").alias("terms"))
+
+
+_ANSWERS = [(1, "答案一[1]。没有出处。答案二[2][9]！", 3), (2, "没有引用。", 3), (3, "全是错的[7]。", 3), (4, None, 3), (5, "有[1]", 0), (6, "[2][1][2]好", 2)]
+
+
+@_query()
+def answers_validated(spark, sf_dir):
+    checked = A.validated(spark.createDataFrame(_ANSWERS, "question_id int, raw string, n_chunks int"))
+    return checked.select("question_id", "answer", "outcome", F.array_join("refs", ",").alias("refs"), F.array_join("invalid", ",").alias("invalid"))
+
+
+_CITED = "coalesce(text, '') || ' [' || turn || '][' || (turn % 3) || '][' || turn || ']'"
+
+
+@_query(f"""
+    SELECT conv_id, turn, array_to_string(list_distinct_ordered, ',') AS refs FROM (
+        SELECT conv_id, turn, list_transform(list_filter(list_zip(r, range(1, len(r) + 1)), lambda p: list_position(r, p[1]) = p[2]), lambda p: p[1])[1:12] AS list_distinct_ordered
+        FROM (SELECT conv_id, turn, list_transform(regexp_extract_all({_CITED}, '\\[(\\d+)\\]', 1), lambda x: CAST(x AS INTEGER)) AS r FROM conversations))""")
+def citations_extracted(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    cited = F.concat(F.coalesce("text", F.lit("")), F.lit(" ["), F.col("turn"), F.lit("]["), F.col("turn") % 3, F.lit("]["), F.col("turn"), F.lit("]"))
+    return turns.select("conv_id", "turn", F.array_join(A.citations(cited), ",").alias("refs"))
+
+
+def _questions(spark):
+    return spark.createDataFrame([(1, "market price"), (2, "the committee")], "question_id int, question string")
+
+
+@_query("""
+    WITH q AS (SELECT * FROM (VALUES (1, 'market', 'price'), (2, 'the', 'committee')) AS v(question_id, a, b)),
+    p AS (SELECT doc_id, n, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents) WHERE line <> ''),
+    s AS (SELECT question_id, doc_id, n, CAST((length(line) - length(replace(line, a, ''))) / length(a) + (length(line) - length(replace(line, b, ''))) / length(b) AS BIGINT) AS score FROM p, q),
+    r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id, n) AS rank FROM s)
+    SELECT question_id, doc_id, n, score, rank FROM r WHERE rank <= 50""")
+def paragraphs_ranked(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text")).filter("text <> ''").withColumn("n", (F.col("n") + 1).cast("long"))
+    asked = _questions(spark).select("question_id", F.split("question", " ").alias("terms"))
+    # two questions
+    scored = lines.join(F.broadcast(asked)).withColumn("score", F.aggregate("terms", F.lit(0).cast("long"), lambda a, t: a + A.occurrences(F.col("text"), t)))
+    best = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "doc_id", "n"))
+    return scored.withColumn("rank", best).filter("rank <= 50").select("question_id", "doc_id", "n", "score", "rank")
+
+
+@_query()
+def ask_selected(spark, sf_dir):
+    """The chunks that go into each question's context."""
+    questions, own = _questions(spark), chapters(spark, sf_dir)
+    chosen = A.selected(A.chunks(A.recall(A.ladders(questions), own), own), questions)
+    return chosen.select("question_id", "number", "book_id", "chapter_index", "paragraph_index", "score")
+
+
+@_query()
+def ask_answers(spark, sf_dir):
+    """Whole questions and answers, with a stand-in for the model that cites the first two chunks and one that is not there."""
+    own = chapters(spark, sf_dir)
+    answers, _ = A.ask(_questions(spark), own, lambda prompts: prompts.select("question_id", F.concat(F.lit("See [1]. And [2]! Nothing here. Not there [99]."), F.substring("context", 1, 0)).alias("raw")))
+    return answers.select("question_id", "n_chunks", "answer", "outcome", F.array_join("refs", ",").alias("refs"))
+
+
+# Sessions
+
+
+@_query("""
+    WITH g AS (SELECT user_id, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events),
+    s AS (SELECT *, sum(CASE WHEN prev IS NULL OR us - prev >= 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM g)
+    SELECT user_id, min(us) AS started_at, max(us) + 1800000000 AS ended_at, count(*) AS events FROM s GROUP BY user_id, n""")
+def reading_sessions(spark, sf_dir):
+    return incremental.sessions(table(spark, sf_dir, "events"))
+
+
+# Vectors: an extension for recall by meaning
+
+
+@_query("""
+    WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0),
+    s AS (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS cosine FROM q, embeddings WHERE vec_id <> query_id)
+    SELECT query_id, vec_id, cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM s) WHERE rank <= 3""")
+def vector_recall(spark, sf_dir):
+    """The three rows nearest to each hundredth row by cosine: each task keeps the best of its own rows before any is shuffled."""
+    own = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    asked = own.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    unit = lambda df, c: df.withColumn(c, F.transform(c, lambda x: x / F.sqrt(dot(F.col(c), F.col(c)))))
+    near = unit(own, "e").join(unit(asked, "q"), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot(F.col("e"), F.col("q")), 6).alias("cosine"))
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))
+    return near.withColumn("rank", best).filter("rank <= 3")
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
