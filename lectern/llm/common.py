@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +42,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """docs with _at, the place of each row in its file: the same however often docs is read. What does not come from files is written first."""
+    at = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("_at")
+    try:
+        return docs.select("*", at)
+    except AnalysisException:
+        return written(docs, "rows").select("*", at)
+
+
 def chunk_count(spark: SparkSession, docs: DataFrame, text: str = "text", chunk_bytes: int = 16 << 20) -> int:
     """How many chunks of about chunk_bytes of text the documents make."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0

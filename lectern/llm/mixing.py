@@ -32,7 +32,7 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import documents, ranked, written
+from lectern.llm.common import documents, identified, ranked, written
 
 BLOCK_BYTES = 1 << 16
 PERIOD, SLOTS_A_SOURCE = 4096, 8
@@ -98,7 +98,7 @@ def mixed(rows: DataFrame, weights: dict[str | None, float] | None = None, block
     spark = rows.sparkSession
     totals = {r["_key"]: (r["size"], r["n"]) for r in rows.groupBy("_key").agg(F.sum("_size").alias("size"), F.count("*").alias("n")).collect()}
     if not totals:
-        return spark.createDataFrame([], "_at long, _key string, _from long, block long, epoch long, slot long, release long, deadline long")
+        return rows.select("_at", "_key", *[F.lit(0).cast("long").alias(c) for c in ("_from", "block", "epoch", "slot", "release", "deadline")]).limit(0)
     period = max(PERIOD, SLOTS_A_SOURCE * len(totals))
     if weights is None:
         wanted = {k: float(max(size, 1)) ** SMOOTHING for k, (size, _) in totals.items()}
@@ -143,14 +143,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: a document for each of its turns, in the order of slots."""
-    columns = docs.columns
-    whole = written(docs.select(F.struct(*columns).alias("_row"), F.monotonically_increasing_id().alias("_at")), "mixing-whole")
-    size = F.coalesce(F.octet_length("_row.text"), F.lit(0)).cast("long").alias("_size")
-    rows = whole.select("_at", _key("_row.source").alias("_key"), F.col("_row.doc_id").cast("long").alias("_id"), size)
-    turns = mixed(rows).select("_at", "slot", "_from")
-    joined = whole.join(turns, "_at")
-    return joined.repartitionByRange("slot", "_from").sortWithinPartitions("slot", "_from").select("_row.*")
+    """The mixture: a document for each of its turns. The table has no order of its own; slots are in mixed()."""
+    rows = identified(docs)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("_size")
+    narrow = written(rows.select("_at", _key("source").alias("_key"), F.col("doc_id").cast("long").alias("_id"), size), "mixing")
+    return rows.join(mixed(narrow).select("_at"), "_at").select(*docs.columns)
 
 
 QUERIES = {"op9_mixing": query}

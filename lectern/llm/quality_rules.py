@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import documents, written
+from lectern.llm.common import documents, identified, written
 
 MIN_WORDS = 50
 MAX_REPEAT_SHARE = 0.5
@@ -131,9 +131,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that pass."""
-    columns = docs.columns
-    found = verdicts(docs.withColumn("_row", F.struct(*columns)), ("_row",))
-    return found.filter("kept").select("_row.*")
+    rows = identified(docs)
+    kept = verdicts(rows, ("_at",)).filter("kept").select("_at")
+    return rows.join(kept, "_at", "left_semi").select(*docs.columns)
 
 
 QUERIES = {"op6_quality_rules": query}

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm import words as W
-from lectern.llm.common import cut, documents, written
+from lectern.llm.common import cut, documents, identified, written
 from lectern.llm.components import components
 
 SHINGLE = 3
@@ -127,14 +127,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the first by doc_id, then text. A document without doc_id stands for its fingerprint."""
-    columns = docs.columns
-    rows = docs.select(F.struct(*columns).alias("_row"), F.col("text").alias("_text"), F.col("doc_id").cast("long").alias("_id"))
-    printed = written(fingerprints(rows, ("_row", "_id"), "_text").withColumn("_at", F.monotonically_increasing_id()), "simhash")
-    narrow = printed.select("fp", "_id", "_at", F.xxhash64("_row.text").alias("_text"))
-    grouped = narrow.join(group_ids(narrow), "fp", "left")
+    rows = identified(docs)
+    own = rows.select("_at", F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), F.col("text").alias("_text"))
+    printed = written(fingerprints(own, ("_at", "_id", "_hash"), "_text"), "simhash")
+    grouped = printed.join(group_ids(printed), "fp", "left")
     group = (F.col("component_id").isNull(), F.coalesce("component_id", "fp"))
-    first = grouped.groupBy(*[g.alias(f"_g{i}") for i, g in enumerate(group)]).agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_text", "_at")).alias("_first"))
-    return printed.join(first.select(F.col("_first._at").alias("_at")), "_at").select("_row.*")
+    first = grouped.groupBy(*[g.alias(f"_g{i}") for i, g in enumerate(group)]).agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_hash", "_at")).alias("_first"))
+    return rows.join(first.select("_first._at"), "_at", "left_semi").select(*docs.columns)
 
 
 QUERIES = {"op2_simhash_dedup": query}
