@@ -37,6 +37,8 @@ from lectern.llm.common import documents, identified, ranked, written
 BLOCK_BYTES = 1 << 16
 PERIOD, SLOTS_A_SOURCE = 4096, 8
 SMOOTHING = 0.7
+#: Slots to a part of the written mixture: about 16 MB of texts.
+PART_SLOTS = 256
 
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -143,11 +145,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: a document for each of its turns. The table has no order of its own; slots are in mixed()."""
+    """The mixture: a document for each of its turns, in the order of slots, then of places in the source.
+
+    Parts hold PART_SLOTS slots each, one part after the other, so the files of the written table
+    by name, and the rows in them, are in that order. Slots take a block each, so parts are about
+    equal in bytes and need no sampling of the texts.
+    """
     rows = identified(docs)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("_size")
     narrow = written(rows.select("_at", _key("source").alias("_key"), F.col("doc_id").cast("long").alias("_id"), size), "mixing")
-    return rows.join(mixed(narrow).select("_at"), "_at").select(*docs.columns)
+    turns = written(mixed(narrow).select("_at", F.col("slot").alias("_slot"), "_from"), "mixing-turns")
+    last = turns.agg(F.max("_slot")).first()[0] or 0
+    dealt = rows.join(turns, "_at").repartitionById(last // PART_SLOTS + 1, F.expr(f"cast(_slot div {PART_SLOTS} as int)"))
+    return dealt.sortWithinPartitions("_slot", "_from", "_at").select(*docs.columns)
 
 
 QUERIES = {"op9_mixing": query}

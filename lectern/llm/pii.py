@@ -135,8 +135,9 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text") -> D
 def spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents' columns and `spans`: base spans and those of disclosing terms, by start, then kind."""
     columns = docs.columns
-    rows = docs.select(F.struct(*columns).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    found = written(rows.withColumn("spans", base_spans(F.col("_text"))).withColumn("_at", F.monotonically_increasing_id()), "pii")
+    rows = docs.select(F.struct(*columns).alias("_row"), base_spans(F.col(text)).alias("spans"), F.monotonically_increasing_id().alias("_at"))
+    # the table holds each text once
+    found = written(rows, "pii").withColumn("_text", F.coalesce(F.col(f"_row.{text}"), F.lit("")))
     given = written(disclosing_terms(found, found, "_text"), "pii-terms")
     by_entity = given.groupBy("entity").agg(F.collect_set("term").alias("terms"))
     # a document's lines with an entity that has disclosing terms
