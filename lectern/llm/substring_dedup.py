@@ -41,7 +41,7 @@ CHUNK_BYTES = 8 << 20
 
 
 class _Chunk:
-    """The documents of a chunk in order, as one sequence of word hashes with a border after each document."""
+    """The documents of a chunk in order, as one sequence of word hashes with a border before the first document and after each."""
 
     def __init__(self, table: pa.Table, hints: pa.Table) -> None:
         table = table.sort_by([("doc_id", "ascending"), ("h1", "ascending"), ("h2", "ascending")]) if table.num_rows else table
@@ -70,9 +70,11 @@ class _Chunk:
         use = np.repeat(~self.copy, self.n_words)
         self.row = np.flatnonzero(~self.copy)
         length = self.n_words[self.row]
-        self.starts = np.concatenate([[0], np.cumsum(length + 1)[:-1]]) if len(length) else np.zeros(0, np.int64)
-        total = int((length + 1).sum())
+        # the first word too has a border before it, or its symbols would count as decided without it
+        self.starts = 1 + np.concatenate([[0], np.cumsum(length + 1)[:-1]]) if len(length) else np.zeros(0, np.int64)
+        total = 1 + int((length + 1).sum())
         border = np.zeros(total, bool)
+        border[0] = True
         border[self.starts + length] = True
         self.seqs = []
         for seed in (42, 43):
