@@ -5,11 +5,12 @@ pattern per kind that pass its check. Matches come from regexp_extract_all, the
 from split with the same pattern, and positions are running sums of both.
 
 Each base value is a protected entity. A term (a word of TERM_CHARS or more letters) in the same
-line as an entity may give it away. The corpus says how much: with N lines, n(t) lines that hold
-the term, n(e) and n(t, e) distinct lines that hold the entity, and both, the term discloses
+line as an entity may give it away. The corpus says how much: with N distinct lines, of which n(t)
+hold the term, n(e) the entity and n(t, e) both, the term discloses
 log2(N n(t, e) / (n(t) n(e))) of the log2(N / n(e)) bits that the entity carries. Terms found with
 an entity in SUPPORT distinct lines and disclosing DISCLOSURE of its bits are protected too, in
-those entities' lines. Distinct lines are counted, so copies of a document prove nothing.
+those entities' lines. Only distinct lines are counted, so copies of a document neither prove nor
+disprove anything.
 
 Sanitised texts have a marker for each span: base values are removed for the kind's marker,
 terms are generalised to what they look like, a name or a word.
@@ -121,15 +122,18 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text") -> D
     terms = terms.filter(~F.contains("entity", "term"))
     both = terms.groupBy("entity", "term").agg(F.first("n_entity").alias("n_entity"), F.count_distinct("at").alias("n_both")).filter(F.col("n_both") >= SUPPORT)
     both = written(both, "pii-pairs")
-    # how often those terms are found in all lines of the corpus
+    # how often those terms are found in all distinct lines of the corpus
     wanted = both.select("term").distinct()
-    all_lines = docs.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line"))
-    spread = all_lines.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(_WORD), F.lit(0)), lambda w: F.lower(w)))).alias("term"))
-    n_term = spread.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term", "left_semi")
-    total = all_lines.agg(F.count("*")).first()[0]
+    all_lines = docs.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line")).distinct()
+    in_line = F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(_WORD), F.lit(0)), lambda w: F.lower(w)))
+    # the empty term counts the lines themselves
+    spread = all_lines.select(F.explode(F.concat(F.array(F.lit("")), in_line)).alias("term"))
+    counts = written(spread.groupBy("term").agg(F.count("*").alias("n_term")), "pii-counts")
+    n_term = counts.join(wanted, "term")
+    total = counts.filter("term = ''").agg(F.coalesce(F.first("n_term"), F.lit(0))).first()[0]
     bits = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     carried = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    return both.join(n_term, "term").withColumn("bits", bits).withColumn("share", bits / carried).filter(F.col("share") >= DISCLOSURE).select("entity", "term", "bits", "share")
+    return both.join(n_term, "term").withColumn("bits", bits).withColumn("share", F.try_divide(bits, carried)).filter(F.col("share") >= DISCLOSURE).select("entity", "term", "bits", "share")
 
 
 def spans(docs: DataFrame, text: str = "text") -> DataFrame:
