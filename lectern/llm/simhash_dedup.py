@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.llm import near_copies
 from lectern.llm import words as W
 from lectern.llm.common import cut, documents, identified, written
 from lectern.llm.components import components
@@ -126,13 +127,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the first by doc_id, then text. A document without doc_id stands for its fingerprint."""
+    """One document of each group of near copies (see near_copies) stays: the first by doc_id, then text; those without doc_id come last."""
     rows = identified(docs)
     own = rows.select("_at", F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), F.col("text").alias("_text"))
-    printed = written(fingerprints(own, ("_at", "_id", "_hash"), "_text"), "simhash")
-    grouped = printed.join(group_ids(printed), "fp", "left")
-    group = (F.col("component_id").isNull(), F.coalesce("component_id", "fp"))
-    first = grouped.groupBy(*[g.alias(f"_g{i}") for i, g in enumerate(group)]).agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_hash", "_at")).alias("_first"))
+    printed = written(near_copies.sketches(own, ("_at", "_id", "_hash"), "_text"), "near-sketches")
+    grouped = printed.join(near_copies.groups(printed, rows.select("_at", "text")), "node", "left")
+    first = grouped.groupBy(F.coalesce("component", "node").alias("_group")).agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_hash", "_at")).alias("_first"))
     return rows.join(first.select("_first._at"), "_at", "left_semi").select(*docs.columns)
 
 
