@@ -48,7 +48,7 @@ HELD_OUT_MOD, HELD_OUT = 7, 2
 END = ""
 VOCABULARY = 2048
 COMMON_SHARE = 1e-6
-STATE, CLASSES = 24, 45
+STATE, CLASSES = 24, 28
 #: Steps that errors are carried back.
 STEPS = 16
 LANES, WARM_LANES = 256, 48
@@ -106,6 +106,12 @@ class Lanes(NamedTuple):
     keep: np.ndarray
 
 
+def divided(offsets: np.ndarray, lanes: int) -> np.ndarray:
+    """The offsets with documents longer than an even share of a lane cut at such shares, so that no lane goes on alone."""
+    share = max(STEPS, -(-int(offsets[-1]) // lanes))
+    return np.unique(np.concatenate([offsets, *(np.arange(a, b, share) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) if b - a > share)]))
+
+
 def lay_out(symbols: np.ndarray, offsets: np.ndarray, end: int, lanes: int) -> Lanes:
     """symbols[offsets[i]:offsets[i + 1]]: document i, its end included."""
     length = np.diff(offsets)
@@ -144,28 +150,34 @@ def lay_out(symbols: np.ndarray, offsets: np.ndarray, end: int, lanes: int) -> L
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
+    # an overflow gives the infinity whose inverse is right
     np.negative(x, out=x)
-    np.exp(np.minimum(x, 60, out=x), out=x)
+    np.exp(x, out=x)
     x += 1
     return np.divide(1, x, out=x)
 
 
-def _exponentials(x: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(exp(x), their sums by row, x at each row's target). What lies within the bounds can neither overflow nor add up to zero."""
-    np.clip(x, -80, 80, out=x)
+def _exponentials(states: np.ndarray, weights: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(exp(x), their sums by row, x at each row's target) of the logits x = states @ weights, a column of weights for each.
+
+    States lie within -1 and 1. What lies within the bounds can neither overflow nor add up to zero, and small weights keep it there.
+    """
+    x = states @ weights
+    if np.abs(weights).sum(axis=0).max() > 80:
+        np.clip(x, -80, 80, out=x)
     picked = x[np.arange(len(targets)), targets]
     np.exp(x, out=x)
     return x, x @ np.ones(x.shape[1], np.float32), picked
 
 
-def _log_probability(x: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    _, sums, picked = _exponentials(x, targets)
+def _log_probability(states: np.ndarray, weights: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    _, sums, picked = _exponentials(states, weights, targets)
     return picked.astype(np.float64) - np.log(sums)
 
 
-def _error(x: np.ndarray, targets: np.ndarray, n: np.float32) -> np.ndarray:
-    """The gradient of the loss, over n, by the logits x."""
-    x, sums, _ = _exponentials(x, targets)
+def _error(states: np.ndarray, weights: np.ndarray, targets: np.ndarray, n: np.float32) -> np.ndarray:
+    """The gradient of the loss, over n, by the logits."""
+    x, sums, _ = _exponentials(states, weights, targets)
     x *= (1 / (sums * n))[:, None]
     x[np.arange(len(targets)), targets] -= 1 / n
     return x
@@ -198,6 +210,7 @@ class Model:
             at += n
         return out
 
+    @np.errstate(over="ignore")
     def log_likelihood(self, x: Lanes, n_documents: int) -> np.ndarray:
         """Natural log-likelihood of each document."""
         p, h = self.of, np.zeros((int(x.cut[1]) if len(x.cut) > 1 else 0, STATE), np.float32)
@@ -222,14 +235,14 @@ class Model:
     def output(self, hidden: np.ndarray, targets: np.ndarray) -> np.ndarray:
         p, lexicon = self.of, self.lexicon
         of = lexicon.class_of[targets]
-        order = np.argsort(of, kind="stable")
+        order = np.argsort(of.astype(np.int16), kind="stable")
         hidden, of, targets = hidden[order], of[order], targets[order]
-        by_class = _log_probability(hidden @ p["classes"], of)
+        by_class = _log_probability(hidden, p["classes"], of)
         cut = np.searchsorted(of, np.arange(len(lexicon.bounds))).tolist()
         for k, (low, high) in enumerate(zip(lexicon.bounds[:-1].tolist(), lexicon.bounds[1:].tolist(), strict=True)):
             a, b = cut[k], cut[k + 1]
             if b > a and high - low > 1:
-                by_class[a:b] += _log_probability(hidden[a:b] @ p["words"][low:high].T, targets[a:b] - low)
+                by_class[a:b] += _log_probability(hidden[a:b], p["words"][low:high].T, targets[a:b] - low)
         plain = PLAIN * lexicon.weight / lexicon.weight.sum()
         found = np.empty(len(order))
         found[order] = np.log((1 - PLAIN) * np.exp(by_class) + plain[targets])
@@ -253,6 +266,7 @@ class Trainer:
         step *= RATE
         value[rows] -= step
 
+    @np.errstate(over="ignore")
     def train(self, x: Lanes) -> None:
         """One pass over the lanes, window by window; the state is carried from window to window.
 
@@ -297,7 +311,7 @@ class Trainer:
         for_input[:, : 2 * STATE] = for_state[:, : 2 * STATE]
         self.move("state", before.T @ for_state)
         self.move("gate", for_input.sum(axis=0))
-        order = np.argsort(inputs, kind="stable")
+        order = np.argsort(inputs.astype(np.int16), kind="stable")
         used, first = np.unique(inputs[order], return_index=True)
         self.move("input", np.add.reduceat(for_input[order], first, axis=0), used)
         return h
@@ -306,16 +320,16 @@ class Trainer:
         """Trains the output layer; returns the mean loss's gradient by the states."""
         p, lexicon, n = self.model.of, self.model.lexicon, self.full
         of = lexicon.class_of[targets]
-        order = np.argsort(of, kind="stable")
+        order = np.argsort(of.astype(np.int16), kind="stable")
         hidden, of, targets = hidden[order], of[order], targets[order]
-        error = _error(hidden @ p["classes"], of, n)
+        error = _error(hidden, p["classes"], of, n)
         pull = error @ p["classes"].T
         self.move("classes", hidden.T @ error)
         cut = np.searchsorted(of, np.arange(len(lexicon.bounds))).tolist()
         for k, (low, high) in enumerate(zip(lexicon.bounds[:-1].tolist(), lexicon.bounds[1:].tolist(), strict=True)):
             a, b = cut[k], cut[k + 1]
             if b > a and high - low > 1:
-                error = _error(hidden[a:b] @ p["words"][low:high].T, targets[a:b] - low, n)
+                error = _error(hidden[a:b], p["words"][low:high].T, targets[a:b] - low, n)
                 pull[a:b] += error @ p["words"][low:high]
                 self.move("words", error.T @ hidden[a:b], slice(low, high))
         out = np.empty_like(pull)
@@ -325,8 +339,7 @@ class Trainer:
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """(which distinct word each word is, distinct words, offsets by text)."""
-    found, offsets = W.split(pc.ascii_lower(texts))
-    index, distinct = W.encode(found)
+    index, distinct, offsets = W.split_encoded(pc.ascii_lower(texts))
     return index, distinct.cast(pa.large_string()), offsets
 
 
@@ -380,7 +393,7 @@ def _trained(training: DataFrame, lexicon: Lexicon, start: tuple[bytes, bytes] |
                 index, distinct, offsets = _tokens(texts)
                 symbols, offsets = _with_ends(lexicon.symbols(lexicon.places(distinct))[index], offsets, lexicon.end)
                 for _ in range(rounds):
-                    trainer.train(lay_out(symbols, offsets, lexicon.end, lanes))
+                    trainer.train(lay_out(symbols, divided(offsets, lanes), lexicon.end, lanes))
                 seen += len(symbols)
         row = [pa.array([TaskContext.get().partitionId()]), pa.array([seen]), pa.array([trainer.model.flat.tobytes()]), pa.array([trainer.squares.tobytes()])]
         yield pa.RecordBatch.from_arrays(row, ["k", "tokens", "flat", "squares"])
@@ -404,10 +417,11 @@ def _mean(table: pa.Table) -> pa.Table:
 def train(docs: DataFrame, lexicon: Lexicon, text: str = "text", doc_id: str = "doc_id") -> Model:
     """The mean of the partitions' models."""
     training = _training(docs, text, doc_id)
-    rough = docs.count()
-    every = max(1, rough // WARM_DOCUMENTS)
-    sample = docs.filter(F.pmod(F.xxhash64(doc_id, text), F.lit(every)) == 0)
-    warm = _trained(_training(sample, text, doc_id).repartition(1), lexicon, None, WARM_LANES, WARM_ROUNDS, WARM_TOKENS).first()
+    # a bounded sample to begin with: the first by a hash, all of them if they are few
+    order = F.xxhash64(doc_id, text)
+    every = max(1, docs.count() // (2 * WARM_DOCUMENTS))
+    sample = docs.filter(F.pmod(order, F.lit(every)) == 0).orderBy(order).limit(WARM_DOCUMENTS)
+    warm = _trained(_training(sample, text, doc_id), lexicon, None, WARM_LANES, WARM_ROUNDS, WARM_TOKENS).first()
     start = (bytes(warm["flat"]), bytes(warm["squares"])) if warm else None
     models = written(_trained(training, lexicon, start, LANES, 1, None), "models")
     n = models.count()

@@ -31,6 +31,22 @@ def split(column) -> tuple[pa.Array, np.ndarray]:
     return words.filter(full), kept[offsets]
 
 
+def split_encoded(column) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(index of each word into the distinct words, distinct words, offsets by text): split() and encode() at once."""
+    lists = pc.ascii_split_whitespace(texts(column))
+    codes, distinct = encode(lists.flatten())
+    offsets = lists.offsets.to_numpy()
+    offsets = offsets - offsets[0]
+    empty = pc.index(distinct, "").as_py()
+    if empty < 0:
+        return codes, distinct, offsets
+    full = codes != empty
+    kept = np.concatenate([[0], np.cumsum(full, dtype=np.int64)])
+    codes = codes[full]
+    codes -= codes > empty
+    return codes, pa.concat_arrays([distinct.slice(0, empty), distinct.slice(empty + 1)]), kept[offsets]
+
+
 def encode(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """(index of each word into the distinct words, distinct words)."""
     coded = words.dictionary_encode()
