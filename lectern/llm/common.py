@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -15,10 +14,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else a temporary one (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, else the context's own checkpoint folder. There has to be one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="lectern-")
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -43,12 +42,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """docs with _at, the place of each row in its file: the same however often docs is read. What does not come from files is written first."""
-    at = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("_at")
+    """`_row`, all columns of docs, and `_at`, the place of each row in its file: the same however often docs is read. What does not come from files is written first."""
+
+    def placed(df: DataFrame) -> DataFrame:
+        file = df.metadataColumn("_metadata")
+        return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("_row"), F.struct(F.xxhash64(file["file_path"]).alias("file"), file["row_index"].alias("row")).alias("_at"))
+
     try:
-        return docs.select("*", at)
+        return placed(docs)
     except AnalysisException:
-        return written(docs, "rows").select("*", at)
+        return placed(written(docs, "rows"))
 
 
 def chunk_count(spark: SparkSession, docs: DataFrame, text: str = "text", chunk_bytes: int = 16 << 20) -> int:

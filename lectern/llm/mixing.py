@@ -152,12 +152,12 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     equal in bytes and need no sampling of the texts.
     """
     rows = identified(docs)
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("_size")
-    narrow = written(rows.select("_at", _key("source").alias("_key"), F.col("doc_id").cast("long").alias("_id"), size), "mixing")
+    size = F.coalesce(F.octet_length("_row.text"), F.lit(0)).cast("long").alias("_size")
+    narrow = written(rows.select("_at", _key("_row.source").alias("_key"), F.col("_row.doc_id").cast("long").alias("_id"), size), "mixing")
     turns = written(mixed(narrow).select("_at", F.col("slot").alias("_slot"), "_from"), "mixing-turns")
     last = turns.agg(F.max("_slot")).first()[0] or 0
     dealt = rows.join(turns, "_at").repartitionById(last // PART_SLOTS + 1, F.expr(f"cast(_slot div {PART_SLOTS} as int)"))
-    return dealt.sortWithinPartitions("_slot", "_from", "_at").select(*docs.columns)
+    return dealt.sortWithinPartitions("_slot", "_from", "_at").select("_row.*")
 
 
 QUERIES = {"op9_mixing": query}

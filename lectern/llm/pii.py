@@ -5,34 +5,46 @@ pattern per kind that pass its check. Matches come from regexp_extract_all, the
 from split with the same pattern, and positions are running sums of both.
 
 Each base value is a protected entity. A term (a word of TERM_CHARS or more letters) in the same
-line as an entity may give it away. The corpus says how much: with N distinct lines, of which n(t)
-hold the term, n(e) the entity and n(t, e) both, the term discloses
-log2(N n(t, e) / (n(t) n(e))) of the log2(N / n(e)) bits that the entity carries. Terms found with
-an entity in SUPPORT distinct lines and disclosing DISCLOSURE of its bits are protected too, in
-those entities' lines. Only distinct lines are counted, so copies of a document neither prove nor
-disprove anything.
+sentence as an entity may give it away. The corpus says how much: with N distinct sentences, of
+which n(t) hold the term, n(e) the entity and n(t, e) both, the term discloses
+log2(N n(t, e) / (n(t) n(e))) of the log2(N / n(e)) bits that the entity carries. Terms that
+disclose DISCLOSURE of an entity's bits are protected too, in that entity's sentences. An entity
+found once is given away by what is rare enough to point to its sentence: by terms in at most the
+(1 - DISCLOSURE)-th power of N sentences; common words stay. Only distinct sentences are counted,
+so copies of a document neither prove nor disprove anything.
+
+A sentence ends at a stop before white space or at a line's end, or after SENTENCE_CHARS
+characters at white space, so that no text, however long, makes more than a bounded number of
+pairs of an entity and a term for each of its characters. An entity that such a cut divides stays
+a base span, but has no terms there.
 
 Sanitised texts have a marker for each span: base values are removed for the kind's marker,
 terms are generalised to what they look like, a name or a word.
 
 Defined cases: a null or empty text has no spans and stays as it is; equal rows are treated
-alike; rows without doc_id are treated like others; no documents give no rows. Columns other
-than the text are left alone.
+alike, and one by one; rows without doc_id are treated like others; no documents give no rows.
+Columns other than the text, whatever their names, are left alone.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import documents, written
+from lectern.llm.common import documents, identified, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 TERM_CHARS = 4
-SUPPORT = 3
 #: Share of an entity's information that a term has to give away.
-DISCLOSURE = 0.75
+DISCLOSURE = 0.9
+SENTENCE_CHARS = 400
+#: Elements of an array, and characters of a text, that are worked through together.
+BLOCK, CHUNK = 256, 4096
 
+_SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
+_ORDERED = "array<struct<start:int,rank:bigint,end:int,kind:string,value:string>>"
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 #: Each finds what the base pattern finds without trying a long run again from each of its characters. \G: where the last match ended.
 #: Cards: runs of 14 to 19 digits with single separators, from their first digit to their last; other runs never count.
@@ -63,26 +75,35 @@ def _passes(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _sums_before(sizes: Column) -> Column:
+    """For each of an array of integers the sum of those before it, by blocks, so that long arrays are not copied for each element."""
+    running = lambda xs, size: F.aggregate(xs, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + size(x))))
+    of_block = lambda xs, b: running(F.slice(xs, b * BLOCK + 1, F.lit(BLOCK)), lambda x: x)
+    blocks = lambda xs: F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int")), lambda b: of_block(xs, b))
+    inner = lambda block: F.slice(block, F.lit(1), F.size(block) - 1)
+    moved = lambda bs: F.zip_with(bs, running(bs, lambda block: F.element_at(block, -1)), lambda block, at: F.transform(inner(block), lambda x: x + at))
+    whole = _with(sizes, lambda xs: _with(blocks(xs), lambda bs: F.flatten(F.slice(moved(bs), F.lit(1), F.size(bs)))))
+    return F.when(F.size(sizes) > 0, whole).otherwise(F.array().cast("array<int>"))
+
+
+def _found(text: Column, pattern: str, kind: str) -> Column:
+    """(kind, start, end, value) of each match. Positions are in code points, ends exclusive."""
+    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda v, g: F.struct(F.length(g).alias("gap"), F.length(v).alias("own"), v.alias("value")))
+    span = lambda x, at: F.struct(F.lit(kind).alias("kind"), (at + x.gap).alias("start"), (at + x.gap + x.own).alias("end"), x.value.alias("value"))
+    return _with(F.filter(pairs, lambda x: x.value.isNotNull()), lambda xs: F.zip_with(xs, _sums_before(F.transform(xs, lambda x: x.gap + x.own)), span))
+
+
 def _matches(text: Column, kind: str) -> Column:
-    """(kind, start, end, value) of each match, failing ones dropped. Positions are in code points, ends exclusive."""
-    pattern = F.lit(PATTERNS[kind])
-    values = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.split(text, PATTERNS[kind], -1)
-    lengths = F.zip_with(values, gaps, lambda v, g: F.struct(F.length(g).alias("gap"), F.length(v).alias("own"), v.alias("value")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>").alias("found"))
-    walked = F.aggregate(
-        F.filter(lengths, lambda x: x.value.isNotNull()),
-        start,
-        lambda a, x: F.struct(
-            (a.at + x.gap + x.own).alias("at"),
-            F.concat(a.found, F.array(F.struct(F.lit(kind).alias("kind"), (a.at + x.gap).alias("start"), (a.at + x.gap + x.own).alias("end"), x.value.alias("value")))).alias("found"),
-        ),
-    )
-    found = F.filter(walked.found, lambda s: _passes(kind, s.value))
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
+    """The spans of a kind, failing ones dropped."""
+    found = F.filter(_found(text, PATTERNS[kind], kind), lambda s: _passes(kind, s.value))
     hint = _HINTS[kind]
     there = F.contains(text, F.lit(hint)) if hint else text.rlike(PATTERNS[kind])
-    return F.when(there, found).otherwise(none)
+    return F.when(there, found).otherwise(F.array().cast(_SPANS))
 
 
 def base_spans(text: Column) -> Column:
@@ -104,112 +125,126 @@ def digest(spans: Column) -> Column:
 
 
 _WORD = rf"[\p{{L}}]{{{TERM_CHARS},}}"
+#: Sentences with what ends them: one after the other they make up the text.
+_SENTENCE = rf"[^\n]{{0,{SENTENCE_CHARS - 1}}}?(?:[.!?](?=\s|\z)|\n|\z)|[^\n]{{1,{SENTENCE_CHARS}}}(?=\s)|[^\n]{{1,{SENTENCE_CHARS}}}"
+
+
+def _sentences(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_SENTENCE), F.lit(0))
+
+
+def _bare(sentence: Column) -> Column:
+    return F.trim(sentence, F.lit(" \t\r\n"))
+
+
+def _terms(sentence: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(sentence, F.lit(_WORD), F.lit(0)), lambda w: F.lower(w)))
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
+def _entities(spans: Column) -> Column:
+    return F.array_distinct(F.transform(spans, lambda s: F.concat_ws(":", s.kind, F.lower(s.value))))
+
+
+def risky_sentences(text: Column) -> Column:
+    """(start, sentence, own) of each sentence with base spans; own: these, from the sentence's start."""
+    placed = _with(_sentences(text), lambda xs: F.zip_with(xs, _sums_before(F.transform(xs, lambda x: F.length(x))), lambda x, at: F.struct(at.alias("start"), x.alias("sentence"), base_spans(x).alias("own"))))
+    return F.filter(placed, lambda x: F.size(x.own) > 0)
+
+
+def disclosing_terms(texts: DataFrame, risky: DataFrame) -> DataFrame:
     """(entity, term, bits, share): terms that give entities away.
 
-    docs: all documents; found: their base spans, as an array `spans`, beside the text.
+    texts: `text`, of all documents; risky: `sentence` and `own` of the sentences with base spans.
     """
-    # lines that hold an entity; a line is known by its hash
-    lines = found.filter(F.size("spans") > 0).select(F.explode(F.split(F.col(text), "\n")).alias("line"))
-    near = lines.select(F.xxhash64("line").alias("at"), "line", base_spans(F.col("line")).alias("spans")).filter(F.size("spans") > 0).distinct()
-    held = near.select("at", F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s.kind, F.lower(s.value))))).alias("entity"), "line")
-    n_entity = held.groupBy("entity").agg(F.count_distinct("at").alias("n_entity")).filter(F.col("n_entity") >= SUPPORT)
-    kept = held.join(n_entity, "entity")
-    terms = kept.select("entity", "n_entity", "at", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(_WORD), F.lit(0)), lambda w: F.lower(w)))).alias("term"))
+    near = risky.select(_bare(F.col("sentence")).alias("sentence"), _entities(F.col("own")).alias("entities")).distinct()
+    held = near.select(F.explode("entities").alias("entity"), _terms(F.col("sentence")).alias("terms"))
+    n_entity = held.groupBy("entity").agg(F.count("*").alias("n_entity"))
     # terms that are a part of the entity itself say nothing new
-    terms = terms.filter(~F.contains("entity", "term"))
-    both = terms.groupBy("entity", "term").agg(F.first("n_entity").alias("n_entity"), F.count_distinct("at").alias("n_both")).filter(F.col("n_both") >= SUPPORT)
-    both = written(both, "pii-pairs")
-    # how often those terms are found in all distinct lines of the corpus
-    wanted = both.select("term").distinct()
-    all_lines = docs.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line")).distinct()
-    in_line = F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(_WORD), F.lit(0)), lambda w: F.lower(w)))
-    # the empty term counts the lines themselves
-    spread = all_lines.select(F.explode(F.concat(F.array(F.lit("")), in_line)).alias("term"))
+    pairs = held.select("entity", F.explode("terms").alias("term")).filter(~F.contains("entity", "term"))
+    n_both = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    both = written(n_both.join(n_entity, "entity"), "pii-pairs")
+    # how many distinct sentences of the corpus hold each term; the empty term counts the sentences themselves
+    every = texts.select(F.explode(_sentences(F.coalesce("text", F.lit("")))).alias("s")).select(_bare(F.col("s")).alias("s")).filter("s <> ''").distinct()
+    spread = every.select(F.explode(F.concat(F.array(F.lit("")), _terms(F.col("s")))).alias("term"))
     counts = written(spread.groupBy("term").agg(F.count("*").alias("n_term")), "pii-counts")
-    n_term = counts.join(wanted, "term")
-    total = counts.filter("term = ''").agg(F.coalesce(F.first("n_term"), F.lit(0))).first()[0]
-    bits = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    carried = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    return both.join(n_term, "term").withColumn("bits", bits).withColumn("share", F.try_divide(bits, carried)).filter(F.col("share") >= DISCLOSURE).select("entity", "term", "bits", "share")
-
-
-def spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents' columns and `spans`: base spans and those of disclosing terms, by start, then kind."""
-    columns = docs.columns
-    rows = docs.select(F.struct(*columns).alias("_row"), base_spans(F.col(text)).alias("spans"), F.monotonically_increasing_id().alias("_at"))
-    # the table holds each text once
-    found = written(rows, "pii").withColumn("_text", F.coalesce(F.col(f"_row.{text}"), F.lit("")))
-    given = written(disclosing_terms(found, found, "_text"), "pii-terms")
-    by_entity = given.groupBy("entity").agg(F.collect_set("term").alias("terms"))
-    # a document's lines with an entity that has disclosing terms
-    lines = found.filter(F.size("spans") > 0).select("_at", F.posexplode(F.split("_text", "\n")).alias("n", "line"))
-    starts = F.sum(F.length("line") + 1).over(_before()) - F.length("line") - 1
-    placed = lines.withColumn("start", starts).withColumn("own", base_spans(F.col("line"))).filter(F.size("own") > 0)
-    entities = placed.select("_at", "line", "start", F.explode(F.array_distinct(F.transform("own", lambda s: F.concat_ws(":", s.kind, F.lower(s.value))))).alias("entity"), "own")
-    risky = entities.join(by_entity, "entity").groupBy("_at", "line", "start", "own").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
-    words = _words(F.col("line"))
-    marked = F.filter(words, lambda w: F.array_contains(F.col("terms"), F.lower(w.value)) & ~F.exists("own", lambda s: (s.start < w.end) & (w.start < s.end)))
-    more = risky.select("_at", F.explode(F.transform(marked, lambda w: F.struct(w.kind.alias("kind"), (w.start + F.col("start").cast("int")).alias("start"), (w.end + F.col("start").cast("int")).alias("end"), w.value.alias("value")))).alias("span"))
-    more = more.groupBy(F.col("_at").alias("_of")).agg(F.collect_list("span").alias("more"))
-    joined = found.join(more, found["_at"] == more["_of"], "left")
-    everything = F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.concat("spans", F.coalesce("more", F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>"))))
-    return joined.select("_row", F.col("spans").alias("base"), _order(everything).alias("spans"))
+    total = float(counts.filter("term = ''").agg(F.max("n_term")).first()[0] or 0)
+    most = float(both.agg(F.max("n_entity")).first()[0] or 0)
+    # terms in more sentences than this disclose too little of any entity, as n(t, e) is n(e) at most
+    rare = counts.filter(F.log2("n_term") <= (1 - DISCLOSURE) * F.log2(F.lit(total)) + DISCLOSURE * F.log2(F.lit(most)) + 1e-9)
+    bits = F.log2(F.lit(total) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
+    carried = F.log2(F.lit(total) / F.col("n_entity"))
+    return both.join(rare, "term").withColumn("bits", bits).withColumn("share", F.try_divide(bits, carried)).filter(F.col("share") >= DISCLOSURE).select("entity", "term", "bits", "share")
 
 
-def _before():
-    from pyspark.sql import Window
+def spans(rows: DataFrame, keep: tuple[str, ...] = (), text: str = "text") -> DataFrame:
+    """`_at`, `kept` (the columns in keep), `base` and `spans` (those and the disclosing terms', by start, then kind) of each row.
 
-    return Window.partitionBy("_at").orderBy("n")
+    rows: see identified().
+    """
+    named = rows.select("_at", F.struct(*[F.col(f"_row.`{c}`").alias(c) for c in keep]).alias("kept") if keep else F.lit(0).alias("kept"), F.coalesce(F.col(f"_row.`{text}`").cast("string"), F.lit("")).alias("text"))
+    based = named.withColumn("base", base_spans(F.col("text")))
+    risk = F.when(F.size("base") > 0, risky_sentences(F.col("text")))
+    found = written(based.select("_at", "kept", "base", risk.alias("risky")), "pii")
+    risky = found.select("_at", F.explode("risky").alias("r")).select("_at", "r.*")
+    given = written(disclosing_terms(named.select("text"), risky), "pii-terms")
+    # each word of a sentence with each of its entities, both bounded by the sentence
+    apart = F.filter(_found(F.col("sentence"), _WORD, "term"), lambda w: ~F.exists("own", lambda s: (s.start < w.end) & (w.start < s.end)))
+    words = risky.select("_at", "start", _entities(F.col("own")).alias("entities"), F.explode(apart).alias("w"))
+    met = words.select("_at", "start", "w", F.lower("w.value").alias("term"), F.explode("entities").alias("entity")).join(given.select("entity", "term"), ["entity", "term"], "left_semi")
+    span = F.struct(F.col("w.kind").alias("kind"), (F.col("w.start") + F.col("start")).alias("start"), (F.col("w.end") + F.col("start")).alias("end"), F.col("w.value").alias("value"))
+    more = met.groupBy(F.col("_at").alias("_of")).agg(F.collect_set(span).alias("more"))
+    joined = found.join(more, found["_at"] == more["_of"], "left")
+    return joined.select("_at", "kept", "base", _order(F.concat("base", F.coalesce("more", F.array().cast(_SPANS)))).alias("spans"))
 
 
-def _words(line: Column) -> Column:
-    """(kind, start, end, value) of the words of a line."""
-    values = F.regexp_extract_all(line, F.lit(_WORD), F.lit(0))
-    gaps = F.split(line, _WORD, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>").alias("found"))
-    return F.aggregate(
-        F.zip_with(values, gaps, lambda v, g: F.struct(v.alias("value"), F.length(g).alias("gap"), F.length(v).alias("own"))),
-        start,
-        lambda a, x: F.when(x.value.isNull(), a).otherwise(
-            F.struct(
-                (a.at + x.gap + x.own).alias("at"),
-                F.concat(a.found, F.array(F.struct(F.lit("term").alias("kind"), (a.at + x.gap).alias("start"), (a.at + x.gap + x.own).alias("end"), x.value.alias("value")))).alias("found"),
-            )
-        ),
-    ).found
+def _marker(s: Column) -> Column:
+    first = F.substring(s.value, 1, 1)
+    return F.when(s.kind != "term", F.concat(F.lit("<"), F.upper(s.kind), F.lit(">"))).when(first != F.lower(first), F.lit("<NAME>")).otherwise(F.lit("<WORD>"))
 
 
 def sanitised(text: Column, ordered: Column) -> Column:
-    """The text with a marker for each span; of spans that overlap, the first is marked and the others' rest is removed with it."""
-    marker = lambda s: F.when(s.kind != "term", F.concat(F.lit("<"), F.upper(s.kind), F.lit(">"))).when(F.substring(s.value, 1, 1) != F.lower(F.substring(s.value, 1, 1)), F.lit("<NAME>")).otherwise(F.lit("<WORD>"))
-    done = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda a, s: F.when(s.end <= a.at, a).otherwise(
-            F.struct(s.end.alias("at"), F.when(s.start < a.at, a.out).otherwise(F.concat(a.out, F.array(F.substr(text, a.at + 1, s.start - a.at), marker(s)))).alias("out"))
-        ),
-    )
-    return F.when(F.size(ordered) == 0, text).otherwise(F.concat(F.array_join(done.out, ""), F.substr(text, done.at + 1)))
+    """The text with a marker for each span; of spans that overlap, the first is marked and the others' rest is removed with it.
+
+    Texts are worked through by chunks of CHUNK characters, each with the spans that reach into it.
+    """
+
+    def step(chunk: Column, low: Column) -> Callable[[Column, Column], Column]:
+        def take(a: Column, s: Column) -> Column:
+            put = F.when(s.start < a.at, a.out).otherwise(F.concat(a.out, F.array(F.substr(chunk, a.at - low + 1, s.start - a.at), _marker(s))))
+            return F.when(s.end <= a.at, a).otherwise(F.struct(s.end.alias("at"), put.alias("out")))
+
+        return take
+
+    def piece(chunk: Column, k: Column, spans: Column) -> Column:
+        low = k * CHUNK
+        inside = F.filter(spans, lambda s: (s.start < low + CHUNK) & (s.end > low))
+        done = F.aggregate(inside, F.struct(low.alias("at"), F.array().cast("array<string>").alias("out")), step(chunk, low))
+        return _with(done, lambda d: F.concat(F.array_join(d.out, ""), F.substr(chunk, d.at - low + 1, F.greatest(low + CHUNK - d.at, F.lit(0)))))
+
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    whole = _with(ordered, lambda spans: F.array_join(F.transform(chunks, lambda c, k: piece(c, k, spans)), ""))
+    return F.when(F.size(ordered) == 0, text).otherwise(whole)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spans(documents(spark, sf_dir).select("doc_id", "text"))
+    found = spans(identified(documents(spark, sf_dir)), ("doc_id",))
     count = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("_row.doc_id", *map(count, KINDS[:4]), F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
+    return found.select("kept.doc_id", *map(count, KINDS[:4]), F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their texts sanitised, and n_chars to match."""
-    columns = docs.columns
-    found = spans(docs).select("_row.*", F.col("spans").alias("_spans"))
-    text = sanitised(F.col("text"), F.col("_spans"))
-    out = found.withColumn("text", text)
+    """The documents with their texts sanitised, and n_chars, if it is there, to match."""
+    rows = identified(docs)
+    # rows without spans are as they were; texts meet the spans of their own rows alone
+    marked = spans(rows).filter(F.size("spans") > 0).select(F.col("_at").alias("_of"), "spans")
+    found = rows.join(marked, F.col("_at") == F.col("_of"), "left").select("_row", F.coalesce("spans", F.array().cast(_ORDERED)).alias("_spans"))
+    text = sanitised(F.col("_row.text"), F.col("_spans"))
+    out = found.select("_row", "_spans", text.alias("_text"))
+    columns = {c: F.col(f"_row.`{c}`") for c in docs.columns}
+    columns["text"] = F.col("_text")
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*columns)
+        columns["n_chars"] = F.when(F.size("_spans") == 0, F.col("_row.n_chars")).otherwise(F.length("_text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[value.alias(c) for c, value in columns.items()])
 
 
 QUERIES = {"op5_pii": query}

@@ -1,14 +1,50 @@
-"""Copies of a document neither prove nor disprove that a term discloses an entity."""
+"""Disclosed information in plain loops, and that copies of a document neither prove nor disprove anything."""
 
 from __future__ import annotations
 
+import math
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
 from lectern.llm import pii
 
 
 def _shares(spark, texts):
     docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
-    found = docs.withColumn("spans", pii.base_spans(docs["text"]))
-    return {(r.entity, r.term): (round(r.bits, 9), round(r.share, 9)) for r in pii.disclosing_terms(found, found).collect()}
+    risky = docs.select(F.explode(pii.risky_sentences(F.coalesce("text", F.lit("")))).alias("r")).select("r.*")
+    return {(r.entity, r.term): (round(r.bits, 9), round(r.share, 9)) for r in pii.disclosing_terms(docs, risky).collect()}
+
+
+def _plain(texts):
+    sentences = {s.strip(" \t\r\n") for t in texts for s in re.findall(r"[^\n]*?(?:[.!?](?=\s|\Z)|\n|\Z)", t or "")} - {""}
+    words = {s: {w.lower() for w in re.findall(r"[^\W\d_]{4,}", s)} for s in sentences}
+    emails = {s: {f"email:{m.lower()}" for m in re.findall(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", s)} for s in sentences}
+    out = {}
+    for e in {e for es in emails.values() for e in es}:
+        own = [s for s in sentences if e in emails[s]]
+        for t in {w for s in own for w in words[s] if w not in e}:
+            n_t, n_both = sum(t in w for w in words.values()), sum(t in words[s] for s in own)
+            bits, carried = math.log2(len(sentences) * n_both / (n_t * len(own))), math.log2(len(sentences) / len(own))
+            if carried and bits / carried >= pii.DISCLOSURE:
+                out[e, t] = (round(bits, 9), round(bits / carried, 9))
+    return out
+
+
+def test_equals_plain_loops(spark):
+    rng = random.Random(4)
+    names = ["Zebulon", "Quirina", "Ottoline", "Balthasar"]
+    texts = [None, "", "a@b.cd"]
+    for i in range(200):
+        words = [rng.choice(["plain", "line", "with", "some", "number", "writes"]) for _ in range(6)]
+        if i % 10 == 0:
+            words.insert(2, f"{rng.choice(names)} to box{i % 40}@mail.org, or to Common@mail.org")
+        texts.append(" ".join(words) + rng.choice([".", "!\n", ". Another sentence here?", ""]))
+    want = _plain(texts)
+    assert want and any(n[1] == "zebulon" for n in want)
+    assert _shares(spark, texts) == want
 
 
 def test_copies_change_nothing(spark):
@@ -21,5 +57,37 @@ def test_copies_change_nothing(spark):
     assert _shares(spark, ["\n".join(told + other)]) == once
 
 
-def test_entity_in_every_line_carries_nothing(spark):
+def test_entity_in_every_sentence_carries_nothing(spark):
     assert _shares(spark, [f"Zebulon number {i} writes to zeb@wonder.org" for i in range(3)]) == {}
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 1000])
+def test_sums_before(spark, n):
+    sizes = [i * 7 % 11 for i in range(n)]
+    got = spark.createDataFrame([(sizes,)], "x array<int>").select(pii._sums_before(F.col("x"))).first()[0]
+    assert got == [sum(sizes[:i]) for i in range(n)]
+
+
+def test_sentences_make_up_the_text(spark):
+    texts = ["", "One. Two! Three", "a.b c.d. e\n\nf\n", "x" * 1000, ("word " * 300).strip(), "é😀. " * 90 + "\n"]
+    for text, found in zip(texts, spark.createDataFrame([(t,) for t in texts], "t string").select(pii._sentences(F.col("t"))).collect()):
+        assert "".join(found[0]) == text and all(len(s) <= pii.SENTENCE_CHARS + 1 for s in found[0])
+
+
+def test_long_texts_are_sanitised_by_chunks(spark):
+    rng = random.Random(2)
+    text = "".join(rng.choice("ab é😀\n") for _ in range(3 * pii.CHUNK + 17))
+    cuts = sorted(rng.sample(range(len(text)), 200)) + [pii.CHUNK - 5]
+    spans = sorted((a, min(len(text), a + rng.choice([1, 9, 200])), rng.choice(["email", "term"])) for a in cuts)
+    want, at = [], 0
+    for a, b, kind in spans:
+        if b <= at:
+            continue
+        if a >= at:
+            value = text[a:b]
+            want += [text[at:a], "<EMAIL>" if kind == "email" else "<WORD>"]
+        at = b
+    want.append(text[at:])
+    rows = [(text, [(a, 0, b, kind, text[a:b].lower()) for a, b, kind in spans])]
+    got = spark.createDataFrame(rows, f"t string, s {pii._ORDERED}").select(pii.sanitised(F.col("t"), F.col("s"))).first()[0]
+    assert got == "".join(want)
