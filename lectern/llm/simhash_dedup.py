@@ -17,8 +17,8 @@ same are linked to the smallest: as many rows as fingerprints, times a constant.
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; a text
 with fewer words than a shingle has its whole word sequence as its only shingle; equal
 fingerprints are one node, so copies cost nothing and rows that repeat a doc_id share its
-component; a document without doc_id gets the component of its fingerprint, null if no document
-that has a doc_id shares that fingerprint.
+component; documents without doc_id link like others, and get null if no document that theirs
+is linked to has a doc_id; no documents give no rows.
 """
 
 from __future__ import annotations
@@ -117,8 +117,12 @@ def clusters(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), doc_id: str =
 def group_ids(printed: DataFrame) -> DataFrame:
     """(fp, component_id) for each distinct fingerprint of printed (fp, _id)."""
     nodes = cut(printed.groupBy("fp").agg(F.min("_id").alias("rep")))
-    found = components(near_links(nodes.filter("rep is not null")))
-    return nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    # fingerprints are the graph's nodes, so those of documents without doc_id link like others
+    found = components(near_links(nodes.select("fp", F.col("fp").alias("rep"))))
+    linked = found.join(nodes, F.col("node") == F.col("fp")).select("node", "component", "rep")
+    least = linked.groupBy("component").agg(F.min("rep").alias("least"))
+    named = linked.join(least, "component").select("node", "least")
+    return nodes.join(named, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,11 +133,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (see near_copies) stays: the first by doc_id, then text; those without doc_id come last."""
     rows = identified(docs)
-    own = rows.select("_at", F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), F.col("text").alias("_text"))
+    own = rows.select("_at", F.col("_row.doc_id").cast("long").alias("_id"), F.xxhash64("_row.text").alias("_hash"), F.col("_row.text").alias("_text"))
     printed = written(near_copies.sketches(own, ("_at", "_id", "_hash"), "_text"), "near-sketches")
-    grouped = printed.join(near_copies.groups(printed, rows.select("_at", "text")), "node", "left")
+    grouped = printed.join(near_copies.groups(printed, rows.select("_at", "_row.text")), "node", "left")
     first = grouped.groupBy(F.coalesce("component", "node").alias("_group")).agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_hash", "_at")).alias("_first"))
-    return rows.join(first.select("_first._at"), "_at", "left_semi").select(*docs.columns)
+    return rows.join(first.select("_first._at"), "_at", "left_semi").select("_row.*")
 
 
 QUERIES = {"op2_simhash_dedup": query}
