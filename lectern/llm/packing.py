@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.common import documents, ranked, written
-from lectern.llm.tokenizing import encoder, parts, vocabulary_path
+from lectern.llm.tokenizing import encoder, parts, release, vocabulary_path
 
 WINDOW = 2048
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
+#: Text that is encoded at once: bounds a task's memory.
+PART_BYTES = 4 << 20
 #: Lengths that are combined by threes and fours.
 COMMON = 48
 SWEEPS = 40
@@ -153,7 +155,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path or vocabulary_path(VOCABULARY), end_id).encode
         for batch in batches:
-            for rows, texts in parts(batch, 1):
+            for rows, texts in parts(batch, 1, PART_BYTES):
                 ids, offsets = encode(texts)
                 n = np.diff(offsets)
                 each = -(-n // window)
@@ -163,6 +165,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
                 binary = pa.Array.from_buffers(pa.large_binary(), len(of), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(ids.astype("<u4"))])
                 columns = [rows.column(0).take(pa.array(of)), pa.array(start), pa.array(np.diff(bounds) // 4), pa.array(n[of]), binary.cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "doc_tokens", "ids"])
+        release()
 
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text)
     return named.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary")

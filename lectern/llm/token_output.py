@@ -1,8 +1,14 @@
 """Token ids on disk as grammars: Re-Pair compression per shard.
 
 Documents are range-partitioned by doc_id; each partition is a shard, whose blocks of about
-BLOCK_BYTES of text are compressed one by one. Within a block the most frequent adjacent pairs
-of symbols are replaced by new ones, round after round, as long as a pair occurs MIN_COUNT times.
+PART_BYTES of text are compressed one by one. Within a block frequent adjacent pairs of symbols
+are replaced by new symbols, round after round, until no pair can be replaced at MIN_COUNT
+places: a rule takes three numbers (its two symbols and its expansion length) and each
+replacement saves one, so rarer pairs do not pay. Neither rounds nor rules are limited. A round
+replaces all such pairs at once; where they overlap, the more frequent one goes first. Pairs
+counted as rare stay rare, so later rounds look only at places beside new symbols and at frequent
+pairs that had to wait.
+
 Rounds first work on the distinct cuts of the text (mostly words) weighted by how often they
 occur, then on the whole block; no rule reaches over the end of a document.
 
@@ -34,64 +40,92 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import chunk_count, documents, new_path
-from lectern.llm.tokenizing import encoder, parts, vocabulary_path
+from lectern.llm.tokenizing import encoder, parts, release, vocabulary_path
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
 #: Symbols from here on are nonterminals.
 FIRST_RULE = 1 << 17
 SHARD_BYTES = 24 << 20
-WORD_ROUNDS, BLOCK_ROUNDS = 8, 2
-MIN_COUNT = 16
-#: Rules made in one round at most; later rounds make more.
-RULES_A_ROUND = 4096
+#: Text to a block: bounds a task's memory.
+PART_BYTES = 4 << 20
+MIN_COUNT = 4
 
 _BLOCKS = "shard int, block int, doc_ids array<long>, n_tokens array<int>, at array<int>, rules binary, lengths binary, symbols binary"
 
 
-def replace_round(symbols: np.ndarray, inner: np.ndarray, weights: np.ndarray | None, next_rule: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols after the round, positions kept, new rules): one round of replacements.
+def _by_pair(left: np.ndarray, right: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the places at, ordered by their pairs (left, right), then place; where each pair's begin, and the end)."""
+    if len(at) and int(at[-1]) < 1 << 24 and max(int(left.max()), int(right.max())) < 1 << 20:
+        # a pair and its place fit in one number, which sorts fastest
+        key = np.sort((left.astype(np.uint64) << np.uint64(44)) | (right.astype(np.uint64) << np.uint64(24)) | at.astype(np.uint64))
+        at = (key & np.uint64((1 << 24) - 1)).astype(np.int64)
+        pair = key >> np.uint64(24)
+    else:
+        pair = left.astype(np.int64) << 32 | right
+        order = np.argsort(pair, kind="stable")
+        at, pair = at[order], pair[order]
+    return at, np.append(np.flatnonzero(np.append(True, pair[1:] != pair[:-1])), len(at)) if len(at) else np.zeros(1, np.int64)
+
+
+def replace_rounds(symbols: np.ndarray, of: np.ndarray, weights: np.ndarray | None, next_rule: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(symbols left, what each is of, the rules of each round): rounds of replacements until none pays.
 
-    inner[i] tells whether symbols i and i + 1 may be joined. The RULES_A_ROUND most frequent
-    pairs are replaced, if they occur MIN_COUNT times. Where chosen pairs overlap, the more
-    frequent one is replaced, and the first of equals.
+    of: what each symbol is of (a cut, a document), in ascending order; pairs do not reach over it.
+    weights: how often each of these occurs (None: once).
     """
-    none = symbols, np.arange(len(symbols)), np.zeros((0, 2), np.int64)
-    where = np.flatnonzero(inner)
-    if not len(where):
-        return none
-    pairs = symbols[where] << 32 | symbols[where + 1]
-    if weights is None:
-        found, count = np.unique(pairs, return_counts=True)
-    else:
-        found, inverse = np.unique(pairs, return_inverse=True)
-        count = np.bincount(inverse, weights=weights[where], minlength=len(found))
-    frequent = np.flatnonzero(count >= MIN_COUNT)
-    chosen = frequent[np.lexsort((found[frequent], -count[frequent]))[:RULES_A_ROUND]]
-    if not len(chosen):
-        return none
-    big = len(chosen)
-    if weights is None:
-        by_value = np.argsort(found[chosen])
-        spot = np.minimum(np.searchsorted(found[chosen][by_value], pairs), big - 1)
-        own = np.where(found[chosen][by_value][spot] == pairs, by_value[spot], big)
-    else:
-        rank_of = np.full(len(found), big)
-        rank_of[chosen] = np.arange(big)
-        own = rank_of[inverse]
-    rank = np.full(len(symbols) + 1, big)
-    rank[where + 1] = own
-    at = np.flatnonzero((rank[1:] < big) & (rank[1:] < rank[:-1]) & (rank[1:] <= np.append(rank[2:], big)))
-    used, new = np.unique(rank[at + 1], return_inverse=True)
-    out = symbols.copy()
-    out[at] = next_rule + new
-    kept = np.ones(len(symbols), bool)
-    kept[at + 1] = False
-    pair = found[chosen[used]]
-    return out[kept], np.flatnonzero(kept), np.stack([pair >> 32, pair & 0xFFFFFFFF], axis=1)
-
-
-def compress(used: np.ndarray, index: np.ndarray, by_text: np.ndarray, flat: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, first symbol by document with the number of symbols at last, rules).
+    rules = []
+    alive = np.arange(max(0, len(symbols) - 1))
+    while True:
+        alive = alive[of[alive] == of[alive + 1]]
+        if not len(alive):
+            return symbols, of, rules
+        at, begin = _by_pair(symbols[alive], symbols[alive + 1], alive)
+        # of a pair that overlaps itself, every other place counts
+        run = np.append(True, at[1:] != at[:-1] + 1)
+        run[begin[:-1]] = True
+        since = np.arange(len(at))
+        apart = (since - np.maximum.accumulate(np.where(run, since, 0))) % 2 == 0
+        count = np.add.reduceat(apart if weights is None else np.where(apart, weights[of[at]], 0), begin[:-1], dtype=np.int64)
+        frequent = np.flatnonzero(count >= MIN_COUNT)
+        if not len(frequent):
+            return symbols, of, rules
+        # the most frequent pair has rank 0; ties by symbols
+        frequent = frequent[np.argsort(-count[frequent], kind="stable")]
+        sizes = begin[frequent + 1] - begin[frequent]
+        first = np.cumsum(sizes) - sizes
+        here = np.arange(sizes.sum()) + np.repeat(begin[frequent] - first, sizes)
+        places, apart, big = at[here], apart[here], np.int32(len(frequent))
+        own = np.repeat(np.arange(big, dtype=np.int32), sizes)[apart]
+        rank = np.full(len(symbols) + 2, big, np.int32)
+        rank[places[apart] + 1] = own
+        ahead = (own < rank[places[apart]]) & (own < rank[places[apart] + 2])
+        won, ranks = places[apart][ahead], own[ahead]
+        paid = np.bincount(ranks, weights=None if weights is None else weights[of[won]], minlength=big) >= MIN_COUNT
+        won, ranks = won[paid[ranks]], ranks[paid[ranks]]
+        number = np.cumsum(paid) - 1
+        one = at[begin[frequent[paid]]]
+        rules.append(np.stack([symbols[one], symbols[one + 1]], axis=1))
+        symbols = symbols.copy()
+        symbols[won] = next_rule + number[ranks]
+        next_rule += len(one)
+        kept = np.ones(len(symbols), bool)
+        kept[won + 1] = False
+        # what may be frequent in the next round: pairs with a new symbol, and frequent ones that had to wait
+        mark = np.zeros(len(symbols) + 1, bool)
+        mark[places] = True
+        mark[won] = True
+        mark[won - 1] = True
+        mark[-1] = False
+        before = np.flatnonzero(kept)
+        marked = mark[before]
+        # a pair's first symbol may have been the one that went
+        marked[:-1] |= mark[before[1:] - 1]
+        symbols, of = symbols[before], of[before]
+        alive = np.flatnonzero(marked[:-1])
+
+
+def compress(used: np.ndarray, index: np.ndarray, by_text: np.ndarray, flat: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(symbols, first symbol by document with the number of symbols at last, rules by round).
 
     used: the distinct cuts, index: which of them each cut of the documents is, by_text: offsets
     of documents in them; cut c stands for the ids flat[at[c]:at[c + 1]]. Each document gets the
@@ -99,71 +133,94 @@ def compress(used: np.ndarray, index: np.ndarray, by_text: np.ndarray, flat: np.
     """
     count = np.bincount(index, minlength=len(used))
     lengths = at[used + 1] - at[used]
-    of = np.repeat(np.arange(len(used)), lengths)
+    of = np.repeat(np.arange(len(used), dtype=np.int32), lengths)
     first = np.cumsum(lengths) - lengths
-    symbols = flat[np.arange(len(of)) + np.repeat(at[used] - first, lengths)].astype(np.int64)
-    all_rules = [np.zeros((0, 2), np.int64)]
-    n_rules = 0
-    for _ in range(WORD_ROUNDS):
-        symbols, kept, rules = replace_round(symbols, of[:-1] == of[1:], count[of], FIRST_RULE + n_rules)
-        if not len(rules):
-            break
-        of = of[kept]
-        all_rules.append(rules)
-        n_rules += len(rules)
+    symbols = flat[np.arange(len(of)) + np.repeat(at[used] - first, lengths)].astype(np.int32)
+    symbols, of, rules = replace_rounds(symbols, of, count, FIRST_RULE)
     word_at = np.searchsorted(of, np.arange(len(used) + 1))
     each = (word_at[1:] - word_at[:-1])[index]
     bounds = np.concatenate([[0], np.cumsum(each)])
     sequence = symbols[np.arange(bounds[-1]) + np.repeat(word_at[:-1][index] - bounds[:-1], each)]
     ends = bounds[by_text[1:]]
     sequence = np.insert(sequence, ends, end_id)
-    document = np.repeat(np.arange(len(ends)), np.diff(bounds[by_text]) + 1)
-    for _ in range(BLOCK_ROUNDS):
-        sequence, kept, rules = replace_round(sequence, document[:-1] == document[1:], None, FIRST_RULE + n_rules)
-        if not len(rules):
-            break
-        document = document[kept]
-        all_rules.append(rules)
-        n_rules += len(rules)
-    return sequence, np.searchsorted(document, np.arange(len(ends) + 1)), np.concatenate(all_rules)
-
-
-def expansion_lengths(rules: np.ndarray) -> np.ndarray:
-    found: list[int] = []
-    for a, b in rules.tolist():
-        found.append((found[a - FIRST_RULE] if a >= FIRST_RULE else 1) + (found[b - FIRST_RULE] if b >= FIRST_RULE else 1))
-    return np.array(found, np.uint32)
+    document = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(bounds[by_text]) + 1)
+    sequence, document, more = replace_rounds(sequence, document, None, FIRST_RULE + sum(map(len, rules)))
+    return sequence, np.searchsorted(document, np.arange(len(ends) + 1)), rules + more
 
 
-class _Expansions(dict):
-    def __missing__(self, symbol: int) -> bytes:
-        found = self[symbol] = symbol.to_bytes(4, "little")
-        return found
+def expansion_lengths(rules: list[np.ndarray]) -> np.ndarray:
+    """How many ids each rule stands for; a round's rules hold symbols of the rounds before."""
+    found = np.zeros(0, np.int64)
+    for own in rules:
+        each = np.ones(own.shape, np.int64)
+        inner = own >= FIRST_RULE
+        each[inner] = found[own[inner] - FIRST_RULE]
+        found = np.append(found, each.sum(axis=1))
+    return found
 
 
 class Block:
-    """A block read back: documents, or parts of them, by themselves."""
+    """A block read back: all of it, or documents and parts of them by themselves."""
 
     def __init__(self, rules: bytes, lengths: bytes, symbols: bytes, at: np.ndarray) -> None:
+        self.rules = np.frombuffer(rules, "<u4").reshape(-1, 2)
         self.lengths, self.symbols, self.at = np.frombuffer(lengths, "<u4"), np.frombuffer(symbols, "<u4"), at
-        self.of = _Expansions()
-        for i, (a, b) in enumerate(np.frombuffer(rules, "<u4").reshape(-1, 2).tolist(), FIRST_RULE):
-            self.of[i] = self.of[a] + self.of[b]
 
-    def document(self, i: int) -> bytes:
+    def _expanded(self, symbols: np.ndarray) -> np.ndarray:
+        """The ids of a few symbols, from the top down."""
+        while (rule := symbols >= FIRST_RULE).any():
+            first = np.cumsum(1 + rule) - 1 - rule
+            pair = self.rules[symbols[rule] - FIRST_RULE]
+            symbols = np.repeat(symbols, 1 + rule)
+            symbols[first[rule]], symbols[first[rule] + 1] = pair[:, 0], pair[:, 1]
+        return symbols
+
+    def document(self, i: int) -> np.ndarray:
         """The ids of document i."""
-        return b"".join(map(self.of.__getitem__, self.symbols[self.at[i] : self.at[i + 1]].tolist()))
+        return self._expanded(self.symbols[self.at[i] : self.at[i + 1]])
 
-    def part(self, i: int, start: int, stop: int) -> bytes:
+    def part(self, i: int, start: int, stop: int) -> np.ndarray:
         """The ids of document i from start up to stop, by expanding only the symbols that hold them."""
         symbols = self.symbols[self.at[i] : self.at[i + 1]]
-        rule = symbols >= FIRST_RULE
-        each = np.ones(len(symbols), np.int64)
-        each[rule] = self.lengths[symbols[rule] - FIRST_RULE]
+        each = self._sizes(symbols)
         ends = np.cumsum(each)
         a, b = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, stop, side="left") + 1
         skip = start - (int(ends[a - 1]) if a else 0)
-        return b"".join(map(self.of.__getitem__, symbols[a:b].tolist()))[4 * skip : 4 * (skip + stop - start)]
+        return self._expanded(symbols[a:b])[skip : skip + stop - start]
+
+    def _sizes(self, symbols: np.ndarray) -> np.ndarray:
+        each = np.ones(len(symbols), np.int64)
+        rule = symbols >= FIRST_RULE
+        each[rule] = self.lengths[symbols[rule] - FIRST_RULE]
+        return each
+
+    def ids(self) -> np.ndarray:
+        """The ids of all documents, one after the other."""
+        # the ids of the rules, from the bottom up: each time those whose symbols are known by then
+        ends = np.cumsum(self.lengths, dtype=np.int64)
+        flat = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint32)
+
+        def spread(symbols: np.ndarray, out: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> None:
+            rule = symbols >= FIRST_RULE
+            out[at[~rule]] = symbols[~rule]
+            own, size = symbols[rule] - FIRST_RULE, sizes[rule]
+            inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            out[np.repeat(at[rule], size) + inside] = flat[np.repeat(ends[own] - size, size) + inside]
+
+        needs = np.where(self.rules >= FIRST_RULE, self.rules.astype(np.int64) - FIRST_RULE, -1).max(axis=1, initial=-1)
+        done = 0
+        while done < len(needs):
+            later = needs[done:] >= done
+            stop = done + int(later.argmax()) if later.any() else len(needs)
+            both = self.rules[done:stop].reshape(-1)
+            sizes = self._sizes(both)
+            begin = int(ends[done - 1]) if done else 0
+            spread(both, flat, begin + np.cumsum(sizes) - sizes, sizes)
+            done = stop
+        sizes = self._sizes(self.symbols)
+        whole = np.zeros(int(sizes.sum()), np.uint32)
+        spread(self.symbols, whole, np.cumsum(sizes) - sizes, sizes)
+        return whole
 
 
 def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, text: str = "text", doc_id: str = "doc_id") -> None:
@@ -174,7 +231,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
         e = encoder(vocabulary or vocabulary_path(VOCABULARY), end_id)
         block = 0
         for batch in batches:
-            for rows, texts in parts(batch, 2):
+            for rows, texts in parts(batch, 2, PART_BYTES):
                 used, index, by_text = e.cut_codes(texts)
                 tokens = np.concatenate([[0], np.cumsum((e.at[used + 1] - e.at[used])[index])])[by_text]
                 symbols, at, rules = compress(used, index, by_text, e.flat, e.at, end_id)
@@ -184,13 +241,14 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
                     "doc_ids": [rows.column(1).to_pylist()],
                     "n_tokens": [(np.diff(tokens) + 1).tolist()],
                     "at": [at.tolist()],
-                    "rules": [rules.astype("<u4").tobytes()],
+                    "rules": [np.concatenate([np.zeros((0, 2), np.int32), *rules]).astype("<u4").tobytes()],
                     "lengths": [expansion_lengths(rules).astype("<u4").tobytes()],
                     "symbols": [symbols.astype("<u4").tobytes()],
                 }
                 types = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values.values(), types, strict=True)], list(values))
                 block += 1
+        release()
 
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ordered = named.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
@@ -202,14 +260,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                block = Block(r["rules"], r["lengths"], r["symbols"], np.array(r["at"]))
+            for r in (row for i in range(batch.num_rows) for row in batch.slice(i, 1).to_pylist()):
+                ids = Block(r["rules"], r["lengths"], r["symbols"], np.array(r["at"])).ids().astype("<u4")
                 n = np.array(r["n_tokens"], np.int64)
-                start = r["start"] + np.cumsum(n) - n
+                ends = np.cumsum(n)
+                binary = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(4 * np.append(0, ends)), pa.py_buffer(ids)])
                 for low in range(0, len(n), 256):
-                    docs = range(low, min(low + 256, len(n)))
-                    columns = [pa.array(r["doc_ids"][low : docs.stop], pa.int64()), pa.array(start[low : docs.stop]), pa.array(n[low : docs.stop]), pa.array([block.document(i) for i in docs], pa.binary())]
+                    columns = [pa.array(r["doc_ids"][low : low + 256], pa.int64()), pa.array(r["start"] + (ends - n)[low : low + 256]), pa.array(n[low : low + 256]), binary.slice(low, 256).cast(pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids"])
+        release()
 
     blocks = spark.read.schema(_BLOCKS).parquet(path)
     counts = blocks.select("shard", "block", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
