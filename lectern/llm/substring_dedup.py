@@ -4,9 +4,10 @@ A window is WINDOW consecutive words of a document. Each word covered by a windo
 sequence also starts earlier (in a document with a smaller doc_id, or earlier in the same one)
 is removed.
 
-1. Documents are dealt out in chunks by a hash of doc_id. Exact copies of an earlier document
-   need no search: all their windows start earlier.
-2. Each chunk's word sequence is recompressed (see recompression). Every window has an anchor,
+1. Documents are dealt out in chunks by a hash of doc_id and text. Exact copies of an earlier
+   document need no search: all their windows start earlier.
+2. Each chunk's word sequence is recompressed (see recompression): runs are named in the first
+   round, then pairs in each of ROUNDS rounds. Every window has an anchor,
    a symbol that is decided by the window's words alone, so equal windows share it, and the words
    that decided it, wherever they are. Neighbouring windows mostly have the same anchor: about one
    anchor for six words goes over the network, each distinct one once a chunk.
@@ -18,8 +19,9 @@ is removed.
 5. The repeats go back to their chunks, which drop the covered words.
 
 Defined cases: a null text has no words; a text with fewer words than a window keeps all; rows
-that repeat a doc_id are ordered by text, and of equal rows one comes first; a null doc_id comes
-before all others; no documents give no rows.
+that repeat a doc_id are ordered by a hash of the text (first by its chunk), and of equal rows one
+comes first; a null doc_id comes before all others; no documents give no rows. Equal rows of one
+doc_id share a chunk.
 """
 
 from __future__ import annotations
@@ -33,13 +35,13 @@ from pyspark.sql import functions as F
 from lectern.llm import recompression as R
 from lectern.llm import words as W
 from lectern.llm.common import chunk_count, documents
+from lectern.llm.tokenizing import release
 
 WINDOW = 20
 ROUNDS = 4
 CHUNK_BYTES = 8 << 20
 
 
-
 class _Chunk:
     """The documents of a chunk in order, as one sequence of word hashes with a border before the first document and after each."""
 
@@ -142,6 +144,7 @@ def _window_rows(key, table: pa.Table, hints: pa.Table) -> pa.Table:
     doc = np.searchsorted(c.starts, low, side="right") - 1
     ranges = pa.table({"h1": low.astype(np.int64), "h2": np.full(len(low), key[0].as_py(), np.int32), "at": c.row[doc] << 32 | low - c.starts[doc], "known": (high - low).astype(np.int32)})
     out = pa.concat_tables([windows, ranges], promote_options="default")
+    release()
     return out.append_column("chunk", pa.array(np.full(out.num_rows, key[0].as_py(), np.int32)))
 
 
@@ -176,7 +179,7 @@ def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by one space) of each document."""
     chunks = chunk_count(docs.sparkSession, docs, text, CHUNK_BYTES)
     dealt = docs.select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"),
+        F.pmod(F.xxhash64("doc_id", text), F.lit(chunks)).cast("int").alias("chunk"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64(text).alias("h1"),
         F.xxhash64(F.lit(1), F.col(text)).alias("h2"),
@@ -195,7 +198,7 @@ def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
 
     windows = by_chunk.cogroup(shared.unionByName(copies).groupBy("to_chunk")).applyInArrow(_window_rows, _WINDOW_ROWS)
     known = F.col("known") > 0
-    place = F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "at")
+    place = F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "chunk", "at")
     earliest = F.min(place).over(Window.partitionBy("h1", "h2", known.cast("int")))
     repeats = windows.withColumn("first", earliest).filter(known | (place > F.col("first")))
     repeats = repeats.select(F.col("chunk").alias("to_chunk"), F.lit(2).alias("kind"), F.col("at").alias("a"), F.lit(None).cast("long").alias("b"), F.greatest("known", F.lit(1)).alias("stop"))
