@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.text import strip, windows
+from lectern.functions.text import bound, strip, windows
 
 # Numerals and units.
 DIGITS = {
@@ -30,6 +30,7 @@ VOLUME_UNITS = "卷部篇"
 SENTENCE_ENDS, TRAILING_ENDS = "。；;…‥", "！？!?"
 BRACKETS = "【】[]{}（）()《》"
 PARTICLES = "的着吧呢吗啊嘛哦呀"
+CLAUSE_PUNCTUATION = "[，,、；;]"
 PUNCTUATION_FIRST = "，。、；：！？…‥—～·"
 
 # What is taken out of questions, in this order.
@@ -65,7 +66,10 @@ def number(text: Column) -> Column:
 
     A digit replaces the one before it, and a unit without a digit counts once.
     """
-    bare = _half_width(F.regexp_replace(text, r"[\s　]+", ""))
+    return bound(_half_width(F.regexp_replace(text, r"[\s　]+", "")), _bare_number)
+
+
+def _bare_number(bare: Column) -> Column:
     state = F.struct(F.lit(0).cast("long").alias("done"), F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("digit"), F.lit(False).alias("zero"), F.lit(False).alias("bad"))
 
     def step(a: Column, c: Column) -> Column:
@@ -84,11 +88,10 @@ def number(text: Column) -> Column:
             .otherwise(to(bad=True))
         )
 
-    # more characters than this never make an int
-    characters = F.split(F.substring(bare, 1, 24), "")
+    characters = F.split(bare, "")
     folded = F.aggregate(characters, state, step, lambda a: F.when(~a.bad, a.done + a.part + a.digit))
-    value = F.when(bare.rlike("^[0-9]+$"), bare.try_cast("long")).when((bare != "") & (F.length(bare) <= 24), folded)
-    return F.when(value.between(0, MAX_INT), value).cast("int")
+    value = F.when(bare.rlike("^[0-9]+$"), bare.try_cast("long")).when(bare != "", folded)
+    return bound(value, lambda v: F.when(v.between(0, MAX_INT), v).cast("int"))
 
 
 def unwrapped(line: Column) -> Column:
@@ -101,12 +104,19 @@ def unwrapped(line: Column) -> Column:
 
 def heading(line: Column) -> Column:
     """A struct: reason (accepted, or why a line is no chapter heading), number, raw_number, title, kind (CHAPTER, VOLUME, SPECIAL) and text."""
-    text = unwrapped(line)
-    group = lambda i: F.regexp_extract(text, HEADING, i)
-    numeral, unit, special, special_number = group(1), group(2), group(3), group(4)
-    title = strip(F.regexp_replace(strip(group(5)), r"^[:：.·\-—－ 　]+", ""))
-    kind = F.when(unit == "", "SPECIAL").when(unit.isin(*VOLUME_UNITS), "VOLUME").otherwise("CHAPTER")
+    return bound(unwrapped(line), lambda text: bound(F.array(*[F.regexp_extract(text, HEADING, i) for i in range(1, 6)]), lambda groups: _judged(line, text, groups)))
+
+
+def _judged(line: Column, text: Column, groups: Column) -> Column:
+    numeral, unit, special, special_number = (groups[i] for i in range(4))
+    title = strip(F.regexp_replace(strip(groups[4]), r"^[:：.·\-—－ 　]+", ""))
     value = F.when(unit != "", number(numeral)).otherwise(F.coalesce(F.when(special_number != "", number(special_number)), F.lit(0)))
+    return bound(F.struct(title.alias("title"), value.alias("value")), lambda own: _verdict(line, text, groups, own.title, own.value))
+
+
+def _verdict(line: Column, text: Column, groups: Column, title: Column, value: Column) -> Column:
+    numeral, unit, special, special_number = (groups[i] for i in range(4))
+    kind = F.when(unit == "", "SPECIAL").when(unit.isin(*VOLUME_UNITS), "VOLUME").otherwise("CHAPTER")
     first = F.substring(title, 1, 1)
     reason = (
         F.when(line.isNull() | (text == ""), "blank")
@@ -124,6 +134,30 @@ def heading(line: Column) -> Column:
     return F.struct(reason.alias("reason"), value.alias("number"), raw.alias("raw_number"), title.alias("title"), kind.alias("kind"), text.alias("text"))
 
 
+def is_numeral(text: Column) -> Column:
+    """Whether a text consists of Chinese numerals and units alone, white space not allowed; false for none."""
+    known = "".join([*DIGITS, *UNITS, TEN_THOUSAND, HUNDRED_MILLION])
+    return F.coalesce(text.rlike(rf"^[{known}]+$"), F.lit(False))
+
+
+def number_or(text: Column, fallback: int) -> Column:
+    return F.coalesce(number(text), F.lit(fallback))
+
+
+def inline_heading(line: Column) -> Column:
+    """A chapter heading at the end of a line that begins with other text: a struct of cut (characters before it) and heading; null without one.
+
+    Of the places of the last MAX_LINE characters that read 第, the first one that begins a heading
+    whose title has no clause punctuation.
+    """
+    last = F.length(line)
+    places = F.filter(F.sequence(F.greatest(last - MAX_LINE + 1, F.lit(2)), F.greatest(last, F.lit(2))), lambda i: F.substr(line, i, F.lit(1)) == "第")
+    tried = F.transform(places, lambda i: F.struct((i - 1).alias("cut"), heading(F.substr(line, i)).alias("heading")))
+    good = F.filter(tried, lambda x: (x.heading.reason == "accepted") & ~x.heading.title.rlike(CLAUSE_PUNCTUATION))
+    # most lines have none
+    return F.when(F.contains(line, F.lit("第")), F.get(good, F.lit(0)))
+
+
 def question_keyword(question: Column) -> Column:
     """The question without question words and punctuation."""
     bare = reduce(lambda q, w: F.replace(q, F.lit(w), F.lit("")), QUESTION_WORDS, strip(F.coalesce(question, F.lit(""))))

@@ -6,6 +6,8 @@ nor \\s of regular expressions knows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ _RUN = rf"[{HAN}]+|[A-Za-z0-9]+"
 SNIPPET_RADIUS = 32
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value written into the expression, and worked out, once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^[\s　]+|[\s　]+$", "")
 

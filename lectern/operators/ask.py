@@ -13,6 +13,23 @@ from lectern.functions import chinese as C
 from lectern.functions import text as X
 
 # Fixed values.
+SYSTEM_PROMPT = """\
+你是一个只依据给定原文作答的阅读助手。你面对的是中文小说的原文片段。
+
+你必须遵守以下规则，这些规则没有例外：
+
+1. 只能依据【原文片段】中的内容回答。不得使用你在训练中获得的任何知识，
+   不得推测、不得补全、不得因为"通常是这样"就写出来。
+2. 每个结论后面必须紧跟它依据的片段编号，格式为 [1]、[2]，可多个。
+   没有编号的句子会被系统直接删除。
+3. 如果原文片段里没有能回答问题的内容，就回答：
+   「原文里没有提到。」
+   并说明现有片段讲的是什么。不要为了给出答案而勉强作答。
+4. 只根据片段内容作答，不要评价、不要扩展、不要给建议。
+5. 用简体中文回答，简洁作答，不要复述整个片段。
+"""
+USER_PROMPT = ("【原文片段】\n", "\n\n---\n【用户问题】\n", "\n\n请依据上面的原文片段作答，并在每个结论后标注依据的片段编号。")
+NO_CONTEXT_PROMPT = ("【原文片段】（本次没有召回到任何与问题相关的原文）\n\n用户问题：", "\n\n请只回答一句话：原文里没有提到。不要作答、不要推测、不要使用你自己的知识。")
 MAX_CHAPTERS, HITS_A_TERM, MAX_CHUNKS = 4, 40, 200
 MAX_CHUNK_CHARS, MAX_PER_CHAPTER, TOP_K = 1200, 2, 8
 MAX_CITATIONS, EXCERPT_CHARS = 12, 120
@@ -89,13 +106,37 @@ def short_ref(title: Column, chapter_index: Column, paragraph_index: Column) ->
     return F.concat(F.lit("《"), title, F.lit("》第 "), (chapter_index + 1).cast("string"), F.lit(" 章第 "), (paragraph_index + 1).cast("string"), F.lit(" 段"))
 
 
+def with_titles(chosen: DataFrame, books: DataFrame) -> DataFrame:
+    """Adds book_title to chunks; books: book_id, title. A book without a title goes by its id."""
+    names = books.select(F.col("book_id").alias("_of"), F.col("title").alias("_title"))
+    return chosen.join(names, F.col("book_id") == F.col("_of"), "left").withColumn("book_title", F.coalesce("_title", F.col("book_id").cast("string"))).drop("_of", "_title")
+
+
 def contexts(chosen: DataFrame) -> DataFrame:
-    """(question_id, context): the chosen chunks (at most top_k a question) under numbered headers."""
-    ref = short_ref(F.col("book_id"), F.col("chapter_index"), F.col("paragraph_index"))
+    """(question_id, context): the chosen chunks (at most top_k a question) under numbered headers, by book_title if it is there."""
+    ref = short_ref(F.col("book_title" if "book_title" in chosen.columns else "book_id").cast("string"), F.col("chapter_index"), F.col("paragraph_index"))
     block = F.concat(F.lit("【片段"), F.col("number").cast("string"), F.lit("｜"), ref, F.lit("】\n"), F.col("text"))
     return chosen.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", block.alias("block")))), lambda b: b.block), "\n\n").alias("context"))
 
 
+def prompts(questions: DataFrame, context: DataFrame) -> DataFrame:
+    """Adds context, system_prompt and user_prompt to questions: first the chunks, then the question; without chunks, that there are none."""
+    joined = questions.join(context, "question_id", "left")
+    asked = F.concat(F.lit(USER_PROMPT[0]), F.col("context"), F.lit(USER_PROMPT[1]), F.col("question"), F.lit(USER_PROMPT[2]))
+    empty = F.concat(F.lit(NO_CONTEXT_PROMPT[0]), F.col("question"), F.lit(NO_CONTEXT_PROMPT[1]))
+    return joined.withColumn("system_prompt", F.lit(SYSTEM_PROMPT)).withColumn("user_prompt", F.when(F.col("context").isNotNull(), asked).otherwise(empty))
+
+
+def ask_coverage(questions: DataFrame, recalled: DataFrame) -> DataFrame:
+    """(question_id, searched_books, indexed_books, hits): the books that were asked for, those with recalled chunks, and these chunks.
+
+    questions: question_id and book_ids, an array.
+    """
+    found = recalled.groupBy("question_id").agg(F.count_distinct("book_id").alias("indexed_books"), F.count("*").alias("hits"))
+    asked = questions.select("question_id", F.size(F.coalesce("book_ids", F.array().cast("array<string>"))).cast("long").alias("searched_books"))
+    return asked.join(found, "question_id", "left").fillna(0, ["indexed_books", "hits"])
+
+
 def citations(answer: Column) -> Column:
     """The first MAX_CITATIONS different numbers cited, in order."""
     found = F.transform(F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(_CITATION), F.lit(1)), lambda n: n.try_cast("int"))
@@ -117,10 +158,11 @@ def cited_sentences(answer: Column, refs: Column) -> Column:
     return F.when(joined == "", X.strip(answer)).otherwise(joined)
 
 
-def validated(answers: DataFrame) -> DataFrame:
+def validated(answers: DataFrame, configured: bool = True) -> DataFrame:
     """Adds refs, answer (empty without a valid citation), invalid (numbers cited that aren't there) and outcome.
 
-    answers: question_id, raw, n_chunks (chunks handed to the model).
+    answers: question_id, raw, n_chunks (chunks handed to the model). Without a configured model no
+    question is answered.
     """
     cleaned = without_invalid(F.col("raw"), F.col("n_chunks"))
     cited = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("raw", F.lit("")), F.lit(_CITATION), F.lit(1)), lambda n: n.try_cast("int")))
@@ -128,7 +170,7 @@ def validated(answers: DataFrame) -> DataFrame:
     none = F.array().cast("array<int>")
     refs = F.when(F.col("n_chunks") > 0, citations(F.col("_clean"))).otherwise(none)
     shown = F.when(F.size("refs") > 0, cited_sentences(F.col("_clean"), F.col("refs"))).otherwise("")
-    outcome = F.when(F.col("n_chunks") == 0, "no-chunks").when(F.col("raw").isNull(), "llm-error").when(F.size("refs") == 0, "invalid-citations").otherwise("ok")
+    outcome = F.when(F.lit(not configured), "not-configured").when(F.col("n_chunks") == 0, "no-chunks").when(F.col("raw").isNull(), "llm-error").when(F.size("refs") == 0, "invalid-citations").otherwise("ok")
     invalid = F.when(F.col("n_chunks") > 0, bad).otherwise(none)
     return answers.withColumn("_clean", cleaned).withColumn("refs", refs).withColumn("answer", shown).withColumn("invalid", invalid).withColumn("outcome", outcome).drop("_clean")
 
@@ -139,10 +181,17 @@ def citation_rows(checked: DataFrame, chosen: DataFrame) -> DataFrame:
     return cited.join(chosen, ["question_id", "number"]).select("question_id", "number", "book_id", "chapter_index", "paragraph_index", X.clip(X.strip(F.col("text")), EXCERPT_CHARS).alias("excerpt"))
 
 
-def ask(questions: DataFrame, chapters: DataFrame, model, top_k: int = TOP_K) -> tuple[DataFrame, DataFrame]:
-    """(validated answers, chosen chunks). model(contexts) gives question_id and raw from question_id, question and context."""
+def ask(questions: DataFrame, chapters: DataFrame, model, top_k: int = TOP_K, books: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(validated answers, chosen chunks).
+
+    model(prompts) gives question_id and raw for the questions that have chunks, from what prompts()
+    gives; None: no model is configured. books: book_id and title, for the chunks' headers.
+    """
     chosen = selected(chunks(recall(ladders(questions), chapters), chapters), questions, top_k)
     counted = chosen.groupBy("question_id").agg(F.count("*").alias("n_chunks"))
-    prompts = questions.join(contexts(chosen), "question_id")
-    answers = questions.select("question_id").join(counted, "question_id", "left").fillna(0, ["n_chunks"]).join(model(prompts).select("question_id", "raw"), "question_id", "left")
+    counts = questions.select("question_id").join(counted, "question_id", "left").fillna(0, ["n_chunks"])
+    if model is None:
+        return validated(counts.withColumn("raw", F.lit(None).cast("string")), configured=False), chosen
+    asked = prompts(questions, contexts(chosen if books is None else with_titles(chosen, books))).filter("context is not null")
+    answers = counts.join(model(asked).select("question_id", "raw"), "question_id", "left")
     return validated(answers), chosen

@@ -11,10 +11,12 @@ from __future__ import annotations
 from bisect import bisect_left
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import chinese as C
+from lectern.operators.ordinals import summed_before
+from lectern.operators.shared import once
 
 # Fixed values.
 MIN_CHAPTERS, TOC_RUN, PREFIX_CHARS = 3, 4, 30
@@ -24,15 +26,36 @@ _BLANK_LINE = r"^[ \t　﻿]*$"
 
 def judged_lines(lines: DataFrame) -> DataFrame:
     """Adds filled (the number of lines with text up to and with this one, in the book) and heading."""
-    filled = (~F.col("line").rlike(_BLANK_LINE)).cast("int")
-    upto = Window.partitionBy("book_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("filled", F.sum(filled).over(upto)).withColumn("heading", C.heading(F.col("line")))
+    marked = lines.withColumn("_filled", (~F.col("line").rlike(_BLANK_LINE)).cast("long"))
+    counted = summed_before(marked, "book_id", "line_no", "_filled", "_before")
+    filled = F.col("_before") + F.col("_filled")
+    return counted.select(*lines.columns, filled.alias("filled"), C.heading(F.col("line")).alias("heading"))
+
+
+def _encoded_length(text: Column, charset: Column) -> Column:
+    @F.pandas_udf("long")
+    def of_charset(texts: pd.Series, charsets: pd.Series) -> pd.Series:
+        return pd.Series([len(t.encode(c, "replace")) for t, c in zip(texts, charsets, strict=True)])
+
+    return of_charset(text, charset)
 
 
 def headings(judged: DataFrame) -> DataFrame:
-    """The lines that are headings, with number, kind and title."""
-    found = judged.filter("heading.reason = 'accepted'")
-    return found.select("book_id", "line_no", "start", "filled", "heading.number", "heading.kind", F.col("heading.text").alias("title"))
+    """The lines that are headings, with number, kind, title and inline: whether other text comes before it in its line.
+
+    An inline heading starts after that text. Its offset takes the bytes of the text in the book's
+    charset (a column of the lines; without one UTF-8). In charsets of wide units none is looked for.
+    """
+    columns = ["book_id", "line_no", "start", "filled", "heading.number", "heading.kind", F.col("heading.text").alias("title"), "inline"]
+    whole = judged.filter("heading.reason = 'accepted'").withColumn("inline", F.lit(False))
+    other = judged.filter("heading.reason <> 'accepted' and contains(line, '第')").withColumn("_in", C.inline_heading(F.col("line"))).filter("_in is not null")
+    before = F.substr("line", F.lit(1), F.col("_in.cut"))
+    size = F.octet_length(before).cast("long")
+    if "charset" in judged.columns:
+        other = other.filter(~F.lower("charset").rlike("^utf-?(16|32)"))
+        size = _encoded_length(before, F.col("charset"))
+    inside = other.withColumn("start", F.col("start") + size).withColumn("heading", F.col("_in.heading")).withColumn("inline", F.lit(True))
+    return whole.select(*columns).unionByName(inside.select(*columns))
 
 
 def without_contents(found: DataFrame, run: int = TOC_RUN) -> DataFrame:
@@ -71,6 +94,11 @@ def longest_increasing(numbers: list[int]) -> list[int]:
 
 
 def _kept(kinds: list[str], numbers: list[int]) -> list[bool]:
+    return _segmented(kinds, numbers)[0]
+
+
+def _segmented(kinds: list[str], numbers: list[int]) -> tuple[list[bool], int]:
+    """(which headings stay, how often a new segment begins)."""
     keep = [kind != "CHAPTER" for kind in kinds]
     segments: list[list[int]] = [[]]
     fresh = True
@@ -87,7 +115,7 @@ def _kept(kinds: list[str], numbers: list[int]) -> list[bool]:
     for segment in segments:
         for place in longest_increasing([numbers[i] for i in segment]):
             keep[segment[place]] = True
-    return keep
+    return keep, len(segments) - 1
 
 
 def aligned(found: DataFrame) -> DataFrame:
@@ -99,6 +127,22 @@ def aligned(found: DataFrame) -> DataFrame:
     return found.groupBy("book_id").applyInPandas(align, found.schema)
 
 
+def segments(found: DataFrame) -> DataFrame:
+    """(book_id, segments): how often numbering begins anew in each book, with a volume or a first chapter."""
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("line_no")
+        return pd.DataFrame({"book_id": rows["book_id"].head(1), "segments": [_segmented(rows["kind"].tolist(), rows["number"].astype(int).tolist())[1]]})
+
+    kind = found.schema["book_id"].dataType.simpleString()
+    return found.select("book_id", "line_no", "kind", "number").groupBy("book_id").applyInPandas(count, f"book_id {kind}, segments long")
+
+
+def starts_new_volume(chapters: DataFrame) -> DataFrame:
+    """Adds new_volume: whether a chapter's volume is another than that of the chapter before it; never without a volume."""
+    before = F.lag("volume").over(Window.partitionBy("book_id").orderBy("chapter_index"))
+    return chapters.withColumn("new_volume", F.col("volume").isNotNull() & ~F.col("volume").eqNullSafe(before))
+
+
 def with_volumes(kept: DataFrame) -> DataFrame:
     """Chapters with the title of the volume that they are in; the volumes' own rows go."""
     order = Window.partitionBy("book_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
@@ -112,8 +156,7 @@ def split(lines: DataFrame, min_chapters: int = MIN_CHAPTERS, filter_contents: b
     A book with fewer chapters is one chapter from end to end. Text before the first heading is a
     chapter of its own if it has that many characters.
     """
-    judged = judged_lines(lines)
-    found = headings(judged)
+    found = once(headings(judged_lines(lines)))
     chapters = with_volumes(aligned(without_contents(found) if filter_contents else found))
     books = lines.groupBy("book_id").agg(F.min("start").alias("_begin"), F.max("stop").alias("_end"))
     counted = chapters.groupBy("book_id").agg(F.count("*").alias("_n"), F.min("start").alias("_first"))
@@ -131,13 +174,19 @@ def split(lines: DataFrame, min_chapters: int = MIN_CHAPTERS, filter_contents: b
     return every.select("book_id", index.cast("long").alias("chapter_index"), "title", "volume", "start", stop.alias("stop"))
 
 
-def report(lines: DataFrame) -> DataFrame:
-    """(book_id, headings, rejected, contents_dropped, numbering_dropped) of each book."""
+def report(lines: DataFrame, min_chapters: int = MIN_CHAPTERS) -> DataFrame:
+    """(book_id, headings, inline, rejected, contents_dropped, numbering_dropped, segments, chapters, fallback) of each book.
+
+    headings: all candidates, inline ones among them; chapters: those left, volumes not counted;
+    fallback: whether these are too few, so that the book is one chapter.
+    """
     judged = judged_lines(lines)
-    found = headings(judged)
+    found = once(headings(judged))
     real = without_contents(found)
     last = aligned(real)
-    tried = judged.groupBy("book_id").agg(F.count_if(F.col("heading.reason") == "accepted").alias("headings"), F.count_if(~F.col("heading.reason").isin("accepted", "blank", "line too long", "not a heading")).alias("rejected"))
-    after = real.groupBy("book_id").agg(F.count("*").alias("_real")).join(last.groupBy("book_id").agg(F.count("*").alias("_last")), "book_id", "left")
-    joined = tried.join(after, "book_id", "left").fillna(0, ["_real", "_last"])
-    return joined.select("book_id", "headings", "rejected", (F.col("headings") - F.col("_real")).alias("contents_dropped"), (F.col("_real") - F.col("_last")).alias("numbering_dropped"))
+    books = found.groupBy("book_id").agg(F.count("*").alias("headings"), F.count_if("inline").alias("inline"))
+    tried = judged.groupBy("book_id").agg(F.count_if(~F.col("heading.reason").isin("accepted", "blank", "line too long", "not a heading")).alias("rejected"))
+    after = real.groupBy("book_id").agg(F.count("*").alias("_real")).join(last.groupBy("book_id").agg(F.count("*").alias("_last"), F.count_if(F.col("kind") != "VOLUME").alias("chapters")), "book_id", "left")
+    joined = tried.join(books, "book_id", "left").join(after, "book_id", "left").join(segments(real), "book_id", "left").fillna(0, ["headings", "inline", "_real", "_last", "chapters", "segments"])
+    dropped = (F.col("headings") - F.col("_real")).alias("contents_dropped"), (F.col("_real") - F.col("_last")).alias("numbering_dropped")
+    return joined.select("book_id", "headings", "inline", "rejected", *dropped, "segments", "chapters", (F.col("chapters") < min_chapters).alias("fallback"))

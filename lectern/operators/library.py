@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import normalised_name
+from lectern.operators.ordinals import summed_before
 
 # Fixed values.
 RECENT = 12
-NEAR = 0.02
+NEAR, ROUNDING = 0.02, 1e-12
 MIN_SECONDS, MAX_SECONDS = 30, 24 * 3600
 
 #: Columns of each table; older tables get what they lack.
@@ -41,6 +42,31 @@ def upsert(old: DataFrame, new: DataFrame, key: str, preserved: tuple[str, ...])
     return kept.unionByName(joined.select(*columns))
 
 
+def with_progress(books: DataFrame, progress: DataFrame) -> DataFrame:
+    """books with the reading places of progress (the same columns, by book_id) put in; places of unknown books are left out."""
+    places = [c for c in progress.columns if c != "book_id"]
+    new = progress.select(F.col("book_id").alias("_of"), *[F.col(c).alias(f"_{c}") for c in places], F.lit(True).alias("_there"))
+    joined = books.join(new, F.col("book_id") == F.col("_of"), "left")
+    return joined.select(*[F.when(F.col("_there"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in places else F.col(c) for c in books.columns])
+
+
+def with_group(books: DataFrame, book_ids: list[str], group: str | None) -> DataFrame:
+    """The books of these ids in a group; in none for a blank one."""
+    name = normalised_name(F.lit(group).cast("string"))
+    return books.withColumn("group_name", F.when(F.col("book_id").isin(book_ids), name).otherwise(F.col("group_name")))
+
+
+def forgotten(gone: DataFrame, books: DataFrame, *dependents: DataFrame) -> tuple[DataFrame, ...]:
+    """books without those of gone (book_id), and each dependent table (bookmarks, sessions, index states) without their rows."""
+    ids = gone.select("book_id").distinct()
+    return tuple(df.join(ids, "book_id", "left_anti") for df in (books, *dependents))
+
+
+def shelf(books: DataFrame) -> DataFrame:
+    """All books, those read last first; ties by id."""
+    return books.orderBy(F.desc("last_read_at"), "book_id")
+
+
 def recent(books: DataFrame, n: int = RECENT) -> DataFrame:
     """The n books read last (0 or less: the usual number)."""
     return books.orderBy(F.desc("last_read_at"), "book_id").limit(n if n > 0 else RECENT)
@@ -68,13 +94,28 @@ def near(bookmarks: DataFrame, book_id: str, chapter_index: int, ratio: float, t
 def near_all(bookmarks: DataFrame, places: DataFrame, tolerance: float = NEAR) -> DataFrame:
     """For many places (place_id, book_id, chapter_index, ratio) at once: the bookmark that near() gives.
 
-    Bookmarks and places are put in steps of the tolerance, so that a place meets three steps of
-    its chapter.
+    Of a place only the first bookmark at or after ratio - tolerance can be near, so bookmarks, one
+    for each ratio, and the different places of a chapter are put in one order and looked through
+    once. Rounding may leave that bookmark just outside, so the next one is tried too; ratios of
+    bookmarks are taken to differ by more than ROUNDING.
     """
-    stepped = bookmarks.withColumn("_step", F.floor(F.col("ratio") / tolerance))
-    asked = places.select("place_id", "book_id", "chapter_index", F.col("ratio").alias("_at"), F.explode(F.array(*[F.floor(F.col("ratio") / tolerance) + d for d in (-1, 0, 1)])).alias("_step"))
-    met = asked.join(stepped, ["book_id", "chapter_index", "_step"]).filter(F.abs(F.col("ratio") - F.col("_at")) <= tolerance)
-    return met.groupBy("place_id").agg(F.min(F.struct("ratio", "created_at")).alias("b")).select("place_id", "b.ratio", "b.created_at")
+    chapter = ["book_id", "chapter_index"]
+    firsts = bookmarks.groupBy(*chapter, "ratio").agg(F.min("created_at").alias("created_at"))
+    asked = places.select(*chapter, F.col("ratio").alias("_at")).distinct()
+    none = F.lit(None)
+    marks = firsts.select(*chapter, F.col("ratio").alias("_key"), F.lit(1).alias("_kind"), none.cast("double").alias("_at"), F.struct("ratio", "created_at").alias("_mark"))
+    spots = asked.select(*chapter, (F.col("_at") - tolerance - ROUNDING).alias("_key"), F.lit(0).alias("_kind"), F.col("_at"), none.cast(marks.schema["_mark"].dataType).alias("_mark"))
+    order = Window.partitionBy(*chapter).orderBy("_key", "_kind")
+    following = order.rowsBetween(1, Window.unboundedFollowing)
+    # each bookmark knows the next one; a place then needs only the bookmark after it
+    chained = marks.withColumn("_next", F.lead("_mark").over(order)).unionByName(spots.withColumn("_next", none.cast(marks.schema["_mark"].dataType)))
+    pair = F.when(F.col("_mark").isNotNull(), F.struct("_mark", "_next"))
+    met = chained.withColumn("_pair", F.first(pair, ignorenulls=True).over(following)).filter("_kind = 0")
+    close = lambda mark: F.abs(mark["ratio"] - F.col("_at")) <= tolerance
+    first, second = F.col("_pair._mark"), F.col("_pair._next")
+    found = met.withColumn("_b", F.when(close(first), first).when(close(second), second)).filter("_b is not null").select(*chapter, "_at", "_b")
+    named = places.select("place_id", *chapter, F.col("ratio").alias("_at"))
+    return named.join(found, [*chapter, "_at"]).select("place_id", "_b.ratio", "_b.created_at")
 
 
 def saved_settings(old: DataFrame, values: dict[str, str], known: list[str]) -> DataFrame:
@@ -83,6 +124,44 @@ def saved_settings(old: DataFrame, values: dict[str, str], known: list[str]) ->
     return rest.unionByName(old.sparkSession.createDataFrame(sorted(values.items()), SETTING))
 
 
+def all_settings(settings: DataFrame) -> DataFrame:
+    """Every setting, by key."""
+    return settings.orderBy("key")
+
+
+def whole_or(raw: Column, fallback: int) -> Column:
+    """The whole number that a setting's text says, or the fallback."""
+    value = F.trim(raw)
+    return F.coalesce(F.when(value.rlike("^[+-]?[0-9]+$"), value.try_cast("int")), F.lit(fallback))
+
+
+def decimal_or(raw: Column, fallback: float) -> Column:
+    """The finite number that a setting's text says, or the fallback."""
+    value = F.trim(raw).try_cast("double")
+    return F.coalesce(F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value), F.lit(fallback))
+
+
+def clamped(value: Column, low: float, high: float) -> Column:
+    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+
+
+def percent_label(ratio: Column) -> Column:
+    return F.concat(F.floor(ratio * 100 + 0.5).cast("string"), F.lit("%"))
+
+
+def bookmark_label(title: Column, chapter_index: Column, ratio: Column) -> Column:
+    name = F.when(normalised_name(title).isNull(), F.concat(F.lit("第 "), (chapter_index + 1).cast("string"), F.lit(" 章"))).otherwise(title)
+    return F.concat(name, F.lit("  ·  章内 "), percent_label(ratio))
+
+
+def reading_time_label(millis: Column) -> Column:
+    """Hours and minutes in words; nothing for no time."""
+    minutes = F.floor(millis / 60_000)
+    hours, rest = F.floor(minutes / 60), minutes % 60
+    said = F.when(hours <= 0, F.concat(rest.cast("string"), F.lit(" 分钟"))).when(rest == 0, F.concat(hours.cast("string"), F.lit(" 小时"))).otherwise(F.concat(hours.cast("string"), F.lit(" 小时 "), rest.cast("string"), F.lit(" 分")))
+    return F.when(F.coalesce(millis, F.lit(0)) <= 0, "").when(minutes < 1, "不足 1 分钟").otherwise(said)
+
+
 def searchable(books: DataFrame, meta: DataFrame) -> DataFrame:
     return books.join(meta, "book_id", "left_semi")
 
@@ -110,12 +189,14 @@ def reading_segments(opened: DataFrame) -> DataFrame:
     return own.filter(F.col("seconds") >= MIN_SECONDS).withColumn("seconds", F.least("seconds", F.lit(MAX_SECONDS)).cast("long"))
 
 
-def whole_book_ratio(chapters: DataFrame) -> DataFrame:
-    """Where each chapter's middle is in its book, from 0 to 1. chapters: book_id, chapter_index, length."""
-    order = Window.partitionBy("book_id").orderBy("chapter_index")
-    start = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = chapters.withColumn("start_at", start)
+def whole_book_ratio(chapters: DataFrame, ratio: Column | None = None) -> DataFrame:
+    """Where a place in each chapter is in its book, from 0 to 1. chapters: book_id, chapter_index, length.
+
+    ratio: the place in the chapter, from 0 to 1; without it the chapter's middle, rounded down.
+    """
+    placed = summed_before(chapters, "book_id", "chapter_index", "length", "start_at")
     ends = chapters.groupBy("book_id").agg(F.sum("length").alias("_end"))
-    at = F.col("start_at") + F.floor(F.col("length") / 2)
-    ratio = F.when(F.col("_end") > 0, F.least(F.lit(1.0), at / F.col("_end"))).otherwise(F.lit(0.0))
-    return placed.join(ends, "book_id").select("book_id", "chapter_index", "start_at", (F.col("start_at") + F.col("length")).alias("end_at"), F.round(ratio, 6).alias("ratio"))
+    inside = F.floor(F.col("length") / 2) if ratio is None else F.floor(ratio * F.col("length") + 0.5)
+    at = F.col("start_at") + inside
+    of_book = F.when(F.col("_end") > 0, clamped(at / F.col("_end"), 0.0, 1.0)).otherwise(F.lit(0.0))
+    return placed.join(ends, "book_id").select("book_id", "chapter_index", "start_at", (F.col("start_at") + F.col("length")).alias("end_at"), F.round(of_book, 6).alias("ratio"))

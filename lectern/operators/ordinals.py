@@ -22,3 +22,14 @@ def numbered(df: DataFrame, key: str, order: str, name: str, span: int = SPAN) -
     inside = F.row_number().over(Window.partitionBy(key, "_span").orderBy(order)) - 1
     joined = cut.withColumn("_inside", inside).join(starts, F.col(key).eqNullSafe(F.col("_key")) & F.col("_span").eqNullSafe(F.col("_of")))
     return joined.select(*df.columns, (F.col("_before") + F.col("_inside")).cast("long").alias(name))
+
+
+def summed_before(df: DataFrame, key: str, order: str, value: str, name: str, span: int = SPAN) -> DataFrame:
+    """Adds the sum of a column over the rows before each in its group, spread over spans in the same way."""
+    cut = df.withColumn("_span", F.floor(F.col(order) / span))
+    sums = cut.groupBy(F.col(key).alias("_key"), F.col("_span").alias("_of")).agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_key", "_of", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    inside = F.sum(value).over(Window.partitionBy(key, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    joined = cut.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(starts, F.col(key).eqNullSafe(F.col("_key")) & F.col("_span").eqNullSafe(F.col("_of")))
+    return joined.select(*df.columns, (F.col("_before") + F.col("_inside")).cast("long").alias(name))

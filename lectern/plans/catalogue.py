@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from lectern.functions import chinese as C
 from lectern.functions import text as X
+from lectern.functions import titles as N
 from lectern.operators import ask as A
 from lectern.operators import chapters as H
 from lectern.operators import library as B
 from lectern.operators import search as S
 from lectern.operators.ordinals import numbered
+from lectern.operators.shared import new_folder
 from lectern.sources import books
 from lectern.streaming import incremental
 
@@ -63,6 +65,12 @@ _CHAPTERS = """
 """
 
 
+def _expected(columns: str, rows: list[tuple]) -> str:
+    """SQL for known rows: what literal input has to give."""
+    literal = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x).upper() if isinstance(x, bool) else str(x)
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) AS v({columns})"
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_verified(spark, sf_dir)
 
@@ -193,6 +201,28 @@ def search_rows(spark, sf_dir):
     return S.with_headers(S.verified(chapters(spark, sf_dir), QUERY))
 
 
+@_query(_CHAPTERS + "SELECT book_id, chapter_index, hit_count FROM hits WHERE book_id <> 'src2' AND NOT (book_id = 'src1' AND chapter_index % 2 = 1)")
+def search_index(spark, sf_dir):
+    """A search by an index on disk, after a book has been indexed again with half of its chapters and another one dropped."""
+    path, own = new_folder(spark, "index"), chapters(spark, sf_dir)
+    S.index_books(own, path)
+    half = own.filter("book_id <> 'src1' or chapter_index % 2 = 0")
+    S.index_books(half.filter("book_id = 'src1'"), path)
+    S.drop_books(spark.createDataFrame([("src2",), ("nobody",)], "book_id string"), path)
+    return S.verified_by_index(S.read_index(spark, path), S.texts_of(own), QUERY).select("book_id", "chapter_index", "hit_count")
+
+
+@_query("SELECT source AS book_id, count(*) AS chapters, CASE WHEN source < 'src15' THEN 1 ELSE 2 END AS generation FROM documents WHERE source <> 'src3' GROUP BY source")
+def index_on_demand(spark, sf_dir):
+    """The index's books after one has been dropped and those that were missing have been indexed on demand."""
+    path, own = new_folder(spark, "index"), chapters(spark, sf_dir)
+    files = own.select("book_id", F.lit("f").alias("fingerprint")).distinct()
+    S.index_books(own.filter("book_id < 'src15'"), path, files)
+    S.index_on_demand(own, files, path)
+    S.drop_books(spark.createDataFrame([("src3",)], "book_id string"), path)
+    return S.indexed_books(spark, path).select("book_id", "chapters", F.col("generation").cast("int").alias("generation"))
+
+
 # The library
 
 
@@ -261,6 +291,44 @@ def bookmarks_near_all(spark, sf_dir):
     return B.near_all(_bookmarks(spark, sf_dir), places)
 
 
+@_query(_SHELF + "SELECT book_id, title, CASE WHEN CAST(book_id AS BIGINT) IN (1, 2, 3, 7) THEN 'to read' ELSE group_name END AS group_name FROM shelf")
+def shelf_set_group(spark, sf_dir):
+    return B.with_group(_shelf(spark, sf_dir), ["1", "2", "3", "7"], " to read ").select("book_id", "title", "group_name")
+
+
+@_query(_SHELF + ", progress AS (SELECT CAST(user_id AS VARCHAR) AS book_id, max(epoch_us(ts)) AS last_read_at FROM events GROUP BY user_id) SELECT book_id, title, coalesce(p.last_read_at, s.last_read_at) AS last_read_at FROM shelf s LEFT JOIN progress p USING (book_id)")
+def shelf_progress(spark, sf_dir):
+    progress = table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("book_id")).agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("last_read_at"))
+    return B.shelf(B.with_progress(_shelf(spark, sf_dir), progress)).select("book_id", "title", "last_read_at")
+
+
+@_query("SELECT o_orderkey, o_custkey AS book_id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def shelf_forgotten(spark, sf_dir):
+    """What is left of a dependent table (orders for bookmarks) when a group of books is forgotten."""
+    books = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("book_id"), "c_mktsegment")
+    marks = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("book_id"))
+    return B.forgotten(books.filter("c_mktsegment = 'BUILDING'"), books, marks)[1]
+
+
+_RAW = "CASE user_id % 5 WHEN 0 THEN ' 12 ' WHEN 1 THEN 'x' WHEN 2 THEN '2.5' WHEN 3 THEN 'NaN' ELSE NULL END"
+
+
+@_query("SELECT event_id, CAST(CASE user_id % 5 WHEN 0 THEN 12 ELSE 18 END AS INTEGER) AS size, CAST(CASE user_id % 5 WHEN 0 THEN 2.0 WHEN 2 THEN 2.0 ELSE 1.5 END AS DOUBLE) AS spacing FROM events")
+def settings_parsed(spark, sf_dir):
+    raw = F.expr(_RAW)
+    return table(spark, sf_dir, "events").select("event_id", B.whole_or(raw, 18).alias("size"), B.clamped(B.decimal_or(raw, 1.5), 1.0, 2.0).alias("spacing"))
+
+
+@_query("""
+    WITH m AS (SELECT event_id, (event_id * 7919) % 20000000 AS ms, (event_id % 201) / 200.0 AS r, event_id % 4 AS k FROM events)
+    SELECT event_id, CASE WHEN ms <= 0 THEN '' WHEN ms < 60000 THEN '不足 1 分钟' WHEN ms < 3600000 THEN (ms // 60000) || ' 分钟' WHEN ms // 60000 % 60 = 0 THEN (ms // 3600000) || ' 小时' ELSE (ms // 3600000) || ' 小时 ' || (ms // 60000 % 60) || ' 分' END AS reading_time,
+           (CASE WHEN k = 0 THEN '第 ' || (k + 1) || ' 章' ELSE 'c' || k END) || '  ·  章内 ' || CAST(floor(CAST(r AS DOUBLE) * 100 + 0.5) AS INTEGER) || '%' AS bookmark FROM m""")
+def labels_shown(spark, sf_dir):
+    k = F.col("event_id") % 4
+    title = F.when(k == 0, " ").otherwise(F.concat(F.lit("c"), k))
+    return table(spark, sf_dir, "events").select("event_id", B.reading_time_label(F.col("event_id") * 7919 % 20_000_000).alias("reading_time"), B.bookmark_label(title, k, F.col("event_id") % 201 / 200.0).alias("bookmark"))
+
+
 @_query("SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
 def progress_latest(spark, sf_dir):
     return B.latest(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_type", "value")
@@ -358,6 +426,17 @@ def whole_book_ratio(spark, sf_dir):
     return B.whole_book_ratio(numbered(docs, "book_id", "doc_id", "chapter_index"))
 
 
+@_query(
+    _LENGTHS.replace("n_chars AS length", "n_chars AS length, (doc_id % 11) / 10.0 AS r")
+    + """
+    SELECT book_id, chapter_index, start_at, start_at + length AS end_at, CASE WHEN total > 0 THEN round(least(1.0, (start_at + floor(CAST(r AS DOUBLE) * length + 0.5)) / total), 6) ELSE 0.0 END AS ratio
+    FROM (SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY book_id ORDER BY chapter_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_at, CAST(sum(length) OVER (PARTITION BY book_id) AS BIGINT) AS total FROM c)"""
+)
+def place_in_book(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), "doc_id", F.col("n_chars").alias("length"))
+    return B.whole_book_ratio(numbered(docs, "book_id", "doc_id", "chapter_index"), F.col("doc_id") % 11 / 10.0)
+
+
 @_query("SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '^﻿', ''), '\\r\\n?', chr(10), 'g'), '(?m)[ \\t\\x{3000}]+$', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')) AS sha FROM documents")
 def clean_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.clean(F.col("text")), 256).alias("sha"))
@@ -382,7 +461,10 @@ def dedupe_keep_first(spark, sf_dir):
 _NUMERALS = ["一", "十", "十三", "二十", "一百二", "一百零五", "三千", "一万", "十二万三千四百五十六", "1024", "０７", "贰拾", "两", "一二三", "第", "", "零十", "二亿", "九十九亿"]
 
 
-@_query()
+_NUMBERS = [1, 10, 13, 20, 102, 105, 3000, 10000, 123456, 1024, 7, 20, 2, 3, None, None, None, 200000000, None]
+
+
+@_query(_expected("numeral, number", list(zip(_NUMERALS, _NUMBERS, strict=True))))
 def chinese_numbers(spark, sf_dir):
     return spark.createDataFrame([(x,) for x in _NUMERALS], "numeral string").select("numeral", C.number(F.col("numeral")).alias("number"))
 
@@ -390,7 +472,14 @@ def chinese_numbers(spark, sf_dir):
 _HEADINGS = ["第一章 石符", "【第二章 觉醒】", "第三卷 远行", "楔子", "番外3 雪", "第四章，他离开了这座城", "第十二章 的确", "他说第五章很好看。", "第九章 走！快走", "", "第１０章：风起", "正文"]
 
 
-@_query()
+_JUDGED = [
+    (0, "accepted", 1, "CHAPTER", "石符"), (1, "accepted", 2, "CHAPTER", "觉醒"), (2, "accepted", 3, "VOLUME", "远行"), (3, "accepted", 0, "SPECIAL", ""), (4, "accepted", 3, "SPECIAL", "雪"),
+    (5, "begins with punctuation", 4, "CHAPTER", "，他离开了这座城"), (6, "begins with a particle", 12, "CHAPTER", "的确"), (7, "not a heading", 0, "SPECIAL", ""), (8, "sentence end inside", 9, "CHAPTER", "走！快走"),
+    (9, "blank", 0, "SPECIAL", ""), (10, "accepted", 10, "CHAPTER", "风起"), (11, "not a heading", 0, "SPECIAL", ""),
+]
+
+
+@_query(_expected("id, reason, number, kind, title", _JUDGED))
 def headings(spark, sf_dir):
     rows = spark.createDataFrame(list(enumerate(_HEADINGS)), "id int, line string")
     return rows.select("id", C.heading(F.col("line")).alias("h")).select("id", "h.reason", "h.number", "h.kind", "h.title")
@@ -411,12 +500,18 @@ def _book_lines(spark):
     return spark.createDataFrame(rows, "book_id string, line_no long, start long, stop long, line string")
 
 
-@_query()
+_SPLIT = [
+    (0, 88, 213, "第五章 标题", None), (1, 213, 263, "第一章 起", None), (2, 263, 363, "第二章 承", None), (3, 363, 413, "第三章 转", None), (4, 413, 496, "第四章 合", None),
+    (5, 496, 523, "第一章 再起", "第二卷 远方"), (6, 523, 550, "第二章 再承", "第二卷 远方"),
+]
+
+
+@_query(_expected("book_id, chapter_index, start, stop, title, volume", [("b1", *r) for r in _SPLIT]))
 def split_chapters(spark, sf_dir):
     return H.split(_book_lines(spark))
 
 
-@_query()
+@_query(_expected("book_id, headings, inline, rejected, contents_dropped, numbering_dropped, segments, chapters, fallback", [("b1", 13, 0, 0, 4, 1, 2, 7, False)]))
 def split_report(spark, sf_dir):
     return H.report(_book_lines(spark))
 
@@ -443,6 +538,36 @@ def volumes(spark, sf_dir):
     return H.with_volumes(rows).select("book_id", "line_no", "volume")
 
 
+@_query("""
+    WITH c AS (SELECT source AS book_id, doc_id AS chapter_index, CASE WHEN doc_id % 30 < 20 THEN 'v' || (doc_id // 200) END AS volume FROM documents)
+    SELECT *, volume IS NOT NULL AND volume IS DISTINCT FROM lag(volume) OVER (PARTITION BY book_id ORDER BY chapter_index) AS new_volume FROM c""")
+def volume_starts(spark, sf_dir):
+    volume = F.when(F.col("doc_id") % 30 < 20, F.concat(F.lit("v"), F.floor(F.col("doc_id") / 200).cast("string")))
+    return H.starts_new_volume(table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").alias("chapter_index"), volume.alias("volume")))
+
+
+_HEADS = [
+    (0, "01.txt", "《元尊》\n作者：天蚕土豆\n内容"), (1, "斗破苍穹（精校版全本）作者天蚕土豆TXT下载.txt", "没有标题的开头"), (2, "a.txt", "书名：《全职高手》（全本）\n作者: 蝴蝶蓝|全本"),
+    (3, "x.txt", "『武动乾坤/作者:天蚕土豆』\n『状态:已完结』"), (4, "《作者之死》.txt", "作者：未知"), (5, ".txt", None), (6, "下载.epub", "作 者：欧·亨利 著"),
+]
+_TITLES = [(0, "元尊", "天蚕土豆"), (1, "斗破苍穹", None), (2, "全职高手", "蝴蝶蓝"), (3, "武动乾坤", "天蚕土豆"), (4, "作者之死", None), (5, ".txt", None), (6, "下载", "欧·亨利")]
+
+
+@_query(_expected("id, title, author", _TITLES))
+def titles_and_authors(spark, sf_dir):
+    rows = spark.createDataFrame(_HEADS, "id int, file string, head string")
+    return rows.select("id", N.title(F.col("head"), F.col("file")).alias("title"), N.author(F.col("head")).alias("author"))
+
+
+_ENDS = ["（求收藏，求推荐票，麻烦大家了，谢谢第八章冲突", "第八章 冲突", "他在第一回合的交手中，便是败得如此的凄惨？", "没有标题", "他说第三章第四章 云起", "感谢第五章，风起", None]
+
+
+@_query(_expected("id, cut, number, title", [(0, 18, 8, "冲突"), (1, None, None, None), (2, None, None, None), (3, None, None, None), (4, 2, 3, "第四章 云起"), (5, None, None, None), (6, None, None, None)]))
+def inline_headings(spark, sf_dir):
+    rows = spark.createDataFrame(list(enumerate(_ENDS)), "id int, line string").withColumn("h", C.inline_heading(F.col("line")))
+    return rows.select("id", "h.cut", "h.heading.number", "h.heading.title")
+
+
 # Pages
 
 
@@ -462,7 +587,18 @@ def page_blocks(spark, sf_dir):
 _QUESTIONS = ["叶修是谁", "谁知道这件事", "药老是什么来历", "云岚宗在哪里？", "", "石符 有什么用", "怎么样"]
 
 
-@_query()
+_TERMS = [
+    (0, "叶修", "叶修", "修是|修是谁|叶修|叶修是|叶修是谁|是谁"),
+    (1, "谁知道这件事", "谁知道这件事|谁知道这|谁知道|谁知|知道这件|知道这|道这件事|道这件|道这|件事", "件事|知道|知道这|知道这件|谁知|谁知道|谁知道这|这件|这件事|道这|道这件|道这件事"),
+    (2, "药老来历", "药老来历|药老来|药老|老来历|老来|来历", "么来|么来历|什么|什么来|什么来历|是什|是什么|是什么来|来历|老是|老是什|老是什么|药老|药老是|药老是什"),
+    (3, "云岚宗", "云岚宗|云岚|岚宗", "云岚|云岚宗|云岚宗在|哪里|在哪|在哪里|宗在|宗在哪|宗在哪里|岚宗|岚宗在|岚宗在哪"),
+    (4, "", "", ""),
+    (5, "石符 有什么用", "石符 有什么用|石符|么用", "么用|什么|什么用|有什|有什么|有什么用|石符"),
+    (6, "样", "样", "么样|怎么|怎么样"),
+]
+
+
+@_query(_expected("question_id, keyword, ladder, terms", _TERMS))
 def question_terms(spark, sf_dir):
     rows = spark.createDataFrame(list(enumerate(_QUESTIONS)), "question_id int, question string")
     return rows.select("question_id", C.question_keyword(F.col("question")).alias("keyword"), F.array_join(C.term_ladder(F.col("question")), "|").alias("ladder"), F.array_join(C.query_terms(F.col("question")), "|").alias("terms"))
@@ -471,7 +607,10 @@ def question_terms(spark, sf_dir):
 _ANSWERS = [(1, "答案一[1]。没有出处。答案二[2][9]！", 3), (2, "没有引用。", 3), (3, "全是错的[7]。", 3), (4, None, 3), (5, "有[1]", 0), (6, "[2][1][2]好", 2)]
 
 
-@_query()
+_VALIDATED = [(1, "答案一[1]。答案二[2]！", "ok", "1,2", "9"), (2, "", "invalid-citations", "", ""), (3, "", "invalid-citations", "", "7"), (4, "", "llm-error", "", ""), (5, "", "no-chunks", "", ""), (6, "[2][1][2]好", "ok", "2,1", "")]
+
+
+@_query(_expected("question_id, answer, outcome, refs, invalid", _VALIDATED))
 def answers_validated(spark, sf_dir):
     checked = A.validated(spark.createDataFrame(_ANSWERS, "question_id int, raw string, n_chunks int"))
     return checked.select("question_id", "answer", "outcome", F.array_join("refs", ",").alias("refs"), F.array_join("invalid", ",").alias("invalid"))
@@ -526,6 +665,32 @@ def ask_answers(spark, sf_dir):
     return answers.select("question_id", "n_chunks", "answer", "outcome", F.array_join("refs", ",").alias("refs"))
 
 
+_PROMPTED = [(1, "叶修是谁", "【片段1｜《b》第 1 章第 1 段】\n叶修来了"), (2, "没有的事", None)]
+
+
+@_query(
+    _expected(
+        "question_id, user_prompt",
+        [
+            (1, "【原文片段】\n【片段1｜《b》第 1 章第 1 段】\n叶修来了\n\n---\n【用户问题】\n叶修是谁\n\n请依据上面的原文片段作答，并在每个结论后标注依据的片段编号。"),
+            (2, "【原文片段】（本次没有召回到任何与问题相关的原文）\n\n用户问题：没有的事\n\n请只回答一句话：原文里没有提到。不要作答、不要推测、不要使用你自己的知识。"),
+        ],
+    )
+)
+def prompts_built(spark, sf_dir):
+    rows = spark.createDataFrame(_PROMPTED, "question_id int, question string, context string")
+    return A.prompts(rows.select("question_id", "question"), rows.select("question_id", "context").filter("context is not null")).select("question_id", "user_prompt")
+
+
+@_query("""
+    WITH q AS (SELECT DISTINCT conv_id AS question_id FROM conversations), r AS (SELECT conv_id AS question_id, turn % 3 AS book_id FROM conversations WHERE role = 'user')
+    SELECT question_id, CAST(question_id % 4 AS BIGINT) AS searched_books, count(DISTINCT book_id) AS indexed_books, count(book_id) AS hits FROM q LEFT JOIN r USING (question_id) GROUP BY question_id""")
+def ask_coverage(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "question_id")
+    asked = turns.select("question_id").distinct().withColumn("book_ids", F.expr("transform(filter(sequence(1, 4), i -> i <= question_id % 4), i -> string(i))"))
+    return A.ask_coverage(asked, turns.filter("role = 'user'").select("question_id", (F.col("turn") % 3).alias("book_id")))
+
+
 # Sessions
 
 

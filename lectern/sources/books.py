@@ -16,24 +16,48 @@ from html.parser import HTMLParser
 from urllib.parse import unquote_plus
 from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
+from lectern.functions import titles
 
 # Fixed values.
-MAX_FILES, SAMPLE_BYTES, MAX_IMAGE_BYTES = 2000, 256 * 1024, 8 * 1024 * 1024
+MAX_FILES, SAMPLE_BYTES, HEAD_BYTES, MAX_IMAGE_BYTES = 2000, 256 * 1024, 4096, 8 * 1024 * 1024
 EXTENSIONS = ("txt", "epub")
 _BOMS = ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF32_LE, "utf-32-le"), (codecs.BOM_UTF32_BE, "utf-32-be"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"))
 
 
-def scan(spark: SparkSession, folder: str, most: int = MAX_FILES) -> DataFrame:
-    """path, length, modificationTime, book_id, format and fingerprint of the first `most` books of a folder by path, at any depth, hidden ones left out."""
+def _listed(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length", "modificationTime")
     ending = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    shown = files.withColumn("format", ending).filter(F.col("format").isin(*EXTENSIONS) & ~F.col("path").rlike(r"/\.[^/]*$"))
-    return shown.orderBy("path").limit(most).select("*", X.book_id(F.col("path")).alias("book_id"), X.fingerprint(F.col("length"), F.col("modificationTime")).alias("fingerprint"))
+    return files.withColumn("format", ending).filter(F.col("format").isin(*EXTENSIONS) & ~F.col("path").rlike(r"/\.[^/]*$"))
+
+
+def scan(spark: SparkSession, folder: str, most: int = MAX_FILES) -> DataFrame:
+    """path, length, modificationTime, book_id, format and fingerprint of the first `most` books of a folder by path, at any depth, hidden ones left out; and truncated, whether there are more."""
+    listed = _listed(spark, folder)
+    # one row more tells whether there are more
+    rows = listed.orderBy("path").limit(most + 1)
+    total = rows.agg(F.count("*").alias("_n"))
+    shown = rows.orderBy("path").limit(most).crossJoin(F.broadcast(total))  # one row
+    return shown.select(*listed.columns, X.book_id(F.col("path")).alias("book_id"), X.fingerprint(F.col("length"), F.col("modificationTime")).alias("fingerprint"), (F.col("_n") > most).alias("truncated"))
+
+
+def import_report(scanned: DataFrame, known: DataFrame, read: DataFrame) -> DataFrame:
+    """One row about an import: scanned, skipped (known before), imported, failed, truncated, and failures (path and reason of each, by path).
+
+    scanned: see scan(); known: book_id; read: book_id and error (null where it went well), of the files that were read.
+    """
+    old = known.select("book_id", F.lit(True).alias("_old")).distinct()
+    tried = read.groupBy("book_id").agg(F.max("error").alias("error"), F.lit(True).alias("_read"))
+    rows = scanned.join(old, "book_id", "left").join(tried, "book_id", "left")
+    skipped = F.col("_old").isNotNull()
+    failed = ~skipped & (F.col("error").isNotNull() | F.col("_read").isNull())
+    failure = F.when(failed, F.struct("path", F.coalesce("error", F.lit("not read")).alias("reason")))
+    return rows.agg(F.count("*").alias("scanned"), F.count_if(skipped).alias("skipped"), F.count_if(~skipped & ~failed).alias("imported"), F.count_if(failed).alias("failed"), F.coalesce(F.bool_or("truncated"), F.lit(False)).alias("truncated"), F.array_sort(F.collect_list(failure)).alias("failures"))
 
 
 def _plausible(text: str) -> tuple[float, int]:
@@ -68,28 +92,82 @@ def detect(content: bytes) -> tuple[str, int]:
     return (best[1] if best[0][0] > 0 else "gb18030"), 0
 
 
-def lines_of(content: bytes) -> Iterator[tuple[int, int, int, str]]:
-    """(line_no, start, stop, line) of a text: offsets in bytes, line ends \\r\\n, \\n and \\r left out of the line and counted in stop."""
-    charset, at = detect(content)
-    for n, m in enumerate(re.finditer(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+$", content[at:].decode(charset, "replace"))):
-        size = len(m[0].encode(charset, "replace"))
-        yield n, at, at + size, m[0].rstrip("\r\n")
-        at += size
+def lines_of(content: bytes, charset: str, at: int) -> Iterator[tuple[int, int, int, str]]:
+    """(line_no, start, stop, line) of a text from byte `at` on: offsets in bytes, line ends \\r\\n, \\n and \\r left out of the line and counted in stop.
+
+    The bytes are cut at line ends before they are decoded, so offsets hold whatever can't be decoded.
+    """
+    width = {"utf-16": 2, "utf-32": 4}.get(charset[:6], 1)
+    units = np.frombuffer(content, f"{'>' if charset.endswith('be') else '<'}u{width}", (len(content) - at) // width, at)
+    stops = np.flatnonzero((units == 10) | (units == 13))
+    # \r before \n ends no line by itself
+    followed = stops[:-1][(units[stops[:-1]] == 13) & (units[stops[1:]] == 10) & (stops[1:] == stops[:-1] + 1)] if len(stops) else stops
+    ends = at + width * (np.setdiff1d(stops, followed) + 1)
+    for n, (start, stop) in enumerate(zip([at, *ends.tolist()], [*ends.tolist(), len(content)], strict=True)):
+        if start < stop:
+            yield n, start, stop, content[start:stop].decode(charset, "replace").rstrip("\r\n")
+
+
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(folder).withColumn("book_id", X.book_id(F.col("path")))
 
 
 def read_lines(spark: SparkSession, folder: str) -> DataFrame:
     """book_id, charset, line_no, start, stop and line of the text books of a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(folder)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for book, content in zip(frame["book_id"], frame["content"], strict=True):
-                rows = pd.DataFrame(lines_of(content), columns=["line_no", "start", "stop", "line"])
-                rows.insert(0, "charset", detect(content)[0])
+                charset, at = detect(content)
+                rows = pd.DataFrame(lines_of(content, charset, at), columns=["line_no", "start", "stop", "line"])
+                rows.insert(0, "charset", charset)
                 rows.insert(0, "book_id", book)
                 yield rows
 
-    return files.select(X.book_id(F.col("path")).alias("book_id"), "content").mapInPandas(run, "book_id string, charset string, line_no long, start long, stop long, line string")
+    return _texts(spark, folder).select("book_id", "content").mapInPandas(run, "book_id string, charset string, line_no long, start long, stop long, line string")
+
+
+def read_heads(spark: SparkSession, folder: str) -> DataFrame:
+    """book_id, path and head, the text of the first HEAD_BYTES bytes, of the text books of a folder."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            heads = []
+            for content in frame.pop("head"):
+                charset, at = detect(content)
+                heads.append(content[at:].decode(charset, "replace"))
+            yield frame.assign(head=heads)
+
+    heads = _texts(spark, folder).select("book_id", "path", F.substring("content", 1, HEAD_BYTES).alias("head"))
+    return heads.mapInPandas(run, "book_id string, path string, head string")
+
+
+def metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """book_id, path, title and author of the text books of a folder."""
+    file_name = F.url_decode(F.regexp_extract("path", r"([^/]*)$", 1))
+    return read_heads(spark, folder).select("book_id", "path", titles.title(F.col("head"), file_name).alias("title"), titles.author(F.col("head")).alias("author"))
+
+
+def read_chapters(spark: SparkSession, folder: str, chapters: DataFrame) -> DataFrame:
+    """book_id, chapter_index and text of chapters given by byte ranges (start, stop); ranges beyond the end of a file are cut there.
+
+    A book's ranges come together with its file.
+    """
+    ranges = chapters.groupBy("book_id").agg(F.collect_list(F.struct("chapter_index", "start", "stop")).alias("ranges"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for book, content, own in zip(frame["book_id"], frame["content"], frame["ranges"], strict=True):
+                charset, mark = detect(content)
+                rows = []
+                for r in own:
+                    start = max(0, min(r["start"], len(content)))
+                    stop = max(start, min(r["stop"], len(content)))
+                    rows.append((book, r["chapter_index"], re.sub(r"(?:\r\n|\r|\n)\Z", "", content[max(start, mark) : stop].decode(charset, "replace"))))
+                yield pd.DataFrame(rows, columns=["book_id", "chapter_index", "text"])
+
+    loaded = _texts(spark, folder).select("book_id", "content").join(ranges, "book_id").mapInPandas(run, "book_id string, chapter_index long, text string")
+    return loaded.withColumn("text", X.clean(F.col("text")))
 
 
 def chapter_texts(lines: DataFrame, chapters: DataFrame) -> DataFrame:

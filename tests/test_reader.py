@@ -58,11 +58,23 @@ def test_false_positive_and_caps(spark):
 
 
 def test_index_on_disk(spark, tmp_path):
-    chapters = spark.createDataFrame([("b1", 0, "of the town"), ("b2", 3, "the"), ("b3", 1, "the rest of it")], "book_id string, chapter_index int, text string")
-    S.write_index(chapters, str(tmp_path / "index"))
-    S.write_index(chapters.filter("book_id = 'b2'").withColumn("text", F.lit("of the")), str(tmp_path / "index"))
-    found = S.candidates_of_index(S.read_index(spark, str(tmp_path / "index")), "of the")
-    assert {(r.book_id, r.chapter_index) for r in found.collect()} == {("b1", 0), ("b2", 3), ("b3", 1)}
+    path, schema = str(tmp_path / "index"), "book_id string, chapter_index int, text string"
+    chapters = spark.createDataFrame([("b1", 0, "of the town"), ("b2", 3, "the"), ("b3", 1, "the rest of it"), ("b3", 2, "of the")], schema)
+    found = lambda: {(r.book_id, r.chapter_index) for r in S.candidates_of_index(S.read_index(spark, path), "of the").collect()}
+    S.index_books(chapters, path, chapters.select("book_id", F.lit("1:2").alias("fingerprint")).distinct())
+    assert found() == {("b1", 0), ("b3", 1), ("b3", 2)}
+    # again, with other texts and fewer chapters
+    S.index_books(spark.createDataFrame([("b2", 3, "of the"), ("b3", 1, "of it all")], schema), path)
+    assert found() == {("b1", 0), ("b2", 3)}
+    assert {r.book_id: (r.fingerprint, r.chapters) for r in S.indexed_books(spark, path).collect()} == {"b1": ("1:2", 1), "b2": ("unknown", 1), "b3": ("unknown", 1)}
+    S.index_books(chapters.limit(0), path)
+    S.drop_books(spark.createDataFrame([("b1",), ("gone",)], "book_id string"), path)
+    assert found() == {("b2", 3)} and S.indexed_books(spark, path).count() == 2
+    files = spark.createDataFrame([("b1", "1:2"), ("b2", "unknown")], "book_id string, fingerprint string")
+    S.index_on_demand(chapters.filter("book_id < 'b3'"), files, path)
+    assert found() == {("b1", 0), ("b2", 3)}
+    texts = S.texts_of(spark.createDataFrame([("b1", 0, "Of  The, of the"), ("b2", 3, None)], schema))
+    assert [(r.book_id, r.hit_count) for r in S.verified_by_index(S.read_index(spark, path), texts, "of the").collect()] == [("b1", 1)]
 
 
 def test_display_order(spark):
@@ -107,6 +119,64 @@ def test_text_files(spark, tmp_path, charset):
     texts = {r.chapter_index: r.text for r in books.chapter_texts(lines, chapters).collect()}
     assert texts[1] == "第一章 标题一\n正文的内容在这里，他们说的是一样的话。"
     assert books.scan(spark, str(tmp_path)).first().format == "txt"
+    ranges = chapters.select("book_id", "chapter_index", "start", (F.col("stop") + F.when(F.col("chapter_index") == 4, 1000).otherwise(0)).alias("stop"))
+    assert {r.chapter_index: r.text for r in books.read_chapters(spark, str(tmp_path), ranges).collect()} == texts
+
+
+def test_offsets_hold_over_broken_bytes(spark, tmp_path):
+    for charset, raw in (("gb18030", b"\xb5\xda\xff\n\x81\x30\r\nabc\xfe"), ("utf-8", "é\r\r\n".encode() + b"\xc3\n\n"), ("utf-16-le", "a\nb\r\n\u0a0d\u0d0a".encode("utf-16-le") + b"x"), ("utf-32-be", "a\r\nb".encode("utf-32-be"))):
+        rows = list(books.lines_of(raw, charset, 0))
+        assert [n for n, *_ in rows] == list(range(len(rows)))
+        assert rows[0][1] == 0 and rows[-1][2] == len(raw) and all(a[2] == b[1] for a, b in zip(rows, rows[1:]))
+        assert [line for *_, line in rows] == [raw[a:b].decode(charset, "replace").rstrip("\r\n") for _, a, b, _ in rows]
+    assert [line for *_, line in books.lines_of("a\nb\r\nc".encode("utf-16-be"), "utf-16-be", 0)] == ["a", "b", "c"]
+
+
+@pytest.mark.parametrize("charset", ["utf-8", "gb18030"])
+def test_inline_headings_split_at_their_bytes(spark, tmp_path, charset):
+    body = "".join(f"第{n}章 标题\n正文的内容在这里，他们说的是一样的话。\n" for n in "一二三") + "（求收藏，谢谢大家第四章 冲突\n正文。\n"
+    (tmp_path / "book.txt").write_bytes(raw := body.encode(charset) + b" " + "正文里的一句话写得长一点，好认出文字来。".encode(charset))
+    lines = books.read_lines(spark, str(tmp_path)).cache()
+    last = H.split(lines).orderBy("chapter_index").collect()[-1]
+    assert last.title == "第四章 冲突" and raw[last.start :].decode(charset).startswith("第四章 冲突\n")
+    report = H.report(lines).first()
+    assert (report.headings, report.inline, report.chapters, report.fallback) == (4, 1, 4, False)
+
+
+def test_titles_of_files(spark, tmp_path):
+    (tmp_path / "01.txt").write_bytes("书名：《元尊》\n作者：天蚕土豆』\n第一章 一\n".encode("gb18030") * 20)
+    (tmp_path / "《全职高手》（精校版）.txt").write_text("没有别的。\n" * 10)
+    rows = {r.title: r.author for r in books.metadata(spark, str(tmp_path)).collect()}
+    assert rows == {"元尊": "天蚕土豆", "全职高手": None}
+
+
+def test_import_report(spark, tmp_path):
+    for name in ("a.txt", "b.txt", "c.txt", ".d.txt", "e.doc"):
+        (tmp_path / name).write_text("x")
+    assert {r.truncated for r in books.scan(spark, str(tmp_path)).collect()} == {False}
+    scanned = books.scan(spark, str(tmp_path), 2)
+    rows = {r.path[-5:]: r for r in scanned.collect()}
+    assert set(rows) == {"a.txt", "b.txt"} and all(r.truncated for r in rows.values())
+    known = spark.createDataFrame([], "book_id string")
+    read = spark.createDataFrame([(rows["a.txt"].book_id, None), (rows["b.txt"].book_id, "no archive")], "book_id string, error string")
+    one = books.import_report(scanned, known, read).first()
+    assert (one.scanned, one.skipped, one.imported, one.failed, one.truncated, [f.reason for f in one.failures]) == (2, 0, 1, 1, True, ["no archive"])
+
+
+def test_asking_without_a_model(spark):
+    questions = spark.createDataFrame([(1, "叶修是谁")], "question_id int, question string")
+    own = spark.createDataFrame([("b", 0, "叶修来了")], "book_id string, chapter_index int, text string")
+    assert A.ask(questions, own, None)[0].first().outcome == "not-configured"
+    seen = []
+    model = lambda asked: (seen.append(asked.first()), asked.select("question_id", F.lit("是他[1]。").alias("raw")))[1]
+    answers, _ = A.ask(questions, own, model, books=spark.createDataFrame([("b", "全职高手")], "book_id string, title string"))
+    assert answers.first().outcome == "ok" and "《全职高手》第 1 章第 1 段" in seen[0].user_prompt and seen[0].system_prompt.startswith("你是一个")
+
+
+def test_numerals(spark):
+    given = ["一百二十", "十", "", None, "1", "第", "零" * 30]
+    assert values(spark, C.is_numeral, given) == [True, True, False, False, False, False, True]
+    assert values(spark, lambda x: C.number_or(x, -1), given) == [120, 10, -1, -1, 1, -1, 0]
 
 
 def test_epub(spark, tmp_path):
@@ -135,7 +205,12 @@ def test_streams_give_what_batches_give(spark, tmp_path):
     schema = "book_id string, chapter_index int, text string"
     spark.createDataFrame([("b1", 0, "of the"), ("b2", 0, "the")], schema).write.parquet(str(tmp_path / "in"))
     incremental.index_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "index"), str(tmp_path / "c1")).awaitTermination()
-    assert S.candidates_of_index(spark.read.parquet(str(tmp_path / "index")), "of the").count() == 1
+    found = lambda: {r.book_id for r in S.candidates_of_index(incremental.read_stream_index(spark, str(tmp_path / "index")), "of the").collect()}
+    assert found() == {"b1"}
+    # chapters that come again are searched by their last text
+    spark.createDataFrame([("b1", 0, "of it"), ("b2", 0, "of the")], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    incremental.index_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "index"), str(tmp_path / "c1")).awaitTermination()
+    assert found() == {"b2"}
     progress = "book_id string, ts timestamp, ratio double"
     for part, rows in enumerate(([("b1", "2024-01-01 00:00:00", 0.1), ("b1", "2024-01-02 00:00:00", 0.2)], [("b1", "2024-01-01 12:00:00", 0.9), ("b2", "2024-01-01 00:00:00", 0.5)])):
         spark.createDataFrame(rows, "book_id string, ts string, ratio double").withColumn("ts", F.col("ts").cast("timestamp")).write.mode("append").parquet(str(tmp_path / "progress"))
