@@ -15,8 +15,9 @@ dropped.
 Without given weights, a source gets its share of bytes to the power of SMOOTHING, which raises
 small sources.
 
-Only one row per source, and the period, are on the driver or broadcast: as many rows as there
-are sources, and PERIOD (or SLOTS_A_SOURCE for each source, if that is more).
+Only one row per source, and the period, are on the driver: as many rows as there are sources, and
+PERIOD (or SLOTS_A_SOURCE for each source, if that is more). They are broadcast if they are at
+most BROADCAST_ROWS, and joined like other tables beyond that.
 
 Defined cases: a null source is a source of its own; a null or empty text takes no bytes and goes
 with the documents around it; equal rows and rows that repeat a doc_id take part one by one; rows
@@ -37,6 +38,7 @@ from lectern.llm.common import documents, identified, ranked, written
 BLOCK_BYTES = 1 << 16
 PERIOD, SLOTS_A_SOURCE = 4096, 8
 SMOOTHING = 0.7
+BROADCAST_ROWS = 1 << 17
 #: Slots to a part of the written mixture: about 16 MB of texts.
 PART_SLOTS = 256
 
@@ -120,16 +122,17 @@ def mixed(rows: DataFrame, weights: dict[str | None, float] | None = None, block
     plan = spark.createDataFrame([(k, slots[k], blocks[k], turns[k]) for k in slots], "_key string, share long, blocks long, turns long")
     period_rows = spark.createDataFrame([(k, i, slot) for k, own in places.items() for i, slot in enumerate(own)], "_key string, _nth long, _place long")
 
+    small = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
     n_docs = sum(n for _, n in totals.values())
     hashed = rows.withColumn("_hash", F.xxhash64("_id"))
     placed = ranked(hashed, ["_key"], F.pmod("_hash", F.lit(max(1, int(n_docs**0.5)))), [F.col("_hash"), F.col("_id"), F.col("_at")], "_from", F.col("_size"))
-    of_source = placed.join(F.broadcast(plan), "_key").withColumn("block", F.expr(f"_from div {block_bytes}"))
+    of_source = placed.join(small(plan, len(slots)), "_key").withColumn("block", F.expr(f"_from div {block_bytes}"))
     times = F.expr("(turns - 1 - block) div blocks")
     each = of_source.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), times)))
     turn = F.col("block") + F.col("epoch") * F.col("blocks")
     numbered = each.withColumn("_turn", turn).withColumn("_nth", F.expr("_turn % share"))
     release, deadline = F.expr(f"_turn * {period} div share"), F.expr(f"((_turn + 1) * {period} + share - 1) div share")
-    found = numbered.join(F.broadcast(period_rows), ["_key", "_nth"]).withColumn("slot", F.expr(f"_turn div share * {period} + _place"))
+    found = numbered.join(small(period_rows, period), ["_key", "_nth"]).withColumn("slot", F.expr(f"_turn div share * {period} + _place"))
     return found.select("_at", "_key", "_from", "block", "epoch", "slot", release.alias("release"), deadline.alias("deadline"))
 
 
