@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
@@ -69,4 +70,19 @@ def test_shingles_are_sets():
     assert (offsets[1:] - offsets[:-1]).tolist() == [2, 0, 1, 5, 1]
     nodes = near_copies.nodes_of(found, offsets)
     assert nodes[2] == nodes[4] and len(set(nodes.tolist())) == 4
-    assert near_copies.bands_of(found, offsets).shape == (5, near_copies.BANDS)
+    minima = near_copies.minima_of(found, offsets)
+    assert near_copies.bands_of(minima).shape == (4, near_copies.BANDS)
+    assert near_copies.sketches_of(minima).shape == (4, near_copies.PLANES * near_copies.MINIMA // 64)
+
+
+def test_sketches_tell_similarity(spark):
+    rng = np.random.default_rng(3)
+    for similar, low, high in ((0.8, 190, 226), (0.5, 110, 162), (1.0, 256, 256)):
+        both = int(similar * 2000)
+        hashes = [np.sort(rng.integers(0, 1 << 63, 2000, dtype=np.int64).astype(np.uint64)) for _ in range(2)]
+        own = (2000 - both) // 2
+        a, b = np.concatenate([hashes[0][:both], hashes[1][:own]]), np.concatenate([hashes[0][:both], hashes[1][own : 2 * own]])
+        found, offsets = np.concatenate([np.sort(a), np.sort(b)]), np.array([0, len(a), len(a) + len(b)])
+        x, y = near_copies.sketches_of(near_copies.minima_of(found, offsets)).view(np.int64).tolist()
+        got = spark.createDataFrame([(x, y)], "x array<long>, y array<long>").select(near_copies._agreeing("x", "y")).first()[0]
+        assert low <= got <= high
