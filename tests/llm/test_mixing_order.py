@@ -55,3 +55,34 @@ def test_stage_writes_in_the_order_of_slots(spark, tmp_path, monkeypatch, part_s
         for k in blocks:
             assert abs(turn[k] - slot * slots[f"={k}"] / mixing.PERIOD) < 1
     assert len(set(own.values())) > 3 and [i for i, *_ in got] == want
+
+
+def test_query_equals_plain_loops(spark, tmp_path):
+    sf = _table(tmp_path)
+    docs = documents(spark, sf).selectExpr("doc_id", "source", "octet_length(text) as size", "xxhash64(doc_id) as hash").collect()
+    shards = max(1, int(len(docs) ** 0.5))
+    own: dict = {}
+    for r in sorted(docs, key=lambda r: (r.hash % shards, r.hash, r.doc_id)):
+        own.setdefault(r.source, []).append(r)
+    size = {k: sum(r.size for r in rs) for k, rs in own.items()}
+    slots = mixing.shares({f"={k}": v**mixing.SMOOTHING for k, v in size.items()}, mixing.PERIOD)
+    order = mixing.schedule(slots)
+    blocks = {k: n // mixing.BLOCK_BYTES + 1 for k, n in size.items()}
+    # the slots one after the other until every source has been gone through
+    turn: Counter = Counter()
+    taken, slot = {}, 0
+    while any(turn[k] < blocks[k] for k in blocks):
+        source = order[slot % mixing.PERIOD][1:]
+        taken[source, turn[source]] = slot
+        turn[source] += 1
+        slot += 1
+    want = set()
+    for source, rs in own.items():
+        at = 0
+        for r in rs:
+            block = at // mixing.BLOCK_BYTES
+            for n in range(block, turn[source], blocks[source]):
+                want.add((r.doc_id, source, r.size, at, block, n // blocks[source], taken[source, n]))
+            at += r.size
+    got = {(r.doc_id, r.source, r.n_bytes, r.source_offset, r.block, r.epoch, r.slot) for r in mixing.query(spark, sf).collect()}
+    assert got == want
