@@ -66,9 +66,11 @@ _CHAPTERS = """
 
 
 def _expected(columns: str, rows: list[tuple]) -> str:
-    """SQL for known rows: what literal input has to give."""
+    """SQL for known rows: what literal input has to give. columns: name and type of each."""
+    named = [c.split() for c in columns.split(", ")]
     literal = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x).upper() if isinstance(x, bool) else str(x)
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) AS v({columns})"
+    casts = ", ".join(f"CAST({name} AS {kind}) AS {name}" for name, kind in named)
+    return f"SELECT {casts} FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) AS v({', '.join(name for name, _ in named)})"
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -464,7 +466,7 @@ _NUMERALS = ["一", "十", "十三", "二十", "一百二", "一百零五", "三
 _NUMBERS = [1, 10, 13, 20, 102, 105, 3000, 10000, 123456, 1024, 7, 20, 2, 3, None, None, None, 200000000, None]
 
 
-@_query(_expected("numeral, number", list(zip(_NUMERALS, _NUMBERS, strict=True))))
+@_query(_expected("numeral VARCHAR, number INTEGER", list(zip(_NUMERALS, _NUMBERS, strict=True))))
 def chinese_numbers(spark, sf_dir):
     return spark.createDataFrame([(x,) for x in _NUMERALS], "numeral string").select("numeral", C.number(F.col("numeral")).alias("number"))
 
@@ -479,7 +481,7 @@ _JUDGED = [
 ]
 
 
-@_query(_expected("id, reason, number, kind, title", _JUDGED))
+@_query(_expected("id INTEGER, reason VARCHAR, number INTEGER, kind VARCHAR, title VARCHAR", _JUDGED))
 def headings(spark, sf_dir):
     rows = spark.createDataFrame(list(enumerate(_HEADINGS)), "id int, line string")
     return rows.select("id", C.heading(F.col("line")).alias("h")).select("id", "h.reason", "h.number", "h.kind", "h.title")
@@ -506,12 +508,12 @@ _SPLIT = [
 ]
 
 
-@_query(_expected("book_id, chapter_index, start, stop, title, volume", [("b1", *r) for r in _SPLIT]))
+@_query(_expected("book_id VARCHAR, chapter_index BIGINT, start BIGINT, stop BIGINT, title VARCHAR, volume VARCHAR", [("b1", *r) for r in _SPLIT]))
 def split_chapters(spark, sf_dir):
     return H.split(_book_lines(spark))
 
 
-@_query(_expected("book_id, headings, inline, rejected, contents_dropped, numbering_dropped, segments, chapters, fallback", [("b1", 13, 0, 0, 4, 1, 2, 7, False)]))
+@_query(_expected("book_id VARCHAR, headings BIGINT, inline BIGINT, rejected BIGINT, contents_dropped BIGINT, numbering_dropped BIGINT, segments BIGINT, chapters BIGINT, fallback BOOLEAN", [("b1", 13, 0, 0, 4, 1, 2, 7, False)]))
 def split_report(spark, sf_dir):
     return H.report(_book_lines(spark))
 
@@ -553,7 +555,7 @@ _HEADS = [
 _TITLES = [(0, "元尊", "天蚕土豆"), (1, "斗破苍穹", None), (2, "全职高手", "蝴蝶蓝"), (3, "武动乾坤", "天蚕土豆"), (4, "作者之死", None), (5, ".txt", None), (6, "下载", "欧·亨利")]
 
 
-@_query(_expected("id, title, author", _TITLES))
+@_query(_expected("id INTEGER, title VARCHAR, author VARCHAR", _TITLES))
 def titles_and_authors(spark, sf_dir):
     rows = spark.createDataFrame(_HEADS, "id int, file string, head string")
     return rows.select("id", N.title(F.col("head"), F.col("file")).alias("title"), N.author(F.col("head")).alias("author"))
@@ -562,7 +564,7 @@ def titles_and_authors(spark, sf_dir):
 _ENDS = ["（求收藏，求推荐票，麻烦大家了，谢谢第八章冲突", "第八章 冲突", "他在第一回合的交手中，便是败得如此的凄惨？", "没有标题", "他说第三章第四章 云起", "感谢第五章，风起", None]
 
 
-@_query(_expected("id, cut, number, title", [(0, 18, 8, "冲突"), (1, None, None, None), (2, None, None, None), (3, None, None, None), (4, 2, 3, "第四章 云起"), (5, None, None, None), (6, None, None, None)]))
+@_query(_expected("id INTEGER, cut INTEGER, number INTEGER, title VARCHAR", [(0, 18, 8, "冲突"), (1, None, None, None), (2, None, None, None), (3, None, None, None), (4, 2, 3, "第四章 云起"), (5, None, None, None), (6, None, None, None)]))
 def inline_headings(spark, sf_dir):
     rows = spark.createDataFrame(list(enumerate(_ENDS)), "id int, line string").withColumn("h", C.inline_heading(F.col("line")))
     return rows.select("id", "h.cut", "h.heading.number", "h.heading.title")
@@ -598,7 +600,7 @@ _TERMS = [
 ]
 
 
-@_query(_expected("question_id, keyword, ladder, terms", _TERMS))
+@_query(_expected("question_id INTEGER, keyword VARCHAR, ladder VARCHAR, terms VARCHAR", _TERMS))
 def question_terms(spark, sf_dir):
     rows = spark.createDataFrame(list(enumerate(_QUESTIONS)), "question_id int, question string")
     return rows.select("question_id", C.question_keyword(F.col("question")).alias("keyword"), F.array_join(C.term_ladder(F.col("question")), "|").alias("ladder"), F.array_join(C.query_terms(F.col("question")), "|").alias("terms"))
@@ -610,7 +612,7 @@ _ANSWERS = [(1, "答案一[1]。没有出处。答案二[2][9]！", 3), (2, "没
 _VALIDATED = [(1, "答案一[1]。答案二[2]！", "ok", "1,2", "9"), (2, "", "invalid-citations", "", ""), (3, "", "invalid-citations", "", "7"), (4, "", "llm-error", "", ""), (5, "", "no-chunks", "", ""), (6, "[2][1][2]好", "ok", "2,1", "")]
 
 
-@_query(_expected("question_id, answer, outcome, refs, invalid", _VALIDATED))
+@_query(_expected("question_id INTEGER, answer VARCHAR, outcome VARCHAR, refs VARCHAR, invalid VARCHAR", _VALIDATED))
 def answers_validated(spark, sf_dir):
     checked = A.validated(spark.createDataFrame(_ANSWERS, "question_id int, raw string, n_chunks int"))
     return checked.select("question_id", "answer", "outcome", F.array_join("refs", ",").alias("refs"), F.array_join("invalid", ",").alias("invalid"))
@@ -670,7 +672,7 @@ _PROMPTED = [(1, "叶修是谁", "【片段1｜《b》第 1 章第 1 段】\n叶
 
 @_query(
     _expected(
-        "question_id, user_prompt",
+        "question_id INTEGER, user_prompt VARCHAR",
         [
             (1, "【原文片段】\n【片段1｜《b》第 1 章第 1 段】\n叶修来了\n\n---\n【用户问题】\n叶修是谁\n\n请依据上面的原文片段作答，并在每个结论后标注依据的片段编号。"),
             (2, "【原文片段】（本次没有召回到任何与问题相关的原文）\n\n用户问题：没有的事\n\n请只回答一句话：原文里没有提到。不要作答、不要推测、不要使用你自己的知识。"),
