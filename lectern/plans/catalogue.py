@@ -711,16 +711,16 @@ VECTOR_BLOCK = 2048
 
 
 @_query("""
-    WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0),
+    WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0),
     s AS (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS cosine FROM q, embeddings WHERE vec_id <> query_id)
     SELECT query_id, vec_id, cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM s) WHERE rank <= 3""")
 def vector_recall(spark, sf_dir):
-    """The three rows nearest to each hundredth row by cosine: blocks of queries meet blocks of rows, each pair of blocks keeps its best, and those are merged."""
+    """The three rows nearest to each row whose id is divisible by 50, by cosine: blocks of queries meet blocks of rows, each pair of blocks keeps its best, and those are merged."""
     own = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    asked = own.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"))
+    asked = own.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     unit = lambda df, c: df.withColumn(c, F.transform(c, lambda x: x / F.sqrt(dot(F.col(c), F.col(c)))))
-    n_rows, n_asked = (n // VECTOR_BLOCK + 1 for n in own.agg(F.count("*"), F.count_if(F.expr("vec_id % 100 = 0"))).first())
+    n_rows, n_asked = (n // VECTOR_BLOCK + 1 for n in own.agg(F.count("*"), F.count_if(F.expr("vec_id % 50 = 0"))).first())
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     left = unit(own, "e").withColumn("block", block("vec_id", n_rows)).withColumn("asked_block", every(n_asked))
