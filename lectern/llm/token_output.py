@@ -27,7 +27,8 @@ A document is decoded by itself from its slice of symbols; the expansion lengths
 that holds its k-th id without expanding those before it.
 
 Defined cases: a null or empty text is its end id alone; rows without doc_id come first; rows
-that repeat a doc_id are ordered by text; no documents give no blocks.
+that repeat a doc_id are ordered by a hash of the text, so that many of them spread over shards;
+no documents give no blocks.
 """
 
 from __future__ import annotations
@@ -250,8 +251,8 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
                 block += 1
         release()
 
-    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ordered = named.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("_hash"))
+    ordered = named.repartitionByRange(shards, "doc_id", "_hash").sortWithinPartitions("doc_id", "_hash", "text")
     ordered.select(F.spark_partition_id().alias("shard"), "doc_id", "text").mapInArrow(run, _BLOCKS).write.parquet(path)
 
 
