@@ -1,35 +1,22 @@
-"""Full-text search: an inverted index of tokens, candidates that hold all of a query's tokens, and their verification.
-
-Chapters are (book_id, chapter_index, text). The index is a folder of two append-only tables:
-postings (token, book_id, chapter_index, generation), kept by a hash of the token and sorted in
-their files, so that a query reads the rows of its tokens alone; and a log of what has been
-indexed or dropped (book_id, generation, fingerprint, chapters, tokenizer_version). A book's last
-row in the log says which generation of its postings holds, so indexing a book again replaces it,
-and a run that fails before it comes to the log leaves the index as it was. Pairs of Han
-characters and whole ASCII words narrow a query down; only the text proves it.
+"""Full-text search: candidates that hold all of a query's tokens, their verification, caps and coverage.
+
+Chapters are (book_id, chapter_index, text). Pairs of Han characters and whole ASCII words narrow a
+query down; only the text proves it. The index on disk is in operators/index.py.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
-from lectern.operators import library
 from lectern.operators.ordinals import numbered
 from lectern.operators.shared import once
 
 # Hits returned, and candidates verified in a search over all books, at most.
 LIMIT, MAX_VERIFIED = 300, 2000
-#: Files are kept apart by this many values of a token's hash.
-INDEX_PARTS = 64
-TOKENIZER_VERSION = 1
-UNKNOWN_FINGERPRINT = "unknown"
-_LOG = "book_id string, generation long, fingerprint string, chapters long, tokenizer_version int"
-
 #: Gives the texts of the chapters (book_id, chapter_index) that it is handed.
 TextSource = Callable[[DataFrame], DataFrame]
 
@@ -39,66 +26,6 @@ def postings(chapters: DataFrame) -> DataFrame:
     return chapters.select(F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("token"), "book_id", "chapter_index")
 
 
-def _part(token: Column) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(INDEX_PARTS))
-
-
-def _log(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(_LOG).parquet(f"{path}/log")
-    except AnalysisException:
-        return spark.createDataFrame([], _LOG)
-
-
-def _next_generation(spark: SparkSession, path: str) -> int:
-    return (_log(spark, path).agg(F.max("generation")).first()[0] or 0) + 1
-
-
-def index_books(chapters: DataFrame, path: str, fingerprints: DataFrame | None = None) -> None:
-    """Indexes whole books, in place of what the index has of them. Books without chapters are not there, so nothing of them changes.
-
-    fingerprints: book_id, fingerprint of the books' files.
-    """
-    spark = chapters.sparkSession
-    generation = _next_generation(spark, path)
-    own = chapters.select(F.col("book_id").cast("string").alias("book_id"), F.col("chapter_index").cast("long").alias("chapter_index"), "text")
-    rows = postings(own).withColumn("generation", F.lit(generation).cast("long")).withColumn("part", _part(F.col("token")).cast("int"))
-    order = ["part", "token", "book_id", "chapter_index"]
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("part").mode("append").parquet(f"{path}/postings")
-    counted = own.groupBy("book_id").agg(F.count("*").alias("chapters"))
-    known = counted.join(fingerprints.select(F.col("book_id").cast("string").alias("book_id"), "fingerprint"), "book_id", "left") if fingerprints is not None else counted.withColumn("fingerprint", F.lit(None).cast("string"))
-    known.select("book_id", F.lit(generation).cast("long").alias("generation"), F.coalesce("fingerprint", F.lit(UNKNOWN_FINGERPRINT)).alias("fingerprint"), "chapters", F.lit(TOKENIZER_VERSION).alias("tokenizer_version")).write.mode("append").parquet(f"{path}/log")
-
-
-def drop_books(gone: DataFrame, path: str) -> None:
-    """Takes books (book_id) out of the index; those that are not in it are passed over."""
-    spark = gone.sparkSession
-    generation = _next_generation(spark, path)
-    there = indexed_books(spark, path).join(gone.select(F.col("book_id").cast("string").alias("book_id")).distinct(), "book_id", "left_semi")
-    dropped = there.withColumns({"generation": F.lit(generation).cast("long"), "chapters": F.lit(None).cast("long")})
-    dropped.select(*spark.createDataFrame([], _LOG).columns).write.mode("append").parquet(f"{path}/log")
-
-
-def indexed_books(spark: SparkSession, path: str) -> DataFrame:
-    """The index state of each book in the index: book_id, generation, fingerprint, chapters, tokenizer_version."""
-    return library.latest(_log(spark, path), ["book_id"], ["generation"]).filter("chapters is not null")
-
-
-def index_on_demand(chapters: DataFrame, fingerprints: DataFrame, path: str) -> None:
-    """Indexes the books (with fingerprints) that the index lacks, or has of another file or tokenizer."""
-    spark = chapters.sparkSession
-    wanted = fingerprints.select(F.col("book_id").cast("string").alias("book_id"), "fingerprint")
-    missing = library.pending(wanted, indexed_books(spark, path), TOKENIZER_VERSION)
-    if not missing.isEmpty():
-        index_books(chapters.withColumn("book_id", F.col("book_id").cast("string")).join(missing.select("book_id"), "book_id", "left_semi"), path, wanted)
-
-
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """(token, book_id, chapter_index, part) of the books' last generations."""
-    rows = spark.read.parquet(f"{path}/postings")
-    return rows.join(indexed_books(spark, path).select("book_id", "generation"), ["book_id", "generation"], "left_semi")
-
-
 def query_tokens(spark: SparkSession, query: str) -> list[str]:
     """The distinct tokens of a query."""
     return sorted(set(spark.range(1).select(X.tokens(F.lit(query)).alias("t")).first()["t"]))
@@ -108,9 +35,6 @@ def candidates_of_index(index: DataFrame, query: str) -> DataFrame:
     """(book_id, chapter_index) of the chapters that hold all tokens of the query; none for a query without tokens."""
     wanted = query_tokens(index.sparkSession, query)
     some = index.filter(F.col("token").isin(wanted))
-    if "part" in index.columns:
-        parts = index.sparkSession.range(1).select(F.array(*[_part(F.lit(t)).cast("int") for t in wanted]).alias("p")).first()["p"]
-        some = some.filter(F.col("part").isin(sorted(set(parts))))
     return some.groupBy("book_id", "chapter_index").agg(F.count_distinct("token").alias("n")).filter(F.col("n") == len(wanted)).drop("n")
 
 
@@ -135,12 +59,6 @@ def verified(chapters: DataFrame, query: str) -> DataFrame:
     return with_hits(candidates(holding, query), query).filter("hit_count > 0").select("book_id", "chapter_index", "hit_count", "first_at", "snippet")
 
 
-def verified_by_index(index: DataFrame, texts: TextSource, query: str) -> DataFrame:
-    """The same by the index: only the candidates' texts are asked for. A candidate without a text has no hit."""
-    found = candidates_of_index(index, query)
-    return with_hits(texts(found).filter("text is not null"), query).filter("hit_count > 0").select("book_id", "chapter_index", "hit_count", "first_at", "snippet")
-
-
 def texts_of(chapters: DataFrame) -> TextSource:
     """A source of texts over a table of chapters."""
     return lambda wanted: chapters.join(wanted, ["book_id", "chapter_index"], "left_semi").select("book_id", "chapter_index", "text")

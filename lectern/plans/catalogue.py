@@ -15,6 +15,7 @@ from lectern.functions import text as X
 from lectern.functions import titles as N
 from lectern.operators import ask as A
 from lectern.operators import chapters as H
+from lectern.operators import index as I
 from lectern.operators import library as B
 from lectern.operators import search as S
 from lectern.operators.ordinals import numbered
@@ -207,11 +208,10 @@ def search_rows(spark, sf_dir):
 def search_index(spark, sf_dir):
     """A search by an index on disk, after a book has been indexed again with half of its chapters and another one dropped."""
     path, own = new_folder(spark, "index"), chapters(spark, sf_dir)
-    S.index_books(own, path)
-    half = own.filter("book_id <> 'src1' or chapter_index % 2 = 0")
-    S.index_books(half.filter("book_id = 'src1'"), path)
-    S.drop_books(spark.createDataFrame([("src2",), ("nobody",)], "book_id string"), path)
-    return S.verified_by_index(S.read_index(spark, path), S.texts_of(own), QUERY).select("book_id", "chapter_index", "hit_count")
+    I.index_books(own, path)
+    I.index_books(own.filter("book_id = 'src1' and chapter_index % 2 = 0"), path)
+    I.drop_books(spark.createDataFrame([("src2",), ("nobody",)], "book_id string"), path)
+    return I.verified(spark, path, S.texts_of(own), QUERY).select("book_id", "chapter_index", "hit_count")
 
 
 @_query("SELECT source AS book_id, count(*) AS chapters, CASE WHEN source < 'src15' THEN 1 ELSE 2 END AS generation FROM documents WHERE source <> 'src3' GROUP BY source")
@@ -219,10 +219,33 @@ def index_on_demand(spark, sf_dir):
     """The index's books after one has been dropped and those that were missing have been indexed on demand."""
     path, own = new_folder(spark, "index"), chapters(spark, sf_dir)
     files = own.select("book_id", F.lit("f").alias("fingerprint")).distinct()
-    S.index_books(own.filter("book_id < 'src15'"), path, files)
-    S.index_on_demand(own, files, path)
-    S.drop_books(spark.createDataFrame([("src3",)], "book_id string"), path)
-    return S.indexed_books(spark, path).select("book_id", "chapters", F.col("generation").cast("int").alias("generation"))
+    I.index_books(own.filter("book_id < 'src15'"), path, files)
+    I.index_on_demand(own, files, path)
+    I.drop_books(spark.createDataFrame([("src3",)], "book_id string"), path)
+    return I.indexed_books(spark, path).select("book_id", "chapters", F.col("generation").cast("int").alias("generation"))
+
+
+@_query(_CHAPTERS + "SELECT book_id, chapter_index FROM candidates WHERE book_id <> 'src2' AND NOT (book_id = 'src1' AND chapter_index % 2 = 1) AND NOT (book_id = 'src5' AND chapter_index % 3 = 0)")
+def index_merged(spark, sf_dir):
+    """Candidates after a failed run, one that did it again, a drop, chapters that came as a stream's batch, and a merge of all of it."""
+    path, own = new_folder(spark, "index"), chapters(spark, sf_dir)
+    I.index_books(own, path)
+    half = own.filter("book_id = 'src1' and chapter_index % 2 = 0")
+    I.write_run(own.filter("book_id = 'src1'").withColumn("text", F.lit(f"{QUERY} nothing else")), path)  # never committed
+    I.index_books(half, path)
+    I.index_batch(own.filter("book_id = 'src5' and chapter_index % 3 = 0").withColumn("text", F.lit("nothing of it")), path, "late", 0)
+    I.drop_books(spark.createDataFrame([("src2",)], "book_id string"), path)
+    I.merge(spark, path)
+    I.vacuum(spark, path, hours=0)
+    return I.candidates(spark, path, QUERY)
+
+
+@_query(_MARKED + "SELECT book_id, chapter_index, hit_count, CAST(first_at AS INTEGER) AS first_at FROM marked WHERE seen")
+def search_first(spark, sf_dir):
+    """What a search by the index looks at until its limit is reached: it reads the blocks of a few zones, and these candidates' texts."""
+    path, own = new_folder(spark, "index"), chapters(spark, sf_dir)
+    I.index_books(own, path, zone=64)
+    return I.first_hits(spark, path, S.texts_of(own), QUERY, LIMIT)[0].select("book_id", "chapter_index", "hit_count", "first_at")
 
 
 # The library

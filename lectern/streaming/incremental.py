@@ -6,30 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lectern.operators import library, search
+from lectern.operators import index, library
 
 SESSION_GAP, LATENESS = "30 minutes", "1 hour"
 
 
-def index_stream(chapters: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Indexes the chapters that have come in since the last run and stops. A batch that is run again replaces what it wrote; a chapter that comes again replaces the one before."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        own = batch.select("book_id", "chapter_index", "text").withColumn("batch", F.lit(batch_id).cast("long"))
-        put = lambda rows, name: rows.write.partitionBy("batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{path}/{name}")
-        put(search.postings(own).withColumn("batch", F.lit(batch_id).cast("long")), "postings")
-        # the list of chapters comes last: a batch counts once it is there
-        put(own.select("book_id", "chapter_index", "batch").distinct(), "chapters")
+def index_stream(chapters: DataFrame, path: str, checkpoint: str, name: str = "chapters") -> StreamingQuery:
+    """Indexes the chapters that have come in since the last run and stops; the index is the one of operators/index.py.
 
+    A chapter that comes again replaces the one before. A batch that is run again after its commit is passed over.
+    """
+    write = lambda batch, number: index.index_batch(batch, path, name, number)
     return chapters.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_stream_index(spark: SparkSession, path: str) -> DataFrame:
-    """(token, book_id, chapter_index) of each chapter's last batch."""
-    last = spark.read.parquet(f"{path}/chapters").groupBy("book_id", "chapter_index").agg(F.max("batch").alias("batch"))
-    return spark.read.parquet(f"{path}/postings").join(last, ["book_id", "chapter_index", "batch"], "left_semi").drop("batch")
-
-
 def progress_stream(progress: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Keeps the latest progress of each book under path/<batch>: each batch is joined with the state before it."""
 

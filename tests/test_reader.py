@@ -11,6 +11,7 @@ from lectern.functions import chinese as C
 from lectern.functions import text as X
 from lectern.operators import ask as A
 from lectern.operators import chapters as H
+from lectern.operators import index as I
 from lectern.operators import library as B
 from lectern.operators import search as S
 from lectern.operators.ordinals import numbered
@@ -57,26 +58,6 @@ def test_false_positive_and_caps(spark):
     assert S.candidates(chapters, "，。").count() == 0
 
 
-def test_index_on_disk(spark, tmp_path):
-    path, schema = str(tmp_path / "index"), "book_id string, chapter_index int, text string"
-    chapters = spark.createDataFrame([("b1", 0, "of the town"), ("b2", 3, "the"), ("b3", 1, "the rest of it"), ("b3", 2, "of the")], schema)
-    found = lambda: {(r.book_id, r.chapter_index) for r in S.candidates_of_index(S.read_index(spark, path), "of the").collect()}
-    S.index_books(chapters, path, chapters.select("book_id", F.lit("1:2").alias("fingerprint")).distinct())
-    assert found() == {("b1", 0), ("b3", 1), ("b3", 2)}
-    # again, with other texts and fewer chapters
-    S.index_books(spark.createDataFrame([("b2", 3, "of the"), ("b3", 1, "of it all")], schema), path)
-    assert found() == {("b1", 0), ("b2", 3)}
-    assert {r.book_id: (r.fingerprint, r.chapters) for r in S.indexed_books(spark, path).collect()} == {"b1": ("1:2", 1), "b2": ("unknown", 1), "b3": ("unknown", 1)}
-    S.index_books(chapters.limit(0), path)
-    S.drop_books(spark.createDataFrame([("b1",), ("gone",)], "book_id string"), path)
-    assert found() == {("b2", 3)} and S.indexed_books(spark, path).count() == 2
-    files = spark.createDataFrame([("b1", "1:2"), ("b2", "unknown")], "book_id string, fingerprint string")
-    S.index_on_demand(chapters.filter("book_id < 'b3'"), files, path)
-    assert found() == {("b1", 0), ("b2", 3)}
-    texts = S.texts_of(spark.createDataFrame([("b1", 0, "Of  The, of the"), ("b2", 3, None)], schema))
-    assert [(r.book_id, r.hit_count) for r in S.verified_by_index(S.read_index(spark, path), texts, "of the").collect()] == [("b1", 1)]
-
-
 def test_display_order(spark):
     titles = spark.createDataFrame([(str(i), t) for i, t in enumerate(["子羽书", "阿澜书", "星尘纪", "沧澜录"])], "book_id string, title string")
     hits = titles.select("book_id", F.lit(0).alias("chapter_index"))
@@ -205,7 +186,7 @@ def test_streams_give_what_batches_give(spark, tmp_path):
     schema = "book_id string, chapter_index int, text string"
     spark.createDataFrame([("b1", 0, "of the"), ("b2", 0, "the")], schema).write.parquet(str(tmp_path / "in"))
     incremental.index_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "index"), str(tmp_path / "c1")).awaitTermination()
-    found = lambda: {r.book_id for r in S.candidates_of_index(incremental.read_stream_index(spark, str(tmp_path / "index")), "of the").collect()}
+    found = lambda: {r.book_id for r in I.candidates(spark, str(tmp_path / "index"), "of the").collect()}
     assert found() == {"b1"}
     # chapters that come again are searched by their last text
     spark.createDataFrame([("b1", 0, "of it"), ("b2", 0, "of the")], schema).write.mode("append").parquet(str(tmp_path / "in"))
