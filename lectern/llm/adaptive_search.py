@@ -42,9 +42,10 @@ TOP = 20
 #: Queries are the rows whose id is divisible by this.
 EVERY = 20
 SAMPLE, ROUNDS = 16384, 8
-MAX_LISTS = 4096
+#: Lists: the square root of the number of vectors, by this. Fewer and longer lists make fewer pairs of query and list.
+LIST_SHARE, MAX_LISTS = 4, 4096
 #: The share of true neighbours whose lists are probed, as TUNED vectors of the sample tell; and lists probed at least.
-RECALL, TUNED, LEAST_PROBES = 0.95, 512, 8
+RECALL, TUNED, LEAST_PROBES = 0.95, 512, 2
 WIDTH, EPSILON = 16, 2.1
 BLOCK, QUERY_BLOCK = 8192, 16384
 SEEDS = 64
@@ -90,7 +91,7 @@ class Model:
         self.longest = longest
         self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         points = self.placed(sample)
-        lists = min(MAX_LISTS, max(1, math.isqrt(n)), len(points))
+        lists = min(MAX_LISTS, max(1, math.isqrt(n) // LIST_SHARE), len(points))
         self.centres = points[np.sort(rng.choice(len(points), lists, replace=False))]
         for _ in range(ROUNDS):
             own = self.nearest(points)
