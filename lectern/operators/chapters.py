@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import chinese as C
-from lectern.operators.ordinals import summed_before
+from lectern.operators.ordinals import carried, summed_before
 from lectern.operators.shared import once
 
 # Fixed values.
@@ -63,13 +63,13 @@ def without_contents(found: DataFrame, run: int = TOC_RUN) -> DataFrame:
 
     filled counts lines with text up to a heading, so headings with none between them differ by one.
     """
-    order = Window.partitionBy("book_id").orderBy("line_no")
-    dense = F.coalesce(F.lead("filled").over(order) - F.col("filled") <= 1, F.lit(False))
-    marked = found.withColumn("_dense", dense)
-    ended = F.sum((~F.col("_dense")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    grouped = marked.withColumn("_run", F.coalesce(ended, F.lit(0)))
-    length = F.sum(F.col("_dense").cast("int")).over(Window.partitionBy("book_id", "_run"))
-    return grouped.withColumn("_length", length).filter(~F.col("_dense") | (F.col("_length") < run)).drop("_dense", "_run", "_length")
+    following = carried(found, "book_id", "line_no", F.col("filled"), "_next", own=False, backward=True)
+    marked = following.withColumn("_dense", F.coalesce(F.col("_next") - F.col("filled") <= 1, F.lit(False))).withColumn("_open", (~F.col("_dense")).cast("long"))
+    # a run is numbered by the headings before it that are followed by text
+    grouped = summed_before(marked, "book_id", "line_no", "_open", "_run")
+    runs = grouped.groupBy(F.col("book_id").alias("_book"), F.col("_run").alias("_of")).agg(F.count_if("_dense").alias("_length"))
+    joined = grouped.join(runs, F.col("book_id").eqNullSafe(F.col("_book")) & (F.col("_run") == F.col("_of")))
+    return joined.filter(~F.col("_dense") | (F.col("_length") < run)).select(*found.columns)
 
 
 def longest_increasing(numbers: list[int]) -> list[int]:
@@ -139,15 +139,13 @@ def segments(found: DataFrame) -> DataFrame:
 
 def starts_new_volume(chapters: DataFrame) -> DataFrame:
     """Adds new_volume: whether a chapter's volume is another than that of the chapter before it; never without a volume."""
-    before = F.lag("volume").over(Window.partitionBy("book_id").orderBy("chapter_index"))
-    return chapters.withColumn("new_volume", F.col("volume").isNotNull() & ~F.col("volume").eqNullSafe(before))
+    before = carried(chapters, "book_id", "chapter_index", F.struct("volume"), "_before", own=False)
+    return before.select(*chapters.columns, (F.col("volume").isNotNull() & ~F.col("volume").eqNullSafe(F.col("_before.volume"))).alias("new_volume"))
 
 
 def with_volumes(kept: DataFrame) -> DataFrame:
     """Chapters with the title of the volume that they are in; the volumes' own rows go."""
-    order = Window.partitionBy("book_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    volume = F.last(F.when(F.col("kind") == "VOLUME", F.col("title")), ignorenulls=True).over(order)
-    return kept.withColumn("volume", volume).filter("kind <> 'VOLUME'")
+    return carried(kept, "book_id", "line_no", F.when(F.col("kind") == "VOLUME", F.col("title")), "volume").filter("kind <> 'VOLUME'")
 
 
 def split(lines: DataFrame, min_chapters: int = MIN_CHAPTERS, filter_contents: bool = True, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
@@ -157,7 +155,7 @@ def split(lines: DataFrame, min_chapters: int = MIN_CHAPTERS, filter_contents: b
     chapter of its own if it has that many characters.
     """
     found = once(headings(judged_lines(lines)))
-    chapters = with_volumes(aligned(without_contents(found) if filter_contents else found))
+    chapters = once(with_volumes(aligned(without_contents(found) if filter_contents else found)))
     books = lines.groupBy("book_id").agg(F.min("start").alias("_begin"), F.max("stop").alias("_end"))
     counted = chapters.groupBy("book_id").agg(F.count("*").alias("_n"), F.min("start").alias("_first"))
     states = books.join(counted, "book_id", "left").withColumn("_whole", F.coalesce(F.col("_n") < min_chapters, F.lit(True)))

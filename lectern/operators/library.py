@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import normalised_name
-from lectern.operators.ordinals import summed_before
+from lectern.operators.ordinals import carried, summed_before
 
 # Fixed values.
 RECENT = 12
 NEAR, ROUNDING = 0.02, 1e-12
 MIN_SECONDS, MAX_SECONDS = 30, 24 * 3600
+#: Openings of a reader that are looked at together: those of a day.
+DAY_MICROS = 86_400_000_000
 
 #: Columns of each table; older tables get what they lack.
 BOOK = "book_id string, title string, author string, format string, path string, added_at long, last_read_at long, group_name string, chapter_count int, version int"
@@ -106,11 +108,12 @@ def near_all(bookmarks: DataFrame, places: DataFrame, tolerance: float = NEAR) -
     marks = firsts.select(*chapter, F.col("ratio").alias("_key"), F.lit(1).alias("_kind"), none.cast("double").alias("_at"), F.struct("ratio", "created_at").alias("_mark"))
     spots = asked.select(*chapter, (F.col("_at") - tolerance - ROUNDING).alias("_key"), F.lit(0).alias("_kind"), F.col("_at"), none.cast(marks.schema["_mark"].dataType).alias("_mark"))
     order = Window.partitionBy(*chapter).orderBy("_key", "_kind")
-    following = order.rowsBetween(1, Window.unboundedFollowing)
+    # in descending order the next bookmark is the last one seen, so the frame only grows
+    seen = Window.partitionBy(*chapter).orderBy(F.desc("_key"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, -1)
     # each bookmark knows the next one; a place then needs only the bookmark after it
     chained = marks.withColumn("_next", F.lead("_mark").over(order)).unionByName(spots.withColumn("_next", none.cast(marks.schema["_mark"].dataType)))
     pair = F.when(F.col("_mark").isNotNull(), F.struct("_mark", "_next"))
-    met = chained.withColumn("_pair", F.first(pair, ignorenulls=True).over(following)).filter("_kind = 0")
+    met = chained.withColumn("_pair", F.last(pair, ignorenulls=True).over(seen)).filter("_kind = 0")
     close = lambda mark: F.abs(mark["ratio"] - F.col("_at")) <= tolerance
     first, second = F.col("_pair._mark"), F.col("_pair._next")
     found = met.withColumn("_b", F.when(close(first), first).when(close(second), second)).filter("_b is not null").select(*chapter, "_at", "_b")
@@ -182,10 +185,9 @@ def reading_segments(opened: DataFrame) -> DataFrame:
 
     opened: user_id, event_id, ts. A book that is opened settles the one before it.
     """
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    seconds = F.floor((F.lead(micros).over(order) - micros) / 1_000_000)
-    own = opened.select("user_id", micros.alias("started_at"), seconds.alias("seconds"))
+    timed = opened.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("started_at"))
+    followed = carried(timed, "user_id", "started_at", F.col("started_at"), "_next", DAY_MICROS, own=False, ties=("event_id",), backward=True)
+    own = followed.select("user_id", "started_at", F.floor((F.col("_next") - F.col("started_at")) / 1_000_000).alias("seconds"))
     return own.filter(F.col("seconds") >= MIN_SECONDS).withColumn("seconds", F.least("seconds", F.lit(MAX_SECONDS)).cast("long"))
 
 

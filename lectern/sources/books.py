@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
-from lectern.functions import titles
+from lectern.operators.ordinals import carried
 
 # Fixed values.
 MAX_FILES, SAMPLE_BYTES, HEAD_BYTES, MAX_IMAGE_BYTES = 2000, 256 * 1024, 4096, 8 * 1024 * 1024
 EXTENSIONS = ("txt", "epub")
+#: Half bytes of a file whose lines find their chapters together.
+LINE_SPAN = 1 << 20
 _BOMS = ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF32_LE, "utf-32-le"), (codecs.BOM_UTF32_BE, "utf-32-be"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"))
 
 
@@ -127,53 +129,13 @@ def read_lines(spark: SparkSession, folder: str) -> DataFrame:
     return _texts(spark, folder).select("book_id", "content").mapInPandas(run, "book_id string, charset string, line_no long, start long, stop long, line string")
 
 
-def read_heads(spark: SparkSession, folder: str) -> DataFrame:
-    """book_id, path and head, the text of the first HEAD_BYTES bytes, of the text books of a folder."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            heads = []
-            for content in frame.pop("head"):
-                charset, at = detect(content)
-                heads.append(content[at:].decode(charset, "replace"))
-            yield frame.assign(head=heads)
-
-    heads = _texts(spark, folder).select("book_id", "path", F.substring("content", 1, HEAD_BYTES).alias("head"))
-    return heads.mapInPandas(run, "book_id string, path string, head string")
-
-
-def metadata(spark: SparkSession, folder: str) -> DataFrame:
-    """book_id, path, title and author of the text books of a folder."""
-    file_name = F.url_decode(F.regexp_extract("path", r"([^/]*)$", 1))
-    return read_heads(spark, folder).select("book_id", "path", titles.title(F.col("head"), file_name).alias("title"), titles.author(F.col("head")).alias("author"))
-
-
-def read_chapters(spark: SparkSession, folder: str, chapters: DataFrame) -> DataFrame:
-    """book_id, chapter_index and text of chapters given by byte ranges (start, stop); ranges beyond the end of a file are cut there.
-
-    A book's ranges come together with its file.
-    """
-    ranges = chapters.groupBy("book_id").agg(F.collect_list(F.struct("chapter_index", "start", "stop")).alias("ranges"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for book, content, own in zip(frame["book_id"], frame["content"], frame["ranges"], strict=True):
-                charset, mark = detect(content)
-                rows = []
-                for r in own:
-                    start = max(0, min(r["start"], len(content)))
-                    stop = max(start, min(r["stop"], len(content)))
-                    rows.append((book, r["chapter_index"], re.sub(r"(?:\r\n|\r|\n)\Z", "", content[max(start, mark) : stop].decode(charset, "replace"))))
-                yield pd.DataFrame(rows, columns=["book_id", "chapter_index", "text"])
-
-    loaded = _texts(spark, folder).select("book_id", "content").join(ranges, "book_id").mapInPandas(run, "book_id string, chapter_index long, text string")
-    return loaded.withColumn("text", X.clean(F.col("text")))
-
-
 def chapter_texts(lines: DataFrame, chapters: DataFrame) -> DataFrame:
     """book_id, chapter_index and text: each chapter's lines, cleaned."""
-    spans = chapters.select("book_id", "chapter_index", F.col("start").alias("_from"), F.col("stop").alias("_to"))
-    inside = lines.join(spans, "book_id").filter((F.col("start") >= F.col("_from")) & (F.col("start") < F.col("_to")))
+    # chapters begin before the line at the same place; each line then has the last chapter begun
+    begun = chapters.select("book_id", (F.col("start") * 2).alias("_at"), F.struct("chapter_index", "stop").alias("_begun"), F.lit(None).cast("long").alias("line_no"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("string").alias("line"))
+    own = lines.select("book_id", (F.col("start") * 2 + 1).alias("_at"), F.lit(None).cast(begun.schema["_begun"].dataType).alias("_begun"), "line_no", "start", "line")
+    placed = carried(own.unionByName(begun), "book_id", "_at", F.col("_begun"), "_chapter", span=LINE_SPAN).filter("line_no is not null and start < _chapter.stop")
+    inside = placed.select("book_id", F.col("_chapter.chapter_index").alias("chapter_index"), "line_no", "line")
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
     texts = inside.groupBy("book_id", "chapter_index").agg(F.array_join(F.transform(ordered, lambda x: x.line), "\n").alias("text"))
     return texts.withColumn("text", X.clean(F.col("text")))

@@ -15,7 +15,7 @@ from lectern.operators import index as I
 from lectern.operators import library as B
 from lectern.operators import search as S
 from lectern.operators.ordinals import numbered
-from lectern.sources import books
+from lectern.sources import books, ranges
 from lectern.streaming import incremental
 
 
@@ -91,7 +91,7 @@ def test_text_files(spark, tmp_path, charset):
     raw = body.encode(charset)
     (tmp_path / "book.txt").write_bytes(raw)
     lines = books.read_lines(spark, str(tmp_path)).cache()
-    chapters = H.split(lines)
+    chapters = H.split(lines).cache()
     rows = sorted(chapters.collect(), key=lambda r: r.chapter_index)
     assert [r.title for r in rows] == ["开篇", "第一章 标题一", "第二章 标题二", "第三章 标题三", "第四章 标题四"]
     assert all(a.stop == b.start for a, b in zip(rows, rows[1:])) and rows[-1].stop == len(raw)
@@ -100,8 +100,8 @@ def test_text_files(spark, tmp_path, charset):
     texts = {r.chapter_index: r.text for r in books.chapter_texts(lines, chapters).collect()}
     assert texts[1] == "第一章 标题一\n正文的内容在这里，他们说的是一样的话。"
     assert books.scan(spark, str(tmp_path)).first().format == "txt"
-    ranges = chapters.select("book_id", "chapter_index", "start", (F.col("stop") + F.when(F.col("chapter_index") == 4, 1000).otherwise(0)).alias("stop"))
-    assert {r.chapter_index: r.text for r in books.read_chapters(spark, str(tmp_path), ranges).collect()} == texts
+    cut = chapters.select("book_id", "chapter_index", "start", (F.col("stop") + F.when(F.col("chapter_index") == 4, 1000).otherwise(0)).alias("stop"))
+    assert {r.chapter_index: r.text for r in ranges.chapters(spark, ranges.chapter_ranges(spark, str(tmp_path), cut)).collect()} == texts
 
 
 def test_offsets_hold_over_broken_bytes(spark, tmp_path):
@@ -127,7 +127,7 @@ def test_inline_headings_split_at_their_bytes(spark, tmp_path, charset):
 def test_titles_of_files(spark, tmp_path):
     (tmp_path / "01.txt").write_bytes("书名：《元尊》\n作者：天蚕土豆』\n第一章 一\n".encode("gb18030") * 20)
     (tmp_path / "《全职高手》（精校版）.txt").write_text("没有别的。\n" * 10)
-    rows = {r.title: r.author for r in books.metadata(spark, str(tmp_path)).collect()}
+    rows = {r.title: r.author for r in ranges.metadata(spark, str(tmp_path)).collect()}
     assert rows == {"元尊": "天蚕土豆", "全职高手": None}
 
 
