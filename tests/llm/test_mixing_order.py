@@ -42,15 +42,18 @@ def test_stage_writes_in_the_order_of_slots(spark, tmp_path, monkeypatch, part_s
     slots = mixing.shares({f"={k}": v**mixing.SMOOTHING for k, v in size.items()}, mixing.PERIOD)
     order = mixing.schedule(slots)
     blocks = {k: n // mixing.BLOCK_BYTES + 1 for k, n in size.items()}
-    inside: dict = {}
-    for i in sorted(own, key=place.get):
-        inside.setdefault((own[i][0], place[i] // mixing.BLOCK_BYTES), []).append(i)
+    ring = {k: [i for i in sorted(own, key=place.get) if own[i][0] == k] for k in size}
+    at, along = Counter(), Counter()
     turn: Counter = Counter()
     want, slot = [], 0
     while any(turn[k] < blocks[k] for k in blocks):
         source = order[slot % mixing.PERIOD][1:]
-        want += inside.get((source, turn[source] % blocks[source]), [])
         turn[source] += 1
+        while along[source] < turn[source] * mixing.BLOCK_BYTES:
+            i = ring[source][at[source] % len(ring[source])]
+            want.append(i)
+            at[source] += 1
+            along[source] += own[i][1]
         slot += 1
         for k in blocks:
             assert abs(turn[k] - slot * slots[f"={k}"] / mixing.PERIOD) < 1
@@ -78,11 +81,34 @@ def test_query_equals_plain_loops(spark, tmp_path):
         slot += 1
     want = set()
     for source, rs in own.items():
-        at = 0
-        for r in rs:
-            block = at // mixing.BLOCK_BYTES
-            for n in range(block, turn[source], blocks[source]):
-                want.add((r.doc_id, source, r.size, at, block, n // blocks[source], taken[source, n]))
-            at += r.size
+        along, epoch = 0, 0
+        while along < turn[source] * mixing.BLOCK_BYTES:
+            for r in rs:
+                if along < turn[source] * mixing.BLOCK_BYTES:
+                    n = along // mixing.BLOCK_BYTES
+                    want.add((r.doc_id, source, r.size, along - epoch * size[source], n, epoch, taken[source, n]))
+                    along += r.size
+            epoch += 1
     got = {(r.doc_id, r.source, r.n_bytes, r.source_offset, r.block, r.epoch, r.slot) for r in mixing.query(spark, sf).collect()}
     assert got == want
+
+
+def test_weights_hold_in_bytes(spark, monkeypatch):
+    """One tiny and one huge source, half of the bytes each: in every prefix of slots, to within a block and a document."""
+    monkeypatch.setattr(mixing, "EPOCHS_A_ROW", 16)
+    rows = [(i, "=huge", i, 1000 + i % 700) for i in range(3000)] + [(9000 + i, "=tiny", i, 300) for i in range(5)] + [(9900, "=none", 1, 0), (9901, "=none", 2, 0)]
+    frame = spark.createDataFrame(rows, "_at long, _key string, _id long, _size long")
+    found = mixing.mixed(frame, {"huge": 0.5, "tiny": 0.5}, 4096).join(frame.select("_at", "_size"), "_at").select("_key", "_size", "slot", "_at", "epoch").collect()
+    slots = max(r.slot for r in found) + 1
+    held = {k: [0] * slots for k in ("=huge", "=tiny", "=none")}
+    for r in found:
+        held[r._key][r.slot] += r._size
+    for k in ("=huge", "=tiny"):
+        done = 0
+        for slot in range(slots):
+            done += held[k][slot]
+            assert abs(done - (slot + 1) / 2 * 4096) < 2 * 4096 + 1700
+    whole = {k: sum(own) for k, own in held.items()}
+    assert 0.49 < whole["=tiny"] / (whole["=tiny"] + whole["=huge"]) < 0.51
+    assert Counter(r._at for r in found if r._key == "=none") == {9900: 1, 9901: 1} and len({r._at for r in found}) == len(rows)
+    assert len({(r._at, r.epoch) for r in found}) == len(found)
