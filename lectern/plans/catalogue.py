@@ -1,8 +1,8 @@
 """The catalogue of queries over the reader's tables, by name, with their SQL.
 
 A book is a source of `documents`, its chapters are that source's documents by doc_id; pages are
-the HTML documents, events are a reader's openings, conversations the questions. None of the
-tables holds Chinese text, so what is about Chinese text runs over literal rows.
+the HTML documents, events are a reader's openings, conversations the questions. What is about
+Chinese text is in chinese_rows.py.
 """
 
 from __future__ import annotations
@@ -10,9 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.functions import chinese as C
 from lectern.functions import text as X
-from lectern.functions import titles as N
 from lectern.operators import ask as A
 from lectern.operators import chapters as H
 from lectern.operators import index as I
@@ -20,6 +18,7 @@ from lectern.operators import library as B
 from lectern.operators import search as S
 from lectern.operators.ordinals import numbered
 from lectern.operators.shared import new_folder
+from lectern.plans import chinese_rows
 from lectern.sources import books
 from lectern.streaming import incremental
 
@@ -66,14 +65,6 @@ _CHAPTERS = """
 """
 
 
-def _expected(columns: str, rows: list[tuple]) -> str:
-    """SQL for known rows: what literal input has to give. columns: name and type of each."""
-    named = [c.split() for c in columns.split(", ")]
-    literal = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x).upper() if isinstance(x, bool) else str(x)
-    casts = ", ".join(f"CAST({name} AS {kind}) AS {name}" for name, kind in named)
-    return f"SELECT {casts} FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) AS v({', '.join(name for name, _ in named)})"
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_verified(spark, sf_dir)
 
@@ -87,24 +78,6 @@ def tokenize_documents(spark, sf_dir):
     return found.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
 
 
-_LINES = ["林动手中的石符，忽然JavaFX 3D 我。云岚宗", "石头。符号", "第3章 a", "萧炎", "…… ！", "云岚山中有个岚宗派"]
-_RUNS = r"'[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}]+|[A-Za-z0-9]+'"
-
-
-def _values(rows: list[str]) -> str:
-    return ", ".join(f"({i}, '{x}')" for i, x in enumerate(rows))
-
-
-@_query(f"""
-    SELECT id, array_to_string(flatten(list_transform(regexp_extract_all(line, {_RUNS}), lambda r:
-        CASE WHEN regexp_matches(r, '^[A-Za-z0-9]') OR length(r) = 1 THEN [lower(r)]
-             ELSE list_transform(range(1, length(r)), lambda i: substr(r, CAST(i AS INTEGER), 2)) END)), ' ') AS tokens
-    FROM (VALUES {_values(_LINES)}) AS v(id, line)""")
-def tokenize_chinese(spark, sf_dir):
-    lines = spark.createDataFrame(list(enumerate(_LINES)), "id int, line string")
-    return lines.select("id", F.array_join(X.tokens(F.col("line")), " ").alias("tokens"))
-
-
 @_query(_CHAPTERS + "SELECT DISTINCT unnest(tokens) AS token, book_id, chapter_index FROM tokens")
 def build_postings(spark, sf_dir):
     return S.postings(chapters(spark, sf_dir))
@@ -483,64 +456,6 @@ def dedupe_keep_first(spark, sf_dir):
     return hashed.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("h")
 
 
-_NUMERALS = ["一", "十", "十三", "二十", "一百二", "一百零五", "三千", "一万", "十二万三千四百五十六", "1024", "０７", "贰拾", "两", "一二三", "第", "", "零十", "二亿", "九十九亿"]
-
-
-_NUMBERS = [1, 10, 13, 20, 102, 105, 3000, 10000, 123456, 1024, 7, 20, 2, 3, None, None, None, 200000000, None]
-
-
-@_query(_expected("numeral VARCHAR, number INTEGER", list(zip(_NUMERALS, _NUMBERS, strict=True))))
-def chinese_numbers(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x in _NUMERALS], "numeral string").select("numeral", C.number(F.col("numeral")).alias("number"))
-
-
-_HEADINGS = ["第一章 石符", "【第二章 觉醒】", "第三卷 远行", "楔子", "番外3 雪", "第四章，他离开了这座城", "第十二章 的确", "他说第五章很好看。", "第九章 走！快走", "", "第１０章：风起", "正文"]
-
-
-_JUDGED = [
-    (0, "accepted", 1, "CHAPTER", "石符"), (1, "accepted", 2, "CHAPTER", "觉醒"), (2, "accepted", 3, "VOLUME", "远行"), (3, "accepted", 0, "SPECIAL", ""), (4, "accepted", 3, "SPECIAL", "雪"),
-    (5, "begins with punctuation", 4, "CHAPTER", "，他离开了这座城"), (6, "begins with a particle", 12, "CHAPTER", "的确"), (7, "not a heading", 0, "SPECIAL", ""), (8, "sentence end inside", 9, "CHAPTER", "走！快走"),
-    (9, "blank", 0, "SPECIAL", ""), (10, "accepted", 10, "CHAPTER", "风起"), (11, "not a heading", 0, "SPECIAL", ""),
-]
-
-
-@_query(_expected("id INTEGER, reason VARCHAR, number INTEGER, kind VARCHAR, title VARCHAR", _JUDGED))
-def headings(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(_HEADINGS)), "id int, line string")
-    return rows.select("id", C.heading(F.col("line")).alias("h")).select("id", "h.reason", "h.number", "h.kind", "h.title")
-
-
-_BOOK = ["某某小说", "目录"] + [f"第{n}章 标题" for n in "一二三四五"] + ["", "这里是开篇之前的一段文字，写得比三十个字要长一些，好让它自己成为一章。", ""]
-for _n, _t in (("一", "起"), ("二", "承"), ("九", "乱"), ("三", "转"), ("四", "合")):
-    _BOOK += [f"第{_n}章 {_t}", "正文一行。", "正文又一行。", ""]
-_BOOK += ["第二卷 远方", "卷首的话。", "第一章 再起", "正文。", "第二章 再承", "正文。"]
-
-
-def _book_lines(spark):
-    rows, at = [], 0
-    for n, line in enumerate(_BOOK):
-        size = len(f"{line}\n".encode())
-        rows.append(("b1", n, at, at + size, line))
-        at += size
-    return spark.createDataFrame(rows, "book_id string, line_no long, start long, stop long, line string")
-
-
-_SPLIT = [
-    (0, 88, 213, "第五章 标题", None), (1, 213, 263, "第一章 起", None), (2, 263, 363, "第二章 承", None), (3, 363, 413, "第三章 转", None), (4, 413, 496, "第四章 合", None),
-    (5, 496, 523, "第一章 再起", "第二卷 远方"), (6, 523, 550, "第二章 再承", "第二卷 远方"),
-]
-
-
-@_query(_expected("book_id VARCHAR, chapter_index BIGINT, start BIGINT, stop BIGINT, title VARCHAR, volume VARCHAR", [("b1", *r) for r in _SPLIT]))
-def split_chapters(spark, sf_dir):
-    return H.split(_book_lines(spark))
-
-
-@_query(_expected("book_id VARCHAR, headings BIGINT, inline BIGINT, rejected BIGINT, contents_dropped BIGINT, numbering_dropped BIGINT, segments BIGINT, chapters BIGINT, fallback BOOLEAN", [("b1", 13, 0, 0, 4, 1, 2, 7, False)]))
-def split_report(spark, sf_dir):
-    return H.report(_book_lines(spark))
-
-
 @_query("""
     WITH candidates AS (SELECT source AS book_id, doc_id AS line_no, n_chars < 1500 AS dense0, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS from_last FROM documents),
     d AS (SELECT book_id, line_no, dense0 AND from_last > 1 AS dense FROM candidates),
@@ -571,28 +486,6 @@ def volume_starts(spark, sf_dir):
     return H.starts_new_volume(table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").alias("chapter_index"), volume.alias("volume")))
 
 
-_HEADS = [
-    (0, "01.txt", "《元尊》\n作者：天蚕土豆\n内容"), (1, "斗破苍穹（精校版全本）作者天蚕土豆TXT下载.txt", "没有标题的开头"), (2, "a.txt", "书名：《全职高手》（全本）\n作者: 蝴蝶蓝|全本"),
-    (3, "x.txt", "『武动乾坤/作者:天蚕土豆』\n『状态:已完结』"), (4, "《作者之死》.txt", "作者：未知"), (5, ".txt", None), (6, "下载.epub", "作 者：欧·亨利 著"),
-]
-_TITLES = [(0, "元尊", "天蚕土豆"), (1, "斗破苍穹", None), (2, "全职高手", "蝴蝶蓝"), (3, "武动乾坤", "天蚕土豆"), (4, "作者之死", None), (5, ".txt", None), (6, "下载", "欧·亨利")]
-
-
-@_query(_expected("id INTEGER, title VARCHAR, author VARCHAR", _TITLES))
-def titles_and_authors(spark, sf_dir):
-    rows = spark.createDataFrame(_HEADS, "id int, file string, head string")
-    return rows.select("id", N.title(F.col("head"), F.col("file")).alias("title"), N.author(F.col("head")).alias("author"))
-
-
-_ENDS = ["（求收藏，求推荐票，麻烦大家了，谢谢第八章冲突", "第八章 冲突", "他在第一回合的交手中，便是败得如此的凄惨？", "没有标题", "他说第三章第四章 云起", "感谢第五章，风起", None]
-
-
-@_query(_expected("id INTEGER, cut INTEGER, number INTEGER, title VARCHAR", [(0, 18, 8, "冲突"), (1, None, None, None), (2, None, None, None), (3, None, None, None), (4, 2, 3, "第四章 云起"), (5, None, None, None), (6, None, None, None)]))
-def inline_headings(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(_ENDS)), "id int, line string").withColumn("h", C.inline_heading(F.col("line")))
-    return rows.select("id", "h.cut", "h.heading.number", "h.heading.title")
-
-
 # Pages
 
 
@@ -609,37 +502,6 @@ def page_blocks(spark, sf_dir):
 
 # Questions and answers
 
-_QUESTIONS = ["叶修是谁", "谁知道这件事", "药老是什么来历", "云岚宗在哪里？", "", "石符 有什么用", "怎么样"]
-
-
-_TERMS = [
-    (0, "叶修", "叶修", "修是|修是谁|叶修|叶修是|叶修是谁|是谁"),
-    (1, "谁知道这件事", "谁知道这件事|谁知道这|谁知道|谁知|知道这件|知道这|道这件事|道这件|道这|件事", "件事|知道|知道这|知道这件|谁知|谁知道|谁知道这|这件|这件事|道这|道这件|道这件事"),
-    (2, "药老来历", "药老来历|药老来|药老|老来历|老来|来历", "么来|么来历|什么|什么来|什么来历|是什|是什么|是什么来|来历|老是|老是什|老是什么|药老|药老是|药老是什"),
-    (3, "云岚宗", "云岚宗|云岚|岚宗", "云岚|云岚宗|云岚宗在|哪里|在哪|在哪里|宗在|宗在哪|宗在哪里|岚宗|岚宗在|岚宗在哪"),
-    (4, "", "", ""),
-    (5, "石符 有什么用", "石符 有什么用|石符|么用", "么用|什么|什么用|有什|有什么|有什么用|石符"),
-    (6, "样", "样", "么样|怎么|怎么样"),
-]
-
-
-@_query(_expected("question_id INTEGER, keyword VARCHAR, ladder VARCHAR, terms VARCHAR", _TERMS))
-def question_terms(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(_QUESTIONS)), "question_id int, question string")
-    return rows.select("question_id", C.question_keyword(F.col("question")).alias("keyword"), F.array_join(C.term_ladder(F.col("question")), "|").alias("ladder"), F.array_join(C.query_terms(F.col("question")), "|").alias("terms"))
-
-
-_ANSWERS = [(1, "答案一[1]。没有出处。答案二[2][9]！", 3), (2, "没有引用。", 3), (3, "全是错的[7]。", 3), (4, None, 3), (5, "有[1]", 0), (6, "[2][1][2]好", 2)]
-
-
-_VALIDATED = [(1, "答案一[1]。答案二[2]！", "ok", "1,2", "9"), (2, "", "invalid-citations", "", ""), (3, "", "invalid-citations", "", "7"), (4, "", "llm-error", "", ""), (5, "", "no-chunks", "", ""), (6, "[2][1][2]好", "ok", "2,1", "")]
-
-
-@_query(_expected("question_id INTEGER, answer VARCHAR, outcome VARCHAR, refs VARCHAR, invalid VARCHAR", _VALIDATED))
-def answers_validated(spark, sf_dir):
-    checked = A.validated(spark.createDataFrame(_ANSWERS, "question_id int, raw string, n_chunks int"))
-    return checked.select("question_id", "answer", "outcome", F.array_join("refs", ",").alias("refs"), F.array_join("invalid", ",").alias("invalid"))
-
 
 _CITED = "coalesce(text, '') || ' [' || turn || '][' || (turn % 3) || '][' || turn || ']'"
 
@@ -690,23 +552,6 @@ def ask_answers(spark, sf_dir):
     return answers.select("question_id", "n_chunks", "answer", "outcome", F.array_join("refs", ",").alias("refs"))
 
 
-_PROMPTED = [(1, "叶修是谁", "【片段1｜《b》第 1 章第 1 段】\n叶修来了"), (2, "没有的事", None)]
-
-
-@_query(
-    _expected(
-        "question_id INTEGER, user_prompt VARCHAR",
-        [
-            (1, "【原文片段】\n【片段1｜《b》第 1 章第 1 段】\n叶修来了\n\n---\n【用户问题】\n叶修是谁\n\n请依据上面的原文片段作答，并在每个结论后标注依据的片段编号。"),
-            (2, "【原文片段】（本次没有召回到任何与问题相关的原文）\n\n用户问题：没有的事\n\n请只回答一句话：原文里没有提到。不要作答、不要推测、不要使用你自己的知识。"),
-        ],
-    )
-)
-def prompts_built(spark, sf_dir):
-    rows = spark.createDataFrame(_PROMPTED, "question_id int, question string, context string")
-    return A.prompts(rows.select("question_id", "question"), rows.select("question_id", "context").filter("context is not null")).select("question_id", "user_prompt")
-
-
 @_query("""
     WITH q AS (SELECT DISTINCT conv_id AS question_id FROM conversations), r AS (SELECT conv_id AS question_id, turn % 3 AS book_id FROM conversations WHERE role = 'user')
     SELECT question_id, CAST(question_id % 4 AS BIGINT) AS searched_books, count(DISTINCT book_id) AS indexed_books, count(book_id) AS hits FROM q LEFT JOIN r USING (question_id) GROUP BY question_id""")
@@ -756,8 +601,8 @@ def vector_recall(spark, sf_dir):
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    return _QUERIES | chinese_rows.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | chinese_rows.SQL
