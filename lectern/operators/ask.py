@@ -6,11 +6,13 @@ callable that is handed in.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import chinese as C
 from lectern.functions import text as X
+from lectern.operators import index, search
+from lectern.operators.shared import once
 
 # Fixed values.
 SYSTEM_PROMPT = """\
@@ -33,6 +35,8 @@ NO_CONTEXT_PROMPT = ("【原文片段】（本次没有召回到任何与问题
 MAX_CHAPTERS, HITS_A_TERM, MAX_CHUNKS = 4, 40, 200
 MAX_CHUNK_CHARS, MAX_PER_CHAPTER, TOP_K = 1200, 2, 8
 MAX_CITATIONS, EXCERPT_CHARS = 12, 120
+#: Zones of the index that a term is looked for in at first; each further round so many times as many.
+FIRST_ZONES, GROWTH = 4, 8
 _CITATION = r"\[(\d+)\]"
 
 
@@ -56,6 +60,40 @@ def recall(terms: DataFrame, chapters: DataFrame) -> DataFrame:
     return first.withColumn("_n", F.row_number().over(chosen)).filter(F.col("_n") <= MAX_CHAPTERS).drop("_n", "place")
 
 
+def recall_by_index(spark: SparkSession, path: str, terms: DataFrame, texts: search.TextSource) -> DataFrame:
+    """(question_id, book_id, chapter_index): the first MAX_CHAPTERS chapters by the place of the first term that an indexed search finds in them, for any number of questions.
+
+    Each different term is looked for once. Zones that hold all of a term's tokens are known from
+    the heads of blocks; they are gone through in order, GROWTH times as many each round, for the
+    terms that have not enough hits yet: a question needs MAX_CHAPTERS chapters of a term beside as many
+    that earlier terms may have brought. Only candidates' texts are asked for.
+    """
+    enough = min(HITS_A_TERM, 2 * MAX_CHAPTERS)
+    wanted = terms.select("term").distinct().select("term", F.array_distinct(X.tokens(F.col("term"))).alias("_tokens"))
+    tokens = once(wanted.select("term", F.size("_tokens").alias("n"), F.explode("_tokens").alias("token")))
+    runs = index.live_runs(spark, path)
+    blocks = index.blocks_of(spark, path, tokens.select("token").distinct())
+    heads = tokens.join(blocks.select("token", "run", "turn", "zone", "first", "last"), "token").groupBy("term", "n", "run", "turn", "zone").agg(F.count("*").alias("_n"), F.max("first").alias("_first"), F.min("last").alias("_last"))
+    # zones of one run are in the order of their chapters; those of several are taken all at once
+    nth = F.row_number().over(Window.partitionBy("term").orderBy("zone")) if len(runs) == 1 else F.lit(1)
+    zones = once(heads.filter((F.col("_n") == F.col("n")) & (F.col("_first") <= F.col("_last"))).select("term", "n", "run", "turn", "zone", nth.alias("nth")))
+    hits, at, upto = spark.createDataFrame([], "term string, book_id string, chapter_index long"), 0, FIRST_ZONES
+    todo = zones
+    while not todo.isEmpty():
+        now = todo.filter((F.col("nth") > at) & (F.col("nth") <= upto))
+        found = index.met_by_term(spark, path, now.join(tokens.drop("n"), "term").join(blocks.select("token", "run", "zone", "gaps"), ["token", "run", "zone"]))
+        held = texts(found.select("book_id", "chapter_index").distinct()).select("book_id", "chapter_index", F.lower("text").alias("_text"))
+        hits = once(hits.unionByName(found.join(held, ["book_id", "chapter_index"]).filter(F.contains("_text", F.lower("term"))).select("term", "book_id", "chapter_index")))
+        done = hits.groupBy("term").agg(F.count("*").alias("_hits")).filter(F.col("_hits") >= enough)
+        at, upto = upto, upto * GROWTH
+        todo = zones.filter(F.col("nth") > at).join(done, "term", "left_anti")
+    nth_hit = F.row_number().over(Window.partitionBy("term").orderBy("book_id", "chapter_index"))
+    first_hits = hits.withColumn("_n", nth_hit).filter(F.col("_n") <= enough).drop("_n")
+    first = terms.join(first_hits, "term").groupBy("question_id", "book_id", "chapter_index").agg(F.min("place").alias("place"))
+    chosen = Window.partitionBy("question_id").orderBy("place", "book_id", "chapter_index")
+    return first.withColumn("_n", F.row_number().over(chosen)).filter(F.col("_n") <= MAX_CHAPTERS).drop("_n", "place")
+
+
 def paragraphs(chapters: DataFrame) -> DataFrame:
     """(book_id, chapter_index, paragraph_index, text): lines that hold something, numbered in their chapter."""
     lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), X.strip), lambda line: line != "")
@@ -64,7 +102,7 @@ def paragraphs(chapters: DataFrame) -> DataFrame:
 
 def chunks(recalled: DataFrame, chapters: DataFrame, most: int = MAX_CHUNKS) -> DataFrame:
     """The paragraphs of the recalled chapters with `pos`, their place in the question's chunks."""
-    own = paragraphs(chapters.join(F.broadcast(recalled.select("book_id", "chapter_index").distinct()), ["book_id", "chapter_index"], "left_semi"))
+    own = paragraphs(chapters.join(recalled.select("book_id", "chapter_index").distinct(), ["book_id", "chapter_index"], "left_semi"))
     joined = recalled.join(own, ["book_id", "chapter_index"])
     pos = F.row_number().over(Window.partitionBy("question_id").orderBy("book_id", "chapter_index", "paragraph_index")) - 1
     return joined.withColumn("pos", pos).filter(F.col("pos") < most)
@@ -82,7 +120,7 @@ def occurrences(text: Column, term: Column) -> Column:
 
 def reranked(rows: DataFrame, questions: DataFrame) -> DataFrame:
     """Adds score, how often the question's terms are found, and rank, by score, then place. Overlapping terms count each."""
-    asked = rows.join(F.broadcast(questions.select("question_id", C.query_terms(F.col("question")).alias("_terms"))), "question_id", "left")
+    asked = rows.join(questions.select("question_id", C.query_terms(F.col("question")).alias("_terms")), "question_id", "left")
     score = F.aggregate(F.coalesce("_terms", F.array().cast("array<string>")), F.lit(0).cast("long"), lambda a, t: a + occurrences(F.col("text"), t))
     rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "pos"))
     return asked.withColumn("score", score).drop("_terms").withColumn("rank", rank)
@@ -181,13 +219,17 @@ def citation_rows(checked: DataFrame, chosen: DataFrame) -> DataFrame:
     return cited.join(chosen, ["question_id", "number"]).select("question_id", "number", "book_id", "chapter_index", "paragraph_index", X.clip(X.strip(F.col("text")), EXCERPT_CHARS).alias("excerpt"))
 
 
-def ask(questions: DataFrame, chapters: DataFrame, model, top_k: int = TOP_K, books: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def ask(questions: DataFrame, chapters: DataFrame, model, top_k: int = TOP_K, books: DataFrame | None = None, index_path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(validated answers, chosen chunks).
 
+    index_path: an index of the chapters, to recall by; without one their texts are gone through.
+
     model(prompts) gives question_id and raw for the questions that have chunks, from what prompts()
     gives; None: no model is configured. books: book_id and title, for the chunks' headers.
     """
-    chosen = selected(chunks(recall(ladders(questions), chapters), chapters), questions, top_k)
+    terms = ladders(questions)
+    recalled = recall(terms, chapters) if index_path is None else recall_by_index(questions.sparkSession, index_path, terms, search.texts_of(chapters))
+    chosen = selected(chunks(recalled, chapters), questions, top_k)
     counted = chosen.groupBy("question_id").agg(F.count("*").alias("n_chunks"))
     counts = questions.select("question_id").join(counted, "question_id", "left").fillna(0, ["n_chunks"])
     if model is None:

@@ -282,29 +282,60 @@ def _own_blocks(spark: SparkSession, path: str, runs: list[dict], tokens: list[s
     return rows.filter(F.col("part").isin(sorted(set(parts))) & F.col("token").isin(tokens))
 
 
+def live_runs(spark: SparkSession, path: str) -> list[dict]:
+    """The runs that have chapters, with `turn`."""
+    return [r for r in _turned(_runs(spark, path)) if "drop" not in r]
+
+
+def blocks_of(spark: SparkSession, path: str, tokens: DataFrame) -> DataFrame:
+    """The blocks of a table of tokens, with run and turn."""
+    rows = _table(spark, path, "postings", f"{_POSTINGS}, part int", live_runs(spark, path))
+    return rows.join(tokens.select("token", _part(F.col("token")).alias("part")), ["part", "token"]).drop("part")
+
+
+def met_by_term(spark: SparkSession, path: str, blocks: DataFrame) -> DataFrame:
+    """(term, book_id, chapter_index) of the chapters that hold all of a term's tokens. blocks: term, n (its tokens), run, turn, zone, gaps."""
+    runs = _turned(_runs(spark, path))
+    kinds = "term string, run string, turn int, zone int, place long"
+
+    def meet(own: pa.Table) -> pa.Table:
+        found = _common(own["gaps"]) if own.num_rows == own["n"][0].as_py() else np.zeros(0, np.int64)
+        columns = {"term": pa.string(), "run": pa.string(), "turn": pa.int32(), "zone": pa.int32()}
+        return pa.table({c: pa.array([own[c][0].as_py()] * len(found), kind) for c, kind in columns.items()} | {"place": pa.array(found, pa.int64())})
+
+    places = blocks.select("term", "n", "run", "turn", "zone", "gaps").groupBy("term", "run", "zone").applyInArrow(meet, kinds)
+    real = live_runs(spark, path)
+    keyed = _keyed(places, _table(spark, path, "chapters", _CHAPTERS, real), real, ["term"])
+    return _in_turn(keyed, spark, path, runs).select("term", "book_id", "chapter_index")
+
+
+def _common(lists: pa.ChunkedArray) -> np.ndarray:
+    """The places that all of these lists of gaps have: the shortest is held against one after the other."""
+    ordered = sorted((np.asarray(g.values.to_numpy(zero_copy_only=False)) for g in lists), key=len)
+    found = np.cumsum(ordered[0], dtype=np.int64)
+    for gaps in ordered[1:]:
+        if not len(found):
+            break
+        found = np.intersect1d(found, np.cumsum(gaps, dtype=np.int64), assume_unique=True)
+    return found
+
+
 def _met(blocks: DataFrame, n_tokens: int) -> DataFrame:
-    """(run, turn, zone, place) of the places that all of a zone's blocks have: the shortest is held against one after the other."""
+    """(run, turn, zone, place) of the places that all of a zone's blocks have."""
 
     def meet(own: pa.Table) -> pa.Table:
-        found = np.zeros(0, np.int64)
-        if own.num_rows == n_tokens:
-            lists = sorted((np.asarray(g.values.to_numpy(zero_copy_only=False)) for g in own["gaps"]), key=len)
-            found = np.cumsum(lists[0], dtype=np.int64)
-            for gaps in lists[1:]:
-                if not len(found):
-                    break
-                found = np.intersect1d(found, np.cumsum(gaps, dtype=np.int64), assume_unique=True)
+        found = _common(own["gaps"]) if own.num_rows == n_tokens else np.zeros(0, np.int64)
         n = len(found)
         return pa.table({"run": pa.array([own["run"][0].as_py()] * n, pa.string()), "turn": pa.array([own["turn"][0].as_py()] * n, pa.int32()), "zone": pa.array([own["zone"][0].as_py()] * n, pa.int32()), "place": pa.array(found, pa.int64())})
 
     return blocks.select("run", "turn", "zone", "gaps").groupBy("run", "zone").applyInArrow(meet, "run string, turn int, zone int, place long")
 
 
-def _keyed(places: DataFrame, chapters: DataFrame, runs: list[dict]) -> DataFrame:
-    """(book_id, chapter_index, turn) of places."""
+def _keyed(places: DataFrame, chapters: DataFrame, runs: list[dict], also: list[str] | None = None) -> DataFrame:
+    """(book_id, chapter_index, turn) of places, and the columns `also`."""
     size = F.create_map(*[F.lit(x) for r in runs for x in (r["id"], r.get("zone", ZONE))])
-    numbered = places.select("run", "turn", "zone", (F.col("zone") * size[F.col("run")] + F.col("place")).alias("doc_no"))
-    return numbered.join(chapters.select("run", "zone", "doc_no", "book_id", "chapter_index"), ["run", "zone", "doc_no"]).select("book_id", "chapter_index", "turn")
+    numbered = places.select(*(also or []), "run", "turn", "zone", (F.col("zone") * size[F.col("run")] + F.col("place")).alias("doc_no"))
+    return numbered.join(chapters.select("run", "zone", "doc_no", "book_id", "chapter_index"), ["run", "zone", "doc_no"]).select(*(also or []), "book_id", "chapter_index", "turn")
 
 
 def candidates(spark: SparkSession, path: str, query: str) -> DataFrame:

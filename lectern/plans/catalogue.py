@@ -536,19 +536,63 @@ def paragraphs_ranked(spark, sf_dir):
     return scored.withColumn("rank", best).filter("rank <= 50").select("question_id", "doc_id", "n", "score", "rank")
 
 
-@_query()
+def _asked(spark, sf_dir):
+    """A question of each benchmark item: its first two words of letters, and a question word."""
+    words = F.regexp_extract("text", "[A-Za-z]+ [A-Za-z]+", 0)
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.concat(words, F.lit("在哪里？")).alias("question"))
+
+
+_PIECES = "list_filter(flatten(list_transform(range(1, length(k) + 1), lambda i: list_transform([4, 3, 2], lambda n: CASE WHEN i + n - 1 <= length(k) THEN substr(k, CAST(i AS INTEGER), CAST(n AS INTEGER)) END))), lambda p: p IS NOT NULL AND NOT contains(p, ' '))"
+_COUNT = "CAST((length(line) - length(replace(line, {0}, ''))) / length({0}) AS BIGINT)"
+_CHOSEN = f"""
+    , q AS (SELECT item_id AS question_id, regexp_extract(text, '[A-Za-z]+ [A-Za-z]+') AS k FROM benchmark),
+    ladder AS (SELECT question_id, k, CASE WHEN k = '' THEN [] ELSE list_concat([k], {_PIECES}) END AS l FROM q),
+    terms AS (SELECT question_id, term, min(place) AS place FROM (SELECT question_id, unnest(l) AS term, unnest(range(0, len(l))) AS place FROM ladder) GROUP BY question_id, term),
+    capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY place) AS n FROM terms) WHERE n <= 12),
+    own AS (SELECT term, list_transform(regexp_extract_all(term, '[A-Za-z0-9]+'), lambda t: lower(t)) AS need FROM (SELECT DISTINCT term FROM capped)),
+    met AS (SELECT term, book_id, chapter_index, row_number() OVER (PARTITION BY term ORDER BY book_id, chapter_index) AS nth FROM own JOIN tokens ON len(need) > 0 AND list_has_all(tokens, need) AND contains(lower(text), lower(term))),
+    firsts AS (SELECT question_id, book_id, chapter_index, min(place) AS place FROM capped JOIN met USING (term) WHERE nth <= 40 GROUP BY question_id, book_id, chapter_index),
+    recalled AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY place, book_id, chapter_index) AS n FROM firsts) WHERE n <= 4),
+    lines AS (SELECT book_id, chapter_index, n, regexp_replace(line, '^[\\s\\x{{3000}}]+|[\\s\\x{{3000}}]+$', '', 'g') AS line FROM
+        (SELECT book_id, chapter_index, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS n FROM chapters)),
+    paragraphs AS (SELECT book_id, chapter_index, row_number() OVER (PARTITION BY book_id, chapter_index ORDER BY n) - 1 AS paragraph_index, line FROM lines WHERE line <> ''),
+    chunks AS (SELECT * FROM (SELECT question_id, book_id, chapter_index, paragraph_index, line AS whole, row_number() OVER (PARTITION BY question_id ORDER BY book_id, chapter_index, paragraph_index) - 1 AS pos FROM recalled JOIN paragraphs USING (book_id, chapter_index)) WHERE pos < 200),
+    clipped AS (SELECT *, CASE WHEN length(whole) > 1200 THEN substr(whole, 1, 1200) || '…' ELSE whole END AS line FROM chunks),
+    words AS (SELECT question_id, list_distinct(list_filter(string_split(k, ' '), lambda w: length(w) >= 2)) AS w FROM q),
+    scored AS (SELECT *, coalesce(CAST(list_sum(list_transform(w, lambda x: {_COUNT.format('x')})) AS BIGINT), 0) AS score FROM clipped JOIN words USING (question_id)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, pos) AS rank FROM scored),
+    spread AS (SELECT *, row_number() OVER (PARTITION BY question_id, book_id, chapter_index ORDER BY rank) AS nth, min(rank) OVER (PARTITION BY question_id, book_id, chapter_index) AS best FROM ranked),
+    chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY CAST(nth > 2 AS INTEGER), best, rank) AS number FROM spread) WHERE number <= 8)
+"""
+
+
+def _indexed(spark, sf_dir):
+    path, own = new_folder(spark, "index"), chapters(spark, sf_dir)
+    I.index_books(own, path, zone=256)
+    return path, own
+
+
+@_query(_CHAPTERS.rstrip() + _CHOSEN + "SELECT question_id, CAST(number AS INTEGER) AS number, book_id, chapter_index, CAST(paragraph_index AS INTEGER) AS paragraph_index, score FROM chosen")
 def ask_selected(spark, sf_dir):
-    """The chunks that go into each question's context."""
-    questions, own = _questions(spark), chapters(spark, sf_dir)
-    chosen = A.selected(A.chunks(A.recall(A.ladders(questions), own), own), questions)
+    """The chunks that go into each question's context, recalled by an index."""
+    questions, (path, own) = _asked(spark, sf_dir), _indexed(spark, sf_dir)
+    recalled = A.recall_by_index(spark, path, A.ladders(questions), S.texts_of(own))
+    chosen = A.selected(A.chunks(recalled, own), questions)
     return chosen.select("question_id", "number", "book_id", "chapter_index", "paragraph_index", "score")
 
 
-@_query()
+@_query(
+    _CHAPTERS.rstrip()
+    + _CHOSEN
+    + """
+    SELECT question_id, coalesce(n, 0) AS n_chunks, CASE WHEN n IS NULL THEN '' WHEN n = 1 THEN 'See [1].' ELSE 'See [1]. And [2]!' END AS answer, CASE WHEN n IS NULL THEN 'no-chunks' ELSE 'ok' END AS outcome,
+           CASE WHEN n IS NULL THEN '' WHEN n = 1 THEN '1' ELSE '1,2' END AS refs
+    FROM q LEFT JOIN (SELECT question_id, count(*) AS n FROM chosen GROUP BY question_id) USING (question_id)"""
+)
 def ask_answers(spark, sf_dir):
     """Whole questions and answers, with a stand-in for the model that cites the first two chunks and one that is not there."""
-    own = chapters(spark, sf_dir)
-    answers, _ = A.ask(_questions(spark), own, lambda prompts: prompts.select("question_id", F.concat(F.lit("See [1]. And [2]! Nothing here. Not there [99]."), F.substring("context", 1, 0)).alias("raw")))
+    questions, (path, own) = _asked(spark, sf_dir), _indexed(spark, sf_dir)
+    answers, _ = A.ask(questions, own, lambda prompts: prompts.select("question_id", F.concat(F.lit("See [1]. And [2]! Nothing here. Not there [99]."), F.substring("context", 1, 0)).alias("raw")), index_path=path)
     return answers.select("question_id", "n_chunks", "answer", "outcome", F.array_join("refs", ",").alias("refs"))
 
 
