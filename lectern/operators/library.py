@@ -12,6 +12,8 @@ from lectern.operators.ordinals import carried, summed_before
 RECENT = 12
 NEAR, ROUNDING = 0.02, 1e-12
 MIN_SECONDS, MAX_SECONDS = 30, 24 * 3600
+#: What reciprocal ranks add to a place.
+RANK_OFFSET = 60
 #: Openings of a reader that are looked at together: those of a day.
 DAY_MICROS = 86_400_000_000
 
@@ -58,6 +60,30 @@ def with_group(books: DataFrame, book_ids: list[str], group: str | None) -> Data
     return books.withColumn("group_name", F.when(F.col("book_id").isin(book_ids), name).otherwise(F.col("group_name")))
 
 
+def with_notes(bookmarks: DataFrame, notes: DataFrame) -> DataFrame:
+    """bookmarks with the notes of notes (book_id, chapter_index, created_at, note) put in, stripped, the empty note for none."""
+    keys = ["book_id", "chapter_index", "created_at"]
+    new = notes.select(*[F.col(k).alias(f"_{k}") for k in keys], F.coalesce(normalised_name(F.col("note")), F.lit("")).alias("_note"))
+    joined = bookmarks.join(new, [F.col(k) == F.col(f"_{k}") for k in keys], "left")
+    return joined.select(*[F.coalesce("_note", "note").alias("note") if c == "note" else F.col(c) for c in bookmarks.columns])
+
+
+def fused(ranks: DataFrame, k: int = RANK_OFFSET) -> DataFrame:
+    """Several rankings as one by reciprocal ranks: query_id, item_id, score, rank.
+
+    ranks: query_id, list (which ranking), item_id, rank (from 1). An item's score is the sum of
+    1 / (k + rank) over the rankings that have it; of an item that a ranking has twice, the better place
+    counts; equal scores go by the best place, then by item_id.
+    """
+    once_each = ranks.groupBy("query_id", "item_id", "list").agg(F.min("rank").alias("rank"))
+    # the ranks are added in order, so equal ones give equal sums
+    parts = once_each.groupBy("query_id", "item_id").agg(F.array_sort(F.collect_list("rank")).alias("_ranks"))
+    score = F.aggregate("_ranks", F.lit(0.0), lambda a, r: a + F.lit(1.0) / (F.lit(k) + r))
+    scored = parts.select("query_id", "item_id", score.alias("score"), F.get("_ranks", F.lit(0)).alias("_best"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "_best", "item_id")
+    return scored.withColumn("rank", F.row_number().over(order)).drop("_best")
+
+
 def forgotten(gone: DataFrame, books: DataFrame, *dependents: DataFrame) -> tuple[DataFrame, ...]:
     """books without those of gone (book_id), and each dependent table (bookmarks, sessions, index states) without their rows."""
     ids = gone.select("book_id").distinct()

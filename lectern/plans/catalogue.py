@@ -16,11 +16,12 @@ from lectern.operators import chapters as H
 from lectern.operators import index as I
 from lectern.operators import library as B
 from lectern.operators import search as S
+from lectern.operators import tables as T
 from lectern.operators.ordinals import numbered
 from lectern.operators.shared import new_folder
 from lectern.plans import chinese_rows
 from lectern.sources import books
-from lectern.streaming import incremental
+from lectern.streaming import incremental, reading
 
 QUERY, QUERY_TOKENS = "of the", ("of", "the")
 LIMIT = 20
@@ -390,11 +391,14 @@ def index_pending(spark, sf_dir):
     return B.pending(*_books_and_meta(spark, sf_dir)).select("book_id")
 
 
-@_query("SELECT source AS book_id, count(*) AS scanned, count(quality) AS skipped, count(*) FILTER (quality IS NULL AND n_chars >= 200) AS imported, count(*) FILTER (quality IS NULL AND n_chars < 200) AS failed FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
+@_query("""
+    WITH j AS (SELECT 'f' || doc_id AS path, quality IS NOT NULL AS old, n_chars < 60 AS failed FROM documents LEFT JOIN labels USING (doc_id))
+    SELECT count(*) AS scanned, count(*) FILTER (old) AS skipped, count(*) FILTER (NOT old AND NOT failed) AS imported, count(*) FILTER (NOT old AND failed) AS failed, true AS truncated,
+           coalesce(string_agg(path || ' too short', ',' ORDER BY path) FILTER (NOT old AND failed), '') AS failures FROM j""")
 def import_report(spark, sf_dir):
-    joined = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    new = F.col("quality").isNull()
-    return joined.groupBy(F.col("source").alias("book_id")).agg(F.count("*").alias("scanned"), F.count("quality").alias("skipped"), F.count_if(new & (F.col("n_chars") >= 200)).alias("imported"), F.count_if(new & (F.col("n_chars") < 200)).alias("failed"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book_id"), F.concat(F.lit("f"), "doc_id").alias("path"), F.lit(True).alias("truncated"), F.when(F.col("n_chars") < 60, "too short").alias("error"))
+    report = books.import_report(docs.drop("error"), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("book_id")), docs.select("book_id", "error"))
+    return report.withColumn("failures", F.array_join(F.transform("failures", lambda f: F.concat(f["path"], F.lit(" "), f["reason"])), ","))
 
 
 @_query("SELECT page_id, substr(sha256(url), 1, 16) AS book_id FROM pages")
@@ -408,6 +412,43 @@ def fingerprints(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", X.fingerprint(size, F.col("o_orderdate").cast("timestamp")).alias("fingerprint"))
 
 
+@_query("""
+    WITH shelf AS (SELECT CAST(c_custkey AS VARCHAR) AS book_id, c_name AS title FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_custkey % 3 <> 0
+                   UNION ALL SELECT CAST(c_custkey AS VARCHAR), upper(c_name) FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_custkey % 3 = 0)
+    SELECT 'book' AS kind, book_id, title AS value FROM shelf
+    UNION ALL SELECT 'bookmark', book_id, CASE WHEN o_orderkey % 4 = 1 THEN 'noted' ELSE o_orderpriority END FROM orders JOIN shelf ON book_id = CAST(o_custkey AS VARCHAR)
+    UNION ALL SELECT 'session', book_id, CAST(event_id AS VARCHAR) FROM events JOIN shelf ON book_id = CAST(user_id AS VARCHAR)""")
+def library_committed(spark, sf_dir):
+    """The library's tables after books, bookmarks and sessions have been put in, notes set, and a group of books forgotten with all that depends on it, each in a commit."""
+    path, customers, orders = new_folder(spark, "library"), table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    shelf = customers.select(F.col("c_custkey").cast("string").alias("book_id"), F.col("c_name").alias("title"))
+    marks = orders.select(F.col("o_custkey").cast("string").alias("book_id"), F.lit(0).alias("chapter_index"), F.col("o_orderkey").cast("long").alias("created_at"))
+    T.save_books(spark, path, shelf)
+    T.save_books(spark, path, shelf.filter("book_id % 3 = 0").withColumn("title", F.upper("title")))
+    T.add_rows(spark, path, "bookmarks", marks.join(orders.select(F.col("o_orderkey").alias("created_at"), F.col("o_orderpriority").alias("note")), "created_at"))
+    T.add_rows(spark, path, "sessions", table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("book_id"), F.col("event_id").cast("long").alias("seconds")))
+    T.set_note(spark, path, marks.filter("created_at % 4 = 1").withColumn("note", F.lit(" noted ")))
+    last = T.forget(spark, path, customers.filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").cast("string").alias("book_id")))
+    of = lambda name, kind, value: last.table(name).select(F.lit(kind).alias("kind"), "book_id", F.col(value).cast("string").alias("value"))
+    return of("books", "book", "title").unionByName(of("bookmarks", "bookmark", "note")).unionByName(of("sessions", "session", "seconds"))
+
+
+@_query("""
+    WITH gaps AS (SELECT user_id, event_type AS book_id, epoch_us(ts) AS started_at, CAST(floor((lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) - epoch_us(ts)) / 1000000) AS BIGINT) AS seconds FROM events)
+    SELECT user_id, book_id, started_at, least(seconds, 86400) AS seconds FROM gaps WHERE seconds >= 30""")
+def reading_stream(spark, sf_dir):
+    """Reading time from a stream of openings (the event's type is the book) that is stopped and started again between its parts."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("book_id"))
+    folder, days = new_folder(spark, "openings"), F.unix_date(F.col("ts").cast("date"))
+    first, last = events.agg(F.min(days), F.max(days)).first()
+    parts = 3
+    for n in range(parts):
+        own = F.floor((days - first) * parts / (last - first + 1)) == n
+        events.filter(own).write.mode("append").parquet(f"{folder}/in")
+        reading.run(spark.readStream.schema(events.schema).parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema(reading.SEGMENTS).parquet(f"{folder}/out")
+
+
 # Chapters and texts
 
 _LENGTHS = "WITH c AS (SELECT source AS book_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS chapter_index, n_chars AS length FROM documents)"
@@ -449,9 +490,16 @@ def paragraphs(spark, sf_dir):
     return A.paragraphs(docs).select(F.col("book_id").alias("doc_id"), F.col("paragraph_index").cast("long").alias("paragraph_index"), F.length("text").cast("long").alias("chars"))
 
 
-@_query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
+@_query("SELECT min(doc_id) AS pos, doc_id % 5 AS question_id, source AS book_id, n_chars % 7 AS chapter_index, n_chars % 3 AS paragraph_index FROM documents GROUP BY doc_id % 5, source, n_chars % 7, n_chars % 3")
 def dedupe_keep_first(spark, sf_dir):
-    # two hashes stand for the text, so that no text is shuffled
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(F.col("doc_id").alias("pos"), (F.col("doc_id") % 5).alias("question_id"), F.col("source").alias("book_id"), (F.col("n_chars") % 7).alias("chapter_index"), (F.col("n_chars") % 3).alias("paragraph_index"))
+    return A.deduplicated(rows)
+
+
+@_query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
+def equal_texts(spark, sf_dir):
+    # a hash stands for the text, so that no text is shuffled
     hashed = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
     return hashed.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("h")
 
@@ -644,6 +692,25 @@ def vector_recall(spark, sf_dir):
     return of_block.withColumn("rank", best("query_id")).filter("rank <= 3")
 
 
+@_query("""
+    WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0),
+    v AS (SELECT query_id, vec_id AS item_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) DESC, vec_id) AS rank FROM q, embeddings WHERE vec_id <> query_id),
+    w AS (SELECT doc_id, source, CAST((length(text) - length(replace(text, 'the', ''))) / 3 AS BIGINT) AS n FROM documents),
+    k AS (SELECT query_id, i.doc_id AS item_id, row_number() OVER (PARTITION BY query_id ORDER BY i.n DESC, i.doc_id) AS rank FROM q JOIN w o ON o.doc_id = query_id JOIN w i ON i.source = o.source),
+    r AS (SELECT query_id, item_id, rank FROM v WHERE rank <= 3 UNION ALL SELECT query_id, item_id, rank FROM k WHERE rank <= 5),
+    s AS (SELECT query_id, item_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(rank) AS best FROM r GROUP BY query_id, item_id)
+    SELECT query_id, item_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best, item_id) AS INTEGER) AS rank FROM s""")
+def ranks_fused(spark, sf_dir):
+    """For each question (a vector, and the source of the document of its id): the nearest vectors and the source's documents with most of a word, fused by their ranks."""
+    near = vector_recall(spark, sf_dir).select("query_id", F.lit("vector").alias("list"), F.col("vec_id").alias("item_id"), "rank")
+    counted = table(spark, sf_dir, "documents").select("doc_id", "source", A.occurrences(F.col("text"), F.lit("the")).alias("n"))
+    # the five first documents of a source are the same for all its questions
+    best = counted.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "doc_id"))).filter("rank <= 5").select("source", F.col("doc_id").alias("item_id"), "rank")
+    asked = table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id")).join(counted.select(F.col("doc_id").alias("query_id"), "source"), "query_id")
+    keyword = asked.join(best, "source").select("query_id", F.lit("keyword").alias("list"), "item_id", "rank")
+    return B.fused(near.unionByName(keyword)).withColumn("score", F.round("score", 9))
+
+
 def queries() -> dict:
     return _QUERIES | chinese_rows.QUERIES
 

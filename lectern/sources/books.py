@@ -39,13 +39,12 @@ def _listed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scan(spark: SparkSession, folder: str, most: int = MAX_FILES) -> DataFrame:
-    """path, length, modificationTime, book_id, format and fingerprint of the first `most` books of a folder by path, at any depth, hidden ones left out; and truncated, whether there are more."""
+    """path, length, modificationTime, book_id, format and fingerprint of the first `most` books of a folder by path, at any depth, hidden ones left out; and truncated, whether it came to that many."""
     listed = _listed(spark, folder)
-    # one row more tells whether there are more
-    rows = listed.orderBy("path").limit(most + 1)
+    rows = listed.orderBy("path").limit(most)
     total = rows.agg(F.count("*").alias("_n"))
-    shown = rows.orderBy("path").limit(most).crossJoin(F.broadcast(total))  # one row
-    return shown.select(*listed.columns, X.book_id(F.col("path")).alias("book_id"), X.fingerprint(F.col("length"), F.col("modificationTime")).alias("fingerprint"), (F.col("_n") > most).alias("truncated"))
+    shown = rows.crossJoin(F.broadcast(total))  # one row
+    return shown.select(*listed.columns, X.book_id(F.col("path")).alias("book_id"), X.fingerprint(F.col("length"), F.col("modificationTime")).alias("fingerprint"), (F.col("_n") >= most).alias("truncated"))
 
 
 def import_report(scanned: DataFrame, known: DataFrame, read: DataFrame) -> DataFrame:
