@@ -12,6 +12,7 @@ import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
+from functools import cache
 from html.parser import HTMLParser
 from urllib.parse import unquote_plus
 from xml.etree import ElementTree
@@ -29,6 +30,12 @@ MAX_FILES, SAMPLE_BYTES, HEAD_BYTES, MAX_IMAGE_BYTES = 2000, 256 * 1024, 4096, 8
 EXTENSIONS = ("txt", "epub")
 #: Half bytes of a file whose lines find their chapters together.
 LINE_SPAN = 1 << 20
+#: Weights of UTF-16 units, later lines over earlier ones; of line ends and tabs, and what common characters add; and the mean under which a text makes no sense.
+UNIT_WEIGHTS = (
+    (0x0000, 0x001F, -60), (0x0020, 0x007E, 8), (0x007F, 0x009F, -60), (0x3000, 0x303F, 14), (0x3040, 0x30FF, -25), (0x3400, 0x4DBF, -6),
+    (0x4E00, 0x9FFF, 12), (0xAC00, 0xD7AF, -25), (0xE000, 0xF8FF, -40), (0xFF00, 0xFFEF, 10), (0xFEFF, 0xFEFF, 0), (0xFFFD, 0xFFFD, -120),
+)
+LINE_WEIGHT, COMMON_WEIGHT, GARBAGE = 6, 25, 0.0
 _BOMS = ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF32_LE, "utf-32-le"), (codecs.BOM_UTF32_BE, "utf-32-be"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"))
 
 
@@ -38,6 +45,11 @@ def _listed(spark: SparkSession, folder: str) -> DataFrame:
     return files.withColumn("format", ending).filter(F.col("format").isin(*EXTENSIONS) & ~F.col("path").rlike(r"/\.[^/]*$"))
 
 
+def fingerprinted(spark: SparkSession, folder: str) -> DataFrame:
+    """path, length, format, book_id and fingerprint of every book of a folder."""
+    return _listed(spark, folder).select("path", "length", "format", X.book_id(F.col("path")).alias("book_id"), X.fingerprint(F.col("length"), F.col("modificationTime")).alias("fingerprint"))
+
+
 def scan(spark: SparkSession, folder: str, most: int = MAX_FILES) -> DataFrame:
     """path, length, modificationTime, book_id, format and fingerprint of the first `most` books of a folder by path, at any depth, hidden ones left out; and truncated, whether it came to that many."""
     listed = _listed(spark, folder)
@@ -61,17 +73,28 @@ def import_report(scanned: DataFrame, known: DataFrame, read: DataFrame) -> Data
     return rows.agg(F.count("*").alias("scanned"), F.count_if(skipped).alias("skipped"), F.count_if(~skipped & ~failed).alias("imported"), F.count_if(failed).alias("failed"), F.coalesce(F.bool_or("truncated"), F.lit(False)).alias("truncated"), F.array_sort(F.collect_list(failure)).alias("failures"))
 
 
-def _plausible(text: str) -> tuple[float, int]:
-    """(how much text looks like Chinese prose by character, characters that can't be in it)."""
-    bad = sum(c == "�" or "" <= c <= "" for c in text)
-    good = sum("一" <= c <= "鿿" or "　" <= c <= "〿" or "＀" <= c <= "￯" or " " <= c <= "~" or c in "\r\n\t" for c in text)
-    # characters of the first level of GB2312 are the common ones
-    common = sum(b"\xb0\xa1" <= c.encode("gb2312", "ignore") <= b"\xd7\xf9" for c in text if "一" <= c <= "鿿")
-    return (good + common - 4 * bad) / max(1, len(text)), bad
+@cache
+def _weights() -> np.ndarray:
+    """How much each UTF-16 unit speaks for a text being Chinese prose."""
+    weight = np.zeros(1 << 16)
+    for first, last, value in UNIT_WEIGHTS:
+        weight[first : last + 1] = value
+    for unit in map(ord, "\n\r\t"):
+        weight[unit] = LINE_WEIGHT
+    # the characters of the first level of GB2312 are the common ones
+    common = b"".join(bytes((high, low)) for high in range(0xB0, 0xD8) for low in range(0xA1, 0xFF)).decode("gb2312", "ignore")
+    weight[np.frombuffer(common.encode("utf-16-le"), "<u2")] += COMMON_WEIGHT
+    return weight
+
+
+def plausibility(sample: bytes, charset: str) -> tuple[float, int]:
+    """(mean weight of a unit of the sample, read in this charset; minus how many of its bytes stand for nothing). Higher is likelier."""
+    units = np.frombuffer(sample.decode(charset, "replace").encode("utf-16-le", "surrogatepass"), "<u2")
+    return (float(_weights()[units].mean()), -int((units == 0xFFFD).sum())) if len(units) else (float("-inf"), 0)
 
 
 def detect(content: bytes) -> tuple[str, int]:
-    """(character set, length of the byte order mark): by the mark, by zero bytes, as UTF-8, or the more plausible of GB18030 and Big5."""
+    """(character set, length of the byte order mark): by the mark, by zero bytes, as UTF-8, the more plausible of GB18030 and Big5, or, if neither makes sense, of the two kinds of UTF-16."""
     for mark, name in sorted(_BOMS, key=lambda b: -len(b[0])):
         if content.startswith(mark):
             return name, len(mark)
@@ -88,9 +111,19 @@ def detect(content: bytes) -> tuple[str, int]:
         return "utf-8", 0
     except UnicodeDecodeError:
         pass
-    scores = [(_plausible(sample.decode(name, "replace")), name) for name in ("gb18030", "big5")]
-    best = max(scores, key=lambda s: (s[0][0], -s[0][1]))
-    return (best[1] if best[0][0] > 0 else "gb18030"), 0
+    best, name = _likeliest(sample, ("gb18030", "big5"))
+    if best[0] >= GARBAGE:
+        return name, 0
+    # neither makes sense, so it may be of wide units without a mark and without zero bytes
+    wide, wide_name = _likeliest(sample, ("utf-16-le", "utf-16-be"))
+    return (wide_name if wide[0] > best[0] else "gb18030"), 0
+
+
+def _likeliest(sample: bytes, charsets: tuple[str, ...]) -> tuple[tuple[float, int], str]:
+    """The best score and its charset, the first one of equals."""
+    scores = [plausibility(sample, name) for name in charsets]
+    best = max(scores)
+    return best, charsets[scores.index(best)]
 
 
 def lines_of(content: bytes, charset: str, at: int) -> Iterator[tuple[int, int, int, str]]:
@@ -235,10 +268,22 @@ class _Archive:
         self.zip = zipfile.ZipFile(io.BytesIO(content))
         self.names = {n.lower(): n for n in reversed(self.zip.namelist())}
 
+    def _exact(self, name: str) -> str | None:
+        return name if name in self.zip.namelist() else self.names.get(name.lower())
+
     def read(self, name: str) -> bytes | None:
-        exact = name if name in self.zip.namelist() else self.names.get(name.lower())
+        exact = self._exact(name)
         return self.zip.read(exact) if exact else None
 
+    def bounded(self, name: str, most: int) -> bytes | None:
+        """The same of entries of at most so many bytes, whatever the archive says of their size."""
+        exact = self._exact(name)
+        if exact is None or self.zip.getinfo(exact).file_size > most:
+            return None
+        with self.zip.open(exact) as entry:
+            content = entry.read(most + 1)
+        return content if len(content) <= most else None
+
 
 def _contents(archive: _Archive, base: str, manifest: dict, toc_id: str | None) -> dict[str, str]:
     """Titles by path: of the navigation page, else of the NCX table that the spine or the media type names."""

@@ -28,6 +28,7 @@ from hashlib import sha256
 from urllib.parse import unquote
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.dataset as ds
 from pyarrow import fs
@@ -37,7 +38,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 from lectern.functions import text as X
 from lectern.functions import titles
-from lectern.operators.shared import new_folder
+from lectern.operators.shared import new_folder, once
 from lectern.sources import books
 
 SPLIT_BYTES = 32 << 20
@@ -245,9 +246,8 @@ def _loaded(spark: SparkSession, read: str, folder: str, **options) -> DataFrame
     return spark.read.format("books").option("read", read).options(**options).load(folder)
 
 
-def lines(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """What books.read_lines gives, with large files cut in splits: a line's number is its place in its split and the lines of the splits before it."""
-    found = _loaded(spark, "lines", folder, split_bytes=split_bytes)
+def _numbered(found: DataFrame) -> DataFrame:
+    """Lines of splits with their numbers in the book: the place in the split and the lines of the splits before it."""
     counts = found.groupBy(F.col("book_id").alias("_book"), F.col("split").alias("_split")).agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("_book").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("_book", "_split", F.coalesce(before, F.lit(0)).alias("_before"))
@@ -255,6 +255,28 @@ def lines(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> D
     return joined.select("book_id", "charset", (F.col("_before") + F.col("nth")).alias("line_no"), "start", "stop", "line")
 
 
+def lines(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """What books.read_lines gives, with large files cut in splits."""
+    return _numbered(_loaded(spark, "lines", folder, split_bytes=split_bytes))
+
+
+def lines_of(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """The same of a table of files (book_id, path, length), each split where it is dealt to."""
+    nth = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.expr(f"(length - 1) div {split_bytes}")))).alias("split")
+    splits = files.select("book_id", "path", F.col("length").cast("long").alias("length"), nth).repartition("path", "split")
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["nth", "start", "stop", "line"]
+        for frame in frames:
+            for book, path, size, split in frame[["book_id", "path", "length", "split"]].itertuples(index=False):
+                with opened(path) as file:
+                    charset, mark = charset_of(file, size)
+                    rows = pd.DataFrame(list(split_lines(file, size, charset, mark, split * split_bytes, (split + 1) * split_bytes)), columns=names)
+                yield rows.assign(book_id=book, charset=charset, split=np.int32(split))[["book_id", "charset", "split", *names]]
+
+    return _numbered(once(splits.mapInPandas(read, _SCHEMAS["lines"])))
+
+
 def heads(spark: SparkSession, folder: str) -> DataFrame:
     """book_id, path, charset and head of the text books of a folder: HEAD_BYTES of each are read."""
     return _loaded(spark, "heads", folder)
