@@ -13,10 +13,11 @@ found once is given away by what is rare enough to point to its sentence: by ter
 (1 - DISCLOSURE)-th power of N sentences; common words stay. Only distinct sentences are counted,
 so copies of a document neither prove nor disprove anything.
 
-A sentence ends at a stop before white space or at a line's end, or after SENTENCE_CHARS
-characters at white space, so that no text, however long, makes more than a bounded number of
-pairs of an entity and a term for each of its characters. An entity that such a cut divides stays
-a base span, but has no terms there.
+A sentence ends at a stop before white space or at a line's end, and may be as long as its text.
+No pairs are needed where a term or an entity is in one sentence only: n(t, e) is 1 there, so that
+counts of a sentence's entities decide. Others meet in a sentence only if the term is rare enough
+to disclose the entity at all, which n(t) and n(e) tell before. A phone number over a stop and
+white space is a base span that belongs to no sentence, and so has no terms.
 
 Sanitised texts have a marker for each span: base values are removed for the kind's marker,
 terms are generalised to what they look like, a name or a word.
@@ -29,8 +30,9 @@ Columns other than the text, whatever their names, are left alone.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import documents, identified, written
@@ -39,7 +41,6 @@ KINDS = ("email", "ip", "card", "phone", "term")
 TERM_CHARS = 4
 #: Share of an entity's information that a term has to give away.
 DISCLOSURE = 0.9
-SENTENCE_CHARS = 400
 #: Elements of an array, and characters of a text, that are worked through together.
 BLOCK, CHUNK = 256, 4096
 
@@ -126,7 +127,7 @@ def digest(spans: Column) -> Column:
 
 _WORD = rf"[\p{{L}}]{{{TERM_CHARS},}}"
 #: Sentences with what ends them: one after the other they make up the text.
-_SENTENCE = rf"[^\n]{{0,{SENTENCE_CHARS - 1}}}?(?:[.!?](?=\s|\z)|\n|\z)|[^\n]{{1,{SENTENCE_CHARS}}}(?=\s)|[^\n]{{1,{SENTENCE_CHARS}}}"
+_SENTENCE = r"[^\n]*?(?:[.!?](?=\s|\z)|\n|\z)"
 
 
 def _sentences(text: Column) -> Column:
@@ -151,29 +152,87 @@ def risky_sentences(text: Column) -> Column:
     return F.filter(placed, lambda x: F.size(x.own) > 0)
 
 
-def disclosing_terms(texts: DataFrame, risky: DataFrame) -> DataFrame:
-    """(entity, term, bits, share): terms that give entities away.
+class Counted(NamedTuple):
+    """What the corpus says about the distinct sentences with base spans."""
 
-    texts: `text`, of all documents; risky: `sentence` and `own` of the sentences with base spans.
-    """
+    #: `sentence` (its key), `entity`, `n_entity` and `own`, the words of the entity itself; entities in every sentence carry nothing and are left out.
+    entities: DataFrame
+    #: `sentence`, `term` and `n_term`; only terms that are rare enough to disclose any entity.
+    terms: DataFrame
+    #: Distinct sentences of the corpus.
+    total: float
+
+
+def _key(sentence: Column) -> Column:
+    return F.sha2(_bare(sentence), 256)
+
+
+def counted(texts: DataFrame, risky: DataFrame) -> Counted:
+    """texts: `text`, of all documents; risky: `sentence` and `own` of the sentences with base spans."""
     near = risky.select(_bare(F.col("sentence")).alias("sentence"), _entities(F.col("own")).alias("entities")).distinct()
-    held = near.select(F.explode("entities").alias("entity"), _terms(F.col("sentence")).alias("terms"))
-    n_entity = held.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    # terms that are a part of the entity itself say nothing new
-    pairs = held.select("entity", F.explode("terms").alias("term")).filter(~F.contains("entity", "term"))
-    n_both = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    both = written(n_both.join(n_entity, "entity"), "pii-pairs")
+    held = written(near.select(_key(F.col("sentence")).alias("sentence"), "entities", _terms(F.col("sentence")).alias("terms")), "pii-sentences")
+    entities = held.select("sentence", F.explode("entities").alias("entity"))
+    entities = written(entities.join(entities.groupBy("entity").agg(F.count("*").alias("n_entity")), "entity"), "pii-entities")
     # how many distinct sentences of the corpus hold each term; the empty term counts the sentences themselves
     every = texts.select(F.explode(_sentences(F.coalesce("text", F.lit("")))).alias("s")).select(_bare(F.col("s")).alias("s")).filter("s <> ''").distinct()
     spread = every.select(F.explode(F.concat(F.array(F.lit("")), _terms(F.col("s")))).alias("term"))
     counts = written(spread.groupBy("term").agg(F.count("*").alias("n_term")), "pii-counts")
     total = float(counts.filter("term = ''").agg(F.max("n_term")).first()[0] or 0)
-    most = float(both.agg(F.max("n_entity")).first()[0] or 0)
-    # terms in more sentences than this disclose too little of any entity, as n(t, e) is n(e) at most
-    rare = counts.filter(F.log2("n_term") <= (1 - DISCLOSURE) * F.log2(F.lit(total)) + DISCLOSURE * F.log2(F.lit(most)) + 1e-9)
+    most = float(entities.agg(F.max("n_entity")).first()[0] or 0)
+    # terms in more sentences than this disclose too little of any entity
+    rare = counts.filter(_rare(F.col("n_term"), F.lit(most), total))
+    terms = written(held.select("sentence", F.explode("terms").alias("term")).join(rare, "term"), "pii-rare")
+    return Counted(entities.filter(F.col("n_entity") < total).withColumn("own", _terms(F.col("entity"))), terms, total)
+
+
+def _rare(n_term: Column, n_entity: Column, total: float) -> Column:
+    """Whether a term could disclose an entity, as n(t, e) is n(e) at most."""
+    return F.log2(n_term) <= (1 - DISCLOSURE) * F.log2(F.lit(total)) + DISCLOSURE * F.log2(n_entity) + 1e-9
+
+
+def _disclosing(pairs: DataFrame, total: float) -> DataFrame:
+    """(entity, term, bits, share) of the pairs (one row for each sentence with both) that reach DISCLOSURE."""
+    both = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("n_both"))
     bits = F.log2(F.lit(total) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     carried = F.log2(F.lit(total) / F.col("n_entity"))
-    return both.join(rare, "term").withColumn("bits", bits).withColumn("share", F.try_divide(bits, carried)).filter(F.col("share") >= DISCLOSURE).select("entity", "term", "bits", "share")
+    return both.withColumn("bits", bits).withColumn("share", F.try_divide(bits, carried)).filter(F.col("share") >= DISCLOSURE).select("entity", "term", "bits", "share")
+
+
+def _pairs(entities: DataFrame, terms: DataFrame, total: float) -> DataFrame:
+    """Entities and terms of the same sentence, if the term may disclose the entity and is no word of it."""
+    met = entities.join(terms, "sentence").filter(_rare(F.col("n_term"), F.col("n_entity"), total))
+    return met.filter(~F.array_contains("own", F.col("term"))).select("sentence", "entity", "n_entity", "term", "n_term")
+
+
+def disclosing_terms(texts: DataFrame, risky: DataFrame) -> DataFrame:
+    """(entity, term, bits, share): every term that gives an entity away, for reports; texts and risky as in counted()."""
+    entities, terms, total = counted(texts, risky)
+    return _disclosing(_pairs(entities, terms, total), total)
+
+
+def disclosed(known: Counted) -> DataFrame:
+    """(sentence, term): the terms that give away an entity of their sentence, each once, without a row for each such entity."""
+    entities, terms, total = known
+    # a term of one sentence discloses all of each entity there; an entity of one sentence is disclosed by all that is rare enough
+    once = F.col("n_entity") == 1
+    there = entities.groupBy("sentence").agg(F.count("*").alias("n_any"), F.count_if(once).alias("n_once"))
+    part = entities.select("sentence", "n_entity", F.explode("own").alias("term")).groupBy("sentence", "term").agg(F.count("*").alias("any_own"), F.count_if(once).alias("once_own"))
+    placed = terms.join(there, "sentence").join(part, ["sentence", "term"], "left")
+    left = lambda n, own: F.col(n) > F.coalesce(F.col(own), F.lit(0))
+    single = placed.filter((F.col("n_term") == 1) & left("n_any", "any_own") | _rare(F.col("n_term"), F.lit(1.0), total) & left("n_once", "once_own"))
+    pairs = written(_pairs(entities.filter(~once), terms.filter("n_term > 1"), total), "pii-pairs")
+    several = pairs.join(_disclosing(pairs, total), ["entity", "term"], "left_semi")
+    return single.select("sentence", "term").unionByName(several.select("sentence", "term")).distinct()
+
+
+def _clear(terms: DataFrame, base: DataFrame) -> DataFrame:
+    """The spans (`_at`, `kind`, `start`, `end`, `value`) of terms that no base span of their row overlaps."""
+    both = terms.withColumn("base", F.lit(False)).unionByName(base.withColumn("base", F.lit(True)))
+    # ends of base spans up to here, starts of base spans from here on; both frames take in equal starts
+    reached = F.max(F.when(F.col("base"), F.col("end"))).over(Window.partitionBy("_at").orderBy("start"))
+    begun = F.min(F.when(F.col("base"), F.col("start"))).over(Window.partitionBy("_at").orderBy(F.desc("start")))
+    free = (F.coalesce(reached, F.lit(0)) <= F.col("start")) & (F.coalesce(begun, F.col("end")) >= F.col("end"))
+    return both.withColumn("free", free).filter("free and not base").drop("free", "base")
 
 
 def spans(rows: DataFrame, keep: tuple[str, ...] = (), text: str = "text") -> DataFrame:
@@ -186,13 +245,12 @@ def spans(rows: DataFrame, keep: tuple[str, ...] = (), text: str = "text") -> Da
     risk = F.when(F.size("base") > 0, risky_sentences(F.col("text")))
     found = written(based.select("_at", "kept", "base", risk.alias("risky")), "pii")
     risky = found.select("_at", F.explode("risky").alias("r")).select("_at", "r.*")
-    given = written(disclosing_terms(named.select("text"), risky), "pii-terms")
-    # each word of a sentence with each of its entities, both bounded by the sentence
-    apart = F.filter(_found(F.col("sentence"), _WORD, "term"), lambda w: ~F.exists("own", lambda s: (s.start < w.end) & (w.start < s.end)))
-    words = risky.select("_at", "start", _entities(F.col("own")).alias("entities"), F.explode(apart).alias("w"))
-    met = words.select("_at", "start", "w", F.lower("w.value").alias("term"), F.explode("entities").alias("entity")).join(given.select("entity", "term"), ["entity", "term"], "left_semi")
-    span = F.struct(F.col("w.kind").alias("kind"), (F.col("w.start") + F.col("start")).alias("start"), (F.col("w.end") + F.col("start")).alias("end"), F.col("w.value").alias("value"))
-    more = met.groupBy(F.col("_at").alias("_of")).agg(F.collect_set(span).alias("more"))
+    given = written(disclosed(counted(named.select("text"), risky)), "pii-terms")
+    words = risky.select("_at", "start", _key(F.col("sentence")).alias("sentence"), F.explode(_found(F.col("sentence"), _WORD, "term")).alias("w"))
+    met = words.withColumn("term", F.lower("w.value")).join(given, ["sentence", "term"], "left_semi")
+    placed = met.select("_at", "w.kind", (F.col("w.start") + F.col("start")).alias("start"), (F.col("w.end") + F.col("start")).alias("end"), "w.value")
+    clear = _clear(placed, found.select("_at", F.explode("base").alias("s")).select("_at", "s.*"))
+    more = clear.groupBy(F.col("_at").alias("_of")).agg(F.collect_set(F.struct("kind", "start", "end", "value")).alias("more"))
     joined = found.join(more, found["_at"] == more["_of"], "left")
     return joined.select("_at", "kept", "base", _order(F.concat("base", F.coalesce("more", F.array().cast(_SPANS)))).alias("spans"))
 
