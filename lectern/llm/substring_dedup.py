@@ -29,12 +29,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import recompression as R
 from lectern.llm import words as W
-from lectern.llm.common import chunk_count, documents
+from lectern.llm.common import chunk_count, documents, written
 from lectern.llm.tokenizing import release
 
 WINDOW = 20
@@ -192,15 +192,19 @@ def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
 
     by_chunk = dealt.groupBy("chunk")
     found = by_chunk.cogroup(copies.groupBy("to_chunk")).applyInArrow(_anchor_rows, "chunk int, anchor long, many boolean")
-    same = Window.partitionBy("anchor")
-    shared = found.withColumn("n", F.count("*").over(same)).filter("many or n > 1")
+    found = written(found, "anchors")
+    # however many chunks an anchor is in, it is counted before it is moved
+    tally = found.groupBy("anchor").agg((F.bool_or("many") | (F.count("*") > 1)).alias("_shared")).filter("_shared")
+    shared = found.join(tally, "anchor", "left_semi")
     shared = shared.select(F.col("chunk").alias("to_chunk"), F.lit(0).alias("kind"), F.col("anchor").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("int").alias("stop"))
 
     windows = by_chunk.cogroup(shared.unionByName(copies).groupBy("to_chunk")).applyInArrow(_window_rows, _WINDOW_ROWS)
-    known = F.col("known") > 0
+    windows = written(windows, "windows")
+    known, verified = windows.filter("known > 0"), windows.filter("known = 0")
     place = F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "chunk", "at")
-    earliest = F.min(place).over(Window.partitionBy("h1", "h2", known.cast("int")))
-    repeats = windows.withColumn("first", earliest).filter(known | (place > F.col("first")))
+    first = verified.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    later = verified.join(first, ["h1", "h2"]).filter(place > F.col("first"))
+    repeats = known.select("chunk", "at", "known").unionByName(later.select("chunk", "at", "known"))
     repeats = repeats.select(F.col("chunk").alias("to_chunk"), F.lit(2).alias("kind"), F.col("at").alias("a"), F.lit(None).cast("long").alias("b"), F.greatest("known", F.lit(1)).alias("stop"))
 
     return by_chunk.cogroup(repeats.unionByName(copies).groupBy("to_chunk")).applyInArrow(_kept_rows, "doc_id long, n_words long, n_removed long, kept string")
