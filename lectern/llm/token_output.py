@@ -18,13 +18,17 @@ The file format is a Parquet table with a row per block:
     doc_ids           array of the block's documents in ascending order
     n_tokens          array: ids of each document, its end id included
     at                array: first symbol of each document, and the number of symbols at last
-    rules             binary: for nonterminal FIRST_RULE + i its two symbols
+    n_rules           how many nonterminals there are
+    top               number of the first nonterminal: one more than the block's greatest id
+    width             bits of a symbol: as many as its greatest number takes
+    length_width      bits of an expansion length, likewise
+    rules             binary: for nonterminal top + i its two symbols, of width bits each
     lengths           binary: how many ids each nonterminal expands to
     symbols           binary: the compressed sequence
-    (binary values are little-endian unsigned 32-bit integers)
+    (numbers of a fixed width one after the other, least bit first, in bytes filled from their least bit)
 
-A document is decoded by itself from its slice of symbols; the expansion lengths find the symbol
-that holds its k-th id without expanding those before it.
+A document is decoded by itself from its slice of symbols, which starts at bit `at` times `width`;
+the expansion lengths find the symbol that holds its k-th id without expanding those before it.
 
 Defined cases: a null or empty text is its end id alone; rows without doc_id come first; rows
 that repeat a doc_id are ordered by a hash of the text, so that many of them spread over shards;
@@ -34,6 +38,7 @@ no documents give no blocks.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,14 +49,16 @@ from lectern.llm.common import chunk_count, documents, new_path
 from lectern.llm.tokenizing import encoder, parts, release, vocabulary_path
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
-#: Symbols from here on are nonterminals.
+#: Symbols from here on are nonterminals in memory.
 FIRST_RULE = 1 << 17
+#: Numbers packed or unpacked at a time: bounds memory.
+PACK = 1 << 18
 SHARD_BYTES = 24 << 20
 #: Text to a block: bounds a task's memory.
 PART_BYTES = 4 << 20
 MIN_COUNT = 4
 
-_BLOCKS = "shard int, block int, doc_ids array<long>, n_tokens array<int>, at array<int>, rules binary, lengths binary, symbols binary"
+_BLOCKS = "shard int, block int, doc_ids array<long>, n_tokens array<int>, at array<int>, n_rules int, top int, width int, length_width int, rules binary, lengths binary, symbols binary"
 
 
 def _by_pair(left: np.ndarray, right: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,12 +167,78 @@ def expansion_lengths(rules: list[np.ndarray]) -> np.ndarray:
     return found
 
 
+def bits_of(greatest: int) -> int:
+    return max(1, int(greatest).bit_length())
+
+
+def pack(numbers: np.ndarray, width: int) -> bytes:
+    """The numbers in width bits each."""
+    out = []
+    # slices of a multiple of eight numbers end at a byte
+    for low in range(0, len(numbers), PACK):
+        own = np.ascontiguousarray(numbers[low : low + PACK], "<u4").view(np.uint8).reshape(-1, 4)
+        out.append(np.packbits(np.unpackbits(own, axis=1, bitorder="little")[:, :width], bitorder="little").tobytes())
+    return b"".join(out)
+
+
+def unpack(data: bytes, width: int, start: int, stop: int) -> np.ndarray:
+    """The numbers from start up to stop; no byte that holds none of them is looked at."""
+    found = np.zeros(max(0, stop - start), np.uint32)
+    for low in range(start, stop, PACK):
+        high = min(stop, low + PACK)
+        first = low * width // 8
+        bits = np.unpackbits(np.frombuffer(data, np.uint8, -(-high * width // 8) - first, first), bitorder="little")
+        wide = np.zeros((high - low, 32), np.uint8)
+        wide[:, :width] = bits[low * width - 8 * first :][: (high - low) * width].reshape(-1, width)
+        found[low - start : high - start] = np.packbits(wide, axis=1, bitorder="little").view("<u4").reshape(-1)
+    return found
+
+
+class Packed(NamedTuple):
+    """A block's grammar as it is in the file."""
+
+    n_rules: int
+    top: int
+    width: int
+    length_width: int
+    rules: bytes
+    lengths: bytes
+    symbols: bytes
+
+
+def packed(rules: list[np.ndarray], symbols: np.ndarray) -> Packed:
+    flat = np.concatenate([np.zeros((0, 2), np.int32), *rules]).reshape(-1).astype(np.int64)
+    lengths = expansion_lengths(rules)
+    ids = [x[x < FIRST_RULE].max(initial=-1) for x in (flat, symbols)]
+    top = int(max(ids)) + 1
+    width, length_width = bits_of(top + len(lengths) - 1), bits_of(lengths.max(initial=1))
+    near = lambda x: np.where(x < FIRST_RULE, x, x - FIRST_RULE + top)
+    return Packed(len(lengths), top, width, length_width, pack(near(flat), width), pack(lengths, length_width), pack(near(symbols.astype(np.int64)), width))
+
+
+class Symbols:
+    """The packed sequence of a block, unpacked by slices."""
+
+    def __init__(self, grammar: Packed, n: int) -> None:
+        self.grammar, self.n = grammar, n
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        start, stop, _ = part.indices(self.n)
+        return far(unpack(self.grammar.symbols, self.grammar.width, start, stop), self.grammar.top)
+
+
+def far(symbols: np.ndarray, top: int) -> np.ndarray:
+    """Symbols of the file as they are in memory."""
+    return np.where(symbols < top, symbols, symbols - np.uint32(top) + np.uint32(FIRST_RULE))
+
+
 class Block:
     """A block read back: all of it, or documents and parts of them by themselves."""
 
-    def __init__(self, rules: bytes, lengths: bytes, symbols: bytes, at: np.ndarray) -> None:
-        self.rules = np.frombuffer(rules, "<u4").reshape(-1, 2)
-        self.lengths, self.symbols, self.at = np.frombuffer(lengths, "<u4"), np.frombuffer(symbols, "<u4"), at
+    def __init__(self, grammar: Packed, at: np.ndarray) -> None:
+        self.rules = far(unpack(grammar.rules, grammar.width, 0, 2 * grammar.n_rules), grammar.top).reshape(-1, 2)
+        self.lengths = unpack(grammar.lengths, grammar.length_width, 0, grammar.n_rules)
+        self.symbols, self.at = Symbols(grammar, int(at[-1])), at
 
     def _expanded(self, symbols: np.ndarray) -> np.ndarray:
         """The ids of a few symbols, from the top down."""
@@ -218,9 +291,10 @@ class Block:
             begin = int(ends[done - 1]) if done else 0
             spread(both, flat, begin + np.cumsum(sizes) - sizes, sizes)
             done = stop
-        sizes = self._sizes(self.symbols)
+        symbols = self.symbols[:]
+        sizes = self._sizes(symbols)
         whole = np.zeros(int(sizes.sum()), np.uint32)
-        spread(self.symbols, whole, np.cumsum(sizes) - sizes, sizes)
+        spread(symbols, whole, np.cumsum(sizes) - sizes, sizes)
         return whole
 
 
@@ -242,11 +316,9 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
                     "doc_ids": [rows.column(1).to_pylist()],
                     "n_tokens": [(np.diff(tokens) + 1).tolist()],
                     "at": [at.tolist()],
-                    "rules": [np.concatenate([np.zeros((0, 2), np.int32), *rules]).astype("<u4").tobytes()],
-                    "lengths": [expansion_lengths(rules).astype("<u4").tobytes()],
-                    "symbols": [symbols.astype("<u4").tobytes()],
+                    **{k: [v] for k, v in packed(rules, symbols)._asdict().items()},
                 }
-                types = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
+                types = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.int32()] * 4, *[pa.binary()] * 3]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values.values(), types, strict=True)], list(values))
                 block += 1
         release()
@@ -262,7 +334,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in (row for i in range(batch.num_rows) for row in batch.slice(i, 1).to_pylist()):
-                ids = Block(r["rules"], r["lengths"], r["symbols"], np.array(r["at"])).ids().astype("<u4")
+                ids = Block(Packed(*[r[k] for k in Packed._fields]), np.array(r["at"])).ids().astype("<u4")
                 n = np.array(r["n_tokens"], np.int64)
                 ends = np.cumsum(n)
                 binary = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(4 * np.append(0, ends)), pa.py_buffer(ids)])

@@ -26,8 +26,7 @@ def _compressed(docs: list[list[int]], monkeypatch_end: int = 2):
 
 
 def _block(symbols, first, rules):
-    joined = np.concatenate([np.zeros((0, 2), np.int32), *rules])
-    return T.Block(joined.astype("<u4").tobytes(), T.expansion_lengths(rules).astype("<u4").tobytes(), symbols.astype("<u4").tobytes(), first)
+    return T.Block(T.packed(rules, symbols), first)
 
 
 def _docs(seed: int) -> list[list[int]]:
@@ -57,7 +56,40 @@ def test_round_trip_and_slices(seed):
 
 
 def test_empty_block():
-    assert T.Block(b"", b"", b"", np.array([0])).ids().tolist() == []
+    assert _block(np.zeros(0, np.int32), np.array([0]), []).ids().tolist() == []
+
+
+def test_numbers_keep_their_bits(monkeypatch):
+    monkeypatch.setattr(T, "PACK", 64)
+    rng = np.random.default_rng(1)
+    for width in (1, 2, 3, 7, 8, 9, 16, 17, 31, 32):
+        for n in (0, 1, 7, 8, 63, 64, 65, 300):
+            numbers = rng.integers(0, 1 << width, n, dtype=np.uint64).astype(np.uint32)
+            data = T.pack(numbers, width)
+            assert len(data) == -(-n * width // 8)
+            # the first number's least bit is the first byte's least bit
+            assert int.from_bytes(data, "little") == sum(int(x) << i * width for i, x in enumerate(numbers))
+            for start, stop in ((0, n), (n // 3, n), (n // 3, 2 * n // 3), (n, n)):
+                assert T.unpack(data, width, start, stop).tolist() == numbers[start:stop].tolist()
+
+
+def test_few_ids_and_long_repeats():
+    # a symbol of two or three bits, rules that fill less than a byte, and a run of one id
+    for docs in ([[1] * 5], [[1, 3] * 9], [[1] * 3000, [], [3]], [[0, 1, 3] * 200]):
+        symbols, first, rules, want = _compressed(docs)
+        block = _block(symbols, first, rules)
+        assert block.ids().tolist() == [x for ids in want for x in ids]
+        assert [block.document(i).tolist() for i in range(len(want))] == want
+
+
+def test_file_is_smaller_than_plain_ids(spark, tmp_path):
+    from lectern.llm.common import documents
+
+    T.write(documents(spark, "/root/testdata/sf0.001"), str(tmp_path / "tokens"))
+    rows = spark.read.parquet(str(tmp_path / "tokens")).collect()
+    stored = sum(len(r[k]) for r in rows for k in ("rules", "lengths", "symbols"))
+    # ids of this vocabulary take 16 bits each
+    assert stored < 2 * sum(sum(r.n_tokens) for r in rows)
 
 
 def test_cuts_that_hold_special_tokens():
