@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import chinese as C
 from lectern.functions import text as X
+from lectern.operators import chapters as H
 from lectern.operators import index, search
 from lectern.operators.shared import once
 
@@ -95,7 +96,14 @@ def recall_by_index(spark: SparkSession, path: str, terms: DataFrame, texts: sea
 
 
 def paragraphs(chapters: DataFrame) -> DataFrame:
-    """(book_id, chapter_index, paragraph_index, text): lines that hold something, numbered in their chapter."""
+    """(book_id, chapter_index, paragraph_index, text): lines that hold something, numbered in their chapter.
+
+    Of chapters with a title the line that is their heading is no paragraph and takes no number;
+    chapter_title is then added, empty where there is none.
+    """
+    if "title" in chapters.columns:
+        own = H.blocks(chapters).filter("kind = 'paragraph'")
+        return own.select("book_id", "chapter_index", "paragraph_index", F.col("value").alias("text"), F.coalesce("title", F.lit("")).alias("chapter_title"))
     lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), X.strip), lambda line: line != "")
     return chapters.select("book_id", "chapter_index", F.posexplode(lines).alias("paragraph_index", "text"))
 
@@ -214,9 +222,10 @@ def validated(answers: DataFrame, configured: bool = True) -> DataFrame:
 
 
 def citation_rows(checked: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(question_id, number, book_id, chapter_index, paragraph_index, excerpt) of each citation that stands for a chunk."""
+    """(question_id, number, book_id, chapter_index, paragraph_index, excerpt) of each citation that stands for a chunk, and its book_title and chapter_title if the chunks have them."""
     cited = checked.select("question_id", F.explode("refs").alias("number"))
-    return cited.join(chosen, ["question_id", "number"]).select("question_id", "number", "book_id", "chapter_index", "paragraph_index", X.clip(X.strip(F.col("text")), EXCERPT_CHARS).alias("excerpt"))
+    titles = [c for c in ("book_title", "chapter_title") if c in chosen.columns]
+    return cited.join(chosen, ["question_id", "number"]).select("question_id", "number", "book_id", "chapter_index", "paragraph_index", *titles, X.clip(X.strip(F.col("text")), EXCERPT_CHARS).alias("excerpt"))
 
 
 def ask(questions: DataFrame, chapters: DataFrame, model, top_k: int = TOP_K, books: DataFrame | None = None, index_path: str | None = None) -> tuple[DataFrame, DataFrame]:

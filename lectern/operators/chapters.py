@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import chinese as C
+from lectern.functions import text as X
 from lectern.operators.ordinals import carried, summed_before
 from lectern.operators.shared import once
 
@@ -172,6 +173,23 @@ def split(lines: DataFrame, min_chapters: int = MIN_CHAPTERS, filter_contents: b
     return every.select("book_id", index.cast("long").alias("chapter_index"), "title", "volume", "start", stop.alias("stop"))
 
 
+def blocks(chapters: DataFrame) -> DataFrame:
+    """(book_id, chapter_index, title, n, kind, value, paragraph_index) of each line that holds something, in order; kind is heading or paragraph.
+
+    chapters: book_id, chapter_index, title and text. A chapter's first such line is its heading
+    if it is a heading that says the chapter's title; no other line is one. A chapter without
+    text has no blocks, one without a title has no heading. Headings take no paragraph_index.
+    """
+    lines = F.filter(F.transform(F.split(X.clean(F.coalesce("text", F.lit(""))), "\n"), X.strip), lambda line: line != "")
+    first = X.bound(C.heading(F.col("_lines")[0]), lambda h: F.when(h.reason == "accepted", h.text))
+    own = chapters.select("book_id", "chapter_index", "title", lines.alias("_lines")).filter(F.size("_lines") > 0)
+    headed = own.withColumn("_headed", F.coalesce((F.col("title") != "") & (first == F.col("title")), F.lit(False)))
+    rows = headed.select("book_id", "chapter_index", "title", "_headed", F.posexplode("_lines").alias("n", "value"))
+    kind = F.when(F.col("_headed") & (F.col("n") == 0), "heading").otherwise("paragraph")
+    place = F.when(kind == "paragraph", F.col("n") - F.col("_headed").cast("int"))
+    return rows.select("book_id", "chapter_index", "title", "n", kind.alias("kind"), "value", place.alias("paragraph_index"))
+
+
 def report(lines: DataFrame, min_chapters: int = MIN_CHAPTERS) -> DataFrame:
     """(book_id, headings, inline, rejected, contents_dropped, numbering_dropped, segments, chapters, fallback) of each book.
 

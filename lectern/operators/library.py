@@ -200,8 +200,16 @@ def orphans(books: DataFrame, meta: DataFrame) -> DataFrame:
     return meta.join(books, "book_id", "left_anti")
 
 
-def pending(books: DataFrame, meta: DataFrame, version: int = 1) -> DataFrame:
-    """Books (with fingerprint) whose index is missing or of another file or tokenizer."""
+def pending(books: DataFrame, meta: DataFrame, version: int = 1, files: DataFrame | None = None) -> DataFrame:
+    """Books (with fingerprint) whose index is missing or of another file or tokenizer.
+
+    files: path and fingerprint of the files that are there, as a folder scan gives them. With it
+    books (with path) have the fingerprint of their file, and those whose file is gone, which no
+    run could index, are left out.
+    """
+    if files is not None:
+        there = files.select("path", "fingerprint").dropDuplicates(["path"])
+        books = books.drop("fingerprint").join(there, "path")
     fresh = meta.filter(F.col("tokenizer_version") == version).select("book_id", "fingerprint")
     return books.join(fresh, ["book_id", "fingerprint"], "left_anti")
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
@@ -114,10 +114,45 @@ def coverage(library: DataFrame, indexed: DataFrame, searched: DataFrame) -> Dat
     rows = count(library, "library_books").crossJoin(count(indexed, "indexed_books")).crossJoin(count(searched, "searched_books"))  # one row each
     whole = F.greatest("library_books", "indexed_books")
     missing, skipped = whole - F.col("indexed_books"), F.greatest(F.lit(0), F.col("indexed_books") - F.col("searched_books"))
-    kind = F.when(F.col("indexed_books") == 0, "NONE").when(missing > 0, "PARTIAL").otherwise("FULL")
+    # an empty library lacks no index
+    kind = F.when(whole == 0, "FULL").when(F.col("indexed_books") == 0, "NONE").when(missing > 0, "PARTIAL").otherwise("FULL")
     return rows.select(whole.alias("library_books"), "indexed_books", "searched_books", missing.alias("unindexed_books"), skipped.alias("skipped_books"), kind.alias("coverage"))
 
 
+# What is said about a search.
+EMPTY_LIBRARY = "书库还是空的，先导入几本书再来搜。"
+NO_INDEX = ("书库里有 ", " 本书，一本都还没有建立索引，所以搜不到任何内容。建立索引后才能搜。")
+NOTHING_FOUND = ("已搜索 ", " 本书，没有找到「", "」")
+FOUND = ("找到 ", " 章，来自 ", " 本书")
+CUT_SHORT = ("（已截断，另有 ", " 章未校验", "、", " 本书没轮到", "）")
+NOT_INDEXED = ("    ·    还有 ", " 本没建索引，没被搜索")
+ELAPSED = ("    ·    耗时 ", " ms")
+
+
+def with_message(results: DataFrame) -> DataFrame:
+    """Adds message, what each search is said to have found and not looked at.
+
+    results: query, library_books, indexed_books, searched_books, hits, hit_books, unchecked and
+    truncated, a row per search; with elapsed_ms the time is said too. A number that is null
+    counts as zero, a query that is null as empty.
+    """
+    number = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("long")
+    library, indexed, hits = number("library_books"), number("indexed_books"), number("hits")
+    missing, skipped = library - indexed, indexed - number("searched_books")
+
+    def said(parts: tuple[str, ...], *values: Column) -> Column:
+        filled = [x for part, value in zip(parts, values, strict=False) for x in (F.lit(part), value.cast("string"))]
+        return F.concat(*filled, *[F.lit(part) for part in parts[len(values) :]])
+
+    found = F.when(hits == 0, said(NOTHING_FOUND, indexed, F.coalesce("query", F.lit("")))).otherwise(said(FOUND, hits, number("hit_books")))
+    not_reached = F.when(skipped > 0, said(CUT_SHORT[2:4], skipped)).otherwise("")
+    cut_short = F.when(F.col("truncated"), F.concat(said(CUT_SHORT[:2], number("unchecked")), not_reached, F.lit(CUT_SHORT[4]))).otherwise("")
+    not_indexed = F.when(missing > 0, said(NOT_INDEXED, missing)).otherwise("")
+    elapsed = said(ELAPSED, number("elapsed_ms")) if "elapsed_ms" in results.columns else F.lit("")
+    message = F.when((indexed == 0) & (library == 0), EMPTY_LIBRARY).when(indexed == 0, said(NO_INDEX, library)).otherwise(F.concat(found, cut_short, not_indexed, elapsed))
+    return results.withColumn("message", message)
+
+
 def with_headers(hits: DataFrame) -> DataFrame:
     """Rows for display: before each book's hits a header row with their number, in the order of (book_id, row)."""
     headers = hits.groupBy("book_id").agg(F.count("*").alias("hits"))

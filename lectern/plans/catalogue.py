@@ -158,7 +158,7 @@ def search_summary(spark, sf_dir):
     _CHAPTERS
     + """
     SELECT greatest(l, i) AS library_books, i AS indexed_books, s AS searched_books, greatest(l, i) - i AS unindexed_books, greatest(0, i - s) AS skipped_books,
-           CASE WHEN i = 0 THEN 'NONE' WHEN greatest(l, i) > i THEN 'PARTIAL' ELSE 'FULL' END AS coverage
+           CASE WHEN greatest(l, i) = 0 THEN 'FULL' WHEN i = 0 THEN 'NONE' WHEN greatest(l, i) > i THEN 'PARTIAL' ELSE 'FULL' END AS coverage
     FROM (SELECT (SELECT count(DISTINCT source) FROM documents) AS l, (SELECT count(DISTINCT source) FROM documents JOIN labels USING (doc_id) WHERE toxic = 1) AS i,
                  (SELECT count(DISTINCT book_id) FROM hits) AS s)"""
 )
@@ -168,6 +168,31 @@ def search_coverage(spark, sf_dir):
     return S.coverage(docs, indexed, S.verified(chapters(spark, sf_dir), QUERY))
 
 
+@_query("""
+    WITH j AS (SELECT source, n_chars, toxic = 1 AS indexed, toxic = 1 AND contains(lower(text), 'of the') AS hit FROM documents LEFT JOIN labels USING (doc_id)),
+    c AS (SELECT source AS query, count(*) AS l, coalesce(count(*) FILTER (indexed), 0) AS i, coalesce(count(*) FILTER (indexed AND n_chars > 300), 0) AS s, coalesce(count(*) FILTER (hit), 0) AS h,
+                 coalesce(count(*) FILTER (NOT coalesce(hit, false)), 0) AS u, max(n_chars) % 2 = 0 AS t FROM j GROUP BY source)
+    SELECT query, CASE WHEN i = 0 THEN '书库里有 ' || l || ' 本书，一本都还没有建立索引，所以搜不到任何内容。建立索引后才能搜。' ELSE
+        CASE WHEN h = 0 THEN '已搜索 ' || i || ' 本书，没有找到「' || query || '」' ELSE '找到 ' || h || ' 章，来自 ' || h || ' 本书' END
+        || CASE WHEN t THEN '（已截断，另有 ' || u || ' 章未校验' || CASE WHEN i > s THEN '、' || (i - s) || ' 本书没轮到' ELSE '' END || '）' ELSE '' END
+        || CASE WHEN l > i THEN '    ·    还有 ' || (l - i) || ' 本没建索引，没被搜索' ELSE '' END END AS message FROM c""")
+def search_messages(spark, sf_dir):
+    """What is said about a search in each source, whose documents with label 1 are the indexed ones."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    indexed = F.coalesce(F.col("toxic") == 1, F.lit(False))
+    hit = F.coalesce(indexed & (X.position_ignoring_case(F.col("text"), F.lit(QUERY)) >= 0), F.lit(False))
+    counts = docs.join(labels, "doc_id", "left").groupBy(F.col("source").alias("query")).agg(
+        F.count("*").alias("library_books"),
+        F.count_if(indexed).alias("indexed_books"),
+        F.count_if(indexed & (F.col("n_chars") > 300)).alias("searched_books"),
+        F.count_if(hit).alias("hits"),
+        F.count_if(hit).alias("hit_books"),
+        F.count_if(~hit).alias("unchecked"),
+        (F.max("n_chars") % 2 == 0).alias("truncated"),
+    )
+    return S.with_message(counts).select("query", "message")
+
+
 @_query(
     _CHAPTERS
     + """
@@ -391,6 +416,17 @@ def index_pending(spark, sf_dir):
     return B.pending(*_books_and_meta(spark, sf_dir)).select("book_id")
 
 
+@_query("""
+    SELECT doc_id AS book_id FROM documents JOIN pages ON page_id = doc_id
+    WHERE NOT (page_id % 3 = 0 AND page_id % 2 = 0)""")
+def index_pending_files(spark, sf_dir):
+    """Books (documents) whose file (a page of their id) is there and whose index is missing, of another file, or of another tokenizer."""
+    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book_id"), F.concat(F.lit("f"), "doc_id").alias("path"))
+    files = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("f"), "page_id").alias("path"), F.length("html").cast("string").alias("fingerprint"))
+    meta = files.filter("page_id % 3 < 2").select(F.col("page_id").alias("book_id"), F.when(F.col("page_id") % 3 == 0, F.col("fingerprint")).otherwise("old").alias("fingerprint"), (F.col("page_id") % 2 + 1).alias("tokenizer_version"))
+    return B.pending(own, meta, files=files).select("book_id")
+
+
 @_query("""
     WITH j AS (SELECT 'f' || doc_id AS path, quality IS NOT NULL AS old, n_chars < 60 AS failed FROM documents LEFT JOIN labels USING (doc_id))
     SELECT count(*) AS scanned, count(*) FILTER (old) AS skipped, count(*) FILTER (NOT old AND NOT failed) AS imported, count(*) FILTER (NOT old AND failed) AS failed, true AS truncated,

@@ -220,3 +220,38 @@ def prompts_built(spark, sf_dir):
     chosen = turns.filter("turn = 1").select(F.col("conv_id").alias("question_id"), F.col("conv_id").alias("book_id"), F.lit(0).alias("chapter_index"), F.lit(1).alias("paragraph_index"), F.lit(1).alias("number"), "text")
     built = A.prompts(questions, A.contexts(chosen))
     return built.select("question_id", F.sha2("user_prompt", 256).alias("prompt_sha"))
+
+
+def _titled(spark, sf_dir):
+    """Chapters that begin with a heading: their own, that of another title, or none; the heading comes after empty lines, or the title is missing."""
+    line = F.concat(F.lit("第"), _numeral(), F.lit("章 "), F.col("source"))
+    title = _by_case([line, F.lit("开篇"), F.lit(None).cast("string"), F.col("source"), line])
+    text = F.coalesce("text", F.lit(""))
+    body = _by_case([F.concat(line, F.lit("\n"), text), F.concat(line, F.lit("\n"), text), F.concat(line, F.lit("\n"), text), text, F.concat(F.lit("\n\u3000 "), line, F.lit(" \n\n"), text)])
+    return _table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").alias("chapter_index"), title.alias("title"), body.alias("text"))
+
+
+_LINE = "'第' || " + " || ".join(f"substr('一二三四五六七八九', CAST(1 + (doc_id // {9**k}) % 9 AS INTEGER), 1) || '{unit}'" for k, unit in ((3, "千"), (2, "百"), (1, "十"), (0, ""))) + " || '章 ' || source"
+_BLOCKS = f"""
+    WITH d AS (SELECT *, {_LINE} AS line FROM documents),
+    body AS (SELECT doc_id, source, 0 AS place, CASE WHEN doc_id % 5 IN (0, 4) THEN 'heading' ELSE 'paragraph' END AS kind, line AS value FROM d WHERE doc_id % 5 <> 3
+             UNION ALL SELECT doc_id, source, unnest(range(1, len(string_split(text, chr(10))) + 1)), 'paragraph', trim(unnest(string_split(text, chr(10))), E' \\t\\r\\f\\v　') FROM d),
+    blocks AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS INTEGER) AS n FROM body WHERE value <> '')
+"""
+
+
+@_query(_BLOCKS + "SELECT source AS book_id, doc_id AS chapter_index, n, kind, value FROM blocks")
+def chapter_blocks(spark, sf_dir):
+    return H.blocks(_titled(spark, sf_dir)).select("book_id", "chapter_index", "n", "kind", "value")
+
+
+@_query(
+    _BLOCKS
+    + """
+    SELECT source AS book_id, doc_id AS chapter_index, CAST(n - CAST(doc_id % 5 IN (0, 4) AS INTEGER) AS INTEGER) AS paragraph_index, sha256(value) AS text_sha,
+           CASE WHEN doc_id % 5 IN (0, 4) THEN line WHEN doc_id % 5 = 1 THEN '开篇' WHEN doc_id % 5 = 2 THEN '' ELSE source END AS chapter_title
+    FROM blocks JOIN (SELECT doc_id, line FROM d) USING (doc_id) WHERE kind = 'paragraph'"""
+)
+def paragraphs_titled(spark, sf_dir):
+    """The paragraphs that answers are made of, with their chapter's title; headings are none of them."""
+    return A.paragraphs(_titled(spark, sf_dir)).select("book_id", "chapter_index", "paragraph_index", F.sha2("text", 256).alias("text_sha"), "chapter_title")
