@@ -17,6 +17,7 @@ from lectern.operators import index as I
 from lectern.operators import library as B
 from lectern.operators import search as S
 from lectern.operators import tables as T
+from lectern.operators import vectors as V
 from lectern.operators.ordinals import numbered
 from lectern.operators.shared import new_folder
 from lectern.plans import chinese_rows
@@ -703,7 +704,7 @@ def reading_sessions(spark, sf_dir):
 # Vectors: an extension for recall by meaning
 
 #: Rows to a block, on either side.
-VECTOR_BLOCK = 2048
+VECTOR_BLOCK = 32768
 
 
 @_query("""
@@ -712,20 +713,8 @@ VECTOR_BLOCK = 2048
     SELECT query_id, vec_id, cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM s) WHERE rank <= 3""")
 def vector_recall(spark, sf_dir):
     """The three rows nearest to each row whose id is divisible by 50, by cosine: blocks of queries meet blocks of rows, each pair of blocks keeps its best, and those are merged."""
-    own = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    asked = own.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    unit = lambda df, c: df.withColumn(c, F.transform(c, lambda x: x / F.sqrt(dot(F.col(c), F.col(c)))))
-    n_rows, n_asked = (n // VECTOR_BLOCK + 1 for n in own.agg(F.count("*"), F.count_if(F.expr("vec_id % 50 = 0"))).first())
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = unit(own, "e").withColumn("block", block("vec_id", n_rows)).withColumn("asked_block", every(n_asked))
-    right = unit(asked, "q").withColumn("asked_block", block("query_id", n_asked)).withColumn("block", every(n_rows))
-    met = left.join(right, ["block", "asked_block"]).filter("vec_id <> query_id")
-    near = met.select("query_id", "vec_id", "block", F.round(dot(F.col("e"), F.col("q")), 6).alias("cosine"))
-    best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("cosine"), "vec_id"))
-    of_block = near.withColumn("rank", best("query_id", "block")).filter("rank <= 3").drop("rank", "block")
-    return of_block.withColumn("rank", best("query_id")).filter("rank <= 3")
+    own = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return V.nearest(own, own.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 3, VECTOR_BLOCK)
 
 
 @_query("""
