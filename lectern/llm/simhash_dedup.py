@@ -130,12 +130,34 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _joined(printed: DataFrame, prints: DataFrame, near: DataFrame) -> DataFrame:
+    """(node, component) of the near copies' nodes whose group is not the node itself, after groups that share a SimHash component have become one.
+
+    printed: _at, node; prints: _at, fp; near: node, component.
+    """
+    linked = components(near_links(cut(prints.select("fp", F.col("fp").alias("rep")).distinct())))
+    pairs = printed.select("_at", "node").join(prints, "_at").select("node", "fp").distinct()
+    named = pairs.join(near, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("g"))
+    named = cut(named.join(linked.select(F.col("node").alias("fp"), F.col("component").alias("_of")), "fp", "left").select("node", "g", F.coalesce("_of", "fp").alias("s")))
+    met = named.select("g", "s").distinct()
+    hubs = met.groupBy("s").agg(F.min("g").alias("hub"))
+    together = components(met.join(hubs, "s").filter("g > hub").select(F.col("g").alias("a"), F.col("hub").alias("b")).distinct())
+    whole = named.select("node", "g").distinct().join(together.select(F.col("node").alias("g"), F.col("component").alias("_whole")), "g", "left")
+    return whole.select("node", F.coalesce("_whole", "g").alias("component")).filter("node <> component")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (see near_copies) stays: the first by doc_id, then text; those without doc_id come last."""
+    """One document of each group of copies stays: the first by doc_id, then text; those without doc_id come last.
+
+    Documents are linked if their fingerprints differ in RADIUS bits or fewer, as in the query, or if
+    they are near copies (see near_copies), which most of 0.8 similarity are only there.
+    """
     rows = identified(docs)
     own = rows.select("_at", F.col("_row.doc_id").cast("long").alias("_id"), F.xxhash64("_row.text").alias("_hash"), F.col("_row.text").alias("_text"))
+    prints = written(fingerprints(own, ("_at",), "_text"), "simhash")
     printed = written(near_copies.sketches(own, ("_at", "_id", "_hash"), "_text"), "near-sketches")
-    grouped = printed.join(near_copies.groups(printed, rows.select("_at", "_row.text")), "node", "left")
+    joined = _joined(printed, prints, near_copies.groups(printed, rows.select("_at", "_row.text")))
+    grouped = printed.join(joined, "node", "left")
     first = grouped.groupBy(F.coalesce("component", "node").alias("_group")).agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_hash", "_at")).alias("_first"))
     return rows.join(first.select("_first._at"), "_at", "left_semi").select("_row.*")
 
