@@ -19,12 +19,15 @@ the chapters that it has). merge() makes one run of all, vacuum() removes what n
 
 from __future__ import annotations
 
+import re
 import time
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,11 +39,16 @@ from lectern.operators.shared import once
 ZONE, ZONES_A_FILE = 4096, 1024
 #: Files are kept apart by this many values of a token's hash.
 PARTS = 64
+#: Bytes of text that are split into tokens together, and blocks that are handed on together.
+PART_BYTES, BATCH_BLOCKS = 4 << 20, 1 << 16
 TOKENIZER_VERSION = 1
 UNKNOWN_FINGERPRINT = "unknown"
 #: Zones that a search with a limit looks at first; each further time so many times as many.
 FIRST_ZONES, GROWTH, MOST_ZONES = 2, 4, 1024
 
+#: Bytes of letters and digits in lower case, a space for all others.
+_LOWERED = bytes(x if chr(x) in "abcdefghijklmnopqrstuvwxyz0123456789" else x + 32 if 65 <= x <= 90 else 32 for x in range(256))
+
 _CHAPTERS = "doc_no long, zone int, book_id string, chapter_index long"
 _POSTINGS = "token string, zone int, n int, first int, last int, gaps array<smallint>"
 _BOOKS = "book_id string, generation long, fingerprint string, chapters long, tokenizer_version int, partial boolean"
@@ -83,13 +91,74 @@ def _numbered_keys(keys: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(starts), "_shard").select(*keys.columns, (F.col("_at") + F.col("_shift")).alias("doc_no"))
 
 
-def _blocks(places: DataFrame, zone: int) -> DataFrame:
-    """Blocks of rows (token, zone, place), which are dealt by zone."""
-    grouped = places.groupBy("zone", "token").agg(F.array_sort(F.collect_set("place")).alias("places"))
+def _blocks(parts: DataFrame) -> DataFrame:
+    """Blocks of rows (token, zone, places), of which a token and zone may have several."""
+    grouped = parts.groupBy("zone", "token").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
     gaps = F.transform("places", lambda x, i: (x - F.coalesce(F.get("places", i - 1), F.lit(0))).cast("smallint"))
     return grouped.select("token", "zone", F.size("places").alias("n"), F.get("places", F.lit(0)).alias("first"), F.get("places", F.size("places") - 1).alias("last"), gaps.alias("gaps"))
 
 
+def _distinct_tokens(texts: pa.Array, places: np.ndarray, zone: int) -> tuple[pa.Array, np.ndarray]:
+    """(distinct tokens, tokens' numbers * zone + places, each once) of texts, as X.tokens has them."""
+    bare = pa.Array.from_buffers(pa.large_string(), len(texts), [None, texts.buffers()[1], pa.py_buffer((texts.buffers()[2] or pa.py_buffer(b"")).to_pybytes().translate(_LOWERED))], offset=texts.offset)
+    lists = pc.ascii_split_whitespace(bare)
+    offsets = lists.offsets.to_numpy()
+    words, of = lists.flatten(), np.repeat(places, np.diff(offsets))
+    han = np.flatnonzero(pc.match_substring_regex(texts, f"[{X.HAN}]").to_numpy(zero_copy_only=False))
+    if len(han):
+        runs = re.compile(f"[{X.HAN}]+")
+        own = [sorted({r[i : i + 2] for r in runs.findall(texts[int(t)].as_py()) for i in range(max(1, len(r) - 1))}) for t in han]
+        words = pa.concat_arrays([words, pa.array([w for ws in own for w in ws], words.type)])
+        of = np.concatenate([of, np.repeat(places[han], [len(ws) for ws in own])])
+    coded = words.dictionary_encode()
+    codes, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    full = np.asarray(pc.not_equal(distinct, ""))[codes] if len(codes) else np.zeros(0, bool)
+    return distinct, np.unique(codes[full] * zone + of[full])
+
+
+def _zone_blocks(number: int, parts: list[tuple[pa.Array, np.ndarray]], zone: int) -> Iterator[pa.RecordBatch]:
+    """The blocks of a zone's parts (see _distinct_tokens)."""
+    coded = pa.concat_arrays([tokens for tokens, _ in parts]).dictionary_encode()
+    codes, starts = coded.indices.to_numpy().astype(np.int64), np.cumsum([0, *[len(tokens) for tokens, _ in parts]])
+    keys = np.unique(np.concatenate([codes[start + own // zone] * zone + own % zone for start, (_, own) in zip(starts, parts, strict=False)]))
+    token, place = keys // zone, keys % zone
+    begins = np.flatnonzero(np.diff(token, prepend=-1))
+    ends = np.append(begins[1:], len(keys))
+    gaps = np.diff(place, prepend=0)
+    gaps[begins] = place[begins]
+    for at in range(0, len(begins), BATCH_BLOCKS):
+        b, e = begins[at : at + BATCH_BLOCKS], ends[at : at + BATCH_BLOCKS]
+        lists = pa.ListArray.from_arrays(pa.array(np.append(b, e[-1]) - b[0], pa.int32()), pa.array(gaps[b[0] : e[-1]].astype(np.int16)))
+        numbers = [pa.array(x.astype(np.int32)) for x in (np.full(len(b), number), e - b, place[b], place[e - 1])]
+        yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(token[b])).cast(pa.string()), *numbers, lists], ["token", "zone", "n", "first", "last", "gaps"])
+
+
+def _blocks_of_texts(held: DataFrame, zone: int) -> DataFrame:
+    """Blocks of rows (zone, place, text): a zone's rows come together and in parts, of which the tokens are kept and not the texts."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for batch in batches:
+            zones, places = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+            texts = pc.fill_null(batch.column(2).cast(pa.large_string()), "")
+            size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            # cut where a zone begins, and where a part has its bytes
+            cuts = np.flatnonzero((np.diff(zones, prepend=zones[0] if len(zones) else 0) != 0) | (np.diff(size // PART_BYTES, prepend=0) != 0))
+            for a, b in zip([0, *cuts], [*cuts, len(zones)], strict=True):
+                if a == b:
+                    continue
+                if now is not None and zones[a] != now:
+                    yield from _zone_blocks(now, parts, zone)
+                    parts = []
+                now = int(zones[a])
+                # a copy of its own, as a slice's buffers are those of the whole
+                parts.append(_distinct_tokens(pa.concat_arrays([texts.slice(a, b - a).take(pa.array(np.arange(b - a)))]), places[a:b], zone))
+        if parts:
+            yield from _zone_blocks(now, parts, zone)
+
+    return held.repartition("zone").sortWithinPartitions("zone").select("zone", "place", "text").mapInArrow(make, _POSTINGS)
+
+
 def _write_blocks(blocks: DataFrame, path: str, run: str) -> None:
     rows = blocks.withColumn("part", _part(F.col("token")))
     rows.repartition("part", F.expr(f"zone div {ZONES_A_FILE}")).sortWithinPartitions("part", "token", "zone").write.partitionBy("part").parquet(f"{path}/postings/run={run}")
@@ -115,10 +184,8 @@ def write_run(chapters: DataFrame, path: str, fingerprints: DataFrame | None = N
     rows.write.parquet(f"{path}/books/run={run}")
     if keys.isEmpty():
         return None
-    held = own.join(keys, ["book_id", "chapter_index"]).select("zone", F.expr(f"cast(doc_no % {zone} as int)").alias("place"), F.array_distinct(X.tokens(F.col("text"))).alias("tokens"))
-    # a zone's chapters come together once, as texts; its blocks are made where they are
-    placed = held.repartition("zone").select("zone", "place", F.explode("tokens").alias("token"))
-    _write_blocks(_blocks(placed, zone), path, run)
+    held = own.join(keys, ["book_id", "chapter_index"]).select("zone", F.expr(f"cast(doc_no % {zone} as int)").alias("place"), "text")
+    _write_blocks(_blocks_of_texts(held, zone), path, run)
     return {"id": run, "partial": partial, "zone": zone}
 
 
@@ -215,8 +282,8 @@ def indexed_books(spark: SparkSession, path: str) -> DataFrame:
 # Upkeep
 
 
-def _moved(old: pa.Table, blocks: pa.Table) -> pa.Table:
-    """(token, doc_no) of a zone's blocks, by the new numbers of its chapters."""
+def _moved(old: pa.Table, blocks: pa.Table, zone: int) -> pa.Table:
+    """(token, zone, places) of a zone's blocks, by the new numbers of its chapters; a row for each new zone of a token."""
     to = np.full(1 << 16, -1, np.int64)
     to[old["place"].to_numpy()] = old["new_no"].to_numpy()
     lists = blocks["gaps"].combine_chunks()
@@ -228,8 +295,13 @@ def _moved(old: pa.Table, blocks: pa.Table) -> pa.Table:
     run -= np.repeat(np.concatenate([[0], run[ends[:-1] - 1]]) if len(ends) else np.zeros(0, np.int64), sizes)
     new = to[run]
     held = new >= 0
-    tokens = blocks["token"].combine_chunks().take(pa.array(np.repeat(np.arange(len(sizes)), sizes)[held]))
-    return pa.table({"token": tokens, "doc_no": pa.array(new[held])})
+    token, new = np.repeat(np.arange(len(sizes)), sizes)[held], new[held]
+    order = np.lexsort((new, token))
+    token, new = token[order], new[order]
+    of = new // zone
+    begins = np.flatnonzero((np.diff(token, prepend=-1) != 0) | (np.diff(of, prepend=-1) != 0))
+    places = pa.ListArray.from_arrays(pa.array(np.append(begins, len(new)), pa.int32()), pa.array((new % zone).astype(np.int32)))
+    return pa.table({"token": blocks["token"].combine_chunks().take(pa.array(token[begins])), "zone": pa.array(of[begins].astype(np.int32)), "places": places})
 
 
 def merge(spark: SparkSession, path: str, zone: int = ZONE) -> None:
@@ -244,9 +316,8 @@ def merge(spark: SparkSession, path: str, zone: int = ZONE) -> None:
     old_zone = F.create_map(*[F.lit(x) for r in runs for x in (r["id"], r.get("zone", ZONE))])
     places = numbered.select("_run", "_zone", (F.col("_no") % old_zone[F.col("_run")]).cast("int").alias("place"), F.col("doc_no").alias("new_no"))
     blocks = _table(spark, path, "postings", _POSTINGS, [r for r in runs if "drop" not in r]).select("run", "zone", "token", "gaps")
-    moved = places.groupBy("_run", "_zone").cogroup(blocks.groupBy("run", "zone")).applyInArrow(lambda old, own: _moved(old, own), "token string, doc_no long")
-    placed = moved.select("token", F.expr(f"cast(doc_no div {zone} as int)").alias("zone"), F.expr(f"cast(doc_no % {zone} as int)").alias("place"))
-    _write_blocks(_blocks(placed, zone), path, run)
+    moved = places.groupBy("_run", "_zone").cogroup(blocks.groupBy("run", "zone")).applyInArrow(lambda old, own: _moved(old, own, zone), "token string, zone int, places array<int>")
+    _write_blocks(_blocks(moved), path, run)
     indexed_books(spark, path).withColumn("partial", F.lit(False)).write.parquet(f"{path}/books/run={run}")
     merged = {r["id"] for r in runs}
 

@@ -25,3 +25,10 @@ def once(df: DataFrame) -> DataFrame:
     """df, worked out now and kept, for what is used more than once."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, for wide rows that are read more than once by some of their columns or rows."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -19,7 +19,7 @@ from lectern.operators import search as S
 from lectern.operators import tables as T
 from lectern.operators import vectors as V
 from lectern.operators.ordinals import numbered
-from lectern.operators.shared import new_folder
+from lectern.operators.shared import new_folder, stored
 from lectern.plans import chinese_rows
 from lectern.sources import books
 from lectern.streaming import incremental, reading
@@ -207,7 +207,7 @@ def search_rows(spark, sf_dir):
 @_query(_CHAPTERS + "SELECT book_id, chapter_index, hit_count FROM hits WHERE book_id <> 'src2' AND NOT (book_id = 'src1' AND chapter_index % 2 = 1)")
 def search_index(spark, sf_dir):
     """A search by an index on disk, after a book has been indexed again with half of its chapters and another one dropped."""
-    path, own = new_folder(spark, "index"), chapters(spark, sf_dir)
+    path, own = new_folder(spark, "index"), stored(chapters(spark, sf_dir), "chapters")
     I.index_books(own, path)
     I.index_books(own.filter("book_id = 'src1' and chapter_index % 2 = 0"), path)
     I.drop_books(spark.createDataFrame([("src2",), ("nobody",)], "book_id string"), path)
@@ -217,7 +217,7 @@ def search_index(spark, sf_dir):
 @_query("SELECT source AS book_id, count(*) AS chapters, CASE WHEN source < 'src15' THEN 1 ELSE 2 END AS generation FROM documents WHERE source <> 'src3' GROUP BY source")
 def index_on_demand(spark, sf_dir):
     """The index's books after one has been dropped and those that were missing have been indexed on demand."""
-    path, own = new_folder(spark, "index"), chapters(spark, sf_dir)
+    path, own = new_folder(spark, "index"), stored(chapters(spark, sf_dir), "chapters")
     files = own.select("book_id", F.lit("f").alias("fingerprint")).distinct()
     I.index_books(own.filter("book_id < 'src15'"), path, files)
     I.index_on_demand(own, files, path)
@@ -228,7 +228,7 @@ def index_on_demand(spark, sf_dir):
 @_query(_CHAPTERS + "SELECT book_id, chapter_index FROM candidates WHERE book_id <> 'src2' AND NOT (book_id = 'src1' AND chapter_index % 2 = 1) AND NOT (book_id = 'src5' AND chapter_index % 3 = 0)")
 def index_merged(spark, sf_dir):
     """Candidates after a failed run, one that did it again, a drop, chapters that came as a stream's batch, and a merge of all of it."""
-    path, own = new_folder(spark, "index"), chapters(spark, sf_dir)
+    path, own = new_folder(spark, "index"), stored(chapters(spark, sf_dir), "chapters")
     I.index_books(own, path)
     half = own.filter("book_id = 'src1' and chapter_index % 2 = 0")
     I.write_run(own.filter("book_id = 'src1'").withColumn("text", F.lit(f"{QUERY} nothing else")), path)  # never committed
@@ -243,7 +243,7 @@ def index_merged(spark, sf_dir):
 @_query(_MARKED + "SELECT book_id, chapter_index, hit_count, CAST(first_at AS INTEGER) AS first_at FROM marked WHERE seen")
 def search_first(spark, sf_dir):
     """What a search by the index looks at until its limit is reached: it reads the blocks of a few zones, and these candidates' texts."""
-    path, own = new_folder(spark, "index"), chapters(spark, sf_dir)
+    path, own = new_folder(spark, "index"), stored(chapters(spark, sf_dir), "chapters")
     I.index_books(own, path, zone=64)
     return I.first_hits(spark, path, S.texts_of(own), QUERY, LIMIT)[0].select("book_id", "chapter_index", "hit_count", "first_at")
 
@@ -652,7 +652,7 @@ _CHOSEN = f"""
 
 
 def _indexed(spark, sf_dir):
-    path, own = new_folder(spark, "index"), chapters(spark, sf_dir)
+    path, own = new_folder(spark, "index"), stored(chapters(spark, sf_dir), "chapters")
     I.index_books(own, path, zone=256)
     return path, own
 
