@@ -13,7 +13,7 @@ from lectern.functions import chinese as C
 from lectern.functions import text as X
 from lectern.operators import chapters as H
 from lectern.operators import index, search
-from lectern.operators.shared import once
+from lectern.operators.shared import once, stored
 
 # Fixed values.
 SYSTEM_PROMPT = """\
@@ -82,8 +82,8 @@ def recall_by_index(spark: SparkSession, path: str, terms: DataFrame, texts: sea
     todo = zones
     while not todo.isEmpty():
         now = todo.filter((F.col("nth") > at) & (F.col("nth") <= upto))
-        found = index.met_by_term(spark, path, now.join(tokens.drop("n"), "term").join(blocks.select("token", "run", "zone", "gaps"), ["token", "run", "zone"]))
-        held = texts(found.select("book_id", "chapter_index").distinct()).select("book_id", "chapter_index", F.lower("text").alias("_text"))
+        found = once(index.met_by_term(spark, path, now.join(tokens.drop("n"), "term").join(blocks.select("token", "run", "zone", "gaps"), ["token", "run", "zone"])))
+        held = texts(found).select("book_id", "chapter_index", F.lower("text").alias("_text"))
         hits = once(hits.unionByName(found.join(held, ["book_id", "chapter_index"]).filter(F.contains("_text", F.lower("term"))).select("term", "book_id", "chapter_index")))
         done = hits.groupBy("term").agg(F.count("*").alias("_hits")).filter(F.col("_hits") >= enough)
         at, upto = upto, upto * GROWTH
@@ -110,7 +110,9 @@ def paragraphs(chapters: DataFrame) -> DataFrame:
 
 def chunks(recalled: DataFrame, chapters: DataFrame, most: int = MAX_CHUNKS) -> DataFrame:
     """The paragraphs of the recalled chapters with `pos`, their place in the question's chunks."""
-    own = paragraphs(chapters.join(recalled.select("book_id", "chapter_index").distinct(), ["book_id", "chapter_index"], "left_semi"))
+    # stored, so that Spark knows whether it is small
+    wanted = stored(recalled.select("book_id", "chapter_index").distinct(), "wanted")
+    own = paragraphs(chapters.join(wanted, ["book_id", "chapter_index"], "left_semi"))
     joined = recalled.join(own, ["book_id", "chapter_index"])
     pos = F.row_number().over(Window.partitionBy("question_id").orderBy("book_id", "chapter_index", "paragraph_index")) - 1
     return joined.withColumn("pos", pos).filter(F.col("pos") < most)

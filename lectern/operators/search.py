@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.operators.ordinals import numbered
-from lectern.operators.shared import once
+from lectern.operators.shared import once, stored
 
 # Hits returned, and candidates verified in a search over all books, at most.
 LIMIT, MAX_VERIFIED = 300, 2000
@@ -60,8 +60,8 @@ def verified(chapters: DataFrame, query: str) -> DataFrame:
 
 
 def texts_of(chapters: DataFrame) -> TextSource:
-    """A source of texts over a table of chapters."""
-    return lambda wanted: chapters.join(wanted, ["book_id", "chapter_index"], "left_semi").select("book_id", "chapter_index", "text")
+    """A source of texts over a table of chapters. What is wanted is stored first, so that Spark knows its size and, if that is small, shuffles no texts."""
+    return lambda wanted: chapters.join(stored(wanted.select("book_id", "chapter_index").distinct(), "wanted"), ["book_id", "chapter_index"], "left_semi").select("book_id", "chapter_index", "text")
 
 
 def capped(judged: DataFrame, limit: int = LIMIT, most: int | None = MAX_VERIFIED) -> DataFrame:
