@@ -21,7 +21,7 @@ only shingle; texts without words have the empty set, and are equal.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -122,10 +122,11 @@ def _parts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch,
         at = stop
 
 
-def sketches(docs: DataFrame, keep: tuple[str, ...], text: str = "text") -> DataFrame:
-    """The columns in keep, node, n_shingles, bands and sketch (both empty for the empty set)."""
+def sketches(docs: DataFrame, keep: tuple[str, ...], text: str = "text", more: dict[str, Callable[[pa.Array], pa.Array]] | None = None) -> DataFrame:
+    """The columns in keep, node, n_shingles, bands and sketch (both empty for the empty set), and `more` long columns of the same texts."""
+    more = more or {}
     numbers = T.ArrayType(T.LongType())
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("node", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("bands", numbers), T.StructField("sketch", numbers)])
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("node", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("bands", numbers), T.StructField("sketch", numbers)] + [T.StructField(c, T.LongType()) for c in more])
 
     def listed(full: np.ndarray, values: np.ndarray) -> pa.ListArray:
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * values.shape[1])]), pa.int32()), pa.array(values.reshape(-1).view(np.int64)))
@@ -137,7 +138,7 @@ def sketches(docs: DataFrame, keep: tuple[str, ...], text: str = "text") -> Data
                 n = np.diff(offsets)
                 minima = minima_of(found, offsets)
                 own = [pa.array(nodes_of(found, offsets).view(np.int64)), pa.array(n), listed(n > 0, bands_of(minima)), listed(n > 0, sketches_of(minima))]
-                yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], *own], schema.names)
+                yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], *own, *[f(texts) for f in more.values()]], schema.names)
         release()
 
     return docs.select(*keep, text).mapInArrow(run, schema)
@@ -157,15 +158,15 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "node long, hashes array<long>")
 
 
-def _passed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
+def _judged(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with `similar`, whether their sets are."""
     own, other = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
     both = pairs.join(own, "a").join(other, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("n"))
-    return both.filter(F.col("both") * SIMILAR[1] >= (F.col("n") - F.col("both")) * SIMILAR[0]).select("a", "b")
+    return both.select("a", "b", (F.col("both") * SIMILAR[1] >= (F.col("n") - F.col("both")) * SIMILAR[0]).alias("similar"))
 
 
-def groups(printed: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, component) of each node linked to another one.
+def links(printed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes that connect each group.
 
     printed: _at and what sketches() gives; texts: _at, text.
     """
@@ -179,8 +180,7 @@ def groups(printed: DataFrame, texts: DataFrame) -> DataFrame:
     meeting = written(meeting.select("key", "node").join(wanted.drop("_at"), "node"), "near-meeting")
     sets = written(_sets(texts.join(wanted.select("_at", "node"), "_at").select("node", "text")), "near-sets")
 
-    links = tested = None
-    group = None
+    found = tested = group = None
     for turn in range(STARS + 1):
         now = meeting if group is None else meeting.join(group, "node", "left")
         now = now.withColumn("g", F.coalesce("component", "node") if group is not None else F.col("node"))
@@ -202,9 +202,11 @@ def groups(printed: DataFrame, texts: DataFrame) -> DataFrame:
         pairs = close.select(F.greatest("node", "node2").alias("a"), F.least("node", "node2").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        passed = cut(_passed(pairs, sets))
+        judged = cut(_judged(pairs, sets))
+        passed, pairs = judged.filter("similar").select("a", "b"), judged.select("a", "b")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = passed if links is None else links.unionByName(passed)
-        group = cut(components(links).select("node", "component"))
-    return group
+        found = passed if found is None else found.unionByName(passed)
+        if turn < STARS:
+            group = cut(components(found).select("node", "component"))
+            found = group.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return found

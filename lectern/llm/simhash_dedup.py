@@ -75,15 +75,20 @@ def shingle_hashes(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts))
 
 
+def _prints(texts: pa.Array, size: int = SHINGLE) -> pa.Array:
+    """Fingerprints as signed 64-bit integers."""
+    lowered = pc.ascii_lower(texts).cast(pa.large_binary())
+    return pa.array(np.fromiter((fingerprint(shingle_hashes(x.as_py().split(), size)) for x in lowered), np.uint64, len(lowered)).view(np.int64))
+
+
 def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", size: int = SHINGLE) -> DataFrame:
     """The columns in keep and fp, the fingerprint as a signed 64-bit integer."""
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lowered = pc.ascii_lower(W.texts(batch.column(len(keep)))).cast(pa.large_binary())
-            found = np.fromiter((fingerprint(shingle_hashes(x.as_py().split(), size)) for x in lowered), np.uint64, len(lowered))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found.view(np.int64))], [*keep, "fp"])
+            found = _prints(W.texts(batch.column(len(keep))), size)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], found], [*keep, "fp"])
 
     return docs.select(*keep, F.col(text)).mapInArrow(run, schema)
 
@@ -130,20 +135,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _joined(printed: DataFrame, prints: DataFrame, near: DataFrame) -> DataFrame:
-    """(node, component) of the near copies' nodes whose group is not the node itself, after groups that share a SimHash component have become one.
+def _groups(printed: DataFrame, near: DataFrame) -> DataFrame:
+    """(node, component) of the near copies' nodes whose group is not the node itself, by links of both kinds.
 
-    printed: _at, node; prints: _at, fp; near: node, component.
+    printed: node, fp; near: the links (a, b) of near copies.
     """
-    linked = components(near_links(cut(prints.select("fp", F.col("fp").alias("rep")).distinct())))
-    pairs = printed.select("_at", "node").join(prints, "_at").select("node", "fp").distinct()
-    named = pairs.join(near, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("g"))
-    named = cut(named.join(linked.select(F.col("node").alias("fp"), F.col("component").alias("_of")), "fp", "left").select("node", "g", F.coalesce("_of", "fp").alias("s")))
-    met = named.select("g", "s").distinct()
-    hubs = met.groupBy("s").agg(F.min("g").alias("hub"))
-    together = components(met.join(hubs, "s").filter("g > hub").select(F.col("g").alias("a"), F.col("hub").alias("b")).distinct())
-    whole = named.select("node", "g").distinct().join(together.select(F.col("node").alias("g"), F.col("component").alias("_whole")), "g", "left")
-    return whole.select("node", F.coalesce("_whole", "g").alias("component")).filter("node <> component")
+    both = printed.select("node", "fp").distinct()
+    # a fingerprint is known by one of its nodes, to which the others are linked
+    reps = cut(both.groupBy("fp").agg(F.min("node").alias("rep")))
+    equal = both.join(reps, "fp").filter("node > rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    return components(near.unionByName(equal).unionByName(near_links(reps))).filter("node <> component")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -154,9 +155,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     rows = identified(docs)
     own = rows.select("_at", F.col("_row.doc_id").cast("long").alias("_id"), F.xxhash64("_row.text").alias("_hash"), F.col("_row.text").alias("_text"))
-    prints = written(fingerprints(own, ("_at",), "_text"), "simhash")
-    printed = written(near_copies.sketches(own, ("_at", "_id", "_hash"), "_text"), "near-sketches")
-    joined = _joined(printed, prints, near_copies.groups(printed, rows.select("_at", "_row.text")))
+    printed = written(near_copies.sketches(own, ("_at", "_id", "_hash"), "_text", {"fp": _prints}), "near-sketches")
+    joined = _groups(printed, near_copies.links(printed, rows.select("_at", "_row.text")))
     grouped = printed.join(joined, "node", "left")
     first = grouped.groupBy(F.coalesce("component", "node").alias("_group")).agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_hash", "_at")).alias("_first"))
     return rows.join(first.select("_first._at"), "_at", "left_semi").select("_row.*")
