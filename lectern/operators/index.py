@@ -3,14 +3,16 @@
 A folder holds, for each run (an indexing of books, a merge) under its own random name:
 
     chapters/run=…   doc_no, zone, book_id, chapter_index: the run's chapters in order of their keys
-    postings/run=…   part, token, zone, n, first, last, gaps: a block for each token and zone
+    postings/run=…   part, token, span, zones, ends, firsts, lasts, gaps: a token's blocks of a span's zones
     books/run=…      book_id, generation, fingerprint, chapters, tokenizer_version, partial
     log/             commits (operators/commits.py): the runs that count, in order
 
 A zone is ZONE chapters one after the other; a block has the places of a token in a zone, the first
 place and the gaps between them, so blocks of several tokens meet by zone alone and are in the
-order of (book_id, chapter_index). Blocks are kept by a hash of the token and sorted by token and zone:
-a query reads the blocks of its tokens, and of the zones it comes to.
+order of (book_id, chapter_index). A span is as many whole zones as ZONE chapters hold, one at least: a
+row has a token's blocks of a span one after the other, so smaller zones do not make more rows. Rows are
+kept by a hash of the token and sorted by token and span: a query reads the rows of its tokens, and of
+the spans it comes to, and cuts blocks from them.
 
 A run counts once its commit is there, whatever failed before, and a failed run's name is never
 used again. The last run that has a book holds for the book (a run of a stream, `partial`: for
@@ -35,11 +37,11 @@ from lectern.functions import text as X
 from lectern.operators import commits, library, search
 from lectern.operators.shared import once
 
-#: Chapters to a zone; zones to a file.
-ZONE, ZONES_A_FILE = 4096, 1024
+#: Chapters to a zone; spans to a file.
+ZONE, SPANS_A_FILE = 4096, 1024
 #: Files are kept apart by this many values of a token's hash.
 PARTS = 64
-#: Bytes of text that are split into tokens together, and blocks that are handed on together.
+#: Bytes of text that are split into tokens together, and rows of blocks that are handed on together.
 PART_BYTES, BATCH_BLOCKS = 4 << 20, 1 << 16
 TOKENIZER_VERSION = 1
 UNKNOWN_FINGERPRINT = "unknown"
@@ -50,7 +52,7 @@ FIRST_ZONES, GROWTH, MOST_ZONES = 2, 4, 1024
 _LOWERED = bytes(x if chr(x) in "abcdefghijklmnopqrstuvwxyz0123456789" else x + 32 if 65 <= x <= 90 else 32 for x in range(256))
 
 _CHAPTERS = "doc_no long, zone int, book_id string, chapter_index long"
-_POSTINGS = "token string, zone int, n int, first int, last int, gaps array<smallint>"
+_POSTINGS = "token string, span int, zones array<int>, ends array<int>, firsts array<int>, lasts array<int>, gaps array<smallint>"
 _BOOKS = "book_id string, generation long, fingerprint string, chapters long, tokenizer_version int, partial boolean"
 
 
@@ -59,7 +61,7 @@ def _part(token: Column) -> Column:
 
 
 def _runs(spark: SparkSession, path: str) -> list[dict]:
-    """The runs that count, in the order in which they were committed: id, version, partial, zone."""
+    """The runs that count, in the order in which they were committed: id, version, partial, zone, span."""
     return commits.last(spark, f"{path}/log")[1].get("runs", [])
 
 
@@ -72,6 +74,28 @@ def _table(spark: SparkSession, path: str, name: str, schema: str, runs: list[di
     return rows.withColumn("turn", turn[F.col("run")])
 
 
+def _span(zone: int) -> int:
+    """Chapters of a span."""
+    return zone * max(1, ZONE // zone)
+
+
+def _rows_of_blocks(spark: SparkSession, path: str, runs: list[dict]) -> DataFrame:
+    """part, and what postings, run and turn hold, of those of these runs that have chapters."""
+    real = [r for r in runs if "drop" not in r]
+    if any("span" not in r for r in real):
+        raise ValueError(f"{path} has runs whose blocks are not kept by spans; index their books again")
+    return _table(spark, path, "postings", f"{_POSTINGS}, part int", real)
+
+
+def _cut(rows: DataFrame) -> DataFrame:
+    """A row for each block of rows of blocks: token, zone, n, first, last and gaps beside the columns that are no lists."""
+    lists = ("zones", "ends", "firsts", "lasts", "gaps")
+    each = rows.select("*", F.posexplode("zones").alias("_at", "zone"))
+    begin = F.coalesce(F.get("ends", F.col("_at") - 1), F.lit(0))
+    n = F.get("ends", F.col("_at")) - begin
+    return each.select(*[c for c in rows.columns if c not in lists], "zone", n.alias("n"), F.get("firsts", F.col("_at")).alias("first"), F.get("lasts", F.col("_at")).alias("last"), F.slice("gaps", begin + 1, n).alias("gaps"))
+
+
 def _turned(runs: list[dict]) -> list[dict]:
     return [r | {"turn": i} for i, r in enumerate(runs)]
 
@@ -91,15 +115,26 @@ def _numbered_keys(keys: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(starts), "_shard").select(*keys.columns, (F.col("_at") + F.col("_shift")).alias("doc_no"))
 
 
-def _blocks(parts: DataFrame) -> DataFrame:
-    """Blocks of rows (token, zone, places), of which a token and zone may have several."""
-    grouped = parts.groupBy("zone", "token").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
-    gaps = F.transform("places", lambda x, i: (x - F.coalesce(F.get("places", i - 1), F.lit(0))).cast("smallint"))
-    return grouped.select("token", "zone", F.size("places").alias("n"), F.get("places", F.lit(0)).alias("first"), F.get("places", F.size("places") - 1).alias("last"), gaps.alias("gaps"))
+def _packed(parts: DataFrame, zone: int) -> DataFrame:
+    """Rows of blocks of rows (token, span, places in the span), of which a token and span may have several."""
+    own = parts.groupBy("span", "token").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
+    at, base = lambda i: F.get("places", i), lambda x: x - x % zone
+    begins = F.filter("places", lambda x, i: ~base(at(i - 1)).eqNullSafe(base(x)))
+    closes = F.filter("places", lambda x, i: ~base(at(i + 1)).eqNullSafe(base(x)))
+    ends = F.filter(F.sequence(F.lit(1), F.size("places")), lambda k: ~base(at(k)).eqNullSafe(base(at(k - 1))))
+    gaps = F.transform("places", lambda x, i: (x - F.when(base(at(i - 1)) == base(x), at(i - 1)).otherwise(base(x))).cast("smallint"))
+    zones = F.transform(begins, lambda x: (F.col("span") * (_span(zone) // zone) + base(x) / zone).cast("int"))
+    return own.select("token", "span", zones.alias("zones"), ends.alias("ends"), F.transform(begins, lambda x: x % zone).alias("firsts"), F.transform(closes, lambda x: x % zone).alias("lasts"), gaps.alias("gaps"))
 
 
-def _distinct_tokens(texts: pa.Array, places: np.ndarray, zone: int) -> tuple[pa.Array, np.ndarray]:
-    """(distinct tokens, tokens' numbers * zone + places, each once) of texts, as X.tokens has them."""
+def _each_once(keys: np.ndarray) -> np.ndarray:
+    """These numbers, not negative, in order and each once."""
+    keys.sort()
+    return keys[np.diff(keys, prepend=-1) != 0]
+
+
+def _distinct_tokens(texts: pa.Array, places: np.ndarray, span: int) -> tuple[pa.Array, np.ndarray]:
+    """(distinct tokens, tokens' numbers * span + places, each once) of texts, as X.tokens has them."""
     bare = pa.Array.from_buffers(pa.large_string(), len(texts), [None, texts.buffers()[1], pa.py_buffer((texts.buffers()[2] or pa.py_buffer(b"")).to_pybytes().translate(_LOWERED))], offset=texts.offset)
     lists = pc.ascii_split_whitespace(bare)
     offsets = lists.offsets.to_numpy()
@@ -113,55 +148,68 @@ def _distinct_tokens(texts: pa.Array, places: np.ndarray, zone: int) -> tuple[pa
     coded = words.dictionary_encode()
     codes, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
     full = np.asarray(pc.not_equal(distinct, ""))[codes] if len(codes) else np.zeros(0, bool)
-    return distinct, np.unique(codes[full] * zone + of[full])
+    return distinct, _each_once(codes[full] * span + of[full])
 
 
-def _zone_blocks(number: int, parts: list[tuple[pa.Array, np.ndarray]], zone: int) -> Iterator[pa.RecordBatch]:
-    """The blocks of a zone's parts (see _distinct_tokens)."""
+def _span_rows(number: int, parts: list[tuple[pa.Array, np.ndarray]], zone: int) -> Iterator[pa.RecordBatch]:
+    """The rows of blocks of a span's parts (see _distinct_tokens)."""
+    span = _span(zone)
     coded = pa.concat_arrays([tokens for tokens, _ in parts]).dictionary_encode()
     codes, starts = coded.indices.to_numpy().astype(np.int64), np.cumsum([0, *[len(tokens) for tokens, _ in parts]])
-    keys = np.unique(np.concatenate([codes[start + own // zone] * zone + own % zone for start, (_, own) in zip(starts, parts, strict=False)]))
-    token, place = keys // zone, keys % zone
-    begins = np.flatnonzero(np.diff(token, prepend=-1))
-    ends = np.append(begins[1:], len(keys))
+    keys = _each_once(np.concatenate([codes[start + own // span] * span + own % span for start, (_, own) in zip(starts, parts, strict=False)]))
+    token, place = keys // span, keys % zone
+    # where tokens begin among keys, where blocks do, and where tokens do among blocks
+    rows, begins = np.flatnonzero(np.diff(token, prepend=-1)), np.flatnonzero(np.diff(keys // zone, prepend=-1))
+    tokens, closes = token[rows], np.append(begins[1:], len(keys)) - 1
     gaps = np.diff(place, prepend=0)
     gaps[begins] = place[begins]
-    for at in range(0, len(begins), BATCH_BLOCKS):
-        b, e = begins[at : at + BATCH_BLOCKS], ends[at : at + BATCH_BLOCKS]
-        lists = pa.ListArray.from_arrays(pa.array(np.append(b, e[-1]) - b[0], pa.int32()), pa.array(gaps[b[0] : e[-1]].astype(np.int16)))
-        numbers = [pa.array(x.astype(np.int32)) for x in (np.full(len(b), number), e - b, place[b], place[e - 1])]
-        yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(token[b])).cast(pa.string()), *numbers, lists], ["token", "zone", "n", "first", "last", "gaps"])
+    zones, firsts, lasts = number * (span // zone) + keys[begins] % span // zone, place[begins], place[closes]
+    blocks, rows = np.append(np.searchsorted(begins, rows), len(begins)), np.append(rows, len(keys))
+    ends = closes + 1 - np.repeat(rows[:-1], np.diff(blocks))
+    lists = lambda values, at, kind: pa.ListArray.from_arrays(pa.array(at - at[0], pa.int32()), pa.array(values[at[0] : at[-1]].astype(kind)))
+    for begin in range(0, len(tokens), BATCH_BLOCKS):
+        own = slice(begin, begin + BATCH_BLOCKS + 1)
+        heads = [lists(x, blocks[own], np.int32) for x in (zones, ends, firsts, lasts)]
+        names = coded.dictionary.take(pa.array(tokens[begin : begin + BATCH_BLOCKS])).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([names, pa.array(np.full(len(names), number, np.int32)), *heads, lists(gaps, rows[own], np.int16)], ["token", "span", "zones", "ends", "firsts", "lasts", "gaps"])
 
 
-def _blocks_of_texts(held: DataFrame, zone: int) -> DataFrame:
-    """Blocks of rows (zone, place, text): a zone's rows come together and in parts, of which the tokens are kept and not the texts."""
+def _packed_of_texts(held: DataFrame, zone: int) -> DataFrame:
+    """Rows of blocks of rows (span, place in the span, text): a span's rows come together and in parts, of which the tokens are kept and not the texts."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
         for batch in batches:
-            zones, places = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+            spans, places = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
             texts = pc.fill_null(batch.column(2).cast(pa.large_string()), "")
             size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
-            # cut where a zone begins, and where a part has its bytes
-            cuts = np.flatnonzero((np.diff(zones, prepend=zones[0] if len(zones) else 0) != 0) | (np.diff(size // PART_BYTES, prepend=0) != 0))
-            for a, b in zip([0, *cuts], [*cuts, len(zones)], strict=True):
+            # cut where a span begins, and where a part has its bytes
+            cuts = np.flatnonzero((np.diff(spans, prepend=spans[0] if len(spans) else 0) != 0) | (np.diff(size // PART_BYTES, prepend=0) != 0))
+            for a, b in zip([0, *cuts], [*cuts, len(spans)], strict=True):
                 if a == b:
                     continue
-                if now is not None and zones[a] != now:
-                    yield from _zone_blocks(now, parts, zone)
+                if now is not None and spans[a] != now:
+                    yield from _span_rows(now, parts, zone)
                     parts = []
-                now = int(zones[a])
+                now = int(spans[a])
                 # a copy of its own, as a slice's buffers are those of the whole
-                parts.append(_distinct_tokens(pa.concat_arrays([texts.slice(a, b - a).take(pa.array(np.arange(b - a)))]), places[a:b], zone))
+                parts.append(_distinct_tokens(pa.concat_arrays([texts.slice(a, b - a).take(pa.array(np.arange(b - a)))]), places[a:b], _span(zone)))
         if parts:
-            yield from _zone_blocks(now, parts, zone)
+            yield from _span_rows(now, parts, zone)
 
-    return held.repartition("zone").sortWithinPartitions("zone").select("zone", "place", "text").mapInArrow(make, _POSTINGS)
+    return held.repartition("span").sortWithinPartitions("span").select("span", "place", "text").mapInArrow(make, _POSTINGS)
+
+
+def _blocks_of_texts(held: DataFrame, zone: int) -> DataFrame:
+    """Blocks of rows (zone, place, text)."""
+    within = _span(zone) // zone
+    spans = held.select(F.expr(f"cast(zone div {within} as int)").alias("span"), (F.col("zone") % within * zone + F.col("place")).alias("place"), "text")
+    return _cut(_packed_of_texts(spans, zone)).drop("span")
 
 
-def _write_blocks(blocks: DataFrame, path: str, run: str) -> None:
-    rows = blocks.withColumn("part", _part(F.col("token")))
-    rows.repartition("part", F.expr(f"zone div {ZONES_A_FILE}")).sortWithinPartitions("part", "token", "zone").write.partitionBy("part").parquet(f"{path}/postings/run={run}")
+def _write_blocks(rows: DataFrame, path: str, run: str) -> None:
+    parted = rows.withColumn("part", _part(F.col("token")))
+    parted.repartition("part", F.expr(f"span div {SPANS_A_FILE}")).sortWithinPartitions("part", "token", "span").write.partitionBy("part").parquet(f"{path}/postings/run={run}")
 
 
 def _write_chapters(keys: DataFrame, path: str, run: str, zone: int) -> DataFrame:
@@ -184,9 +232,10 @@ def write_run(chapters: DataFrame, path: str, fingerprints: DataFrame | None = N
     rows.write.parquet(f"{path}/books/run={run}")
     if keys.isEmpty():
         return None
-    held = own.join(keys, ["book_id", "chapter_index"]).select("zone", F.expr(f"cast(doc_no % {zone} as int)").alias("place"), "text")
-    _write_blocks(_blocks_of_texts(held, zone), path, run)
-    return {"id": run, "partial": partial, "zone": zone}
+    span = _span(zone)
+    held = own.join(keys, ["book_id", "chapter_index"]).select(F.expr(f"cast(doc_no div {span} as int)").alias("span"), F.expr(f"cast(doc_no % {span} as int)").alias("place"), "text")
+    _write_blocks(_packed_of_texts(held, zone), path, run)
+    return {"id": run, "partial": partial, "zone": zone, "span": span}
 
 
 def index_books(chapters: DataFrame, path: str, fingerprints: DataFrame | None = None, zone: int = ZONE) -> None:
@@ -282,8 +331,8 @@ def indexed_books(spark: SparkSession, path: str) -> DataFrame:
 # Upkeep
 
 
-def _moved(old: pa.Table, blocks: pa.Table, zone: int) -> pa.Table:
-    """(token, zone, places) of a zone's blocks, by the new numbers of its chapters; a row for each new zone of a token."""
+def _moved(old: pa.Table, blocks: pa.Table, span: int) -> pa.Table:
+    """(token, span, places) of a zone's blocks, by the new numbers of its chapters; a row for each new span of a token."""
     to = np.full(1 << 16, -1, np.int64)
     to[old["place"].to_numpy()] = old["new_no"].to_numpy()
     lists = blocks["gaps"].combine_chunks()
@@ -298,10 +347,10 @@ def _moved(old: pa.Table, blocks: pa.Table, zone: int) -> pa.Table:
     token, new = np.repeat(np.arange(len(sizes)), sizes)[held], new[held]
     order = np.lexsort((new, token))
     token, new = token[order], new[order]
-    of = new // zone
+    of = new // span
     begins = np.flatnonzero((np.diff(token, prepend=-1) != 0) | (np.diff(of, prepend=-1) != 0))
-    places = pa.ListArray.from_arrays(pa.array(np.append(begins, len(new)), pa.int32()), pa.array((new % zone).astype(np.int32)))
-    return pa.table({"token": blocks["token"].combine_chunks().take(pa.array(token[begins])), "zone": pa.array(of[begins].astype(np.int32)), "places": places})
+    places = pa.ListArray.from_arrays(pa.array(np.append(begins, len(new)), pa.int32()), pa.array((new % span).astype(np.int32)))
+    return pa.table({"token": blocks["token"].combine_chunks().take(pa.array(token[begins])), "span": pa.array(of[begins].astype(np.int32)), "places": places})
 
 
 def merge(spark: SparkSession, path: str, zone: int = ZONE) -> None:
@@ -315,9 +364,9 @@ def merge(spark: SparkSession, path: str, zone: int = ZONE) -> None:
     numbered.select("doc_no", "zone", "book_id", "chapter_index").sortWithinPartitions("doc_no").write.parquet(f"{path}/chapters/run={run}")
     old_zone = F.create_map(*[F.lit(x) for r in runs for x in (r["id"], r.get("zone", ZONE))])
     places = numbered.select("_run", "_zone", (F.col("_no") % old_zone[F.col("_run")]).cast("int").alias("place"), F.col("doc_no").alias("new_no"))
-    blocks = _table(spark, path, "postings", _POSTINGS, [r for r in runs if "drop" not in r]).select("run", "zone", "token", "gaps")
-    moved = places.groupBy("_run", "_zone").cogroup(blocks.groupBy("run", "zone")).applyInArrow(lambda old, own: _moved(old, own, zone), "token string, zone int, places array<int>")
-    _write_blocks(_blocks(moved), path, run)
+    blocks, span = _cut(_rows_of_blocks(spark, path, runs)).select("run", "zone", "token", "gaps"), _span(zone)
+    moved = places.groupBy("_run", "_zone").cogroup(blocks.groupBy("run", "zone")).applyInArrow(lambda old, own: _moved(old, own, span), "token string, span int, places array<int>")
+    _write_blocks(_packed(moved, zone), path, run)
     indexed_books(spark, path).withColumn("partial", F.lit(False)).write.parquet(f"{path}/books/run={run}")
     merged = {r["id"] for r in runs}
 
@@ -325,7 +374,7 @@ def merge(spark: SparkSession, path: str, zone: int = ZONE) -> None:
         now = state.get("runs", [])
         if not merged <= {r["id"] for r in now}:
             raise commits.Conflict("what was merged has been merged by another writer")
-        return state | {"runs": [{"id": run, "partial": False, "zone": zone, "version": number}, *[r for r in now if r["id"] not in merged]]}
+        return state | {"runs": [{"id": run, "partial": False, "zone": zone, "span": span, "version": number}, *[r for r in now if r["id"] not in merged]]}
 
     commits.change(spark, f"{path}/log", put)
 
@@ -349,8 +398,7 @@ def vacuum(spark: SparkSession, path: str, hours: float = 24.0) -> list[str]:
 def _own_blocks(spark: SparkSession, path: str, runs: list[dict], tokens: list[str]) -> DataFrame:
     """The blocks of these tokens: files of other parts are not read, nor most rows of other tokens."""
     parts = spark.range(1).select(F.array(*[_part(F.lit(t)) for t in tokens]).alias("p")).first()["p"]
-    rows = _table(spark, path, "postings", f"{_POSTINGS}, part int", [r for r in runs if "drop" not in r])
-    return rows.filter(F.col("part").isin(sorted(set(parts))) & F.col("token").isin(tokens))
+    return _cut(_rows_of_blocks(spark, path, runs).filter(F.col("part").isin(sorted(set(parts))) & F.col("token").isin(tokens)))
 
 
 def live_runs(spark: SparkSession, path: str) -> list[dict]:
@@ -360,8 +408,8 @@ def live_runs(spark: SparkSession, path: str) -> list[dict]:
 
 def blocks_of(spark: SparkSession, path: str, tokens: DataFrame) -> DataFrame:
     """The blocks of a table of tokens, with run and turn."""
-    rows = _table(spark, path, "postings", f"{_POSTINGS}, part int", live_runs(spark, path))
-    return rows.join(tokens.select("token", _part(F.col("token")).alias("part")), ["part", "token"]).drop("part")
+    rows = _rows_of_blocks(spark, path, live_runs(spark, path))
+    return _cut(rows.join(tokens.select("token", _part(F.col("token")).alias("part")), ["part", "token"])).drop("part", "span")
 
 
 def met_by_term(spark: SparkSession, path: str, blocks: DataFrame) -> DataFrame:
@@ -473,10 +521,12 @@ def first_hits(spark: SparkSession, path: str, texts: search.TextSource, query:
         rest = ordered if at is None else ordered.filter(~_before(at, order))
         taken = rest.orderBy(*order).limit(take + 1).collect()
         now, after = taken[:take], taken[take] if len(taken) > take else None
-        wanted = F.lit(False)
-        for r in {z["run"] for z in now}:
-            wanted = wanted | ((F.col("run") == r) & F.col("zone").isin([z["zone"] for z in now if z["run"] == r]))
-        found = _keyed(_met(blocks.filter(wanted), len(tokens)), chapters.filter(wanted), real)
+        wanted = spans = F.lit(False)
+        for r in (r for r in real if any(z["run"] == r["id"] for z in now)):
+            own, within = [z["zone"] for z in now if z["run"] == r["id"]], r["span"] // r["zone"]
+            wanted = wanted | ((F.col("run") == r["id"]) & F.col("zone").isin(own))
+            spans = spans | ((F.col("run") == r["id"]) & F.col("span").isin(sorted({z // within for z in own})))
+        found = _keyed(_met(blocks.filter(spans).filter(wanted), len(tokens)), chapters.filter(wanted), real)
         pool = _in_turn(found, spark, path, runs).select("book_id", "chapter_index")
         pool = once(pool if waiting is None else pool.unionByName(waiting))
         ready = pool
